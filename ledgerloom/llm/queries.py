@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.op4_token_ids import op4_token_ids
 from ledgerloom.llm.op8_byte_bpe import op8_byte_bpe
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_byte_bpe,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_ids, op8_byte_bpe)}
 
 #: DuckDB SQL of those queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {}
