@@ -21,20 +21,19 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerloom.llm._shared import SLICE_ROWS, WordHashes, mixed, shingle_hashes, utf8_rows
+from ledgerloom.llm._shared import WordHashes, mixed, shingle_hashes, utf8_rows, with_columns_from
 from ledgerloom.llm.op9_license_scan import license_words
 
 SEED, SLACK, MIN_ITEM_WORDS = 4, 2, 8
 WALKS, BANDS, SAMPLED = 4, 8, 4
 MAX_ITEM_WORDS = 2_000_000
-SCHEMA = "doc_id long, item_id long, start long, n_words long, distance long"
 
 _HASHES = WordHashes()
 _PAD = np.uint64(0)
@@ -164,24 +163,33 @@ def item_parts(items: DataFrame, key: str, text: str, most: int = MAX_ITEM_WORDS
     yield held
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", most: int = MAX_ITEM_WORDS) -> DataFrame:
-    """A row for each document and item that leaks into it; see SCHEMA: place in words, and edit distance in words."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+LEAK = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "start", "n_words", "distance")]))
+
 
-    def scan(part: list[tuple[int, bytes]]) -> DataFrame:
+def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", most: int = MAX_ITEM_WORDS) -> DataFrame:
+    """docs with `leaks` (replaces a column of that name): for each item that leaks into the text, its place in words and edit distance."""
+    kind = pa.list_(pa.struct([(f.name, pa.int64()) for f in LEAK.elementType]))
+    docs = docs.drop(*[c for c in ("leaks",) if c != text])
+    names = []
+    for n, part in enumerate(item_parts(items, item_key, item_text, most)):
         shared = docs.sparkSession.sparkContext.broadcast(part)
+        index: list[ItemIndex] = []  # one for each task
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value)
-            for batch in batches:
-                for at in range(0, batch.num_rows, SLICE_ROWS):
-                    piece = batch.slice(at, SLICE_ROWS)
-                    out = [(d, *leak) for d, t in zip(piece.column(0).to_pylist(), utf8_rows(piece.column(1))) for leak in index.leaks(t)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=["doc_id", "item_id", "start", "n_words", "distance"])
+        def make(batch: pa.RecordBatch, shared=shared, index=index) -> list[pa.Array]:
+            if not index:
+                index.append(ItemIndex(shared.value))
+            rows = [[dict(zip(("item_id", "start", "n_words", "distance"), leak)) for leak in index[0].leaks(t)] for t in utf8_rows(batch.column(text))]
+            return [pa.array(rows, kind)]
 
-        return rows.mapInArrow(run, SCHEMA)
+        names.append(f"__leaks_{n}")
+        docs = with_columns_from(docs, [T.StructField(names[-1], LEAK)], make, [text])
+    return docs.withColumn("leaks", F.concat(*names)).drop(*names)
 
-    return reduce(DataFrame.union, [scan(part) for part in item_parts(items, item_key, item_text, most)])
+
+def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", most: int = MAX_ITEM_WORDS) -> DataFrame:
+    """A row (doc_id, item_id, start, n_words, distance) for each document and item that leaks into it."""
+    found = with_leaks(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), items, "text", item_key, item_text, most)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
