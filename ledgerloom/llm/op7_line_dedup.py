@@ -10,7 +10,7 @@ Null texts stay null and have no lines; an empty text is one empty line.  A null
 with one doc_id are one document: equal chunks at equal places of it both stay.  All columns of the input stay, but for
 n_lines, n_removed and clean_text, which replace any of that name.
 
-Shuffled are hashes of chunks, the text of repeated chunks, and the documents once, to meet what they lose; sums are
+Shuffled are hashes of chunks, the text of repeated chunks, and the documents by key, to meet what they lose; minima are
 formed before the shuffle, and the join on a hot hash can be split, as it has one row for each hash on one side.
 """
 
@@ -54,15 +54,20 @@ def chunks_of(text: Column, window: int = WINDOW, modulus: int = MODULUS) -> Col
 
 def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """(key, place): the chunks that go."""
-    rows = docs.select(F.col(key).alias("key"), F.posexplode(chunks_of(F.col(text))).alias("place", "chunk")).filter(F.col("chunk.word_lines") >= min_lines)
-    rows = rows.select("key", "place", F.col("chunk.text").alias("text"), F.xxhash64("chunk.text").alias("hash"))
+    hashed = lambda c: F.transform(c, lambda x: F.struct(F.xxhash64(x["text"]).alias("hash"), x["word_lines"].alias("word_lines")))
+    rows = docs.select(F.col(key).alias("key"), F.posexplode(hashed(chunks_of(F.col(text)))).alias("place", "chunk")).filter(F.col("chunk.word_lines") >= min_lines)
+    rows = rows.select("key", "place", F.col("chunk.hash").alias("hash"))
     at = F.struct("key", "place")
     index = rows.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").drop("last")
-    index = saved(index, "chunk-index")
-    met = saved(rows.join(index, "hash"), "repeated-chunks")
-    first = met.filter(at == F.col("first")).groupBy("hash").agg(F.min("text").alias("first_text"))
-    later = met.filter(at > F.col("first"))
-    return later.join(first, "hash").filter(F.col("text") == F.col("first_text")).select("key", "place")
+    found = rows.join(index.hint("merge"), "hash").select("key", F.struct("place", "hash", (at == F.col("first")).alias("is_first")).alias("chunk"))
+    found = found.groupBy(F.col("key").alias("__key")).agg(F.collect_set("chunk").alias("__found"))
+    # of the texts, only repeated chunks go on from here
+    met = docs.join(found.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key")))
+    texts = let(chunks_of(F.col(text)), lambda c: F.transform("__found", lambda x: F.struct(x["place"].alias("place"), x["hash"].alias("hash"), x["is_first"].alias("is_first"), F.get(c, x["place"])["text"].alias("text"))))
+    met = saved(met.select(F.col(key).alias("key"), F.explode(texts).alias("c")).select("key", "c.*").filter(F.xxhash64("text") == F.col("hash")), "repeated-chunks")
+    first = met.filter("is_first").groupBy("hash").agg(F.min("text").alias("first_text"))
+    later = met.filter("NOT is_first")
+    return later.join(first.hint("merge"), "hash").filter(F.encode("text", "utf-8") == F.encode("first_text", "utf-8")).select("key", "place")
 
 
 def with_line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
