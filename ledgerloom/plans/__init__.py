@@ -1 +1,6 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their DuckDB SQL."""
+
+from ledgerloom.plans import relational_queries, rule_queries, text_queries  # noqa: F401  they register themselves
+from ledgerloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
