@@ -47,7 +47,7 @@ def without_comments(x: Column, keep_escaped: bool = True) -> Column:
 
 def split_keys(x: Column) -> Column:
     """Comma-separated keys, trimmed, empty ones dropped (ST11)."""
-    return F.filter(F.transform(F.split(x, ","), F.trim), lambda k: k != "")
+    return F.filter(F.transform(F.split(x, ","), lambda k: F.trim(k)), lambda k: k != "")
 
 
 def label_kind(key: Column) -> Column:

@@ -128,7 +128,7 @@ def bib_entries(sources: DataFrame, text: str = "text") -> DataFrame:
     get = lambda k: F.try_element_at(f, F.lit(k))
     rows = sources.select(*[c for c in sources.columns if c != text], F.explode(_bib(text)).alias("e"))
     venue = F.coalesce(get("booktitle"), get("journal"), get("publisher"))
-    authors = F.filter(F.transform(F.split(F.coalesce(get("author"), F.lit("")), r"\s+and\s+"), F.trim), lambda a: a != "")
+    authors = F.filter(F.transform(F.split(F.coalesce(get("author"), F.lit("")), r"\s+and\s+"), lambda a: F.trim(a)), lambda a: a != "")
     return rows.select(*[c for c in rows.columns if c != "e"], "e.entry_type", "e.key", get("title").alias("title"), authors.alias("authors"), get("year").alias("year"), venue.alias("venue")).filter(F.col("title").isNotNull())
 
 
