@@ -14,12 +14,11 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: each links a node's neighbours to the smallest of them, until the links
     are stars.  A hot node only has a minimum taken over its links, which is formed before the shuffle.
     """
-    now = saved(links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct(), "links")
+    now = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     while True:
-        both = now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u"))).select(F.col("v").alias("node"), F.col("u").alias("other"))
+        both = now.select(F.col("v").alias("node"), F.col("u").alias("other")).union(now.select(F.col("u").alias("node"), F.col("v").alias("other")))
         least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
-        large = both.filter("other > node").join(least.hint("merge"), "node").select(F.col("other").alias("u"), F.col("least").alias("v")).distinct()
-        large = saved(large, "links")
+        large = saved(both.filter("other > node").join(least.hint("merge"), "node").select(F.col("other").alias("u"), F.col("least").alias("v")).distinct(), "links")
         least = large.groupBy("u").agg(F.min("v").alias("least"))
         met = large.join(least.hint("merge"), "u")
         small = met.select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").union(least.select("u", F.col("least").alias("v"))).distinct()

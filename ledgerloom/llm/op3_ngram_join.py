@@ -6,10 +6,10 @@ Documents with equal sets are one class; classes link when their sets' Jaccard s
 1. Shingles are ordered globally, rarest first, by in how many sets of blocks they occur, then by hash.
 2. A class is indexed under its prefix: as many of its first shingles as a linked class must share one of.  Shingles that
    no other set holds are left out, so a class whose prefix is all its own has no candidates.
-3. Classes under one shingle are candidates.  A round compares the first LEADERS of a shingle's classes with all others
-   and takes them out; few classes are compared all at once.  A shingle whose remaining classes are known to be
-   connected is done.  So every link is found or joins classes that other links join already, and a group of n near
-   copies costs about n comparisons.
+3. Classes under one shingle are candidates.  The first round compares one of a shingle's classes with all others.  From
+   then on those outside the shingle's largest connected part are compared with all others, AT_ONCE or, if there are
+   more, LEADERS of them in a round, and taken out, until what is left of the shingle is connected.  So every link is
+   found or joins classes that other links join already, and a group of n near copies costs about n comparisons.
 4. A comparison is counted in fragments: hashes are cut into FRAGMENTS ranges, each counts the overlap of its part of a
    pair, and the parts are summed for each pair.
 
@@ -31,8 +31,8 @@ from ledgerloom.llm._components import components
 from ledgerloom.llm._shared import block_count, mixed, saved, shingle_hashes
 
 SIZE, PERCENT = 5, 80
-#: Parts of the range of hashes a pair's overlap is counted in; leaders of a shingle in a round; classes compared at once.
-FRAGMENTS, LEADERS, AT_ONCE = 4, 8, 64
+#: Parts of the range of hashes a pair's overlap is counted in; classes of a shingle that are compared in a round if there are more than the next number.
+FRAGMENTS, LEADERS, AT_ONCE = 4, 64, 256
 #: Bits of a shingle's hash that count for its frequency, which only orders the shingles.
 COUNT_BITS = 40
 
@@ -128,39 +128,45 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between classes (sid, n, prefix, hashes) that connect all that are connected."""
-    spark = sets.sparkSession
     entries = saved(sets.select("sid", "n", F.explode("prefix").alias("token")), "prefixes")
     shared = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
     entries = saved(entries.join(shared.hint("merge"), "token"), "prefixes")
-    links = spark.createDataFrame([], "a binary, b binary")
-    first = True
-    while not entries.isEmpty():
-        salted = entries.withColumn("salt", F.lit(0) if first else F.pmod(F.xxhash64("sid"), F.lit(LEADERS)))
-        groups = entries.groupBy("token").agg(F.count("*").alias("m"))
-        leaders = salted.groupBy("token", "salt").agg(F.min(F.struct("sid", "n")).alias("lead")).select("token", F.col("lead.sid").alias("lead"), F.col("lead.n").alias("lead_n"))
-        if not first:  # in a small group, all are leaders
-            small = entries.join(groups.filter(F.col("m") <= AT_ONCE).hint("merge"), "token").select("token", F.col("sid").alias("lead"), F.col("n").alias("lead_n"))
-            leaders = leaders.join(groups.filter(F.col("m") > AT_ONCE).hint("merge"), "token").select("token", "lead", "lead_n").union(small)
-        leaders = saved(leaders, "leaders")
-        close = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & (F.col("sid") != F.col("lead"))
-        if not first:
-            close &= F.col("root") != F.col("lead_root")
-            leaders_of = leaders.join(roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_root")).hint("merge"), "lead", "left").withColumn("lead_root", F.coalesce("lead_root", "lead"))  # noqa: F821
-        else:
-            leaders_of = leaders
-        met = entries.join(leaders_of.hint("merge"), "token").filter(close)
-        pairs = met.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b"), F.when(F.col("sid") < F.col("lead"), F.col("n")).otherwise(F.col("lead_n")).alias("na"), F.when(F.col("sid") < F.col("lead"), F.col("lead_n")).otherwise(F.col("n")).alias("nb")).distinct()
-        pairs = saved(pairs, "pairs")
-        new = overlaps(pairs, sets).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
-        links = saved(links.union(new), "links")
+    def compared(leaders: DataFrame, entries: DataFrame) -> DataFrame:
+        """Links between leaders (token, lead, lead_n, lead_root) and the other classes of their shingles, where roots differ."""
+        close = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & (F.col("root") != F.col("lead_root"))
+        met = entries.join(leaders.hint("merge"), "token").filter(close)
+        own = F.struct(F.col("sid").alias("id"), F.col("n").alias("n"))
+        lead = F.struct(F.col("lead").alias("id"), F.col("lead_n").alias("n"))
+        both = met.select(F.least(own, lead).alias("x"), F.greatest(own, lead).alias("y")).distinct()
+        pairs = saved(both.select(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb")), "pairs")
+        return overlaps(pairs, sets).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+
+    def lead(df: DataFrame) -> DataFrame:
+        return df.select("token", F.col("sid").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root"))
+
+    # the first round compares one class with all others of its shingle: near copies mostly are of one another
+    entries = entries.withColumn("root", F.col("sid"))
+    first = entries.groupBy("token").agg(F.min(F.struct("n", "sid", "root")).alias("r")).select("token", "r.*")
+    leaders, links = saved(lead(first), "leaders"), None
+    while True:
+        new = compared(leaders, entries)
+        links = saved(new if links is None else links.union(new), "links")
         roots = saved(components(links), "roots")
+        links = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         # what is left: no leaders, and only shingles whose classes aren't connected yet
         left = entries.select("token", "sid", "n").join(leaders.select("token", F.col("lead").alias("sid")).hint("merge"), ["token", "sid"], "left_anti")
         left = left.join(roots.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        open_tokens = left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-        entries = saved(left.join(open_tokens.hint("merge"), "token"), "prefixes")
-        first = False
-    return links
+        left = saved(left, "prefixes")
+        parts = left.groupBy("token", "root").agg(F.count("*").alias("m"))
+        largest = parts.groupBy("token").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m")).filter("m > top.m").select("token", F.col("top.root").alias("top"), (F.col("m") - F.col("top.m")).alias("strays"))
+        entries = saved(left.join(largest.hint("merge"), "token"), "prefixes")
+        if entries.isEmpty():
+            return links
+        # with all but a shingle's largest part compared, all of its pairs that matter are
+        strays = entries.filter("root <> top")
+        many = strays.filter(F.col("strays") > AT_ONCE).groupBy("token", F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct("n", "sid", "root")).alias("r")).select("token", "r.*")
+        leaders = saved(lead(strays.filter(F.col("strays") <= AT_ONCE)).union(lead(many)), "leaders")
+        entries = entries.drop("top", "strays")
 
 
 def with_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
