@@ -133,3 +133,30 @@ def compressed_ranges(numbers: Column) -> Column:
     ranges = F.aggregate(s, F.array().cast("array<struct<lo: bigint, hi: bigint>>"), lambda a, n: step(a, n.cast("long")))
     one = lambda r: F.when(r["lo"] == r["hi"], r["lo"].cast("string")).otherwise(F.concat_ws("-", r["lo"], r["hi"]))
     return F.array_join(F.transform(ranges, one), ",")
+
+
+_WIDE = r"[\x{1100}-\x{115F}\x{2E80}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}]"
+
+
+def display_width(x: Column) -> Column:
+    """Columns a text takes: two for each wide character (ST31)."""
+    return F.length(x) + F.regexp_count(x, F.lit(_WIDE))
+
+
+def without_wide_spaces(x: Column) -> Column:
+    """Spaces between two wide characters dropped (ST31)."""
+    return F.regexp_replace(x, f"(?<={_WIDE})[ ]+(?={_WIDE})", "")
+
+
+def wrapped(x: Column, width: int) -> Column:
+    """Words filled greedily into lines of at most `width` columns; a longer word has a line of its own (WN12)."""
+    state = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+
+    def step(s: Column, w: Column) -> Column:
+        longer = F.concat(s["line"], F.lit(" "), w)
+        full = display_width(longer) > width
+        empty = s["line"] == ""
+        lines = F.when(~empty & full, F.concat(s["lines"], F.array(s["line"]))).otherwise(s["lines"])
+        return F.struct(lines.alias("lines"), F.when(empty | full, w).otherwise(longer).alias("line"))
+
+    return F.aggregate(F.filter(F.split(collapsed(x), " "), lambda w: w != ""), state, step, lambda s: F.when(s["line"] == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(s["line"]))))

@@ -32,3 +32,31 @@ def include_levels(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFr
         if level.isEmpty():
             return found.groupBy("node").agg(F.max("depth").alias("depth"))
     raise ValueError(f"includes are nested more than {most} deep, or in a cycle")
+
+
+def first_existing(targets: DataFrame, files: DataFrame, extensions: list[str]) -> DataFrame:
+    """targets (base, target) with `path`: the first of the candidates base/target, then with each extension, that exists (JN22)."""
+    joined = F.when(F.col("base") == "", F.col("target")).otherwise(F.concat_ws("/", "base", "target"))
+    candidates = targets.select("base", "target", F.posexplode(F.array(joined, *[F.concat(joined, F.lit(e)) for e in extensions])).alias("rank", "path"))
+    hits = candidates.join(files.select("path").distinct(), "path").groupBy("base", "target").agg(F.min_by("path", "rank").alias("path"))
+    return targets.join(hits, ["base", "target"], "left")
+
+
+def spliced(files: DataFrame, most: int = 16) -> DataFrame:
+    r"""files (project, path, text) with each \input{path} replaced by that file's text, the innermost first (ST23).
+
+    A round replaces the includes of files that hold none themselves; files in a cycle keep their commands (Z4).
+    """
+    from ledgerloom.functions.text import command_arguments
+
+    now = files
+    for _ in range(most):
+        called = now.select("project", "path", F.explode(F.array_distinct(command_arguments(F.col("text"), "(?:input|include)"))).alias("child"))
+        done = now.filter(F.size(command_arguments(F.col("text"), "(?:input|include)")) == 0).select("project", F.col("path").alias("child"), F.col("text").alias("inner"))
+        ready = called.join(done, ["project", "child"]).groupBy("project", "path").agg(F.map_from_entries(F.collect_list(F.struct("child", "inner"))).alias("inner"))
+        if ready.isEmpty():
+            return now
+        quoted = lambda v: F.regexp_replace(v, r"([\\$])", r"\\$1")
+        put = lambda text, e: F.regexp_replace(text, F.concat(F.lit(r"\\(?:input|include)\{\Q"), e["key"], F.lit(r"\E\}")), quoted(e["value"]))
+        now = now.join(ready, ["project", "path"], "left").select("project", "path", F.when(F.col("inner").isNotNull(), F.aggregate(F.map_entries("inner"), F.col("text"), put)).otherwise(F.col("text")).alias("text"))
+    return now

@@ -62,3 +62,12 @@ def ambiguity(df: DataFrame, keys: list[str], confidence: str, tie: str, gap: fl
     ranked = df.withColumn("__n", F.row_number().over(top)).filter("__n <= 2")
     both = ranked.groupBy(*keys).agg(F.max(F.when(F.col("__n") == 1, F.col(tie))).alias(tie), F.max(F.when(F.col("__n") == 1, F.col(confidence))).alias(confidence), F.max(F.when(F.col("__n") == 2, F.col(confidence))).alias("__second"))
     return both.withColumn("ambiguous", F.coalesce((F.abs(F.col(confidence) - F.col("__second")) < gap) & (F.col(confidence) > least), F.lit(False))).drop("__second")
+
+
+def carried_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells (row, col, span, text) with `covered`: whether a cell of an earlier row reaches down to its place (WN10).
+
+    A cell of span n covers its column in the n - 1 rows below; spans are exploded, so no table is held in one place.
+    """
+    reach = cells.filter("span > 1").select(*keys, "col", F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("span") - 1)).alias("row")).distinct().withColumn("__hit", F.lit(True))
+    return cells.join(reach, [*keys, "row", "col"], "left").withColumn("covered", F.coalesce("__hit", F.lit(False))).drop("__hit")

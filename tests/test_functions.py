@@ -231,3 +231,24 @@ def test_streams(spark, tmp_path):
     batch = jobs.usage_windows(events)
     closed = batch.filter(F.col("start") < spark.table("windows").agg(F.max("start")).first()[0])
     assert spark.table("windows").join(closed, ["start", "event_type", "n"]).count() == closed.count() > 0
+
+
+def test_wide_text(spark):
+    assert value(spark, T.display_width(F.col("x")), x="a摘要b") == 6
+    assert value(spark, T.without_wide_spaces(F.col("x")), x="摘 要 a 要") == "摘要 a 要"
+    assert value(spark, T.wrapped(F.col("x"), 7), x="aa bb  cc dddddddddd e") == ["aa bb", "cc", "dddddddddd", "e"]
+    assert value(spark, T.wrapped(F.col("x"), 7), x="") == []
+
+
+def test_includes(spark):
+    targets = spark.createDataFrame([("", "a"), ("d", "b"), ("", "none")], "base string, target string")
+    paths = spark.createDataFrame([("a.tex",), ("a",), ("d/b.tex",)], "path string")
+    assert {(r["target"], r["path"]) for r in G.first_existing(targets, paths, [".tex"]).collect()} == {("a", "a"), ("b", "d/b.tex"), ("none", None)}
+    rows = [(1, "main", "x \\input{a} y \\include{b}"), (1, "a", "A\\input{b}$1"), (1, "b", "B\\n"), (2, "main", "\\input{main}")]
+    out = {(r["project"], r["path"]): r["text"] for r in G.spliced(spark.createDataFrame(rows, "project int, path string, text string")).collect()}
+    assert out[1, "main"] == "x AB\\n$1 y B\\n" and out[2, "main"] == "\\input{main}"
+
+
+def test_carried_rows(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 3, "a"), (1, 1, 0, 1, "b"), (1, 2, 1, 1, "c"), (1, 3, 0, 1, "d")], "t int, row int, col int, span int, text string")
+    assert [r["covered"] for r in S.carried_rows(cells, ["t"]).orderBy("row").collect()] == [False, True, False, False]
