@@ -33,13 +33,18 @@ from ledgerloom.llm._shared import SLICE_ROWS, saved, utf8_rows, work_path
 BLOCK_IDS, CACHED_WORDS = 1 << 20, 600_000
 
 _TAIL = re.compile(rb"(?<=[A-Za-z0-9])[.,;:!?]+\Z")
+#: How the vocabulary writes bytes: printable Latin-1 characters stand for themselves, all others for those from 256 on.
+_OTHER_BYTES = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(_OTHER_BYTES)}
 
 
 class WordEncoder(dict):
     """Packed ids of each white-space separated word, by the tokenizers library.
 
     The vocabulary's splitter drops white space and never matches across it, so a text's ids are its words' ids one
-    after the other.  Marks after a letter or digit are a match of their own, and letters are lower-cased one by one.
+    after the other.  Marks after a letter or digit are a match of their own, letters are lower-cased one by one, and a
+    run of letters is one match, which goes to the library's merge model as it is; all else goes through its whole
+    pipeline.  The cache has two generations, of CACHED_WORDS each: words met again move to the younger one.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -47,34 +52,48 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model, self.old = self.tokenizer.model, {}
 
     @staticmethod
     def folded(word: bytes) -> bytes:
         if b"<" in word:
             return word  # may be part of a special token, in which case counts
+        if word.isascii():
+            return word.lower()
         text = word.decode()
         return text.lower().encode() if max(text) <= "ɏ" and "İ" not in text else word
 
-    def parts(self, word: bytes) -> list[bytes]:
-        tail = _TAIL.search(word)
-        return [self.folded(word[: tail.start()]), tail[0]] if tail and b"<" not in word else [self.folded(word)]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Puts all of `words` in the cache."""
+    def letters(self, part: bytes) -> bytes | None:
+        """Ids of a folded run of letters; None for anything else."""
+        if part.isalpha() and part.islower():  # of bytes: ASCII letters only
+            text = part.decode()
+        else:
+            text = part.decode()
+            if not text.isalpha() or max(text) > "ɏ" or "İ" in text:
+                return None
+            text = part.decode("latin-1").translate(_BYTE_CHARS)
+        return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
+
+    def part(self, part: bytes) -> bytes:
+        """Ids of a folded part of a word."""
+        if (known := self.get(part)) is None and (known := self.old.get(part)) is None:
+            if (known := self.letters(part)) is None:
+                known = np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self[part] = known
+        return known
+
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > CACHED_WORDS:
+            self.old = dict(self)
             self.clear()
-        parts = {w: self.parts(w) for w in words if w not in self}
-        new = [p for p in {p for x in parts.values() for p in x} if p not in self]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            self[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, x in parts.items():
-            if w not in self:
-                self[w] = b"".join([self[p] for p in x])
+        if (known := self.old.get(word)) is None:
+            tail = None if word[-1:].isalnum() or b"<" in word else _TAIL.search(word)
+            known = self.part(self.folded(word[: tail.start()])) + self.part(tail[0]) if tail else self.part(self.folded(word))
+        self[word] = known
+        return known
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        words = [(t or b"").split() for t in texts]
-        self.learn(set().union(*words))
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+        return [b"".join(map(self.__getitem__, (t or b"").split())) for t in texts]
 
 
 @lru_cache(maxsize=2)
