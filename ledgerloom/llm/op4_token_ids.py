@@ -177,16 +177,8 @@ def write_token_files(df: DataFrame, tokenizer_path: str, path: str, end_id: int
         rank_of[r["id"]] = r["rank"]
     shared = spark.sparkContext.broadcast(rank_of)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            rows = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
-            two = [pack(table[x]) for x in rows]
-            arrays = [batch.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array([c for c, _ in two], pa.binary()), pa.array([d for _, d in two], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "control", "data"])
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, start, rows, held = TaskContext.get().partitionId(), 0, [], 0
+        table, shard, start, rows, held = shared.value, TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
             keys, lengths = [r[0] for r in rows], [r[1] for r in rows]
@@ -195,16 +187,20 @@ def write_token_files(df: DataFrame, tokenizer_path: str, path: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["shard", "start", "keys", "lengths", "control", "data"])
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                rows.append(row)
-                held += row[1]
-                if held >= BLOCK_IDS:
-                    yield block()
-                    start, rows, held = start + held, [], 0
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                for key, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ranks = table[np.frombuffer(ids, "<u4")]
+                    rows.append((key, len(ranks), *pack(ranks)))
+                    held += len(ranks)
+                    if held >= BLOCK_IDS:
+                        yield block()
+                        start, rows, held = start + held, [], 0
         if rows:
             yield block()
 
-    ordered = encoded.mapInArrow(packed, "key long, n long, control binary, data binary").repartitionByRange("key").sortWithinPartitions("key")
+    # ids are dealt before they are packed, so that finding the ranges of keys costs no Python pass
+    ordered = encoded.repartitionByRange("key").sortWithinPartitions("key")
     ordered.mapInArrow(blocks, "shard int, start long, keys array<long>, lengths array<long>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
