@@ -101,7 +101,8 @@ def compared(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 def op_counts(ops: str = "ops") -> list[Column]:
     """How many operations of each kind there are (Q6)."""
-    return [F.size(F.filter(ops, lambda o, k=k: o["kind"] == k)).cast("long").alias(k) for k in ("equal", "modified", "delete", "insert")]
+    count = lambda kind: F.size(F.filter(ops, lambda o: o["kind"] == kind)).cast("long").alias(kind)
+    return [count(kind) for kind in ("equal", "modified", "delete", "insert")]
 
 
 def run_signature(runs: Column) -> Column:
