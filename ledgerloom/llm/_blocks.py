@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import WordHashes, block_count
+from ledgerloom.llm._shared import block_count
 
 #: The id that stands for null: larger than any other.
 NO_ID = np.iinfo(np.int64).max
@@ -69,9 +69,3 @@ def is_in(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)
     return sorted_keys[at] == values
 
-
-class Words:
-    """Word hashes with a cache that lives as long as the worker."""
-
-    plain = WordHashes()
-    lower = WordHashes(lambda w: w.translate(bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))))

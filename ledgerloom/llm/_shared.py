@@ -8,14 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows handled at a time inside a task, so that memory does not follow the Arrow batch size.
 SLICE_ROWS = 512
-#: Entries a worker keeps in a word cache before it starts the cache afresh.
+#: Entries a worker keeps in a cache before it starts the cache afresh.
 CACHE_WORDS = 400_000
 
 
@@ -77,23 +76,6 @@ def utf8_rows(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes); forgets everything once it holds CACHE_WORDS words."""
-
-    def __init__(self, prepare: Callable[[bytes], bytes] | None = None):
-        super().__init__()
-        self.prepare = prepare
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(self.prepare(word) if self.prepare else word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -105,6 +87,46 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHasher:
+    """64-bit hashes of a text's words, all of them at once: sums of the bytes' values times powers of a factor, mixed.
+
+    Words are runs of bytes that aren't separators.
+    """
+
+    def __init__(self, separators: bytes, lower: bool):
+        self.gap = np.isin(np.arange(256), np.frombuffer(separators, np.uint8))
+        folded = np.arange(256)
+        if lower:
+            folded[65:91] += 32
+        with np.errstate(over="ignore"):
+            values = mixed(folded.astype(np.uint64), 77) | np.uint64(1)
+        self.values = np.where(self.gap, np.uint64(0), values)
+        self.powers = np.ones(1, np.uint64)
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        b = np.frombuffer(text or b"", np.uint8)
+        gap = self.gap[b]
+        begins = ~gap
+        begins[1:] &= gap[:-1]
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        place = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
+        if (most := int(place.max()) + 1) > len(self.powers):
+            factors = np.full(2 * most, 0x9E3779B97F4A7C15 | 1, np.uint64)
+            factors[0] = 1
+            self.powers = np.cumprod(factors, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            weighted = self.values[b[starts[0] :]] * self.powers[place]
+            return mixed(np.add.reduceat(weighted, starts - starts[0]), 78)
+
+
+WHITE_SPACE = b" \t\n\x0b\x0c\r"
+#: Words between white space, as they are and with A-Z lower-cased; and runs of a-z, 0-9 and non-ASCII bytes.
+PLAIN_WORDS, LOWER_WORDS = WordHasher(WHITE_SPACE, False), WordHasher(WHITE_SPACE, True)
+ALNUM_WORDS = WordHasher(bytes(i for i in range(128) if not chr(i).isalnum()), True)
+
+
 def shingle_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     """Hash of every run of `size` consecutive word hashes, in order."""
     n = len(words) - size + 1

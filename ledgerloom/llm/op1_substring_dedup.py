@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._blocks import NO_ID, Words, block_rows, bucket_cuts, dealt, expand, expand_sorted, is_in, squeeze, squeeze_sorted
-from ledgerloom.llm._shared import block_count, shingle_hashes
+from ledgerloom.llm._blocks import block_rows, bucket_cuts, dealt, expand, expand_sorted, is_in, squeeze, squeeze_sorted
+from ledgerloom.llm._shared import PLAIN_WORDS, block_count, shingle_hashes
 
 WINDOW, ANCHOR = 13, 5
 #: Bits of an anchor's hash that are looked up; two anchors with equal bits only mean more windows to look up.
@@ -47,7 +47,7 @@ def window_keys(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
-    return Words.plain.of((text or b"").split())
+    return PLAIN_WORDS.of(text)
 
 
 def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
@@ -117,7 +117,7 @@ def factor_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     def parse(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts, null = block_rows(table) if len(table) else (np.empty(0, np.int64), [], np.empty(0, bool))
         words = [(t or b"").split() for t in texts]
-        pairs = [window_keys(Words.plain.of(w), window) for w in words]
+        pairs = [window_keys(word_hashes(t), window) for t in texts]
         lengths = [len(k) for k, _ in pairs]
         flat, checks = _joined([k for k, _ in pairs], np.uint64), _joined([c for _, c in pairs], np.uint32)
         owner, place = np.repeat(ids, lengths), _joined([np.arange(n, dtype=np.int64) for n in lengths], np.int64)

@@ -28,14 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm._shared import WordHashes, mixed, shingle_hashes, utf8_rows, with_columns_from
+from ledgerloom.llm._shared import ALNUM_WORDS, mixed, shingle_hashes, utf8_rows, with_columns_from
 from ledgerloom.llm.op9_license_scan import license_words
 
 SEED, SLACK, MIN_ITEM_WORDS = 4, 2, 8
 WALKS, BANDS, SAMPLED = 4, 8, 4
 MAX_ITEM_WORDS = 2_000_000
 
-_HASHES = WordHashes()
 _PAD = np.uint64(0)
 
 
@@ -45,7 +44,7 @@ def allowed(m: int) -> int:
 
 
 def hashes_of(text: bytes | None) -> np.ndarray:
-    return _HASHES.of(license_words(text))
+    return ALNUM_WORDS.of(text)
 
 
 def embedded(windows: np.ndarray, walk: int) -> np.ndarray:
@@ -103,18 +102,21 @@ class ItemIndex:
         self.seeds = flat[order]
         self.seed_item = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])[order]
         self.seed_at = np.concatenate([np.empty(0, np.int64), *[np.arange(len(s)) for s in seeds]])[order]
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[flat >> np.uint64(44)] = True
         self.keys = [lsh_keys(w[None, :])[0] for w in self.words]
 
     def candidates(self, h: np.ndarray) -> list[tuple[int, int]]:
         """(item, start) of windows one of whose keys is the item's."""
         grams = shingle_hashes(h, SEED, seed=4)
-        lo, hi = np.searchsorted(self.seeds, grams, "left"), np.searchsorted(self.seeds, grams, "right")
+        maybe = np.flatnonzero(self.filter[grams >> np.uint64(44)])  # most windows end here
+        lo, hi = np.searchsorted(self.seeds, grams[maybe], "left"), np.searchsorted(self.seeds, grams[maybe], "right")
         hits = np.flatnonzero(hi > lo)
         if not len(hits):
             return []
         n = (hi - lo)[hits]
         which = np.repeat(lo[hits], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, start = self.seed_item[which], np.repeat(hits, n) - self.seed_at[which]
+        item, start = self.seed_item[which], np.repeat(maybe[hits], n) - self.seed_at[which]
         near = np.unique(np.stack([np.repeat(item, 2 * SLACK + 1), (start[:, None] + np.arange(-SLACK, SLACK + 1)).ravel()], axis=1), axis=0)
         out, by_length = [], defaultdict(list)
         for i in np.unique(near[:, 0]):
