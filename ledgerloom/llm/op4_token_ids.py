@@ -53,6 +53,8 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model, self.old = self.tokenizer.model, {}
+        #: Ids on their way take two bytes where the vocabulary allows.
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     @staticmethod
     def folded(word: bytes) -> bytes:
@@ -72,13 +74,13 @@ class WordEncoder(dict):
             if not text.isalpha() or max(text) > "ɏ" or "İ" in text:
                 return None
             text = part.decode("latin-1").translate(_BYTE_CHARS)
-        return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
+        return np.array([t.id for t in self.model.tokenize(text)], dtype=self.kind).tobytes()
 
     def part(self, part: bytes) -> bytes:
         """Ids of a folded part of a word."""
         if (known := self.get(part)) is None and (known := self.old.get(part)) is None:
             if (known := self.letters(part)) is None:
-                known = np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+                known = np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, dtype=self.kind).tobytes()
             self[part] = known
         return known
 
@@ -132,11 +134,11 @@ def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
 
 
 def encode_documents(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): packed little-endian unsigned 32-bit ids of each text, the end id last."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    """(key, ids): packed little-endian ids of each text, of the encoder's kind, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
+        end = np.array([end_id], dtype=encoder.kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
@@ -146,14 +148,14 @@ def encode_documents(df: DataFrame, tokenizer_path: str, end_id: int, key: str =
     return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, ids binary")
 
 
-def id_counts(encoded: DataFrame) -> DataFrame:
+def id_counts(encoded: DataFrame, kind: str) -> DataFrame:
     """(id, n): how often each id occurs in all of `encoded`; each task sends one row for each id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(ids, "<u4"))
+                n = np.bincount(np.frombuffer(ids, kind))
                 if len(n) > len(total):
                     total = np.pad(total, (0, len(n) - len(total)))
                 total[: len(n)] += n
@@ -165,11 +167,11 @@ def id_counts(encoded: DataFrame) -> DataFrame:
 
 def write_token_files(df: DataFrame, tokenizer_path: str, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Encodes every text of df and writes the folder `path` in this module's format."""
-    spark = df.sparkSession
+    spark, kind = df.sparkSession, word_encoder(tokenizer_path).kind
     encoded = saved(encode_documents(df, tokenizer_path, end_id, key, text), "ids")
     # the vocabulary bounds these rows, whatever the corpus
     order = Window.orderBy(F.desc("n"), "id")
-    ranks = id_counts(encoded).select((F.row_number().over(order) - 1).alias("rank"), "id")
+    ranks = id_counts(encoded, kind).select((F.row_number().over(order) - 1).alias("rank"), "id")
     ranks.write.parquet(f"{path}/ranks")
     by_id = sorted(spark.read.parquet(f"{path}/ranks").collect(), key=lambda r: r["id"])
     rank_of = np.zeros(by_id[-1]["id"] + 1 if by_id else 1, np.uint32)
@@ -190,7 +192,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, path: str, end_id: int
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 for key, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ranks = table[np.frombuffer(ids, "<u4")]
+                    ranks = table[np.frombuffer(ids, kind)]
                     rows.append((key, len(ranks), *pack(ranks)))
                     held += len(ranks)
                     if held >= BLOCK_IDS:
