@@ -6,7 +6,7 @@ Documents with equal sets are one class; classes link when their sets' Jaccard s
 1. Shingles are ordered globally, rarest first, by in how many sets of blocks they occur, then by hash.
 2. A class is indexed under its prefix: as many of its first shingles as a linked class must share one of.  Shingles that
    no other set holds are left out, so a class whose prefix is all its own has no candidates.
-3. Classes under one shingle are candidates.  The first round compares one of a shingle's classes with all others.  From
+3. Classes under one shingle are candidates where sizes and what follows the shingle allow a link.  The first round compares one of a shingle's classes with all others.  From
    then on those outside the shingle's largest connected part are compared with all others, AT_ONCE or, if there are
    more, LEADERS of them in a round, and taken out, until what is left of the shingle is connected.  So every link is
    found or joins classes that other links join already, and a group of n near copies costs about n comparisons.
@@ -26,20 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._blocks import Words, block_rows, bucket_cuts, dealt, expand, expand_sorted, squeeze, squeeze_sorted
+from ledgerloom.llm._blocks import block_rows, bucket_cuts, dealt, expand, expand_sorted, squeeze, squeeze_sorted
 from ledgerloom.llm._components import components
-from ledgerloom.llm._shared import block_count, mixed, saved, shingle_hashes
+from ledgerloom.llm._shared import LOWER_WORDS, block_count, saved, shingle_hashes
 
 SIZE, PERCENT = 5, 80
 #: Parts of the range of hashes a pair's overlap is counted in; classes of a shingle that are compared in a round if there are more than the next number.
-FRAGMENTS, LEADERS, AT_ONCE = 4, 64, 256
+FRAGMENTS, LEADERS, AT_ONCE = 4, 256, 1024
 #: Bits of a shingle's hash that count for its frequency, which only orders the shingles.
 COUNT_BITS = 40
 
 
 def shingle_set(text: bytes | None, size: int = SIZE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    words = Words.lower.of((text or b"").split())
+    words = LOWER_WORDS.of(text)
     if 0 < len(words) < size:
         return shingle_hashes(words, len(words), seed=len(words))
     return np.unique(shingle_hashes(words, size, seed=size))
@@ -88,16 +88,17 @@ def document_sets(docs: DataFrame, key: str, text: str, size: int = SIZE, percen
             at = np.minimum(np.searchsorted(shared, k), max(len(shared) - 1, 0))
             n = np.where(shared[at] == k, counts[at], 1) if len(shared) else np.ones(len(s), np.uint32)
             first = np.lexsort((s, n))[: prefix_length(len(s), percent)] if len(s) else np.empty(0, np.int64)
-            first = first[n[first] > 1]
+            place = np.flatnonzero(n[first] > 1)
+            first = first[place]
             ns.append(len(s))
             sids.append(set_id(s) if len(s) else None)
-            prefixes.append(s[first].astype(np.int64) if len(first) else None)
+            prefixes.append([{"token": t, "place": int(p)} for t, p in zip(s[first].astype(np.int64).tolist(), place)] if len(first) else None)
             hashes.append(s.tobytes() if len(first) else None)
-        return pa.table({"key": pa.array(keys, pa.int64(), mask=null), "n": pa.array(ns, pa.int64()), "sid": pa.array(sids, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "hashes": pa.array(hashes, pa.binary())})
+        return pa.table({"key": pa.array(keys, pa.int64(), mask=null), "n": pa.array(ns, pa.int64()), "sid": pa.array(sids, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())]))), "hashes": pa.array(hashes, pa.binary())})
 
     sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block int, keys binary, counts binary")
     answers = sent.groupBy("bucket").applyInArrow(total, "block int, keys binary, counts binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sets, "key long, n long, sid binary, prefix array<long>, hashes binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sets, "key long, n long, sid binary, prefix array<struct<token: bigint, place: int>>, hashes binary")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -128,12 +129,17 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between classes (sid, n, prefix, hashes) that connect all that are connected."""
-    entries = saved(sets.select("sid", "n", F.explode("prefix").alias("token")), "prefixes")
+    entries = saved(sets.select("sid", "n", F.explode("prefix").alias("p")).select("sid", "n", "p.token", "p.place"), "prefixes")
     shared = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
     entries = saved(entries.join(shared.hint("merge"), "token"), "prefixes")
     def compared(leaders: DataFrame, entries: DataFrame) -> DataFrame:
-        """Links between leaders (token, lead, lead_n, lead_root) and the other classes of their shingles, where roots differ."""
-        close = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & (F.col("root") != F.col("lead_root"))
+        """Links between leaders (token, lead, lead_n, lead_place, lead_root) and the other classes of their shingles, where roots differ.
+
+        At the first shingle two sets share, no more than what follows it in either can be shared, so a linked pair
+        passes there.
+        """
+        enough = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("lead_n") - F.col("lead_place")) >= percent * (F.col("n") + F.col("lead_n"))
+        close = enough & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & (F.col("root") != F.col("lead_root"))
         met = entries.join(leaders.hint("merge"), "token").filter(close)
         own = F.struct(F.col("sid").alias("id"), F.col("n").alias("n"))
         lead = F.struct(F.col("lead").alias("id"), F.col("lead_n").alias("n"))
@@ -142,19 +148,20 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         return overlaps(pairs, sets).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
     def lead(df: DataFrame) -> DataFrame:
-        return df.select("token", F.col("sid").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root"))
+        return df.select("token", F.col("sid").alias("lead"), F.col("n").alias("lead_n"), F.col("place").alias("lead_place"), F.col("root").alias("lead_root"))
 
-    # the first round compares one class with all others of its shingle: near copies mostly are of one another
+    # the first round compares one class with all others of its shingle: that with the fewest rarer ones, as a text
+    # that others were made from has
     entries = entries.withColumn("root", F.col("sid"))
-    first = entries.groupBy("token").agg(F.min(F.struct("n", "sid", "root")).alias("r")).select("token", "r.*")
+    first = entries.groupBy("token").agg(F.min(F.struct("place", "n", "sid", "root")).alias("r")).select("token", "r.*")
     leaders, links = saved(lead(first), "leaders"), None
     while True:
-        new = compared(leaders, entries)
-        links = saved(new if links is None else links.union(new), "links")
-        roots = saved(components(links), "roots")
-        links = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        new = saved(compared(leaders, entries), "links")
+        if links is None or not new.isEmpty():
+            roots = saved(components(new if links is None else links.union(new)), "roots")
+            links = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         # what is left: no leaders, and only shingles whose classes aren't connected yet
-        left = entries.select("token", "sid", "n").join(leaders.select("token", F.col("lead").alias("sid")).hint("merge"), ["token", "sid"], "left_anti")
+        left = entries.select("token", "sid", "n", "place").join(leaders.select("token", F.col("lead").alias("sid")).hint("merge"), ["token", "sid"], "left_anti")
         left = left.join(roots.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         left = saved(left, "prefixes")
         parts = left.groupBy("token", "root").agg(F.count("*").alias("m"))
@@ -164,7 +171,7 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             return links
         # with all but a shingle's largest part compared, all of its pairs that matter are
         strays = entries.filter("root <> top")
-        many = strays.filter(F.col("strays") > AT_ONCE).groupBy("token", F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct("n", "sid", "root")).alias("r")).select("token", "r.*")
+        many = strays.filter(F.col("strays") > AT_ONCE).groupBy("token", F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct("place", "n", "sid", "root")).alias("r")).select("token", "r.*")
         leaders = saved(lead(strays.filter(F.col("strays") <= AT_ONCE)).union(lead(many)), "leaders")
         entries = entries.drop("top", "strays")
 
