@@ -10,6 +10,12 @@ Null texts stay null and have no lines; an empty text is one empty line.  A null
 with one doc_id are one document: equal chunks at equal places of it both stay.  All columns of the input stay, but for
 n_lines, n_removed and clean_text, which replace any of that name.
 
+Chunks miss passages: one-line chunks never go, and lines beside a passage's outermost cuts don't match.  `with_passage_dedup`
+misses none: a line goes if it lies in a stretch from one line with words to the MIN_LINES - 1st after it whose bytes
+occur earlier.  So every repeated run of MIN_LINES lines with words or more goes whole, wherever it stands, and of every
+line the first occurrence stays.  Stretches are told apart by 128 bits of their SHA-256.  There, rows with one doc_id and
+different texts each lose their own lines.
+
 Shuffled are hashes of chunks, the text of repeated chunks, and the documents by key, to meet what they lose; minima are
 formed before the shuffle, and the join on a hot hash can be split, as it has one row for each hash on one side.
 """
@@ -90,6 +96,57 @@ def with_line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     return out.drop("__gone", "__made")
 
 
+def stretches_of(text: Column, min_lines: int = MIN_LINES) -> Column:
+    """A text's stretches of min_lines lines with words, and the blank lines among them: array of (place, end, digest)."""
+
+    def found(lines: Column) -> Column:
+        places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+
+        def stretches(at: Column) -> Column:
+            def stretch(i: Column, k: Column) -> Column:
+                end = F.get(at, k + min_lines - 1)
+                own = F.array_join(F.slice(lines, i + 1, end - i + 1), "\n")
+                return F.struct(i.alias("place"), end.alias("end"), F.substring(F.unhex(F.sha2(own, 256)), 1, 16).alias("digest"))
+
+            return F.transform(F.slice(at, 1, F.greatest(F.size(at) - min_lines + 1, F.lit(0))), stretch)
+
+        return let(places, stretches)
+
+    return let(F.split(text, "\n", -1), found)
+
+
+def repeated_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """(key, hash, place, end): the stretches of the row with that key and text hash that occur earlier."""
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.explode(stretches_of(F.col(text), min_lines)).alias("s")).select("key", "hash", "s.*")
+    at = F.struct("key", "place")
+    index = rows.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").drop("last")
+    return rows.join(index.hint("merge"), "digest").filter(at > F.col("first")).select("key", "hash", "place", "end")
+
+
+def with_passage_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """docs with n_lines, n_removed (lines), clean_text: all repeated passages of min_lines lines with words or more go."""
+    gone = repeated_stretches(docs, key, text, min_lines).groupBy(F.col("key").alias("__key"), F.col("hash").alias("__hash")).agg(F.collect_set(F.struct("place", "end")).alias("__gone"))
+    docs = docs.drop(*[c for c in ("n_lines", "n_removed", "clean_text") if c != text])
+    met = docs.join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__hash")), "left").drop("__key", "__hash")
+    covered = F.flatten(F.transform("__gone", lambda x: F.sequence(x["place"], x["end"])))
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+    made = let(F.split(F.col(text), "\n", -1), lambda lines: let(left(lines), lambda at: F.struct((F.size(lines) - F.size(at)).alias("n"), F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n").alias("text"))))
+    out = met.withColumn("__made", F.when(F.col("__gone").isNotNull(), made)).withColumns(
+        {
+            "n_lines": F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0)).cast("long"),
+            "n_removed": F.coalesce(F.col("__made.n"), F.lit(0)).cast("long"),
+            "clean_text": F.coalesce(F.col("__made.text"), F.col(text)),
+        }
+    )
+    return out.drop("__gone", "__made")
+
+
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_lines, n_removed, and the digest of what is left without any repeated passage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return with_passage_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, and the digest of the text that is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -42,6 +42,15 @@ def test_stages(spark):
     assert all(r["n_tokens"] == len(library.encode_ordinary(texts[r["doc_id"]])) and r["round_trip"] for r in docs.collect())
 
 
+def test_exact_copies_go_whole(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text LIKE '%\n%'").orderBy("doc_id").limit(30).collect()]
+    rows = [(1000 * k + i, t, "en", "s", len(t)) for k in range(3) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    left = P.near_duplicates(spark, saved(P.line_dedup(spark, docs, SF), "copies"), SF).collect()
+    assert left and all(r["doc_id"] < 1000 for r in left)  # of each planted copy nothing is left
+    assert {r["doc_id"] for r in left} == {r["doc_id"] for r in P.near_duplicates(spark, saved(P.line_dedup(spark, docs.filter("doc_id < 1000"), SF), "once"), SF).collect()}
+
+
 def test_odd_rows(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     text = " ".join(f"w{i}" for i in range(60)) + "."
