@@ -22,7 +22,7 @@ from ledgerloom.llm.op3_ngram_join import with_near_duplicates
 from ledgerloom.llm.op4_token_ids import pack, read_token_files, unpack, word_encoder, write_token_files
 from ledgerloom.llm.op5_quality_rules import with_quality
 from ledgerloom.llm.op6_pii import with_surrogates
-from ledgerloom.llm.op7_line_dedup import with_line_dedup
+from ledgerloom.llm.op7_line_dedup import with_line_dedup, with_passage_dedup
 from ledgerloom.llm.op8_byte_bpe import codec, decode_ids, encode_texts, ids_as_array
 from ledgerloom.llm.op9_license_scan import license_words, with_licenses
 
@@ -273,6 +273,43 @@ def test_op7(spark, odd, empty):
     assert with_line_dedup(odd).count() == len(corpus()) and with_line_dedup(empty).count() == 0
 
 
+def brute_passages(rows, least=2):
+    """What is left of each row's lines, by the definition, and how many went."""
+    stretches, first = [], {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        at = [p for p, x in enumerate(lines) if WORD.search(x)]
+        stretches.append([(a, b, "\n".join(lines[a : b + 1])) for a, b in zip(at, at[least - 1 :])])
+        for a, _, s in stretches[-1]:
+            first[s] = min(first.get(s, (np.inf, 0)), (-np.inf if i is None else i, a))
+    out = []
+    for (i, t), own in zip(rows, stretches):
+        gone = {p for a, b, s in own if first[s] < (-np.inf if i is None else i, a) for p in range(a, b + 1)}
+        out.append((i, len(gone), None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_op7_passages(spark, odd, empty):
+    own, rows = [WORDS(9) for _ in range(60)], []
+    for k, n in enumerate([2, 3, 4, 5, 7, 10] * 4):  # passages of each length between foreign lines
+        at = RNG.randrange(60 - n)
+        gap = "\n\n" if k % 4 == 3 else "\n"
+        rows += [(k, gap.join([WORDS(8), *own[at : at + n], WORDS(8)]))]
+    rows += [(90, "\n".join(own)), (91, "\n".join(own)), (92, "\n" + "\n".join(own[:2]) + "\n"), (None, "\n".join(own[5:9])), (None, "\n".join(own[20:22] * 2)), (93, "a\na\na"), (93, "b\nc"), (94, "b\nc\n\nd"), (95, own[3]), (96, "")]
+    RNG.shuffle(rows)
+    found = with_passage_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r["doc_id"], r["n_removed"], r["clean_text"]) for r in found], key=repr) == brute_passages(rows)
+    assert {r["doc_id"]: r["clean_text"] for r in found}[91] == "" and all(r["n_lines"] == len(r["text"].split("\n")) for r in found)
+    assert sorted([(r["doc_id"], r["n_removed"], r["clean_text"]) for r in with_passage_dedup(odd).collect()], key=repr) == brute_passages(corpus())
+    assert with_passage_dedup(empty).count() == 0
+
+
+def test_op7_passages_query(spark):
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op7_passage_dedup"](spark, SF).collect()}
+    for i, gone, kept in brute_passages([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]):
+        assert (rows[i]["n_removed"], rows[i]["kept_sha256"]) == (gone, brute_digest(kept))
+
+
 def test_op8_against_the_library(spark, odd, empty):
     import base64
 
