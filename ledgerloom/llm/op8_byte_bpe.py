@@ -17,6 +17,7 @@ Decoding concatenates the tokens' bytes up the tree.  Nulls and empty texts have
 from __future__ import annotations
 
 import base64
+from collections import deque
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -155,7 +156,9 @@ class TreeCodec:
         """A text's ids as little-endian unsigned 32-bit integers."""
         if len(text) > LEAF:
             half = len(text) // 2
-            if cut := self.cut.search(text, half) or self.cut.search(text, 1):
+            # the cut next to the middle on one side: what lies between holds none, so the depth is about the length's logarithm
+            cut = self.cut.search(text, half) or next(iter(deque(self.cut.finditer(text, 1, half), maxlen=1)), None)
+            if cut:
                 return self.encode(text[: cut.start()]) + self.encode(text[cut.start() :])
         known, pack = self.packed.get, self.pack
         return b"".join([known(piece) or pack(piece) for piece in self.pattern.findall(text)])

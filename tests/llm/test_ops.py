@@ -320,6 +320,7 @@ def test_op8_against_the_library(spark, odd, empty):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     tree = codec(path, public_tokenizers.PATTERN)
     texts = [t or "" for _, t in corpus()] + ["x" * 3000, "ab" * 5000, "\x1c \x85   \n\n ", "日本語 'tis we'll 12345 !!! \U0001f600" * 30, "a" * 70000 + " b" * 40000]
+    texts += ["word is " * 1500 + "A" * 100000, "word is " * 1500 + "日本" * 40000, "word is " * 1500 + " " * 100000]  # words, then a long run without a cut
     for t in texts:
         ids = np.frombuffer(tree.encode(t), "<u4")
         assert ids.tolist() == library.encode_ordinary(t) and tree.decode(ids) == t.encode()
