@@ -34,7 +34,7 @@ PARAGRAPH = "struct<style: string, has_drawing: boolean, text: string, runs: arr
 def format_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as paragraphs whose words are runs: the kind of change to the next turn (Q4, Q5)."""
     runs = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("text"), F.lit(None).cast("string").alias("style"), w.rlike("^[A-Z]").alias("bold"), F.endswith(w, F.lit(",")).alias("italic")))
-    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct(F.col("role").alias("style"), F.lit(False).alias("has_drawing"), F.left("text", F.lit(3)).alias("text"), runs.alias("runs")).alias("p"))
+    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct(F.col("role").alias("style"), F.lit(False).alias("has_drawing"), F.col("text"), runs.alias("runs")).alias("p"))
     pairs = p.join(p.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("p").alias("q")), ["conv_id", "turn"])
     return pairs.select("conv_id", "turn", C.format_kind(F.col("p"), F.col("q")).alias("kind"))
 
@@ -46,16 +46,23 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(title, r"[ \x09-\x0D]+", " ")).alias("title"))
 
 
-def _as_markup() -> Column:  # the tables hold no markup of this kind: it is put around their text
-    head = F.regexp_replace(F.left("text", F.lit(200)), r"[\\{}$%~#&_^\n]", " ")
+def _as_markup(text: Column) -> Column:  # the tables hold no markup of this kind: it is put around their text
+    head = F.regexp_replace(text, r"[\\{}$%~#&_^\n]", " ")
     return F.concat(F.lit("\\newcommand{\\me}{engine} % note\n\\section{"), F.col("lang"), F.lit("} \\textbf{\\emph{"), head, F.lit("}} by \\me, see \\ref{fig:1} and $\\alpha$"))
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(lang || ' ' || h || ' by engine, see fig:1 and α', '[\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS plain
 FROM (SELECT doc_id, lang, regexp_replace(left(text, 200), '[\\{}$%~#&_^\n]', ' ', 'g') AS h FROM documents)""")
 def latex_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marked-up text to plain text, macros expanded first (ST12, ST22)."""
-    return table(spark, sf_dir, "documents").select("doc_id", M.plain_text(M.expanded(_as_markup())).alias("plain"))
+    """Marked-up heads of texts to plain text, macros expanded first; whole texts are those of latex_plain_whole."""
+    return table(spark, sf_dir, "documents").select("doc_id", M.plain_text(M.expanded(_as_markup(F.left("text", F.lit(200))))).alias("plain"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(lang || ' ' || h || ' by engine, see fig:1 and α', '[\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS plain
+FROM (SELECT doc_id, lang, regexp_replace(text, '[\\{}$%~#&_^\n]', ' ', 'g') AS h FROM documents)""")
+def latex_plain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole marked-up texts to plain text, macros expanded first (ST12, ST22)."""
+    return table(spark, sf_dir, "documents").select("doc_id", M.plain_text(M.expanded(_as_markup(F.col("text")))).alias("plain"))
 
 
 @query("""SELECT item_id, 'k' || item_id AS key, 'T ' || length(text) AS title, CASE WHEN item_id >= 10 THEN 'J' || item_id ELSE 'P' END AS venue, 2 AS n_authors FROM benchmark""")

@@ -24,11 +24,19 @@ _ODD_TEXT = f"'{_ODD[0]}' || text || '{_ODD[1]}'"
 
 @query(f"SELECT doc_id, length({_norm('(' + _ODD_TEXT + ')')})::BIGINT AS n_normal, CASE WHEN length({_norm('text')}) = 0 THEN 0.0 ELSE round(length({_norm('left(text, 100)')})::DOUBLE / length({_norm('text')}), 6) END AS ratio, md5({_norm('(' + _ODD_TEXT + ')')}) AS digest FROM documents")
 def normalize_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalized lengths and the ratio of a head to its whole (ST1, ST5, Z1)."""
+    """Normalized lengths and the ratio of a head to its whole (ST1, Z1); two texts are compared by turn_ratio."""
     odd = F.concat(F.lit(_ODD[0]), F.col("text"), F.lit(_ODD[1]))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(T.normalize(odd)).cast("long").alias("n_normal"), F.round(T.char_ratio(F.left("text", F.lit(100)), F.col("text")), 6).alias("ratio"), F.md5(T.normalize(odd)).alias("digest"))
 
 
+@query(f"SELECT a.conv_id, a.turn, CASE WHEN length({_norm('b.text')}) = 0 THEN 0.0 ELSE round(length({_norm('a.text')})::DOUBLE / length({_norm('b.text')}), 6) END AS ratio FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def turn_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio of each turn's whole text to the next turn's (ST5, Z1)."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    pairs = turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after")), ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.round(T.char_ratio(F.col("text"), F.col("after")), 6).alias("ratio"))
+
+
 @query(f"SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[{_WHITE}]+', ' ', 'g')), '^(.{{{{60}}}}).+$', '\\1...') AS preview, length(regexp_replace(text, '[{_WHITE}()\\x{{FF08}}\\x{{FF09}}]', '', 'g'))::BIGINT AS n_canonical FROM documents".replace("{{60}}", "{60}"))
 def text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previews and canonical lengths (ST2, ST3, ST4)."""

@@ -34,6 +34,12 @@ def test_doc_align_against_plain_python(spark):
         assert [r[k] for k in ("equal", "modified", "delete", "insert")] == [ops.count(k) for k in ("equal", "modified", "delete", "insert")]
 
 
+def test_format_diff_compares_whole_texts(spark, tmp_path):
+    turns = [(1, 0, "user", "one two three"), (1, 1, "assistant", "a"), (1, 2, "user", "one two four"), (1, 4, "user", "one two four")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r["turn"]: r["kind"] for r in QUERIES["format_diff"](spark, str(tmp_path)).collect()} == {0: "None", 2: "SplitOnly"}
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
