@@ -6,7 +6,7 @@ its surrogate, so one entity gets one surrogate in all documents, however it is
 entity was: separators stay, upper case stays upper case, digits stay digits.  Surrogates can't be real: addresses end in
 .example, IP addresses lie in 240.0.0.0/4, card numbers begin with 9 and pass the Luhn test if the entity did.  Names get
 names of syllables of their script; given names end as their title's gender demands, Cyrillic surnames too.  A surname
-known in a document is replaced there without a title as well.
+known in a document is replaced there without a title as well, in whatever case it is written.
 
 Distinctness is checked over the whole corpus: where two entities of a type meet in a surrogate, or a surrogate is an
 entity itself, all but the smallest entity draw again with the next number, until no two meet.
@@ -100,7 +100,9 @@ def surrogate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
     def drawn(stream: Column) -> Column:
         value = lambda i: F.conv(F.substr(stream, F.pmod(2 * i, F.lit(126)) + 1, F.lit(2)), 16, 10).cast("int")
         letters = lambda x, digits: F.array_join(F.transform(F.split(x, ""), lambda c, i: F.when(c.rlike("[0-9]"), (value(i + digits) % 10).cast("string")).when(c.rlike("[a-z]"), F.chr(97 + value(i + digits) % 26)).otherwise(c)), "")
-        email = F.concat(letters(F.substring_index(form, "@", 1), 0), F.lit("@"), letters(F.regexp_extract(form, r"@([^.]+)", 1), 31), F.lit(".example"))
+        # later draws are longer, as marks alone can't be drawn anew
+        more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.chr(97 + value(i + 47) % 26)), "")).otherwise(F.lit(""))
+        email = F.concat(letters(F.substring_index(form, "@", 1), 0), more, F.lit("@"), letters(F.regexp_extract(form, r"@([^.]+)", 1), 31), F.lit(".example"))
         ip = F.concat_ws(".", (240 + value(F.lit(0)) % 15).cast("string"), *[(value(F.lit(i))).cast("string") for i in (1, 2, 3)])
         numbers = lambda keep: F.concat(F.substring(form, 1, keep), letters(F.substr(form, F.lit(keep + 1)), 0))
         secret = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.substr(stream, F.pmod(i, F.lit(128)) + 1, F.lit(1))), "")
@@ -162,12 +164,17 @@ def with_surrogates(docs: DataFrame, key: str, text: str = "text", doc_key: str
 
         return let(parts_of(e), by_parts)
 
-    surnames = F.filter(F.map_entries(k), lambda x: x["key"].startswith("surname-"))
+    # the longest first, so that a name goes before one it begins with
+    surnames = F.transform(F.filter(F.map_entries(k), lambda x: x["key"].startswith("surname-")), lambda x: F.struct(F.split_part(x["key"], F.lit(":"), F.lit(2)).alias("form"), x["value"].alias("value")))
+    surnames = F.reverse(F.array_sort(F.transform(surnames, lambda x: F.struct(F.length(x["form"]).alias("n"), x["form"].alias("form"), x["value"].alias("value")))))
 
     def bare(segment: Column, names: Column) -> Column:
         """A segment between entities with the document's surnames replaced."""
-        title = lambda x: F.initcap(F.split_part(x["key"], F.lit(":"), F.lit(2)))
-        return F.aggregate(names, segment, lambda s, x: F.regexp_replace(s, F.concat(F.lit(r"(?<!\p{L})"), title(x), F.lit(r"(?!\p{L})")), F.initcap(x["value"])))
+        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform(names, lambda x: x["form"]), "|"), F.lit(r")(?!\p{L})"))
+        known = lambda form: F.get(F.filter(names, lambda x: x["form"] == form), F.lit(0))["value"]
+        other = lambda m: written_like(m, F.coalesce(known(F.lower(m)), known(F.lower(F.upper(m))), m))
+        both = F.zip_with(F.split(segment, pattern, -1), F.transform(F.regexp_extract_all(segment, pattern, F.lit(0)), other), lambda s, m: F.concat(s, F.coalesce(m, F.lit(""))))
+        return F.when(F.size(names) > 0, F.array_join(both, "")).otherwise(segment)
 
     def rebuilt(es: Column) -> Column:
         between = lambda names: F.transform(F.split(safe, PATTERN, -1), lambda s: bare(s, names))

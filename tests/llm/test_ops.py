@@ -273,6 +273,28 @@ def test_op7(spark, odd, empty):
     assert with_line_dedup(odd).count() == len(corpus()) and with_line_dedup(empty).count() == 0
 
 
+def test_op6_bare_surnames_in_any_case(spark):
+    text = "Mr McDonald met Ms O'Brien and Dr. Smith. McDonald, MCDONALD and O'Brien spoke; SMITH, Smith's and smithy left with mcdonald. Госпожа Иванова; ИВАНОВА. Mr Smith-Jones, Smith-Jones."
+    out = with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()["clean_text"]
+    assert not re.search(r"mcdonald|o'brien|smith(?!y)|иванова", out, re.I) and "smithy" in out
+    first, second, third, again, upper, other, cried, plain = re.match(r"Mr (\S+) met Ms (\S+) and Dr\. (\S+)\. (\S+), (\S+) and (\S+) spoke; (\S+), (\S+)'s", out).groups()
+    assert (again, upper, other, cried, plain) == (first, first.upper(), second, third.upper(), third)
+    name, same = re.search(r"Mr (\S+), (\S+)\.$", out).groups()
+    assert name == same
+
+
+def test_op6_addresses_of_marks_end(spark):
+    from ledgerloom.llm import op6_pii as op6
+
+    forms = ["--@--.example", "_@-.com", "_@-.net", "_@-.org"]
+    known, more = spark.createDataFrame([("email", f) for f in forms], "kind string, form string"), []
+    for attempt in range(3):
+        more.append({r["s"] for r in known.select(op6.surrogate("k", F.col("kind"), F.col("form"), F.lit(attempt)).alias("s")).collect()})
+    assert not more[0] & more[1] and not more[1] & more[2] and "--@--.example" in more[0]  # so that the loop comes to an end
+    rows = op6.distinct_surrogates(known, "k").collect()
+    assert len({r["surrogate"] for r in rows}) == len(rows) == 4 and not {r["surrogate"] for r in rows} & set(forms)
+
+
 def brute_passages(rows, least=2):
     """What is left of each row's lines, by the definition, and how many went."""
     stretches, first = [], {}
