@@ -13,6 +13,9 @@ Documents with equal sets are one class; classes link when their sets' Jaccard s
 4. A comparison is counted in fragments: hashes are cut into FRAGMENTS ranges, each counts the overlap of its part of a
    pair, and the parts are summed for each pair.
 
+The search of step 3 finds components alone.  `with_class_links` compares every candidate pair and returns all links with
+their overlaps and the number of links of each class; its pairs grow with the square of a group of different near copies.
+
 Ids of classes are 128-bit hashes of their sets, shingles are 64-bit hashes.  Null and empty texts, and texts without
 words, have an empty set: they link with nothing.  Rows with one doc_id each keep their own row.  A null doc_id never is
 a component's smallest, unless all are.  Other columns of the input stay; those made here replace any of the same name.
@@ -176,15 +179,38 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         entries = entries.drop("top", "strays")
 
 
+def all_class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, na, b, nb, overlap): every link between two classes (sid, n, prefix, hashes), a the smaller by (n, sid)."""
+    entries = saved(sets.select("sid", "n", F.explode("prefix").alias("p")).select("sid", "n", "p.token", "p.place"), "prefixes")
+    one = lambda at: entries.select("token", F.struct("n", "sid").alias(at), (F.col("n") - F.col("place")).alias(f"rest_{at}"))
+    enough = (100 + percent) * F.least("rest_x", "rest_y") >= percent * (F.col("x.n") + F.col("y.n"))  # as in class_links
+    met = one("x").join(one("y").hint("merge"), "token").filter((F.col("x") < F.col("y")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & enough).select("x", "y").distinct()
+    pairs = saved(met.select(F.col("x.sid").alias("a"), F.col("x.n").alias("na"), F.col("y.sid").alias("b"), F.col("y.n").alias("nb")), "pairs")
+    return overlaps(pairs, sets).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
+
+
+def class_sets(sets: DataFrame) -> DataFrame:
+    """(sid, n, prefix, hashes): one set for each class with a shared prefix, as copies of a prefix are equal."""
+    shared = sets.filter("prefix IS NOT NULL").groupBy("sid").agg(F.min(F.struct("key")).alias("k"))
+    own = sets.filter("prefix IS NOT NULL").join(shared.hint("merge"), "sid").filter(F.col("key").eqNullSafe(F.col("k.key"))).select("sid", "n", "prefix", "hashes").dropDuplicates(["sid"])
+    return saved(own, "classes")
+
+
+def with_class_links(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(class_a, class_b, n_a, n_b, overlap, links_a, links_b): every link between two classes, and how many links each end has in all."""
+    links = saved(all_class_links(class_sets(saved(document_sets(docs, key, text, size, percent), "sets")), percent), "links")
+    counts = saved(links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("links")), "counts")
+    for end in ("a", "b"):
+        links = links.join(counts.select(F.col("sid").alias(end), F.col("links").alias(f"links_{end}")).hint("merge"), end)
+    named = [F.lower(F.hex(end)).alias(f"class_{end}") for end in ("a", "b")]
+    return links.select(*named, F.col("na").alias("n_a"), F.col("nb").alias("n_b"), "overlap", "links_a", "links_b")
+
+
 def with_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, class_id, component_id): a row for each of docs' rows; class_id is null for empty sets."""
     sets = saved(document_sets(docs, key, text, size, percent), "sets")
     classes = sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("first"))
-    # one set for each class: copies of a prefix are equal
-    shared = sets.filter("prefix IS NOT NULL").groupBy("sid").agg(F.min(F.struct("key")).alias("k"))
-    own = sets.filter("prefix IS NOT NULL").join(shared.hint("merge"), "sid").filter(F.col("key").eqNullSafe(F.col("k.key"))).select("sid", "n", "prefix", "hashes").dropDuplicates(["sid"])
-    own = saved(own, "classes")
-    roots = components(class_links(own, percent)).select(F.col("node").alias("sid"), "root")
+    roots = components(class_links(class_sets(sets), percent)).select(F.col("node").alias("sid"), "root")
     classes = saved(classes.join(roots.hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(smallest.hint("merge"), "root").select("sid", "component_id")
@@ -195,3 +221,8 @@ def with_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, class_id."""
     return with_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op3_class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links between classes of documents with equal sets: class_a, class_b, n_a, n_b, overlap, links_a, links_b."""
+    return with_class_links(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -18,7 +18,7 @@ from ledgerloom.llm import queries
 from ledgerloom.llm._components import components
 from ledgerloom.llm._shared import PLAIN_WORDS, work_path
 from ledgerloom.llm.op1_substring_dedup import factor_documents
-from ledgerloom.llm.op3_ngram_join import with_near_duplicates
+from ledgerloom.llm.op3_ngram_join import with_class_links, with_near_duplicates
 from ledgerloom.llm.op4_token_ids import pack, read_token_files, unpack, word_encoder, write_token_files
 from ledgerloom.llm.op5_quality_rules import with_quality
 from ledgerloom.llm.op6_pii import with_surrogates
@@ -163,6 +163,31 @@ def test_op3_chains_and_a_hot_group(spark, monkeypatch):
     assert sorted([tuple(r)[:2] + (r["component_id"],) for r in found.collect()], key=repr) == brute_components(rows)
 
 
+def brute_links(rows):
+    """(n, n, overlap, links, links) of each link between different sets, the smaller set first."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = set()
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(fold))
+        sets.add(frozenset({tuple(w)} if 0 < len(w) < 5 else {tuple(w[p : p + 5]) for p in range(len(w) - 4)}))
+    sets = sorted(sets - {frozenset()}, key=len)
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    count = lambda x: sum(x in link for link in links)
+    return [(len(sets[a]), len(sets[b]), len(sets[a] & sets[b]), count(a), count(b)) for a, b in links]
+
+
+def test_op3_all_links(spark, odd, empty):
+    words, other = WORDS(400).split(), WORDS(50)
+    rows = [(i, " ".join(words[i * 6 : i * 6 + 90])) for i in range(40)] + [(100 + i, other + " " + WORDS(1 + i % 9)) for i in range(60)] + [(300, other), (301, other)]
+    for df, own in ((spark.createDataFrame(rows, "doc_id long, text string"), rows), (odd, corpus())):
+        found, true = with_class_links(df).collect(), brute_links(own)
+        ends = lambda n, m, o, x, y: (o, *sorted([(n, x), (m, y)]))  # noqa: E731  the order of sets of one size is that of their ids
+        assert sorted(ends(*tuple(r)[2:]) for r in found) == sorted(ends(*x) for x in true) and true
+        assert len({frozenset((r["class_a"], r["class_b"])) for r in found}) == len(found)
+    assert {c for r in found for c in (r["class_a"], r["class_b"])} <= {r["class_id"] for r in with_near_duplicates(odd).collect()}
+    assert with_class_links(empty).count() == 0
+
+
 def test_components_on_a_long_path(spark):
     order = list(range(200))
     RNG.shuffle(order)
