@@ -1,9 +1,11 @@
 """Blocks of documents that look hashes up in an index spread over all blocks.
 
-Documents are dealt into blocks by their key.  A block sends what it indexes, sorted by hash and cut into ranges of
-hashes, to the buckets of those ranges; a bucket answers each block.  What a block or bucket holds is bounded by the
-number of blocks (one for each shuffle partition), whatever single hashes, documents or sources weigh: a block sends a
-hash once.  All passes over the documents stand in one plan and share one exchange of their text.
+Documents are dealt into blocks by their key and text, so that neither a hot key nor many copies land in one block; rows
+with one key and one text do share a block.  A block sends what it indexes, sorted by hash and cut into ranges of hashes,
+to the buckets of those ranges; a bucket answers each block.  There are as many blocks and buckets as the measured size of
+the texts asks for (BLOCK_BYTES, BUCKET_BYTES), and at least one for each shuffle partition, so what a task holds depends
+neither on the input nor on that setting: a block, or the longest document.  A block sends a hash once, whatever single
+hashes, documents or sources weigh.  All passes over the documents stand in one plan and share one exchange of their text.
 """
 
 from __future__ import annotations
@@ -11,30 +13,36 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import block_count
+from ledgerloom.llm._shared import partition_count
+
+#: Bytes of text a block holds, and bytes of text whose hashes a bucket holds, on average.
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
 
 #: The id that stands for null: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 
 
-def dealt(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(block, key, text)."""
-    k: Column = F.col(key).cast("long")
-    return docs.select(F.pmod(F.xxhash64(k), F.lit(block_count(docs.sparkSession))).cast("int").alias("block"), k.alias("key"), F.col(text).cast("string").alias("text"))
+def dealt(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """((block, key, text_hash, text), the number of buckets)."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    least = partition_count(docs.sparkSession)
+    blocks, buckets = max(least, -(-size // BLOCK_BYTES)), max(least, -(-size // BUCKET_BYTES))
+    k, t = F.col(key).cast("long"), F.col(text).cast("string")
+    return docs.select(F.pmod(F.xxhash64(k, t), F.lit(blocks)).cast("int").alias("block"), k.alias("key"), F.xxhash64(t).alias("text_hash"), t.alias("text")), buckets
 
 
-def block_rows(table: pa.Table) -> tuple[np.ndarray, list[bytes | None], np.ndarray]:
-    """Keys, texts and whether the key is null, in order of the keys (nulls last)."""
+def block_rows(table: pa.Table, more: list[str] = []) -> tuple:
+    """Keys, texts and whether the key is null, in order of the keys (nulls last), and more columns.  `table` has no rows where a block only has answers."""
     keys = table.column("key").combine_chunks()
     null = np.asarray(keys.is_null())
     keys = np.asarray(keys.fill_null(NO_ID)).astype(np.int64)
     order = np.lexsort((null, keys))
     text = table.column("text").combine_chunks()
     text = text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary())
-    return keys[order], text.take(pa.array(order)).to_pylist(), null[order]
+    return keys[order], text.take(pa.array(order)).to_pylist(), null[order], *[table.column(c).combine_chunks().take(pa.array(order)) for c in more]
 
 
 def squeeze(values: np.ndarray) -> bytes:

@@ -14,18 +14,16 @@ from pyspark.sql import types as T
 
 #: Rows handled at a time inside a task, so that memory does not follow the Arrow batch size.
 SLICE_ROWS = 512
-#: Entries a worker keeps in a cache before it starts the cache afresh.
-CACHE_WORDS = 400_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); set only where the session has none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share (spark.checkpoint.dir); where the session has none, one of this machine if that is all there is."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        existing = spark.sparkContext.getCheckpointDir()
-        folder = existing or f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-        if not existing:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -45,11 +43,20 @@ def saved(df: DataFrame, what: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
-def block_count(spark: SparkSession) -> int:
-    """How many blocks of documents an operator cuts its input into: one for each shuffle partition."""
+def partition_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str], how: str = "inner", ways: int = 4) -> DataFrame:
+    """many joined with few, rows of `many` with one key dealt by their columns `by` into so many parts, to each of which few's rows go.
+
+    For keys that a large share of `many` may have and of which `few` has few rows.
+    """
+    dealt = many.withColumn("__part", F.pmod(F.xxhash64(*by), F.lit(ways)).cast("int"))
+    copied = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return dealt.join(copied.hint("merge"), [*on, "__part"], how).drop("__part")
+
+
 def with_columns_from(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]], reads: list[str]) -> DataFrame:
     """df with the columns `fields` appended, each batch's values made by `make` from the columns `reads`.
 
@@ -88,9 +95,10 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of a text's words, all of them at once: sums of the bytes' values times powers of a factor, mixed.
+    """64-bit hashes of a text's words, all of them at once: sums of the bytes times random keys of their places, mixed.
 
-    Words are runs of bytes that aren't separators.
+    Each place of a word has a key of its own, so two given words share a hash with a chance of at most 2**-56, whatever
+    they are made of.  `pair` gives two independent hashes.  Words are runs of bytes that aren't separators.
     """
 
     def __init__(self, separators: bytes, lower: bool):
@@ -98,27 +106,32 @@ class WordHasher:
         folded = np.arange(256)
         if lower:
             folded[65:91] += 32
-        with np.errstate(over="ignore"):
-            values = mixed(folded.astype(np.uint64), 77) | np.uint64(1)
-        self.values = np.where(self.gap, np.uint64(0), values)
-        self.powers = np.ones(1, np.uint64)
+        self.values = np.where(self.gap, 0, folded + 1).astype(np.uint64)
+        self.keys = [np.empty(0, np.uint64)] * 2
 
-    def of(self, text: bytes | None) -> np.ndarray:
+    def _sums(self, text: bytes | None, hashes: int) -> list[np.ndarray]:
         b = np.frombuffer(text or b"", np.uint8)
         gap = self.gap[b]
         begins = ~gap
         begins[1:] &= gap[:-1]
         starts = np.flatnonzero(begins)
         if not len(starts):
-            return np.empty(0, np.uint64)
+            return [np.empty(0, np.uint64)] * hashes
         place = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
-        if (most := int(place.max()) + 1) > len(self.powers):
-            factors = np.full(2 * most, 0x9E3779B97F4A7C15 | 1, np.uint64)
-            factors[0] = 1
-            self.powers = np.cumprod(factors, dtype=np.uint64)
+        values, out = self.values[b[starts[0] :]], []
         with np.errstate(over="ignore"):
-            weighted = self.values[b[starts[0] :]] * self.powers[place]
-            return mixed(np.add.reduceat(weighted, starts - starts[0]), 78)
+            if (most := int(place.max()) + 1) > len(self.keys[0]):
+                self.keys = [mixed(np.arange(2 * most, dtype=np.uint64), 101 + i) for i in range(2)]
+            for i in range(hashes):
+                out.append(mixed(np.add.reduceat(values * self.keys[i][place], starts - starts[0]), 78 + i))
+        return out
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        return self._sums(text, 1)[0]
+
+    def pair(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        first, second = self._sums(text, 2)
+        return first, second
 
 
 WHITE_SPACE = b" \t\n\x0b\x0c\r"

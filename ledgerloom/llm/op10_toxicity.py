@@ -6,15 +6,21 @@ documents; logistic regression then learns weights of the scaled features.  Weig
 numbers, which is what the scoring tasks get: its size does not depend on the data.
 
 Training uses labelled rows whose crc32(doc_id as text) mod 4 is not 2, of these the MAX_TRAIN_ROWS with the smallest
-hash of their id at most.  Rows with one doc_id and different labels count as toxic.  Without any training row, or with
-one class only, the score is the smoothed share of toxic rows.  Null and empty texts have no features and score what
-the intercept says.  Ids and other columns are never features.
+hash of their id at most: the one bound on what is learnt from.  Used are all features that MIN_DOCUMENTS of them hold and
+whose scale is MIN_ERRORS standard errors from zero or more.  Loss and gradient are summed in tasks over the saved
+training rows, a job for each step of the optimiser (limited-memory BFGS); the driver holds a few vectors of weights.
+
+Rows with one doc_id and different labels count as toxic; of different texts with one doc_id the one with the smallest
+hash is learnt from, so repeated rows count once.  Without any training row, or with one class only, the score is the
+smoothed share of toxic rows.  Null and empty texts have no features and score what the intercept says; texts of any length
+are read whole.  A null doc_id is never learnt from and not held out.  Ids and other columns are never features.  Columns
+named score or predicted are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +31,10 @@ from pyspark.sql import types as T
 from ledgerloom.llm._shared import SLICE_ROWS, saved, utf8_rows, with_columns_from
 
 GRAMS, BITS = (4, 5, 6), 18
-#: Labelled rows the classifier is fitted on at most; features it keeps; least training documents with a feature.
-MAX_TRAIN_ROWS, MAX_FEATURES, MIN_DOCUMENTS = 40_000, 4_096, 5
+#: Labelled rows the classifier is fitted on at most; least training documents with a feature, least standard errors of its scale.
+MAX_TRAIN_ROWS, MIN_DOCUMENTS, MIN_ERRORS = 40_000, 5, 3
+#: Parts the training rows are summed in; steps of the optimiser at most, and pairs of steps and gradients it remembers.
+PARTS, STEPS, MEMORY = 12, 60, 10
 THRESHOLD = 0.3
 
 _WHITE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -48,14 +56,15 @@ def features_of(text: bytes | None) -> np.ndarray:
 
 
 def is_held_out(key: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """(toxic, text) of the rows to learn from; the labels are bounded by `rows`, so that they can be broadcast."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~is_held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(rows)
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("toxic", "text")
+    met = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
+    return met.groupBy("key").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"), F.max("toxic").alias("toxic")).select("toxic", "row.text")
 
 
 def feature_rows(train: DataFrame) -> DataFrame:
@@ -94,31 +103,61 @@ def class_counts(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_ratios(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Naive Bayes scale of each feature, and the features to keep, by how many standard errors their scale is from 0."""
+    """Naive Bayes scale of each feature, and the features to use."""
     share = (counts + 1) / (rows[:, None] + 2)
     ratio = np.log(share[1] / share[0])
     error = np.sqrt((1 - share[1]) / (counts[1] + 1) + (1 - share[0]) / (counts[0] + 1))
-    strength = np.where(counts.sum(axis=0) >= MIN_DOCUMENTS, np.abs(ratio) / error, 0)
-    keep = np.argsort(-strength, kind="stable")[:MAX_FEATURES]
-    return ratio, np.sort(keep[strength[keep] > 2])
-
-
-def fit(x_rows: np.ndarray, x_cols: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Logistic regression of sparse rows (coordinates of ones, scaled by column): gradients over all rows, steps scaled by their moments."""
-    n, k, value = len(y), len(scale), scale[x_cols]
-    w = np.zeros(k + 1)  # the intercept last
-    w[k] = np.log((y.sum() + 1) / (n - y.sum() + 1))
-    first, second = np.zeros(k + 1), np.zeros(k + 1)
-    for i in range(1, steps + 1):
-        gap = 1 / (1 + np.exp(-np.clip(np.bincount(x_rows, value * w[x_cols], minlength=n) + w[k], -40, 40))) - y
-        g = np.append(np.bincount(x_cols, value * gap[x_rows], minlength=k) + l2 * w[:k], gap.sum()) / n
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w -= rate * (1 - i / (steps + 1)) * first / (1 - 0.9**i) / (np.sqrt(second / (1 - 0.999**i)) + 1e-8)
-    return w[:k] * scale, float(w[k])
-
-
-def train_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """(weight of each hashed feature, intercept)."""
+    return ratio, np.flatnonzero((counts.sum(axis=0) >= MIN_DOCUMENTS) & (np.abs(ratio) > MIN_ERRORS * error))
+
+
+def loss_and_gradient(rows: Iterator[tuple[int, bytes]], weights: np.ndarray, scale: np.ndarray) -> tuple[float, np.ndarray]:
+    """Summed logistic loss of rows (label, packed feature places) and its gradient; the intercept is last."""
+    k, value = len(scale), np.append(weights[:-1] * scale, 0.0)
+    loss, gradient = 0.0, np.zeros(k + 1)
+    for y, packed in rows:
+        ids = np.frombuffer(packed, "<u4")
+        margin = float(value[ids].sum()) + weights[-1]
+        loss += np.logaddexp(0.0, margin) - y * margin
+        gap = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y
+        gradient[ids] += gap
+        gradient[k] += gap
+    gradient[:k] *= scale
+    return loss, gradient
+
+
+def minimized(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int = STEPS, memory: int = MEMORY) -> np.ndarray:
+    """Limited-memory BFGS with halved steps until the objective falls enough."""
+    x, (f, g), past = start, objective(start), []
+    for _ in range(steps):
+        if np.abs(g).max() < 1e-4:
+            break
+        q, taken = g.copy(), []
+        for s, y in reversed(past):
+            a = s @ q / (s @ y)
+            taken.append(a)
+            q -= a * y
+        q *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.linalg.norm(g)))
+        for (s, y), a in zip(past, reversed(taken)):
+            q += (a - y @ q / (s @ y)) * s
+        rate = 1.0
+        while True:
+            new = x - rate * q
+            f_new, g_new = objective(new)
+            if f_new <= f - 1e-4 * rate * (g @ q) or rate < 1e-6:
+                break
+            rate /= 2
+        if (new - x) @ (g_new - g) > 1e-12:
+            past = [*past[1 - memory :], (new - x, g_new - g)]
+        done = f - f_new < 1e-7 * max(1.0, abs(f))
+        x, f, g = new, f_new, g_new
+        if done:
+            break
+    return x
+
+
+def train_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = MAX_TRAIN_ROWS, l2: float = 1.0) -> tuple[np.ndarray, float]:
+    """(weight of each hashed feature, intercept): the least mean of loss and l2 / 2 times the squared weights over the rows."""
+    spark = docs.sparkSession
     features = saved(feature_rows(training_rows(docs, labels, key, text, label, rows)), "toxicity-features")
     n, counts = class_counts(features)
     weights = np.zeros(1 << BITS, np.float32)
@@ -127,19 +166,33 @@ def train_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     ratio, keep = log_ratios(n, counts)
     place = np.full(1 << BITS, -1, np.int32)
     place[keep] = np.arange(len(keep))
+    scale, total = ratio[keep], int(n.sum())
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [place[np.frombuffer(x, "<u4")] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[x >= 0].astype("<u2").tobytes() for x in own], pa.binary())], names=["toxic", "features"])
-
-    # at most MAX_TRAIN_ROWS rows of features that were kept
-    sample = features.mapInArrow(kept, "toxic int, features binary").toPandas()
-    cols = [np.frombuffer(x, "<u2").astype(np.int64) for x in sample["features"]]
-    lengths = np.array([len(c) for c in cols])
-    w, b = fit(np.repeat(np.arange(len(cols)), lengths), np.concatenate(cols), ratio[keep], (sample["toxic"].to_numpy() > 0).astype(float))
-    weights[keep] = w
-    return weights, b
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[x >= 0].astype("<u4").tobytes() for x in own], pa.binary())], names=["toxic", "features"])
+
+    sample = saved(features.mapInArrow(kept, "toxic int, features binary").repartition(PARTS), "toxicity-sample")
+
+    def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast(w)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = ((int(y > 0), x) for batch in batches for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            loss, gradient = loss_and_gradient(rows, shared.value, scale)
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.tobytes()], pa.binary())], names=["loss", "gradient"])
+
+        # a vector of weights from each of about PARTS tasks
+        sums = sample.mapInArrow(run, "loss double, gradient binary").collect()
+        shared.unpersist()
+        inner = np.append(w[:-1], 0.0)
+        gradient = np.sum([np.frombuffer(r["gradient"]) for r in sums], axis=0)
+        return (sum(r["loss"] for r in sums) + l2 / 2 * float(inner @ inner)) / total, (gradient + l2 * inner) / total
+
+    found = minimized(objective, np.append(np.zeros(len(keep)), np.log((n[1] + 1) / (n[0] + 1))))
+    weights[keep] = found[:-1] * scale
+    return weights, float(found[-1])
 
 
 def with_toxicity(docs: DataFrame, weights: np.ndarray, intercept: float, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

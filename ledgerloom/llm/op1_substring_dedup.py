@@ -1,37 +1,43 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 Every block of documents is a reference block, and the index over all of them holds the first place (smallest doc_id,
-then position) of each window of WINDOW words that more than one document may have.  A document is factored greedily
-against that index: a factor begins at a window whose first place is in a document with a smaller doc_id, and grows
-word by word as long as its source goes on at that place; at its boundary the next window, which straddles it, is looked
-up afresh.  Factors are therefore at least WINDOW words long, together they hold exactly the windows that start in an
-earlier document, and their words are the duplicate spans.
+then position) of each window of WINDOW words that more than one document may have.  A document is factored greedily,
+from left to right: a factor begins at the first window, not yet covered by one, whose first place is in a document with a
+smaller doc_id, and takes in word after word while the next window has its first place one word further in the same
+source.  At its boundary, the window that straddles it is looked up: it opens the next factor, which may overlap, or none
+does.  Each factor then goes to the block of its source, where its words are compared with those of the source (their
+bytes, by a 128-bit BLAKE2b digest); only factors that agree become duplicate spans.  Factors are at least WINDOW words
+long and together hold exactly the windows that start in an earlier document.
 
 Which windows may be shared is found first, from anchors: the smallest hash of ANCHOR consecutive words in a window.
-Equal windows have equal anchors, about every fifth word is one, and only windows whose anchor occurs in two documents
-are indexed.
+Equal windows have equal anchors, about every fifth word is one, and only windows whose anchor occurs twice are indexed.
 
 Words are maximal runs of characters other than \\x20 and \\x09-\\x0D.  Null and empty texts have no words and an empty
 kept text.  Rows with one doc_id are one document to each other; a null doc_id is larger than all others, and such rows
-do not count as each other's source.  An empty table gives an empty result.  The result has the columns named in SCHEMA
+do not count as each other's source.  Ties between places of a window go to the smallest.  A very long document is one row
+of a block, whatever the block's size.  An empty table gives an empty result.  The result has the columns named in SCHEMA
 and none of the input's others.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._blocks import block_rows, bucket_cuts, dealt, expand, expand_sorted, is_in, squeeze, squeeze_sorted
-from ledgerloom.llm._shared import PLAIN_WORDS, block_count, shingle_hashes
+from ledgerloom.llm._shared import PLAIN_WORDS, shingle_hashes
 
 WINDOW, ANCHOR = 13, 5
 #: Bits of an anchor's hash that are looked up; two anchors with equal bits only mean more windows to look up.
 ANCHOR_BITS = 40
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start: int, length: int, source: long, source_start: int>>"
 _FACTOR = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
+#: A factor on its way to its source's block and back: whose it is (block, key, digest of the text), where, and its words' digest.
+_FACTOR_ROW = "home int, key long, doc binary, start int, length int, block int, source long, source_start int, words binary"
 
 
 def anchors_of(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -41,32 +47,37 @@ def anchors_of(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(grams, wide).min(axis=1) if len(grams) >= wide else np.empty(0, np.uint64)
 
 
-def window_keys(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each window, and 32 more bits to check it by."""
-    return shingle_hashes(hashes, window, seed=2), (shingle_hashes(hashes, window, seed=3) >> np.uint64(32)).astype(np.uint32)
-
-
 def word_hashes(text: bytes | None) -> np.ndarray:
     return PLAIN_WORDS.of(text)
 
 
+def digest(data: bytes | None) -> bytes:
+    return hashlib.blake2b(data or b"", digest_size=16).digest()
+
+
 def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
+def _sent(columns: dict[str, np.ndarray], keys: np.ndarray, block: int, buckets: int, bits: int) -> pa.Table:
+    """Sorted keys and what belongs to them, a row for each bucket that gets some."""
+    cuts = bucket_cuts(keys, buckets, bits)
+    used = np.flatnonzero(np.diff(cuts)).tolist()
+    part = lambda b: slice(cuts[b], cuts[b + 1])
+    out = {"bucket": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "keys": pa.array([squeeze_sorted(keys[part(b)]) for b in used], pa.binary())}
+    return pa.table(out | {name: pa.array([squeeze(x[part(b)]) for b in used], pa.binary()) for name, x in columns.items()})
+
+
 def factor_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Parses each document against all with a smaller id; see SCHEMA."""
     if window < ANCHOR:
         raise ValueError(f"windows have at least {ANCHOR} words")
-    blocks, buckets = dealt(docs, key, text), 2 * block_count(docs.sparkSession)
+    blocks, buckets = dealt(docs, key, text)
 
     def send_anchors(table: pa.Table) -> pa.Table:
         _, texts, _ = block_rows(table)
         keys, n = np.unique(_joined([np.unique(anchors_of(word_hashes(t), window)) for t in texts], np.uint64), return_counts=True)
-        cuts = bucket_cuts(keys, buckets, ANCHOR_BITS)
-        used = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
-        part = lambda b: slice(cuts[b], cuts[b + 1])
-        return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int32()), "keys": pa.array([squeeze_sorted(keys[part(b)]) for b in used], pa.binary()), "twice": pa.array([squeeze((n[part(b)] > 1).astype(np.uint8)) for b in used], pa.binary())})
+        return _sent({"twice": (n > 1).astype(np.uint8)}, keys, table.column("block")[0].as_py(), buckets, ANCHOR_BITS)
 
     def shared_anchors(table: pa.Table) -> pa.Table:
         own = [expand_sorted(x) for x in table.column("keys").to_pylist()]
@@ -77,88 +88,122 @@ def factor_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         return pa.table({"block": table.column("block").take(pa.array(keep, pa.int64())), "keys": pa.array([squeeze_sorted(answers[i]) for i in keep], pa.binary())})
 
     def send_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """The block's first place of each window, and whether a document with a larger id has it too."""
         ids, texts, _ = block_rows(table) if len(table) else (np.empty(0, np.int64), [], None)
         shared = np.sort(_joined([expand_sorted(x) for x in answers.column("keys").to_pylist()], np.uint64))
         keys, checks, places, sources = [], [], [], []
         for i, t in zip(ids, texts) if len(shared) else ():
-            h = word_hashes(t)
+            h, other = PLAIN_WORDS.pair(t)
             at = np.flatnonzero(is_in(anchors_of(h, window), shared))
             if len(at):
-                k, c = window_keys(h, window)
-                keys.append(k[at])
-                checks.append(c[at])
+                keys.append(shingle_hashes(h, window, seed=2)[at])
+                checks.append((shingle_hashes(other, window, seed=3)[at] >> np.uint64(32)).astype(np.uint32))
                 places.append(at.astype(np.uint32))
                 sources.append(np.full(len(at), i, np.int64))
-        keys, first = np.unique(_joined(keys, np.uint64), return_index=True)
-        columns = [_joined(x, kind)[first] for x, kind in ((checks, np.uint32), (sources, np.int64), (places, np.uint32))]
-        cuts = bucket_cuts(keys, buckets, 64)
-        used = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
-        part = lambda b: slice(cuts[b], cuts[b + 1])
-        block = table.column("block")[0].as_py() if len(table) else 0
-        out = {"bucket": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "keys": pa.array([squeeze_sorted(keys[part(b)]) for b in used], pa.binary())}
-        return pa.table(out | {name: pa.array([squeeze(x[part(b)]) for b in used], pa.binary()) for name, x in zip(("checks", "sources", "places"), columns)})
+        keys, checks, places, sources = _joined(keys, np.uint64), _joined(checks, np.uint32), _joined(places, np.uint32), _joined(sources, np.int64)
+        order = np.argsort(keys, kind="stable")  # documents come by id, places ascend
+        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]) != 0)
+        last = np.append(first[1:], len(order)) - 1
+        again = (sources[order[last]] > sources[order[first]]).astype(np.uint8) if len(order) else np.empty(0, np.uint8)
+        first = order[first]
+        return _sent({"checks": checks[first], "sources": sources[first], "places": places[first], "again": again}, keys[first], table.column("block")[0].as_py() if len(table) else 0, buckets, 64)
 
     def first_places(table: pa.Table) -> pa.Table:
         own = [expand_sorted(x) for x in table.column("keys").to_pylist()]
         read = lambda name, kind: np.concatenate([expand(x, kind) for x in table.column(name).to_pylist()])
-        keys, checks, sources, places = np.concatenate(own), read("checks", np.uint32), read("sources", np.int64), read("places", np.uint32)
-        order = np.lexsort((places, sources, keys))
-        group = np.cumsum(np.diff(keys[order], prepend=keys[order[0]]) != 0)
-        first = order[np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])]
+        keys, checks, sources, places, again = np.concatenate(own), read("checks", np.uint32), read("sources", np.int64), read("places", np.uint32), read("again", np.uint8) > 0
+        homes = np.repeat(np.asarray(table.column("block")), [len(k) for k in own]).astype(np.uint32)
+        order = np.lexsort((places, sources, checks, keys))
+        new = (np.diff(keys[order], prepend=~keys[order[:1]]) != 0) | (np.diff(checks[order], prepend=~checks[order[:1]]) != 0)
         leader = np.empty(len(keys), np.int64)
-        leader[order] = first[group]
-        earlier = (sources[leader] < sources) & (checks[leader] == checks)
+        leader[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        told = (sources[leader] < sources) | again
         ends = np.cumsum([len(k) for k in own])
-        spans = [np.arange(e - len(k), e)[earlier[e - len(k) : e]] for k, e in zip(own, ends)]
+        spans = [np.arange(e - len(k), e)[told[e - len(k) : e]] for k, e in zip(own, ends)]
         keep = [i for i, s in enumerate(spans) if len(s)]
         out = {"block": table.column("block").take(pa.array(keep, pa.int64())), "keys": pa.array([squeeze_sorted(keys[spans[i]]) for i in keep], pa.binary())}
-        return pa.table(out | {name: pa.array([squeeze(x[leader[spans[i]]]) for i in keep], pa.binary()) for name, x in (("sources", sources), ("places", places))})
+        return pa.table(out | {name: pa.array([squeeze(x[leader[spans[i]]]) for i in keep], pa.binary()) for name, x in (("sources", sources), ("places", places), ("homes", homes))})
 
     def parse(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """The block's factors."""
         ids, texts, null = block_rows(table) if len(table) else (np.empty(0, np.int64), [], np.empty(0, bool))
-        words = [(t or b"").split() for t in texts]
-        pairs = [window_keys(word_hashes(t), window) for t in texts]
-        lengths = [len(k) for k, _ in pairs]
-        flat, checks = _joined([k for k, _ in pairs], np.uint64), _joined([c for _, c in pairs], np.uint32)
-        owner, place = np.repeat(ids, lengths), _joined([np.arange(n, dtype=np.int64) for n in lengths], np.int64)
-        keys, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
-        source, start = owner[first], place[first]
-        sent = _joined([expand_sorted(x) for x in answers.column("keys").to_pylist()], np.uint64)
-        at = np.searchsorted(keys, sent)
-        source[at] = _joined([expand(x, np.int64) for x in answers.column("sources").to_pylist()], np.int64)
-        start[at] = _joined([expand(x, np.uint32) for x in answers.column("places").to_pylist()], np.uint32)
-        whence, where = source[inverse], start[inverse]
-        earlier = (whence < owner) & (checks == checks[first][inverse])
-        removed, kept, factors, end = [], [], [], 0
-        for w, n in zip(words, lengths):
-            mine = slice(end, end + n)
-            end += n
-            hit, src, pos = earlier[mine], whence[mine], where[mine]
-            begins = np.flatnonzero(hit)
+        known = _joined([expand_sorted(x) for x in answers.column("keys").to_pylist()], np.uint64)
+        order = np.argsort(known)
+        known = known[order]
+        sources, places, homes = (_joined([expand(x, kind) for x in answers.column(name).to_pylist()], kind)[order] for name, kind in (("sources", np.int64), ("places", np.uint32), ("homes", np.uint32)))
+        rows: list[tuple] = []
+        done: set[tuple[int, bytes]] = set()  # repeated rows send their factors once
+        for i, t, no in zip(ids, texts, null) if len(known) else ():
+            keys = shingle_hashes(word_hashes(t), window, seed=2)
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            begins = np.flatnonzero((known[at] == keys) & (sources[at] < i))
             if not len(begins):
-                removed.append(0)
-                kept.append(b" ".join(w))
-                factors.append([])
                 continue
-            goes_on = np.zeros(len(begins), bool)
-            goes_on[1:] = (np.diff(begins) == 1) & (np.diff(src[begins]) == 0) & (np.diff(pos[begins]) == 1)
-            heads = np.flatnonzero(~goes_on)
-            tails = np.append(heads[1:], len(begins)) - 1
-            factors.append([{"start": int(begins[a]), "length": int(begins[z] - begins[a] + window), "source": int(src[begins[a]]), "source_start": int(pos[begins[a]])} for a, z in zip(heads, tails)])
-            cover = np.zeros(len(w) + 1, np.int64)
-            np.add.at(cover, begins[heads], 1)
-            np.add.at(cover, begins[tails] + window, -1)
-            stays = np.cumsum(cover[:-1]) == 0
-            removed.append(int(len(w) - stays.sum()))
-            kept.append(b" ".join([x for x, s in zip(w, stays.tolist()) if s]))
-        texts_out = pa.array(kept, pa.binary()).cast(pa.string())
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": texts_out, "factors": pa.array(factors, _FACTOR)})
+            source, place, home = sources[at[begins]], places[at[begins]].astype(np.int64), homes[at[begins]]
+            goes_on = (np.diff(begins) == 1) & (np.diff(source) == 0) & (np.diff(place) == 1)
+            heads = np.append(0, np.flatnonzero(~goes_on) + 1)
+            lengths = begins[np.append(heads[1:], len(begins)) - 1] - begins[heads] + window
+            words, doc = (t or b"").split(), digest(t)
+            if (i, doc) in done:
+                continue
+            done.add((i, doc))
+            for h, n in zip(heads.tolist(), lengths.tolist()):
+                start = int(begins[h])
+                rows.append((None if no else int(i), doc, start, n, int(home[h]), int(source[h]), int(place[h]), digest(b" ".join(words[start : start + n]))))
+        columns = list(zip(*rows)) or [()] * 8
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["key", "doc", "start", "length", "block", "source", "source_start", "words"]
+        home = table.column("block")[0].as_py() if len(table) else 0
+        return pa.table({"home": pa.array([home] * len(rows), pa.int32())} | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
+
+    def compare(table: pa.Table, factors: pa.Table) -> pa.Table:
+        """Of factors that name the block's documents as sources those whose words stand there."""
+        wanted: dict[int, list[int]] = {}
+        for row, source in enumerate(factors.column("source").to_pylist()):
+            wanted.setdefault(source, []).append(row)
+        starts, lengths, expected = (factors.column(c).to_pylist() for c in ("source_start", "length", "words"))
+        agree = np.zeros(len(factors), bool)
+        ids, texts, _ = block_rows(table) if len(table) and wanted else (np.empty(0, np.int64), [], None)
+        for i, t in zip(ids.tolist(), texts):
+            if i in wanted:
+                words = (t or b"").split()
+                for row in wanted[i]:
+                    agree[row] |= digest(b" ".join(words[starts[row] : starts[row] + lengths[row]])) == expected[row]
+        return factors.filter(pa.array(agree)).select([c.split()[0] for c in _FACTOR_ROW.split(", ")])
+
+    def cut(table: pa.Table, factors: pa.Table) -> pa.Table:
+        """Documents without the words of their factors."""
+        ids, texts, null = block_rows(table) if len(table) else (np.empty(0, np.int64), [], np.empty(0, bool))
+        own: dict[tuple, list[dict]] = {}
+        for f in factors.select(["key", "doc", "start", "length", "source", "source_start"]).to_pylist():
+            own.setdefault((f.pop("key"), f.pop("doc")), []).append(f)
+        keyed = {k for k, _ in own}
+        counts, removed, kept, factors_out = [], [], [], []
+        for i, t, no in zip(ids.tolist(), texts, null.tolist()):
+            words, key = (t or b"").split(), None if no else i
+            found = sorted(own.get((key, digest(t)), []), key=lambda f: f["start"]) if key in keyed else []
+            if found:
+                cover = np.zeros(len(words) + 1, np.int64)
+                for f in found:
+                    cover[f["start"]] += 1
+                    cover[f["start"] + f["length"]] -= 1
+                stays = np.cumsum(cover[:-1]) == 0
+                left = [w for w, s in zip(words, stays.tolist()) if s]
+            else:
+                left = words
+            counts.append(len(words))
+            removed.append(len(words) - len(left))
+            kept.append(b" ".join(left))
+            factors_out.append(found)
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "factors": pa.array(factors_out, _FACTOR)})
 
     sent = blocks.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, keys binary, twice binary")
     shared = sent.groupBy("bucket").applyInArrow(shared_anchors, "block int, keys binary")
-    windows = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_windows, "bucket int, block int, keys binary, checks binary, sources binary, places binary")
-    found = windows.groupBy("bucket").applyInArrow(first_places, "block int, keys binary, sources binary, places binary")
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(parse, SCHEMA)
+    windows = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_windows, "bucket int, block int, keys binary, checks binary, sources binary, places binary, again binary")
+    found = windows.groupBy("bucket").applyInArrow(first_places, "block int, keys binary, sources binary, places binary, homes binary")
+    factors = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(parse, _FACTOR_ROW)
+    agreed = blocks.groupBy("block").cogroup(factors.groupBy("block")).applyInArrow(compare, _FACTOR_ROW)
+    return blocks.groupBy("block").cogroup(agreed.groupBy("home")).applyInArrow(cut, SCHEMA)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,18 @@
 A document's set holds its distinct shingles of SIZE words (A-Z lower-cased; the whole sequence if it has fewer words).
 Documents with equal sets are one class; classes link when their sets' Jaccard similarity is at least PERCENT / 100.
 
-1. Shingles are ordered globally, rarest first, by in how many sets of blocks they occur, then by hash.
-2. A class is indexed under its prefix: as many of its first shingles as a linked class must share one of.  Shingles that
-   no other set holds are left out, so a class whose prefix is all its own has no candidates.
-3. Classes under one shingle are candidates where sizes and what follows the shingle allow a link.  The first round compares one of a shingle's classes with all others.  From
-   then on those outside the shingle's largest connected part are compared with all others, AT_ONCE or, if there are
-   more, LEADERS of them in a round, and taken out, until what is left of the shingle is connected.  So every link is
-   found or joins classes that other links join already, and a group of n near copies costs about n comparisons.
-4. A comparison is counted in fragments: hashes are cut into FRAGMENTS ranges, each counts the overlap of its part of a
-   pair, and the parts are summed for each pair.
+1. Shingles are ordered globally, rarest first: by the size class of how many sets of blocks hold them, then by hash.
+   Shingles that no other set holds are left out of what is compared; they count for a set's size alone.
+2. A class is indexed under its prefix: as many of its first shingles as a linked class must share one of, without those
+   that no other set holds.
+3. Classes under one shingle are candidates where sizes and what follows the shingle allow a link.  The first round
+   compares one of a shingle's classes with all others.  From then on those outside the shingle's largest connected part
+   are compared with all others, AT_ONCE or, if there are more, LEADERS of them in a round, and taken out, until what is
+   left of the shingle is connected.  So every link is found or joins classes that other links join already, and a group
+   of n near copies costs about n comparisons.
+4. Vertical partitioning: pivots cut the global order into FRAGMENTS stretches that hold equally many of all sets'
+   shingles.  A set falls into its parts in the fragments, each fragment is joined by itself and counts the partial
+   overlap of a pair, and the partial overlaps are summed for each pair.
 
 The search of step 3 finds components alone.  `with_class_links` compares every candidate pair and returns all links with
 their overlaps and the number of links of each class; its pairs grow with the square of a group of different near copies.
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm._blocks import block_rows, bucket_cuts, dealt, expand, expand_sorted, squeeze, squeeze_sorted
 from ledgerloom.llm._components import components
-from ledgerloom.llm._shared import LOWER_WORDS, block_count, saved, shingle_hashes
+from ledgerloom.llm._shared import LOWER_WORDS, saved, shingle_hashes, spread_join
 
 SIZE, PERCENT = 5, 80
-#: Parts of the range of hashes a pair's overlap is counted in; classes of a shingle that are compared in a round if there are more than the next number.
+#: Fragments of the global order a pair's overlap is counted in; classes of a shingle that are compared in a round if there are more than the next number.
 FRAGMENTS, LEADERS, AT_ONCE = 4, 256, 1024
 #: Bits of a shingle's hash that count for its frequency, which only orders the shingles.
 COUNT_BITS = 40
@@ -57,9 +60,18 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Size classes of counts, eight for each doubling."""
+    return np.floor(8 * np.log2(counts)).astype(np.uint8)
+
+
+#: Of a row's set: size and id; where it shares shingles, its prefix and, in global order, shared shingles and their size classes.
+SET = "key long, text_hash long, n long, sid binary, prefix array<struct<token: bigint, place: int>>, hashes binary, rarity binary"
+
+
 def document_sets(docs: DataFrame, key: str, text: str, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(key, n, sid, prefix, hashes): for each row its set's size and id; where they aren't empty, the shared prefix and the set."""
-    blocks, buckets = dealt(docs, key, text), 2 * block_count(docs.sparkSession)
+    """Each row's set; see SET."""
+    blocks, buckets = dealt(docs, key, text)
     shift = np.uint64(64 - COUNT_BITS)
 
     def send(table: pa.Table) -> pa.Table:
@@ -79,41 +91,75 @@ def document_sets(docs: DataFrame, key: str, text: str, size: int = SIZE, percen
         return pa.table({"block": table.column("block"), "keys": pa.array([squeeze_sorted(k[c > 1]) for k, c in zip(own, counts)], pa.binary()), "counts": pa.array([squeeze(c[c > 1]) for c in counts], pa.binary())})
 
     def sets(table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, texts, null = block_rows(table) if len(table) else (np.empty(0, np.int64), [], np.empty(0, bool))
+        keys, texts, null, digests = block_rows(table, ["text_hash"]) if len(table) else (np.empty(0, np.int64), [], np.empty(0, bool), pa.array([], pa.int64()))
         shared = np.concatenate([np.empty(0, np.uint64), *[expand_sorted(x) for x in answers.column("keys").to_pylist()]])
         counts = np.concatenate([np.empty(0, np.uint32), *[expand(x, np.uint32) for x in answers.column("counts").to_pylist()]])
         order = np.argsort(shared)
         shared, counts = shared[order], counts[order]
-        ns, sids, prefixes, hashes = [], [], [], []
+        ns, sids, prefixes, hashes, classes = [], [], [], [], []
         for t in texts:
             s = shingle_set(t, size)
             k = s >> shift
             at = np.minimum(np.searchsorted(shared, k), max(len(shared) - 1, 0))
             n = np.where(shared[at] == k, counts[at], 1) if len(shared) else np.ones(len(s), np.uint32)
-            first = np.lexsort((s, n))[: prefix_length(len(s), percent)] if len(s) else np.empty(0, np.int64)
-            place = np.flatnonzero(n[first] > 1)
-            first = first[place]
+            rare = rarity(n)
+            order = np.lexsort((s, rare))
+            alone = int((n == 1).sum())  # the rarest; no pair has them in common
+            tokens = s[order]
+            first = tokens[alone : prefix_length(len(s), percent)] if len(s) else tokens
             ns.append(len(s))
             sids.append(set_id(s) if len(s) else None)
-            prefixes.append([{"token": t, "place": int(p)} for t, p in zip(s[first].astype(np.int64).tolist(), place)] if len(first) else None)
-            hashes.append(s.tobytes() if len(first) else None)
-        return pa.table({"key": pa.array(keys, pa.int64(), mask=null), "n": pa.array(ns, pa.int64()), "sid": pa.array(sids, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())]))), "hashes": pa.array(hashes, pa.binary())})
+            prefixes.append([{"token": t, "place": alone + p} for p, t in enumerate(first.astype(np.int64).tolist())] if len(first) else None)
+            hashes.append(tokens[alone:].tobytes() if len(first) else None)
+            classes.append(rare[order][alone:].tobytes() if len(first) else None)
+        kinds = {"key": pa.array(keys, pa.int64(), mask=null), "text_hash": digests, "n": pa.array(ns, pa.int64()), "sid": pa.array(sids, pa.binary())}
+        return pa.table(kinds | {"prefix": pa.array(prefixes, pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())]))), "hashes": pa.array(hashes, pa.binary()), "rarity": pa.array(classes, pa.binary())})
 
     sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block int, keys binary, counts binary")
     answers = sent.groupBy("bucket").applyInArrow(total, "block int, keys binary, counts binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sets, "key long, n long, sid binary, prefix array<struct<token: bigint, place: int>>, hashes binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sets, SET)
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with `overlap`, the size of the intersection of sets (sid, hashes) a and b."""
+def pivots(sets: DataFrame, fragments: int = FRAGMENTS) -> list[tuple[int, int]]:
+    """Where fragments after the first begin in the global order: (size class, hash); a row for each size class comes here, 256 at most."""
+
+    def count(batches):
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.bincount(np.frombuffer(x, np.uint8), minlength=256)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["rarity", "n"])
+
+    found = sets.select("rarity").mapInArrow(count, "rarity int, n long").groupBy("rarity").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(256, np.int64)
+    for r in found:
+        n[r["rarity"]] = r["n"]
+    ends, out = np.cumsum(n), []
+    for f in range(1, fragments):  # hashes of a size class are spread evenly
+        goal = int(ends[-1]) * f // fragments
+        c = int(np.searchsorted(ends, goal, "right"))
+        if c < 256 and ends[-1]:
+            out.append((c, ((goal - int(ends[c] - n[c])) << 64) // int(n[c])))
+    return out
+
+
+def fragments_of(hashes: np.ndarray, rarities: np.ndarray, cuts: list[tuple[int, int]]) -> list[tuple[int, np.ndarray]]:
+    """(fragment, sorted hashes) of a set in global order."""
+    of = np.zeros(len(hashes), np.int64)
+    for c, h in cuts:
+        of += (rarities > c) | ((rarities == c) & (hashes >= np.uint64(h)))
+    return [(f, np.sort(hashes[of == f])) for f in np.unique(of).tolist()]
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """pairs (a, b, ...) with `overlap`, the size of the intersection of sets a and b; pairs without any are left out."""
 
     def cut(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                h = np.frombuffer(batch.column(1)[i].as_py(), np.uint64)
-                cuts = bucket_cuts(h, FRAGMENTS, 64)
-                parts = [(f, h[cuts[f] : cuts[f + 1]].tobytes()) for f in range(FRAGMENTS) if cuts[f + 1] > cuts[f]]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(parts), pa.binary()), pa.array([f for f, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["sid", "fragment", "part"])
+            for sid, hashes, rarities in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                parts = fragments_of(np.frombuffer(hashes, np.uint64), np.frombuffer(rarities, np.uint8), cuts)
+                yield pa.RecordBatch.from_arrays([pa.array([sid] * len(parts), pa.binary()), pa.array([f for f, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], names=["sid", "fragment", "part"])
 
     def count(batches):
         for batch in batches:
@@ -122,7 +168,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    parts = saved(sets.join(ends.hint("merge"), "sid").select("sid", "hashes").mapInArrow(cut, "sid binary, fragment int, part binary"), "fragments")
+    parts = saved(sets.join(ends.hint("merge"), "sid").select("sid", "hashes", "rarity").mapInArrow(cut, "sid binary, fragment int, part binary"), "fragments")
     left = parts.select(F.col("sid").alias("a"), "fragment", F.col("part").alias("x"))
     right = parts.select(F.col("sid").alias("b"), "fragment", F.col("part").alias("y"))
     met = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), ["a", "fragment"])
@@ -134,7 +180,8 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between classes (sid, n, prefix, hashes) that connect all that are connected."""
     entries = saved(sets.select("sid", "n", F.explode("prefix").alias("p")).select("sid", "n", "p.token", "p.place"), "prefixes")
     shared = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
-    entries = saved(entries.join(shared.hint("merge"), "token"), "prefixes")
+    entries, cuts = saved(spread_join(entries, shared, ["token"], ["sid"]), "prefixes"), pivots(sets)
+
     def compared(leaders: DataFrame, entries: DataFrame) -> DataFrame:
         """Links between leaders (token, lead, lead_n, lead_place, lead_root) and the other classes of their shingles, where roots differ.
 
@@ -143,12 +190,12 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         """
         enough = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("lead_n") - F.col("lead_place")) >= percent * (F.col("n") + F.col("lead_n"))
         close = enough & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & (F.col("root") != F.col("lead_root"))
-        met = entries.join(leaders.hint("merge"), "token").filter(close)
+        met = spread_join(entries, leaders, ["token"], ["sid"]).filter(close)
         own = F.struct(F.col("sid").alias("id"), F.col("n").alias("n"))
         lead = F.struct(F.col("lead").alias("id"), F.col("lead_n").alias("n"))
         both = met.select(F.least(own, lead).alias("x"), F.greatest(own, lead).alias("y")).distinct()
         pairs = saved(both.select(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb")), "pairs")
-        return overlaps(pairs, sets).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+        return overlaps(pairs, sets, cuts).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
     def lead(df: DataFrame) -> DataFrame:
         return df.select("token", F.col("sid").alias("lead"), F.col("n").alias("lead_n"), F.col("place").alias("lead_place"), F.col("root").alias("lead_root"))
@@ -169,7 +216,7 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         left = saved(left, "prefixes")
         parts = left.groupBy("token", "root").agg(F.count("*").alias("m"))
         largest = parts.groupBy("token").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m")).filter("m > top.m").select("token", F.col("top.root").alias("top"), (F.col("m") - F.col("top.m")).alias("strays"))
-        entries = saved(left.join(largest.hint("merge"), "token"), "prefixes")
+        entries = saved(spread_join(left, largest, ["token"], ["sid"]), "prefixes")
         if entries.isEmpty():
             return links
         # with all but a shingle's largest part compared, all of its pairs that matter are
@@ -186,13 +233,13 @@ def all_class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     enough = (100 + percent) * F.least("rest_x", "rest_y") >= percent * (F.col("x.n") + F.col("y.n"))  # as in class_links
     met = one("x").join(one("y").hint("merge"), "token").filter((F.col("x") < F.col("y")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & enough).select("x", "y").distinct()
     pairs = saved(met.select(F.col("x.sid").alias("a"), F.col("x.n").alias("na"), F.col("y.sid").alias("b"), F.col("y.n").alias("nb")), "pairs")
-    return overlaps(pairs, sets).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
+    return overlaps(pairs, sets, pivots(sets)).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
 
 
 def class_sets(sets: DataFrame) -> DataFrame:
-    """(sid, n, prefix, hashes): one set for each class with a shared prefix, as copies of a prefix are equal."""
+    """(sid, n, prefix, hashes, rarity): one set for each class with a shared prefix, as copies of a prefix are equal."""
     shared = sets.filter("prefix IS NOT NULL").groupBy("sid").agg(F.min(F.struct("key")).alias("k"))
-    own = sets.filter("prefix IS NOT NULL").join(shared.hint("merge"), "sid").filter(F.col("key").eqNullSafe(F.col("k.key"))).select("sid", "n", "prefix", "hashes").dropDuplicates(["sid"])
+    own = spread_join(sets.filter("prefix IS NOT NULL"), shared, ["sid"], ["key"]).filter(F.col("key").eqNullSafe(F.col("k.key"))).select("sid", "n", "prefix", "hashes", "rarity").dropDuplicates(["sid"])
     return saved(own, "classes")
 
 
@@ -207,20 +254,23 @@ def with_class_links(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 
 
 def with_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, class_id, component_id): a row for each of docs' rows; class_id is null for empty sets."""
+    """(key, n_shingles, class_id, component_id, text_hash): a row for each of docs' rows; class_id is null for empty sets.
+
+    text_hash, Spark's xxhash64 of the text, tells rows with one key apart.
+    """
     sets = saved(document_sets(docs, key, text, size, percent), "sets")
     classes = sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("first"))
     roots = components(class_links(class_sets(sets), percent)).select(F.col("node").alias("sid"), "root")
     classes = saved(classes.join(roots.hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(smallest.hint("merge"), "root").select("sid", "component_id")
-    rows = sets.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "sid").join(named.hint("merge"), "sid", "left")
-    return rows.select(key, "n_shingles", F.lower(F.hex("sid")).alias("class_id"), F.coalesce("component_id", key).alias("component_id"))
+    rows = sets.select(F.col("key").alias(key), "text_hash", F.col("n").alias("n_shingles"), "sid").join(named.hint("merge"), "sid", "left")
+    return rows.select(key, "n_shingles", F.lower(F.hex("sid")).alias("class_id"), F.coalesce("component_id", key).alias("component_id"), "text_hash")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, class_id."""
-    return with_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return with_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_hash")
 
 
 def op3_class_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,18 @@ A line with words fails by
 * navigation: at least two separators (`|`, `>`, `»`, `›`, `•`) and one for every three words;
 * symbols: more than one of `#*$%&|<>` for every two words;
 * shouting: at least ten A-Z letters and more of them than a-z;
-* punctuation: more exclamation and question marks than one for every two words;
-* boilerplate: one of BOILERPLATE and at most BOILERPLATE_WORDS words.
+* punctuation: more exclamation and question marks than one for every two words, or fewer than MIN_LINE_WORDS words and
+  no terminal punctuation;
+* bullets: a bullet in front, fewer than MIN_BULLET_WORDS words and no terminal punctuation;
+* ellipsis: dots at the end and at most BOILERPLATE_WORDS words, as teasers have;
+* boilerplate: one of BOILERPLATE, between characters that are no letters or digits, and at most BOILERPLATE_WORDS words.
 Lines without words stay.  A document is rejected when its text fails the base rules (fewer than MIN_WORDS words, or
 more than half of them in repeated windows of three), or when the lines left hold less than MIN_KEPT_PERCENT of its words.
+Thresholds are sharp: a document with exactly MIN_WORDS words, half of them repeated, or MIN_KEPT_PERCENT left is kept.
 
 Null and empty texts have no words and are rejected; null stays null.  All columns of the input stay, but for those
-the operator makes, which replace any of that name.  Every row is judged by itself, so repeated rows get one verdict.
+the operator makes, which replace any of that name.  Every row is judged by itself and as a whole, so repeated rows get
+one verdict, texts may have any length, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,12 +28,19 @@ from pyspark.sql import functions as F
 WHITE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 SYMBOLS, SEPARATORS = "#*$%&|<>", "|>»›•"
 MIN_WORDS, MIN_KEPT_PERCENT, BOILERPLATE_WORDS = 50, 50, 20
+MIN_LINE_WORDS, MIN_BULLET_WORDS = 3, 5
+#: What navigation, cookie banners and footers say in the languages of the corpus.
 BOILERPLATE = (
     "accept cookies", "add to cart", "all rights reserved", "click here", "cookie policy", "enable javascript", "forgot your password",
     "lorem ipsum", "powered by", "privacy policy", "read more", "share this", "sign in", "sign up", "skip to content", "subscribe to our",
     "terms of service", "terms of use",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "in den warenkorb", "hier klicken", "jetzt anmelden", "passwort vergessen", "weiterlesen",
+    "accepter les cookies", "ajouter au panier", "cliquez ici", "lire la suite", "mentions légales", "mot de passe oublié", "politique de confidentialité", "tous droits réservés",
+    "aceptar cookies", "aviso legal", "añadir al carrito", "haga clic aquí", "iniciar sesión", "leer más", "política de privacidad", "todos los derechos reservados",
 )
-_BOILERPLATE = "(?i)(?:" + "|".join(BOILERPLATE) + ")"
+_BOILERPLATE = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(BOILERPLATE) + r")(?:\z|[^\p{L}\p{N}])"
+_TERMINAL, _BULLET, _ELLIPSIS = r"[.!?:;…\"'»”’)\]][\x20\x09-\x0D]*\z", r"^[\x20\x09-\x0D]*[•·‣▪*–-][\x20\x09-\x0D]", r"(?:…|[.]{3})[\x20\x09-\x0D]*\z"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,13 +62,15 @@ def line_fails(line: Column) -> Column:
 
     def rules(n: Column) -> Column:
         separators, symbols = count_of(line, SEPARATORS), count_of(line, SYMBOLS)
-        upper, lower = F.length(F.regexp_replace(line, "[^A-Z]+", "")), F.length(F.regexp_replace(line, "[^a-z]+", ""))
+        upper, lower = count_of(line, _UPPER), count_of(line, _UPPER.lower())
         return (n > 0) & (
             ((separators >= 2) & (3 * separators >= n))
             | (2 * symbols > n)
             | (2 * count_of(line, "!?") > n)
             | ((upper >= 10) & (upper > lower))
-            | ((n <= BOILERPLATE_WORDS) & line.rlike(_BOILERPLATE))
+            | ((n < MIN_LINE_WORDS) & ~line.rlike(_TERMINAL))
+            | ((n < MIN_BULLET_WORDS) & line.rlike(_BULLET) & ~line.rlike(_TERMINAL))
+            | ((n <= BOILERPLATE_WORDS) & (line.rlike(_ELLIPSIS) | line.rlike("(?iu)" + _BOILERPLATE)))
         )
 
     return let(F.size(words_of(line)), rules)
@@ -123,6 +137,11 @@ def _sql_count(column: str, characters: str) -> str:
     return f"(length({column}) - length(translate({column}, '{characters}', '')))"
 
 
+def _sql_text(x: str) -> str:
+    """A literal of SQL text that goes through str.format."""
+    return "'" + x.replace("'", "''").replace("{", "{{").replace("}", "}}") + "'"
+
+
 #: Common table expressions that end in `quality`, over the table `{docs}` with doc_id and text.
 QUALITY_SQL = rf"""
 t AS (SELECT doc_id, coalesce(text, '') AS s, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM {{docs}}),
@@ -133,7 +152,9 @@ clean AS (
       OR 2 * {_sql_count("x", SYMBOLS)} > {_LINE_WORDS}
       OR 2 * {_sql_count("x", "!?")} > {_LINE_WORDS}
       OR (length(regexp_replace(x, '[^A-Z]+', '', 'g')) >= 10 AND length(regexp_replace(x, '[^A-Z]+', '', 'g')) > length(regexp_replace(x, '[^a-z]+', '', 'g')))
-      OR ({_LINE_WORDS} <= {BOILERPLATE_WORDS} AND regexp_matches(x, '{_BOILERPLATE}'))))) AS kept_lines
+      OR ({_LINE_WORDS} < {MIN_LINE_WORDS} AND NOT regexp_matches(x, {_sql_text(_TERMINAL)}))
+      OR ({_LINE_WORDS} < {MIN_BULLET_WORDS} AND regexp_matches(x, {_sql_text(_BULLET)}) AND NOT regexp_matches(x, {_sql_text(_TERMINAL)}))
+      OR ({_LINE_WORDS} <= {BOILERPLATE_WORDS} AND (regexp_matches(x, {_sql_text(_ELLIPSIS)}) OR regexp_matches(x, {_sql_text("(?i)" + _BOILERPLATE)})))))) AS kept_lines
   FROM lines),
 grams AS (SELECT doc_id, i, words[i:i+2] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM t WHERE len(words) > 2)),
 marked AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) > 1 AS twice FROM grams),

@@ -1,18 +1,22 @@
 r"""Personal data: keyed surrogates that keep type, format, script and gender, distinctness and coreference.
 
 Detected are e-mail and IPv4 addresses, phone, card and social security numbers, keys (runs of 32 to 64 hex digits) and
-names behind a title.  An entity's canonical form (case folded; for numbers the digits alone) and the secret key decide
-its surrogate, so one entity gets one surrogate in all documents, however it is written, and it is written the way the
-entity was: separators stay, upper case stays upper case, digits stay digits.  Surrogates can't be real: addresses end in
-.example, IP addresses lie in 240.0.0.0/4, card numbers begin with 9 and pass the Luhn test if the entity did.  Names get
-names of syllables of their script; given names end as their title's gender demands, Cyrillic surnames too.  A surname
-known in a document is replaced there without a title as well, in whatever case it is written.
+names behind a title or with a given name of GIVEN_NAMES, in Latin, Cyrillic and Greek letters.  An entity's canonical form
+(case folded; for numbers the digits alone) and the secret key decide its surrogate, so one entity gets one surrogate in
+all documents, however it is written, and it is written the way the entity was: separators stay, upper case stays upper
+case, digits stay digits, an address keeps its number of labels.  Surrogates can't be real: addresses end in .example, IP
+addresses lie in 240.0.0.0/4, card numbers begin with 9 and pass the Luhn test if the entity did.  Names get names of
+syllables of their script; given names end as the title or the given name demands, Cyrillic surnames too.  A surname known
+in a document is replaced there without a title as well, in whatever case it is written.
 
 Distinctness is checked over the whole corpus: where two entities of a type meet in a surrogate, or a surrogate is an
-entity itself, all but the smallest entity draw again with the next number, until no two meet.
+entity itself, all but the smallest entity (ties can't be, forms are distinct) draw again with the next number, until no
+two meet.  Later draws are longer, so there are always enough: names and addresses from the second draw on, numbers from
+draw LONGER on, when IPv4 addresses get addresses in 2001:db8::/32 instead.
 
-Null and empty texts stay as they are.  Rows are told apart by id and text, so repeated rows and null ids are safe.  All
-columns of the input stay, but for n_entities and clean_text, which replace any of that name.
+Null and empty texts stay as they are; texts of any length are read whole.  Rows are told apart by id and text, so repeated
+rows and null ids are safe.  All columns of the input stay, but for n_entities and clean_text, which replace any of that
+name.  An empty table gives an empty result.
 
 The entities found travel, grouped by kind and form with a minimum taken before the shuffle, and the documents once.
 """
@@ -38,8 +42,17 @@ PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z])"
 SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])"
-_NAME_WORD = r"\p{Lu}[\p{L}'’-]+"
-NAME = r"(?<!\p{L})(?:" + "|".join(t for ts in TITLES.values() for t in ts) + rf")\.? {_NAME_WORD}(?: {_NAME_WORD})?"
+_LETTERS = r"\p{IsLatin}\p{IsCyrillic}\p{IsGreek}"
+_NAME_WORD = rf"(?=\p{{Lu}})[{_LETTERS}][{_LETTERS}'’-]+"
+#: Given names by gender that make a name without a title.
+GIVEN_NAMES = {
+    "m": "James John Robert Michael William David Thomas Daniel Hans Klaus Jürgen Wolfgang Stefan Matthias Pierre Jacques François Juan José Carlos Luis Miguel Иван Сергей Александр Дмитрий Γιώργος Νίκος".split(),
+    "f": "Mary Elizabeth Jennifer Linda Susan Jessica Sarah Emma Anna Ursula Monika Petra Sabine Katrin Françoise Nathalie Isabelle María Carmen Lucía Ana Isabel Мария Ольга Анна Елена Μαρία Ελένη".split(),
+}
+TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?"
+NAME = rf"(?<!\p{{L}})(?:{TITLE} {_NAME_WORD}(?: {_NAME_WORD})?|(?:" + "|".join(n for ns in GIVEN_NAMES.values() for n in ns) + rf") {_NAME_WORD})"
+#: The draw from which on numbers grow.
+LONGER = 8
 KINDS = {"email": EMAIL, "ip": IP, "secret": SECRET, "ssn": SSN, "card": CARD, "phone": PHONE, "name": NAME}
 PATTERN = "(?:" + "|".join(KINDS.values()) + ")"
 
@@ -59,8 +72,9 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _gender(name: Column) -> Column:
-    title = F.regexp_extract(name, r"^([^ .]+)", 1)
-    return F.when(title.isin(TITLES["m"]), "m").when(title.isin(TITLES["f"]), "f").otherwise("n")
+    first = F.regexp_extract(name, r"^([^ .]+)", 1)
+    known = lambda g: first.isin(TITLES[g] + GIVEN_NAMES[g])
+    return F.when(known("m"), "m").when(known("f"), "f").otherwise("n")
 
 
 def _script(word: Column) -> Column:
@@ -68,7 +82,7 @@ def _script(word: Column) -> Column:
 
 
 def _name_words(name: Column) -> Column:
-    return F.split(F.regexp_replace(name, r"^[^ .]+\.? ", ""), " ")
+    return F.split(F.regexp_replace(name, f"^{TITLE} ", ""), " ")
 
 
 def entity_kind(e: Column) -> Column:
@@ -85,10 +99,16 @@ def parts_of(e: Column) -> Column:
 
     def words(w: Column) -> Column:
         role = lambda i: F.when(i == F.size(w) - 1, "surname").otherwise("given")
-        return F.transform(w, lambda x, i: F.struct(F.concat_ws("-", role(i), F.when((role(i) == "surname") & (_script(x) == "latin"), "n").otherwise(_gender(e)), _script(x)).alias("kind"), F.lower(x).alias("form")))
+        gender = lambda x, i: F.when((role(i) == "surname") & (_script(x) == "latin"), "n").otherwise(_gender(e))
+        return F.transform(w, lambda x, i: F.struct(F.concat_ws("-", role(i), gender(x, i), _script(x)).alias("kind"), F.lower(x).alias("form")))
 
     def by_kind(k: Column) -> Column:
-        return F.when(k == "email", folded("email")).when(k == "secret", folded("secret")).when(k == "ip", F.array(F.struct(F.lit("ip").alias("kind"), e.alias("form")))).when(k == "ssn", number("ssn")).when(k == "card", number("card")).when(k == "phone", number("phone")).otherwise(let(_name_words(e), words))
+        out = F.when(k == "ip", F.array(F.struct(F.lit("ip").alias("kind"), e.alias("form"))))
+        for kind in ("email", "secret"):
+            out = out.when(k == kind, folded(kind))
+        for kind in ("ssn", "card", "phone"):
+            out = out.when(k == kind, number(kind))
+        return out.otherwise(let(_name_words(e), words))
 
     return let(entity_kind(e), by_kind)
 
@@ -102,11 +122,13 @@ def surrogate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
         letters = lambda x, digits: F.array_join(F.transform(F.split(x, ""), lambda c, i: F.when(c.rlike("[0-9]"), (value(i + digits) % 10).cast("string")).when(c.rlike("[a-z]"), F.chr(97 + value(i + digits) % 26)).otherwise(c)), "")
         # later draws are longer, as marks alone can't be drawn anew
         more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.chr(97 + value(i + 47) % 26)), "")).otherwise(F.lit(""))
-        email = F.concat(letters(F.substring_index(form, "@", 1), 0), more, F.lit("@"), letters(F.regexp_extract(form, r"@([^.]+)", 1), 31), F.lit(".example"))
+        digits = F.when(attempt >= LONGER, F.array_join(F.transform(F.sequence(F.lit(LONGER), F.greatest(attempt, F.lit(LONGER))), lambda i: (value(i + 53) % 10).cast("string")), "")).otherwise(F.lit(""))
+        email = F.concat(letters(F.substring_index(form, "@", 1), 0), more, F.lit("@"), letters(F.regexp_extract(form, r"@(.*)\.[^.]*$", 1), 31), F.lit(".example"))
         ip = F.concat_ws(".", (240 + value(F.lit(0)) % 15).cast("string"), *[(value(F.lit(i))).cast("string") for i in (1, 2, 3)])
-        numbers = lambda keep: F.concat(F.substring(form, 1, keep), letters(F.substr(form, F.lit(keep + 1)), 0))
+        ip = F.when(attempt < LONGER, ip).otherwise(F.concat_ws(":", F.lit("2001:db8"), *[F.substring(stream, 4 * i + 1, 4) for i in range(6)]))
+        numbers = lambda keep: F.concat(F.substring(form, 1, keep), letters(F.substr(form, F.lit(keep + 1)), 0), digits)
         secret = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.substr(stream, F.pmod(i, F.lit(128)) + 1, F.lit(1))), "")
-        head = F.concat(F.lit("9"), letters(F.substr(form, F.lit(2), F.length(form) - 2), 0))
+        head = F.concat(F.lit("9"), letters(F.substr(form, F.lit(2), F.length(form) - 2), 0), digits)
         check = let(F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(head, F.lit("0"))), F.lit(10)), F.lit(10)), lambda d: F.when(F.pmod(luhn_sum(form), F.lit(10)) == 0, d).otherwise(F.pmod(d + 1 + value(F.lit(60)) % 9, F.lit(10))))
         role, gender, script = (F.split_part(kind, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
         syllable = lambda s, i: F.get(F.array(*[F.lit(x) for x in SYLLABLES[s].split()]), value(F.lit(i)) % 24)
@@ -139,8 +161,9 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 def written_like(e: Column, s: Column) -> Column:
     """Surrogate s (canonical) in the format of the entity or name word e."""
-    places = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(s, F.length(digits_of(F.substring(e, 1, 64).substr(F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
-    cased = F.when((F.upper(e) == e) & (F.lower(e) != e), F.upper(s)).when(e.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1000))).otherwise(s)
+    places = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(s, F.length(digits_of(F.substr(e, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
+    places = F.concat(places, F.substr(s, F.length(digits_of(e)) + 1))  # a longer surrogate's last digits
+    cased = F.when((F.upper(e) == e) & (F.lower(e) != e), F.upper(s)).when(e.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))).otherwise(s)
     return F.when(e.rlike(r"^[0-9 ().+-]+$") & ~e.rlike(f"^{IP}$") & ~e.rlike(f"^{SECRET}$"), places).otherwise(cased)
 
 
@@ -159,7 +182,7 @@ def with_surrogates(docs: DataFrame, key: str, text: str = "text", doc_key: str
     def replaced(e: Column) -> Column:
         def by_parts(ps: Column) -> Column:
             one = lambda p, word: written_like(word, F.coalesce(F.try_element_at(k, F.concat_ws(":", p["kind"], p["form"])), word))
-            name = F.concat(F.regexp_extract(e, r"^([^ .]+\.? )", 1), F.array_join(F.zip_with(ps, _name_words(e), one), " "))
+            name = F.concat(F.regexp_extract(e, f"^({TITLE} )", 1), F.array_join(F.zip_with(ps, _name_words(e), one), " "))
             return F.when(F.get(ps, F.lit(0))["kind"].rlike("^(given|surname)-"), name).otherwise(one(F.get(ps, F.lit(0)), e))
 
         return let(parts_of(e), by_parts)
@@ -187,6 +210,7 @@ def with_surrogates(docs: DataFrame, key: str, text: str = "text", doc_key: str
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_entities, clean_text."""
+    """Per document: doc_id, n_entities, clean_text; the secret is the session's ledgerloom.pii.key, if it has one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_surrogates(docs, key="surrogates of these documents").select("doc_id", "n_entities", "clean_text")
+    key = spark.conf.get("ledgerloom.pii.key", "surrogates of these documents")
+    return with_surrogates(docs, key=key).select("doc_id", "n_entities", "clean_text")

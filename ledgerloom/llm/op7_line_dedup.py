@@ -1,23 +1,25 @@
 """Line deduplication over content-defined chunks of lines.
 
-A text's lines (split at \\n) are cut into chunks behind every line whose rolling hash, a polynomial over the hashes of
-the last WINDOW lines, is divisible by MODULUS.  Boundaries follow from nearby lines alone, so they shift with inserted
-text and line up again within equal passages.  A chunk with at least MIN_LINES lines that hold words and whose text
-occurs earlier, in a smaller (doc_id, place of the chunk), is removed; its first occurrence stays.  Chunks meet by
-hash; one is removed only if its bytes equal those of the hash's first occurrence.
-
-Null texts stay null and have no lines; an empty text is one empty line.  A null doc_id counts as the smallest.  Rows
-with one doc_id are one document: equal chunks at equal places of it both stay.  All columns of the input stay, but for
-n_lines, n_removed and clean_text, which replace any of that name.
-
-Chunks miss passages: one-line chunks never go, and lines beside a passage's outermost cuts don't match.  `with_passage_dedup`
+A text's lines (split at \\n) are cut into chunks behind lines with words whose rolling hash, a polynomial over the hashes
+of the last WINDOW lines with words, is smaller than those of the lines with words before and behind.  Boundaries follow
+from nearby lines alone, so they shift with inserted text and line up again within equal passages, and but for the ends of
+a text every chunk has two lines with words or more.  Where no boundary comes, as in a run of equal lines, chunks end
+after MAX_LINES lines with words.  A chunk with at least MIN_LINES lines that hold words and whose text occurs earlier, in
+a smaller (doc_id, place of the chunk), is removed; its first occurrence stays.  Chunks meet by hash; one is removed only
+if its bytes equal those of the hash's first occurrence.
+
+Null texts stay null and have no lines; an empty text is one empty line.  A null doc_id counts as the smallest.  Rows are
+told apart by doc_id and text: rows with one doc_id and different texts each lose their own chunks, repeated rows the
+same ones, and equal chunks at equal places of rows with one doc_id all stay.  All columns of the input stay, but for
+n_lines, n_removed and clean_text, which replace any of that name.  An empty table gives an empty result.
+
+Chunks miss parts of passages: lines beside a passage's outermost cuts don't match.  `with_passage_dedup`
 misses none: a line goes if it lies in a stretch from one line with words to the MIN_LINES - 1st after it whose bytes
 occur earlier.  So every repeated run of MIN_LINES lines with words or more goes whole, wherever it stands, and of every
-line the first occurrence stays.  Stretches are told apart by 128 bits of their SHA-256.  There, rows with one doc_id and
-different texts each lose their own lines.
+line the first occurrence stays.  Stretches are told apart by 128 bits of their SHA-256.  Rows are told apart as above.
 
 Shuffled are hashes of chunks, the text of repeated chunks, and the documents by key, to meet what they lose; minima are
-formed before the shuffle, and the join on a hot hash can be split, as it has one row for each hash on one side.
+formed before the shuffle, and the rows of a hot hash are dealt into parts to meet its first occurrence.
 """
 
 from __future__ import annotations
@@ -25,62 +27,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import saved
+from ledgerloom.llm._shared import saved, spread_join
 from ledgerloom.llm.op5_quality_rules import let
 
-WINDOW, MODULUS, MIN_LINES = 2, 3, 2
+WINDOW, MIN_LINES, MAX_LINES = 2, 2, 16
 PRIME, FACTOR = 2_147_483_647, 1_000_003
+_WORD = r"[^\x20\x09-\x0D]"
 
 
-def chunks_of(text: Column, window: int = WINDOW, modulus: int = MODULUS) -> Column:
+def chunks_of(text: Column, window: int = WINDOW, most: int = MAX_LINES) -> Column:
     """A text's chunks in order: array of (text, lines, word_lines)."""
 
-    def rolling(hashes: Column, i: Column) -> Column:
+    def rolling(hashes: Column, k: Column) -> Column:
         value = F.lit(0).cast("long")
         for back in reversed(range(window)):
-            value = F.pmod(value * FACTOR + F.coalesce(F.get(hashes, i - back), F.lit(0)), F.lit(PRIME))
+            value = F.pmod(value * FACTOR + F.coalesce(F.get(hashes, k - back), F.lit(0)), F.lit(PRIME))
         return value
 
     def cut(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
-        last = F.size(lines) - 1
-        ends = lambda h: F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolling(h, i), F.lit(modulus)) == 0))
+        places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(_WORD), i)), lambda i: i.isNotNull())
+
+        def boundaries(at: Column) -> Column:
+            """Of the lines with words the numbers of those that a chunk ends at, the last one apart."""
+            hashes = F.transform(at, lambda i: F.conv(F.substring(F.md5(F.get(lines, i)), 1, 7), 16, 10).cast("long"))
+            values = let(hashes, lambda h: F.transform(h, lambda x, k: rolling(h, k)))
+            least = lambda v: F.filter(F.transform(v, lambda x, k: F.when((x < F.get(v, k - 1)) & (x < F.get(v, k + 1)), k)), lambda k: k.isNotNull())
+
+            def divided(minima: Column) -> Column:
+                start = lambda j: F.coalesce(F.get(minima, j - 1) + 1, F.lit(0))
+                last = F.size(at) - 1
+                inner = lambda s, e: F.when(s + most - 1 < e, F.sequence(s + most - 1, e - 1, F.lit(most))).otherwise(F.array().cast("array<int>"))
+                parts = F.transform(F.concat(minima, F.array(last)), lambda e, j: F.concat(inner(start(j), e), F.when(e < last, F.array(e)).otherwise(F.array().cast("array<int>"))))
+                return F.flatten(parts)
+
+            return let(let(values, least), divided)
 
         def chunk(own: Column) -> Column:
-            return F.struct(F.array_join(own, "\n").alias("text"), F.size(own).alias("lines"), F.size(F.filter(own, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("word_lines"))
+            return F.struct(F.array_join(own, "\n").alias("text"), F.size(own).alias("lines"), F.size(F.filter(own, lambda x: x.rlike(_WORD))).alias("word_lines"))
 
         def chunks(e: Column) -> Column:
             start = lambda k: F.coalesce(F.get(e, k - 1) + 1, F.lit(0))
             return F.transform(e, lambda end, k: let(F.slice(lines, start(k) + 1, end - start(k) + 1), chunk))
 
-        return let(let(hashes, ends), chunks)
+        ends = let(places, lambda at: F.concat(F.transform(boundaries(at), lambda k: F.get(at, k)), F.array(F.size(lines) - 1)))
+        return let(ends, chunks)
 
     return F.when(text.isNotNull(), let(F.split(text, "\n", -1), cut))
 
 
 def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """(key, place): the chunks that go."""
+    """(key, doc, place): the chunks that go; doc is the hash of the row's text."""
     hashed = lambda c: F.transform(c, lambda x: F.struct(F.xxhash64(x["text"]).alias("hash"), x["word_lines"].alias("word_lines")))
-    rows = docs.select(F.col(key).alias("key"), F.posexplode(hashed(chunks_of(F.col(text)))).alias("place", "chunk")).filter(F.col("chunk.word_lines") >= min_lines)
-    rows = rows.select("key", "place", F.col("chunk.hash").alias("hash"))
+    own = [F.col(key).alias("key"), F.xxhash64(text).alias("doc")]
+    rows = docs.select(*own, F.posexplode(hashed(chunks_of(F.col(text)))).alias("place", "chunk")).filter(F.col("chunk.word_lines") >= min_lines)
+    rows = rows.select("key", "doc", "place", F.col("chunk.hash").alias("hash"))
     at = F.struct("key", "place")
     index = rows.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").drop("last")
-    found = rows.join(index.hint("merge"), "hash").select("key", F.struct("place", "hash", (at == F.col("first")).alias("is_first")).alias("chunk"))
-    found = found.groupBy(F.col("key").alias("__key")).agg(F.collect_set("chunk").alias("__found"))
+    found = spread_join(rows, index, ["hash"], ["key", "place"]).select("key", "doc", F.struct("place", "hash", (at == F.col("first")).alias("is_first")).alias("chunk"))
+    found = found.groupBy(F.col("key").alias("__key"), F.col("doc").alias("__doc")).agg(F.collect_set("chunk").alias("__found"))
     # of the texts, only repeated chunks go on from here
-    met = docs.join(found.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key")))
+    met = docs.join(found.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__doc")))
     texts = let(chunks_of(F.col(text)), lambda c: F.transform("__found", lambda x: F.struct(x["place"].alias("place"), x["hash"].alias("hash"), x["is_first"].alias("is_first"), F.get(c, x["place"])["text"].alias("text"))))
-    met = saved(met.select(F.col(key).alias("key"), F.explode(texts).alias("c")).select("key", "c.*").filter(F.xxhash64("text") == F.col("hash")), "repeated-chunks")
+    met = saved(met.select(*own, F.explode(texts).alias("c")).select("key", "doc", "c.*").filter(F.xxhash64("text") == F.col("hash")), "repeated-chunks")
     first = met.filter("is_first").groupBy("hash").agg(F.min("text").alias("first_text"))
     later = met.filter("NOT is_first")
-    return later.join(first.hint("merge"), "hash").filter(F.encode("text", "utf-8") == F.encode("first_text", "utf-8")).select("key", "place")
+    return spread_join(later, first, ["hash"], ["key", "place"]).filter(F.encode("text", "utf-8") == F.encode("first_text", "utf-8")).select("key", "doc", "place")
 
 
 def with_line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """docs with n_lines, n_removed (lines), clean_text."""
-    gone = repeated_chunks(docs, key, text, min_lines).groupBy("key").agg(F.collect_set("place").alias("__gone")).withColumnRenamed("key", "__key")
+    gone = repeated_chunks(docs, key, text, min_lines).groupBy(F.col("key").alias("__key"), F.col("doc").alias("__doc")).agg(F.collect_set("place").alias("__gone"))
     docs = docs.drop(*[c for c in ("n_lines", "n_removed", "clean_text") if c != text])
-    met = docs.join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    met = docs.join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__doc")), "left").drop("__key", "__doc")
     stays = lambda c: F.filter(c, lambda x, i: ~F.array_contains(F.col("__gone"), i))
     lines = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["lines"])
     made = let(chunks_of(F.col(text)), lambda c: let(stays(c), lambda k: F.struct(lines(c).alias("n"), lines(k).alias("left"), F.array_join(F.transform(k, lambda x: x["text"]), "\n").alias("text"))))
@@ -100,7 +118,7 @@ def stretches_of(text: Column, min_lines: int = MIN_LINES) -> Column:
     """A text's stretches of min_lines lines with words, and the blank lines among them: array of (place, end, digest)."""
 
     def found(lines: Column) -> Column:
-        places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+        places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(_WORD), i)), lambda i: i.isNotNull())
 
         def stretches(at: Column) -> Column:
             def stretch(i: Column, k: Column) -> Column:
@@ -120,7 +138,7 @@ def repeated_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.explode(stretches_of(F.col(text), min_lines)).alias("s")).select("key", "hash", "s.*")
     at = F.struct("key", "place")
     index = rows.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").drop("last")
-    return rows.join(index.hint("merge"), "digest").filter(at > F.col("first")).select("key", "hash", "place", "end")
+    return spread_join(rows, index, ["digest"], ["key", "place"]).filter(at > F.col("first")).select("key", "hash", "place", "end")
 
 
 def with_passage_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
@@ -153,16 +171,20 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("kept_sha256"))
 
 
-#: Common table expressions that end in `deduped` (doc_id, n_lines, n_removed, clean_text), over `{docs}`.
+#: Common table expressions that end in `deduped` (doc_id, text, n_lines, n_removed, clean_text), over `{docs}`.
 DEDUP_SQL = rf"""
-dl AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM {{docs}}),
-dh AS (SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM dl)),
-dr AS (SELECT doc_id, i, line, ((coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * {FACTOR} + h) % {PRIME}) % {MODULUS} = 0 AS cut FROM dh),
-dc AS (SELECT doc_id, i, line, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM dr),
-ch AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS word_lines FROM dc GROUP BY doc_id, place),
-cm AS (SELECT *, word_lines >= {MIN_LINES} AND row_number() OVER (PARTITION BY chunk, word_lines >= {MIN_LINES} ORDER BY doc_id, place) > 1 AS gone FROM ch),
-cd AS (SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '') AS clean FROM cm GROUP BY doc_id),
-deduped AS (SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN clean END AS clean_text FROM dl d LEFT JOIN cd ON d.doc_id = cd.doc_id)
+dl AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, row_number() OVER () AS r FROM (SELECT DISTINCT doc_id, text FROM {{docs}})),
+dh AS (SELECT r, i, line, regexp_matches(line, '{_WORD}') AS word FROM (SELECT r, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM dl)),
+dw AS (SELECT r, i, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM dh WHERE word),
+dv AS (SELECT r, i, (coalesce(lag(h) OVER w, 0) * {FACTOR} + h) % {PRIME} AS v, lead(i) OVER w IS NULL AS is_last FROM dw WINDOW w AS (PARTITION BY r ORDER BY i)),
+dm AS (SELECT r, i, is_last, coalesce(v < lag(v) OVER w AND v < lead(v) OVER w, false) AS least FROM dv WINDOW w AS (PARTITION BY r ORDER BY i)),
+db AS (SELECT *, coalesce(sum(least::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM dm),
+de AS (SELECT r, i, NOT is_last AND (least OR row_number() OVER (PARTITION BY r, base ORDER BY i) % {MAX_LINES} = 0) AS cut FROM db),
+dc AS (SELECT h.r, h.i, line, word, coalesce(sum(cut::INT) OVER (PARTITION BY h.r ORDER BY h.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM dh h LEFT JOIN de e ON e.r = h.r AND e.i = h.i),
+ch AS (SELECT r, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, count(*) FILTER (word) AS word_lines FROM dc GROUP BY r, place),
+cm AS (SELECT c.*, word_lines >= {MIN_LINES} AND rank() OVER (PARTITION BY chunk, word_lines >= {MIN_LINES} ORDER BY doc_id NULLS FIRST, place) > 1 AS gone FROM ch c JOIN dl USING (r)),
+cd AS (SELECT r, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '') AS clean FROM cm GROUP BY r),
+deduped AS (SELECT d.doc_id, d.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN clean END AS clean_text FROM {{docs}} d JOIN dl ON d.doc_id IS NOT DISTINCT FROM dl.doc_id AND d.text IS NOT DISTINCT FROM dl.text LEFT JOIN cd ON dl.r = cd.r)
 """
 
 ORACLE = f"WITH {DEDUP_SQL.format(docs='documents')} SELECT doc_id, n_lines, n_removed, sha256(clean_text) AS kept_sha256 FROM deduped"

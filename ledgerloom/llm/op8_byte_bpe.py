@@ -11,7 +11,9 @@ Stability is provable from neighbours alone: a sequence of tokens is the encodin
 neighbours are the encoding of theirs.  Outside the window all neighbours are so already, inside they are as the
 window is an encoding; so only the two pairs at its ends have to be looked at.
 
-Decoding concatenates the tokens' bytes up the tree.  Nulls and empty texts have no ids and decode to empty bytes.
+Decoding concatenates the tokens' bytes up the tree.  Nulls and empty texts have no ids and decode to empty bytes.  Texts of
+any length are encoded whole; rows are encoded one by one, so repeated rows get equal ids and an empty table an empty
+result.  Of matches equal in rank the leftmost merges first, as the library has it.
 """
 
 from __future__ import annotations
@@ -28,12 +30,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm._shared import CACHE_WORDS, with_columns_from
+from ledgerloom.llm._shared import with_columns_from
 
 #: Characters in a leaf of a text's tree, ids in a leaf of the decoding tree, bytes that are merged without halving.
 LEAF, ID_LEAF, PIECE_LEAF = 65_536, 65_536, 6
 #: Parts and windows of up to so many bytes are remembered.
 WINDOW_BYTES = 12
+#: Bytes, about, that a worker's memory of encoded matches takes, and each of those of parts, windows and neighbours.
+MATCH_CACHE, PART_CACHE = 40 << 20, 12 << 20
+
+
+class Cache(dict):
+    """A dictionary that starts afresh when what it holds outgrows its bound."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, key, value, size: int):
+        """value, remembered; size: bytes of key and value besides some 200 for their objects."""
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        self.held += size + 200
+        self[key] = value
+        return value
 
 
 class TreeCodec:
@@ -52,10 +73,9 @@ class TreeCodec:
         # \s by name: the two regular-expression engines must agree on what white space is
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.cut = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})")
-        self.packed: dict[str, bytes] = {}
-        self.parts: dict[bytes, list[int]] = {}
-        self.windows: dict[bytes, list[int]] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.packed = Cache(MATCH_CACHE)  # match: packed ids
+        self.parts, self.windows = Cache(PART_CACHE), Cache(PART_CACHE)  # bytes: ids
+        self.stable = Cache(PART_CACHE)  # two neighbouring ids: whether they are stable
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first: the definition, for windows; a heap over linked parts, so that long ones cost n log n."""
@@ -65,10 +85,7 @@ class TreeCodec:
             return known
         n, rank = len(piece), self.ranks.get
         if n <= WINDOW_BYTES:
-            if len(self.windows) >= CACHE_WORDS:
-                self.windows.clear()
-            out = self.windows[piece] = self.merge_short(piece)
-            return out
+            return self.windows.keep(piece, self.merge_short(piece), 9 * n)
         end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that starts at a byte
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapify(heap)
@@ -108,9 +125,7 @@ class TreeCodec:
         """Whether two neighbouring tokens are the encoding of their bytes."""
         key = left, right
         if (known := self.stable.get(key)) is None:
-            if len(self.stable) >= CACHE_WORDS:
-                self.stable.clear()
-            known = self.stable[key] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self.stable.keep(key, self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right], 0)
         return known
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
@@ -138,19 +153,11 @@ class TreeCodec:
             out = self.merge(piece)
         else:
             out = self.joined(self.encode_piece(piece[: n // 2]), self.encode_piece(piece[n // 2 :]))
-        if n <= WINDOW_BYTES:
-            if len(self.parts) >= CACHE_WORDS // 2:
-                self.parts.clear()
-            self.parts[piece] = out
-        return out
+        return self.parts.keep(piece, out, 9 * n) if n <= WINDOW_BYTES else out
 
     def pack(self, piece: str) -> bytes:
-        if len(self.packed) >= CACHE_WORDS:
-            self.packed.clear()
         value = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
-        if len(piece) < 64:
-            self.packed[piece] = value
-        return value
+        return self.packed.keep(piece, value, len(piece) + len(value)) if len(piece) < 64 else value
 
     def encode(self, text: str) -> bytes:
         """A text's ids as little-endian unsigned 32-bit integers."""

@@ -1,19 +1,21 @@
 """Licence scans with a positional index of rare words.
 
-Each template notice is indexed by its highest-IDF words (a share of RARE_SHARE of its distinct words, at least two),
-with their positions; document frequencies of the templates' words are counted over all documents.  In a text every
-occurrence of an indexed word votes for the templates and relative positions its postings name.  Votes for one template
-at relative positions within DRIFT of each other are intersected: an alignment needs votes from MIN_VOTES of the
-template's indexed words, all of its key phrases within the aligned stretch, and MIN_SCORE of its words in order there.
+The words of all templates (notices and licence texts) are indexed with their positions.  Of a file's own licence words,
+those that some template holds, the RARE_SHARE of highest IDF and at least RARE_LEAST are looked up; ties go to the smaller
+word, and document frequencies are counted over all documents.  Every place of such a word votes for the templates and
+relative positions its postings name.  Votes for one template at relative positions within its drift of each other are
+intersected: an alignment needs votes from MIN_VOTES of the template's places that hold looked-up words, all of its key
+phrases within the aligned stretch, and MIN_SCORE of its words in order there.
 
 Apart from that, base phrases are found wherever their words stand consecutively.  Words are maximal runs of a-z, 0-9
 and non-ASCII characters after lower-casing A-Z.  Null and empty texts have no words, labels are then empty strings and
-the score is 0.  Rows are scanned one by one, so repeated rows get equal results.
+the score is 0.  Whole texts are scanned, row by row, so repeated rows get equal results, and an empty table an empty one.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -22,42 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm._licences import TEMPLATES
 from ledgerloom.llm._shared import SLICE_ROWS, utf8_rows, with_columns_from
 
-RARE_SHARE, DRIFT, MIN_VOTES, MIN_SCORE = 0.5, 2, 0.6, 0.7
+RARE_SHARE, RARE_LEAST, MIN_VOTES, MIN_SCORE = 0.5, 8, 0.6, 0.7
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label, notice, key phrases that must all stand in it
-TEMPLATES = [
-    ("mit", "released under the MIT License", ["mit license"]),
-    ("mit", "licensed under the MIT License", ["mit license"]),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ["permission is hereby granted", "without restriction"]),
-    ("apache-2.0", "licensed under the Apache License, Version 2.0", ["apache license", "version 2 0"]),
-    ("gpl-3.0", "licensed under the GNU General Public License, version 3", ["gnu general public license", "version 3"]),
-    ("gpl-2.0", "licensed under the GNU General Public License, version 2", ["gnu general public license", "version 2"]),
-    ("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ["gnu general public license", "version 3"]),
-    ("gpl-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License", ["gnu general public license", "version 2"]),
-    ("lgpl", "licensed under the GNU Lesser General Public License", ["lesser general public license"]),
-    ("agpl-3.0", "licensed under the GNU Affero General Public License", ["affero general public license"]),
-    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license", "2 0"]),
-    ("epl-2.0", "made available under the terms of the Eclipse Public License 2.0", ["eclipse public license"]),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use", "are permitted provided"]),
-    ("bsd", "licensed under the BSD License", ["bsd license"]),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify", "hereby granted"]),
-    ("unlicense", "This is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
-    ("cc0-1.0", "licensed under CC0 1.0 Universal Public Domain Dedication", ["cc0 1 0"]),
-    ("cc-by-4.0", "licensed under CC BY 4.0", ["cc by 4 0"]),
-    ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0", ["cc by sa 4 0"]),
-    ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0", ["cc by nc 4 0"]),
-    ("cc-by-nc-sa-4.0", "licensed under CC BY-NC-SA 4.0", ["cc by nc sa 4 0"]),
-    ("cc-by-nd-4.0", "licensed under CC BY-ND 4.0", ["cc by nd 4 0"]),
-    ("cc-by-4.0", "licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4 0"]),
-    ("cc-by-sa-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["creative commons attribution sharealike 4 0"]),
-    ("cc-by-nc-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["creative commons attribution noncommercial 4 0"]),
-    ("all-rights-reserved", "Copyright. All rights reserved", ["all rights reserved", "copyright"]),
-]
-
 _TABLE = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -65,20 +38,31 @@ def license_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-def _in_order(words: list[bytes], template: list[bytes], start: int) -> float:
-    """Share of a template's words that follow each other in words[start : ...], within DRIFT of their places."""
-    at, found = max(0, start), 0
+def drift_of(template: list[bytes]) -> int:
+    """Words by which a place may be off: two, and one more for each 25 words."""
+    return 2 + len(template) // 25
+
+
+def in_order(words: list[bytes], template: list[bytes], start: int) -> float:
+    """Share of a template's words that follow each other in words[start : ...], within its drift of their places."""
+    at, found, drift = max(0, start), 0, drift_of(template)
     for q, w in enumerate(template):
-        stop = min(len(words), start + q + DRIFT + 1)
-        for p in range(max(at, start + q - DRIFT), stop):
+        for p in range(max(at, start + q - drift), min(len(words), start + q + drift + 1)):
             if words[p] == w:
                 found, at = found + 1, p + 1
                 break
     return found / len(template)
 
 
+def has_keys(words: list[bytes], template: list[bytes], keys: list[list[bytes]], start: int) -> bool:
+    """Whether all key phrases stand in the stretch that a template would take."""
+    drift = drift_of(template)
+    stretch = words[max(0, start - drift) : max(0, start + len(template) + 2 * drift)]
+    return all(any(stretch[i : i + len(k)] == k for i in range(len(stretch) - len(k) + 1)) for k in keys)
+
+
 class LicenseIndex:
-    """Postings of the templates' rare words."""
+    """Postings of the templates' words."""
 
     def __init__(self, frequency: dict[bytes, int], documents: int, templates=TEMPLATES, base=BASE):
         self.labels = [label for label, _, _ in templates]
@@ -87,40 +71,39 @@ class LicenseIndex:
         self.base = [(license_words(p.encode()), label) for p, label in base.items()]
         self.base_firsts = {p[0] for p, _ in self.base}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.indexed = []
         for t, words in enumerate(self.templates):
-            by_idf = sorted(set(words), key=lambda w: (-math.log((1 + documents) / (1 + frequency.get(w, 0))), w))
-            rare = set(by_idf[: max(2, math.ceil(RARE_SHARE * len(by_idf)))])
-            places = [(q, w) for q, w in enumerate(words) if w in rare]
-            self.indexed.append(len(places))
-            for q, w in places:
+            for q, w in enumerate(words):
                 self.postings[w].append((t, q))
+        idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in self.postings}
+        self.rank = {w: r for r, w in enumerate(sorted(idf, key=lambda w: (-idf[w], w)))}
 
     @staticmethod
     def vocabulary(templates=TEMPLATES) -> set[bytes]:
         return {w for _, t, _ in templates for w in license_words(t.encode())}
 
-    def aligned(self, words: list[bytes], hits: list[int]) -> list[tuple[int, float]]:
+    def aligned(self, words: list[bytes]) -> list[tuple[int, float]]:
         """(template, score) of each verified alignment."""
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for p, w in enumerate(words):
+            if w in self.rank:
+                places[w].append(p)
+        own = sorted(places, key=self.rank.__getitem__)
         votes: dict[int, Counter] = defaultdict(Counter)
-        for p in hits:
-            for t, q in self.postings[words[p]]:
-                votes[t][p - q] += 1
+        asked: Counter = Counter()
+        for w in own[: max(RARE_LEAST, math.ceil(RARE_SHARE * len(own)))]:
+            for t, q in self.postings[w]:
+                asked[t] += 1
+                votes[t].update([p - q for p in places[w]])
         out = []
         for t, at in votes.items():
-            starts, need = sorted(at), math.ceil(MIN_VOTES * self.indexed[t])
+            template, starts, need = self.templates[t], sorted(at), math.ceil(MIN_VOTES * asked[t])
+            drift = drift_of(template)
             for i, s in enumerate(starts):
-                near, j = 0, i
-                while j < len(starts) and starts[j] - s <= DRIFT:
-                    near, j = near + at[starts[j]], j + 1
-                if near >= need and self.has_keys(words, t, s) and (score := max(_in_order(words, self.templates[t], x) for x in starts[i:j])) >= MIN_SCORE:
+                j = bisect_left(starts, s + drift + 1)
+                if sum(at[x] for x in starts[i:j]) >= need and has_keys(words, template, self.keys[t], s) and (score := max(in_order(words, template, x) for x in starts[i:j])) >= MIN_SCORE:
                     out.append((t, score))
         return out
 
-    def has_keys(self, words: list[bytes], t: int, start: int) -> bool:
-        stretch = words[max(0, start - DRIFT) : start + len(self.templates[t]) + 2 * DRIFT]
-        return all(any(stretch[i : i + len(k)] == k for i in range(len(stretch) - len(k) + 1)) for k in self.keys[t])
-
     def scan(self, text: bytes | None) -> tuple:
         words = license_words(text)
         places, base_labels = [], set()
@@ -129,7 +112,7 @@ class LicenseIndex:
                 if words[p : p + len(phrase)] == phrase:
                     places.append(p)
                     base_labels.add(label)
-        found = self.aligned(words, [i for i, w in enumerate(words) if w in self.postings])
+        found = self.aligned(words)
         labels = base_labels | {self.labels[t] for t, _ in found}
         score = 1.0 if places else max([s for _, s in found], default=0.0)
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score

@@ -431,3 +431,200 @@ def test_op1_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     for i, n, gone, kept in brute_windows(docs):
         assert (rows[i]["n_words"], rows[i]["n_removed"], rows[i]["kept_sha256"]) == (n, gone, brute_digest(kept))
+
+
+def test_op6_against_plain_regular_expressions(spark):
+    import regex
+
+    from ledgerloom.llm import op6_pii as op6
+
+    pattern = regex.compile(op6.PATTERN.replace(r"\p{Is", r"\p{"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    entity, shape = {}, lambda x: regex.sub(r"\p{L}+", "a", regex.sub("[0-9]", "0", x))
+    for r in with_surrogates(docs, "k").collect():
+        found = list(pattern.finditer(r["text"]))
+        assert r["n_entities"] == len(found)
+        at = 0
+        names = any(m[0].split()[0].rstrip(".") in sum(op6.TITLES.values(), []) for m in found)
+        for m in found if not names else ():  # what stands between entities stays
+            rest = r["clean_text"][at:]
+            gap = r["text"][found[found.index(m) - 1].end() if m is not found[0] else 0 : m.start()]
+            assert rest.startswith(gap)
+            other = pattern.match(r["clean_text"], at + len(gap))
+            assert other and other[0] != m[0] and ("@" in m[0] or regex.match(op6.IP, m[0]) or shape(other[0]) == shape(m[0]) or regex.fullmatch(op6.SECRET, m[0]))
+            same = m[0].lower() if "@" in m[0] or regex.fullmatch(op6.SECRET, m[0]) else m[0] if regex.fullmatch(op6.IP, m[0]) else regex.sub("[^0-9]", "", m[0])
+            drawn = other[0].lower() if same == m[0].lower() else other[0] if same == m[0] else regex.sub("[^0-9]", "", other[0])
+            assert entity.setdefault(same, drawn) == drawn
+            at += len(gap) + len(other[0])
+    assert len(set(entity.values())) == len(entity) > 10 and not set(entity) & set(entity.values())
+
+
+def test_op6_formats_and_names_without_a_title(spark):
+    text = "Anna Smith wrote joe@mail.a.co.uk; SMITH and Мария Иванова answered John Smith. Ἰ. " + "filler " * 20000 + "x@y.org"
+    out = with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    clean = out["clean_text"]
+    assert out["n_entities"] == 5 and not re.search("anna|smith|иванова|joe@", clean, re.I)
+    assert re.search(r"\b[a-z]{3}@[a-z]{4}\.[a-z]\.[a-z]{2}\.example\b", clean) and clean.count("filler") == 20000
+    first, surname = clean.split()[:2]
+    assert first.endswith("lia") and clean.count(surname) == 2 and surname.upper() in clean
+
+
+def test_op6_numbers_grow_where_all_are_taken(spark):
+    from ledgerloom.llm import op6_pii as op6
+
+    some = spark.createDataFrame([("phone", "10"), ("phone", "11"), ("ssn", "7"), ("ip", "1.2.3.4"), ("card", "4111111111111111")], "kind string, form string")
+    late = {r["form"]: r["s"] for r in some.select("form", op6.surrogate("k", F.col("kind"), F.col("form"), F.lit(op6.LONGER + 2)).alias("s")).collect()}
+    assert len(late["10"]) == len(late["11"]) == 5 and len(late["7"]) == 4 and late["1.2.3.4"].startswith("2001:db8:") and len(late["4111111111111111"]) == 19
+    every = spark.createDataFrame([("ssn", str(i)) for i in range(10)], "kind string, form string")  # all numbers of one digit
+    rows = op6.distinct_surrogates(every, "k").collect()
+    assert len({r["surrogate"] for r in rows}) == 10 and all(len(r["surrogate"]) > 1 for r in rows)
+    assert spark.range(1).select(op6.written_like(F.lit("1-2"), F.lit("9876")).alias("w")).first()["w"] == "9-876"
+
+
+def test_op2_recall_at_the_bound(spark):
+    """At least 0.9 of more than 1,000 pairs that have as many edits as the bound allows, and nothing that isn't near enough."""
+    rng = random.Random(11)
+    words = lambda n: rng.choices(VOCABULARY, k=n)
+    items = [(i, words([4, 7, 9, 12, 16, 20, 25, 33, 48, 90][i % 10])) for i in range(100)]
+    rows, planted = [], []
+    for k in range(1200):
+        i, own = items[k % 100]
+        changed = list(own)
+        for _ in range(op2.allowed(len(own))):
+            p = rng.randrange(len(changed))
+            changed[p : p + 1] = rng.choice([[], ["zz"], [changed[p], "yy"]])
+        rows.append((k, " ".join(words(30) + changed + words(20))))
+        planted.append((k, i))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in op2.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    near = {(d, i): edit_distance_to_best_stretch(items[i][1], rows[d][1].split()) for d, i in planted}
+    true = {p for p, n in near.items() if n <= op2.allowed(len(items[p[1]][1]))}
+    assert len(true) > 1000 and len(true & set(found)) >= 0.9 * len(true)
+    for (d, i), n in found.items():
+        best = near.get((d, i)) if (d, i) in near else edit_distance_to_best_stretch(items[i][1], rows[d][1].split())
+        assert best <= n <= op2.allowed(len(items[i][1]))
+
+
+def test_op2_short_items_and_repeated_seeds(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta"), (2, "one two three")], "item_id long, text string")
+    docs = [(1, "Alpha beta gamma delta epsilon zeta eta"), (2, "one two three " * 20000), (3, "one two four three"), (4, "alpha beta x delta epsilon zeta eta")]
+    found = {tuple(r) for r in op2.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert found == {(1, 1, 0, 7, 0), (2, 2, 0, 3, 0), (4, 1, 0, 7, 1)}
+
+
+def thue_morse(n, a, b):
+    word = "0"
+    while len(word) < n:
+        word += word.translate(str.maketrans("01", "10"))
+    return word.translate(str.maketrans("01", a + b)), word.translate(str.maketrans("01", b + a))
+
+
+def test_words_made_to_meet_in_a_hash_stay_apart(spark):
+    one, two = thue_morse(2048, "a", "b")
+    same = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(1, " ".join([*same, one])), (2, " ".join([*same, two])), (3, one), (4, two)], "doc_id long, text string")
+    assert {r["n_removed"] for r in factor_documents(docs).collect()} == {0}
+    assert {r["doc_id"]: r["component_id"] for r in with_near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert op2.find_leaks(docs, spark.createDataFrame([(1, one)], "item_id long, text string")).select("doc_id").distinct().count() == 2
+
+
+def test_op7_tells_rows_of_one_id_apart(spark):
+    a, b = ("\n".join(WORDS(9) for _ in range(12)) for _ in range(2))
+    for dedup in (with_line_dedup, with_passage_dedup):
+        out = {(r["doc_id"], r["text"]): r for r in dedup(spark.createDataFrame([(1, a), (7, a), (7, b), (None, None)], "doc_id long, text string")).collect()}
+        assert out[7, b]["clean_text"] == b and out[1, a]["clean_text"] == a and out[7, a]["n_removed"] == 12
+
+
+def test_op7_chunks_have_two_lines_and_an_end(spark):
+    from ledgerloom.llm.op7_line_dedup import MAX_LINES, chunks_of
+
+    texts = ["\n".join(WORDS(6) for _ in range(300)), "\n".join(["same line"] * 100), "one\n\n\ntwo", "\n\n", ""]
+    for text, row in zip(texts, spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(chunks_of(F.col("t")).alias("c")).collect()):
+        assert "\n".join(c["text"] for c in row["c"]) == text
+        assert all(2 <= c["word_lines"] <= MAX_LINES for c in row["c"][:-1]) and row["c"][-1]["word_lines"] <= MAX_LINES
+
+
+def test_op8_a_long_text_without_cuts_in_its_second_half(spark):
+    import base64
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = "page text " * 100_000 + "".join(RNG.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_200_000))
+    row = decode_ids(encode_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).first()
+    assert np.frombuffer(row["token_ids"], "<u4").tolist() == library.encode_ordinary(text) and bytes(row["decoded"]) == text.encode()
+
+
+def brute_labels(text):
+    """Labels of all templates that verify anywhere, without an index."""
+    from ledgerloom.llm import op9_license_scan as op9
+
+    words, labels = license_words(text.encode()), set()
+    for label, template, keys in op9.TEMPLATES:
+        t, k = license_words(template.encode()), [license_words(x.encode()) for x in keys]
+        if any(op9.has_keys(words, t, k, s) and op9.in_order(words, t, s) >= op9.MIN_SCORE for s in range(-2, len(words))):
+            labels.add(label)
+    return labels
+
+
+def test_op9_labels_against_brute_force(spark):
+    from ledgerloom.llm import op9_license_scan as op9
+
+    rng, texts = random.Random(4), []
+    for k in range(90):
+        words = op9.TEMPLATES[k % len(op9.TEMPLATES)][1].split()
+        for _ in range(len(words) // 12):  # a few words changed
+            words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+        texts.append(f"{WORDS(rng.randrange(40))}. {' '.join(words)} {WORDS(rng.randrange(40))} the license of any person to use software")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    total = hit = 0
+    for r in with_licenses(docs).collect():
+        true, got = brute_labels(r["text"]), set(r["labels"].split(",")) - set(r["base_labels"].split(",")) - {""}
+        assert got <= true
+        total, hit = total + len(true - set(r["base_labels"].split(","))), hit + len(got)
+    assert total > 60 and hit >= 0.95 * total
+
+
+def test_op10_fit_against_plain_numpy(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(VOCABULARY[:60] + (["nasty"] * 9 if i % 4 == 0 else []), k=40))) for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    weights, intercept = op10.train_weights(docs, labels)
+    own = [(int(i % 4 == 0), op10.features_of(t.encode())) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    n, counts = np.zeros(2, np.int64), np.zeros((2, 1 << op10.BITS), np.int64)
+    for y, x in own:
+        n[y] += 1
+        counts[y, x] += 1
+    ratio, keep = op10.log_ratios(n, counts)
+    x = np.zeros((len(own), len(keep)))
+    for r, (_, ids) in enumerate(own):
+        x[r] = np.isin(keep, ids) * ratio[keep]
+    y, w, b = np.array([y for y, _ in own]), np.zeros(len(keep)), 0.0
+    for _ in range(20000):  # plain gradient descent
+        gap = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.05 * (x.T @ gap + w) / len(y), b - 0.05 * gap.sum() / len(y)
+    assert len(keep) and np.corrcoef(w * ratio[keep], weights[keep])[0, 1] > 0.99
+    z = lambda w, b: 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(z(w, b) - z(weights[keep] / ratio[keep], intercept)).max() < 0.05
+
+
+def test_op10_edges(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    weights, intercept = op10.train_weights(odd, labels)
+    out = op10.with_toxicity(odd, weights, intercept)
+    assert out.count() == len(corpus()) and out.columns.count("score") == 1 and op10.with_toxicity(empty, weights, intercept).count() == 0
+    assert {r["h"] for r in odd.filter("doc_id IS NULL").select(op10.is_held_out().alias("h")).collect()} == {False}
+    many = spark.createDataFrame([(1, f"text {i % 3}") for i in range(300)], "doc_id long, text string")
+    assert op10.training_rows(many, labels.filter("doc_id = 1")).count() == 1
+    assert op10.train_weights(empty, labels)[0].any() == False  # noqa: E712
+
+
+def test_op5_ties_and_languages(spark):
+    good = "\n".join(f"{WORDS(10)}." for _ in range(5))
+    lines = ["the design in spread more words empowered by terms of useful", "Cookies akzeptieren und weiter gehen bitte.", "Tous droits réservés par nous.", "leer más aquí ahora mismo.", "• one two three", "Heading", "read this and that…", "Fine."]
+    row = with_quality(spark.createDataFrame([(1, good + "\n" + "\n".join(lines))], "doc_id long, text string")).first()
+    assert row["clean_text"] == good + "\n" + lines[0] + "\nFine." and row["kept"]
+    fifty = with_quality(spark.createDataFrame([(1, good), (2, good.replace(" ", "", 1)), (3, good + "\n" + "\n".join(["NOW BUY ALL OF IT HERE AND NOW MY FRIENDS"] * 5))], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["kept"] for r in fifty[:2]] == [True, False] and fifty[2]["n_words"] == 100 and fifty[2]["kept_words"] == 50

@@ -63,3 +63,17 @@ def test_odd_rows(spark):
     for _, stage in P.STAGES:
         docs = saved(stage(spark, docs, SF), "odd")
     assert sorted(map(repr, [r["doc_id"] for r in docs.collect()])) == ["2", "2", "None"]
+
+
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (5, a), (5, b), (6, a + " more"), (6, b + " more"), (None, a), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert sorted([(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, SF).collect()], key=repr) == sorted([(3, a), (5, b), (None, a), (7, None)], key=repr)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({n: F.lit("x") for n in ("text_hash", "own", "note")})
+    for name, stage in P.STAGES[:-1]:
+        docs = saved(stage(spark, docs, SF), "clash")
+        assert {"text_hash", "own", "note"} <= set(docs.columns) and docs.count() > 0
