@@ -5,8 +5,8 @@ then position) of each window of WINDOW words that more than one document may ha
 from left to right: a factor begins at the first window, not yet covered by one, whose first place is in a document with a
 smaller doc_id, and takes in word after word while the next window has its first place one word further in the same
 source.  At its boundary, the window that straddles it is looked up: it opens the next factor, which may overlap, or none
-does.  Each factor then goes to the block of its source, where its words are compared with those of the source (their
-bytes, by a 128-bit BLAKE2b digest); only factors that agree become duplicate spans.  Factors are at least WINDOW words
+does.  The words of each factor are then compared with those of its source (their bytes, by a 128-bit BLAKE2b digest):
+a block asks the blocks of the sources once for each stretch and words, and factors that these refuse are dropped.  Factors are at least WINDOW words
 long and together hold exactly the windows that start in an earlier document.
 
 Which windows may be shared is found first, from anchors: the smallest hash of ANCHOR consecutive words in a window.
@@ -36,8 +36,26 @@ WINDOW, ANCHOR = 13, 5
 ANCHOR_BITS = 40
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start: int, length: int, source: long, source_start: int>>"
 _FACTOR = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
-#: A factor on its way to its source's block and back: whose it is (block, key, digest of the text), where, and its words' digest.
-_FACTOR_ROW = "home int, key long, doc binary, start int, length int, block int, source long, source_start int, words binary"
+#: Factors on their way.  A document's own (block `home`, key, digest of its text) go to its block; where `doc` is null, the row asks
+#: block `target` for sources.  The arrays are packed, an entry a factor: start, length, source, place in the source, digest of the words.
+_ROWS = "target int, home int, key long, doc binary, start binary, length binary, source binary, source_start binary, words binary"
+_KINDS = {"start": np.int32, "length": np.int32, "source": np.int64, "source_start": np.int32}
+
+
+def _row(target: int, home: int, key: int | None, doc: bytes | None, factors: list[tuple[int, int, int, int, bytes]]) -> dict:
+    columns = list(zip(*factors))
+    packed = {n: np.array(c, k).tobytes() for (n, k), c in zip(_KINDS.items(), columns)}
+    return {"target": target, "home": home, "key": key, "doc": doc, **packed, "words": b"".join(columns[4])}
+
+
+def _factors(row: dict) -> list[tuple[int, int, int, int, bytes]]:
+    columns = [np.frombuffer(row[n], k).tolist() for n, k in _KINDS.items()]
+    return [(*f, row["words"][16 * i : 16 * i + 16]) for i, f in enumerate(zip(*columns))]
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.Table.from_pylist(rows, pa.schema([(n, kinds[k]) for n, k in (c.split() for c in _ROWS.split(", "))]))
 
 
 def anchors_of(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -125,84 +143,84 @@ def factor_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         return pa.table(out | {name: pa.array([squeeze(x[leader[spans[i]]]) for i in keep], pa.binary()) for name, x in (("sources", sources), ("places", places), ("homes", homes))})
 
     def parse(table: pa.Table, answers: pa.Table) -> pa.Table:
-        """The block's factors."""
+        """The block's factors by document, and what it asks other blocks: each question once."""
         ids, texts, null = block_rows(table) if len(table) else (np.empty(0, np.int64), [], np.empty(0, bool))
         known = _joined([expand_sorted(x) for x in answers.column("keys").to_pylist()], np.uint64)
         order = np.argsort(known)
         known = known[order]
         sources, places, homes = (_joined([expand(x, kind) for x in answers.column(name).to_pylist()], kind)[order] for name, kind in (("sources", np.int64), ("places", np.uint32), ("homes", np.uint32)))
-        rows: list[tuple] = []
+        home, rows = table.column("block")[0].as_py() if len(table) else 0, []
         done: set[tuple[int, bytes]] = set()  # repeated rows send their factors once
-        for i, t, no in zip(ids, texts, null) if len(known) else ():
+        asked: dict[int, set[tuple]] = {}
+        for i, t, no in zip(ids.tolist(), texts, null.tolist()) if len(known) else ():
             keys = shingle_hashes(word_hashes(t), window, seed=2)
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             begins = np.flatnonzero((known[at] == keys) & (sources[at] < i))
-            if not len(begins):
+            if not len(begins) or (i, doc := digest(t)) in done:
                 continue
-            source, place, home = sources[at[begins]], places[at[begins]].astype(np.int64), homes[at[begins]]
+            done.add((i, doc))
+            source, place, block = sources[at[begins]], places[at[begins]].astype(np.int64), homes[at[begins]]
             goes_on = (np.diff(begins) == 1) & (np.diff(source) == 0) & (np.diff(place) == 1)
             heads = np.append(0, np.flatnonzero(~goes_on) + 1)
             lengths = begins[np.append(heads[1:], len(begins)) - 1] - begins[heads] + window
-            words, doc = (t or b"").split(), digest(t)
-            if (i, doc) in done:
-                continue
-            done.add((i, doc))
+            words, own = (t or b"").split(), []
             for h, n in zip(heads.tolist(), lengths.tolist()):
                 start = int(begins[h])
-                rows.append((None if no else int(i), doc, start, n, int(home[h]), int(source[h]), int(place[h]), digest(b" ".join(words[start : start + n]))))
-        columns = list(zip(*rows)) or [()] * 8
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["key", "doc", "start", "length", "block", "source", "source_start", "words"]
-        home = table.column("block")[0].as_py() if len(table) else 0
-        return pa.table({"home": pa.array([home] * len(rows), pa.int32())} | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
+                factor = start, n, int(source[h]), int(place[h]), digest(b" ".join(words[start : start + n]))
+                own.append(factor)
+                asked.setdefault(int(block[h]), set()).add((0, *factor[1:]))
+            rows.append(_row(home, home, None if no else i, doc, own))
+        return _table(rows + [_row(b, home, None, None, list(f)) for b, f in asked.items()])
 
     def compare(table: pa.Table, factors: pa.Table) -> pa.Table:
-        """Of factors that name the block's documents as sources those whose words stand there."""
-        wanted: dict[int, list[int]] = {}
-        for row, source in enumerate(factors.column("source").to_pylist()):
-            wanted.setdefault(source, []).append(row)
-        starts, lengths, expected = (factors.column(c).to_pylist() for c in ("source_start", "length", "words"))
-        agree = np.zeros(len(factors), bool)
+        """Documents' own factors as they came; of what others ask those whose words don't stand in the source."""
+        rows = factors.to_pylist()
+        wanted: dict[int, dict[tuple, list[int]]] = {}
+        for row in rows:
+            for f in _factors(row) if row["doc"] is None else ():
+                wanted.setdefault(f[2], {}).setdefault(f, []).append(row["home"])
         ids, texts, _ = block_rows(table) if len(table) and wanted else (np.empty(0, np.int64), [], None)
         for i, t in zip(ids.tolist(), texts):
-            if i in wanted:
+            if wanted.get(i):
                 words = (t or b"").split()
-                for row in wanted[i]:
-                    agree[row] |= digest(b" ".join(words[starts[row] : starts[row] + lengths[row]])) == expected[row]
-        return factors.filter(pa.array(agree)).select([c.split()[0] for c in _FACTOR_ROW.split(", ")])
+                wanted[i] = {f: who for f, who in wanted[i].items() if digest(b" ".join(words[f[3] : f[3] + f[1]])) != f[4]}
+        refused: dict[int, list[tuple]] = {}
+        for own in wanted.values():
+            for f, who in own.items():
+                for home in who:
+                    refused.setdefault(home, []).append(f)
+        return _table([r for r in rows if r["doc"] is not None] + [_row(h, h, None, None, f) for h, f in refused.items()])
 
     def cut(table: pa.Table, factors: pa.Table) -> pa.Table:
         """Documents without the words of their factors."""
         ids, texts, null = block_rows(table) if len(table) else (np.empty(0, np.int64), [], np.empty(0, bool))
-        own: dict[tuple, list[dict]] = {}
-        for f in factors.select(["key", "doc", "start", "length", "source", "source_start"]).to_pylist():
-            own.setdefault((f.pop("key"), f.pop("doc")), []).append(f)
+        rows = factors.to_pylist()
+        refused = {f[1:] for r in rows if r["doc"] is None for f in _factors(r)}
+        own = {(r["key"], r["doc"]): r for r in rows if r["doc"] is not None}
         keyed = {k for k, _ in own}
         counts, removed, kept, factors_out = [], [], [], []
         for i, t, no in zip(ids.tolist(), texts, null.tolist()):
             words, key = (t or b"").split(), None if no else i
-            found = sorted(own.get((key, digest(t)), []), key=lambda f: f["start"]) if key in keyed else []
+            row = own.get((key, digest(t))) if key in keyed else None
+            found, left = [f for f in _factors(row) if f[1:] not in refused] if row else [], words
             if found:
                 cover = np.zeros(len(words) + 1, np.int64)
-                for f in found:
-                    cover[f["start"]] += 1
-                    cover[f["start"] + f["length"]] -= 1
-                stays = np.cumsum(cover[:-1]) == 0
-                left = [w for w, s in zip(words, stays.tolist()) if s]
-            else:
-                left = words
+                for start, n, *_ in found:
+                    cover[start] += 1
+                    cover[start + n] -= 1
+                left = [w for w, s in zip(words, (np.cumsum(cover[:-1]) == 0).tolist()) if s]
             counts.append(len(words))
             removed.append(len(words) - len(left))
             kept.append(b" ".join(left))
-            factors_out.append(found)
+            factors_out.append([dict(zip(("start", "length", "source", "source_start"), f)) for f in found])
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "factors": pa.array(factors_out, _FACTOR)})
 
     sent = blocks.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, keys binary, twice binary")
     shared = sent.groupBy("bucket").applyInArrow(shared_anchors, "block int, keys binary")
     windows = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_windows, "bucket int, block int, keys binary, checks binary, sources binary, places binary, again binary")
     found = windows.groupBy("bucket").applyInArrow(first_places, "block int, keys binary, sources binary, places binary, homes binary")
-    factors = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(parse, _FACTOR_ROW)
-    agreed = blocks.groupBy("block").cogroup(factors.groupBy("block")).applyInArrow(compare, _FACTOR_ROW)
+    factors = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(parse, _ROWS)
+    agreed = blocks.groupBy("block").cogroup(factors.groupBy("target")).applyInArrow(compare, _ROWS)
     return blocks.groupBy("block").cogroup(agreed.groupBy("home")).applyInArrow(cut, SCHEMA)
 
 
