@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,13 +10,19 @@ from pyspark.sql import functions as F
 
 #: White space by name, ASCII and other, so that engines agree on it.
 WHITE = "\\x09-\\x0D\\x20\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+WHITE_CHARACTERS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NBSP, DASHES, QUOTES, QUOTE_FORMS = "\u00a0", "\u2013\u2014", "\u2018\u2019\u201c\u201d", "''\"\""
 CODE_ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(x: Column) -> Column:
     """Dashes and quotes to their ASCII forms, all white space deleted (ST1)."""
-    return F.regexp_replace(F.translate(x, DASHES + QUOTES, "--" + QUOTE_FORMS), f"[{WHITE}]", "")
+    return F.translate(x, DASHES + QUOTES + WHITE_CHARACTERS, "--" + QUOTE_FORMS)
 
 
 def collapsed(x: Column) -> Column:
@@ -40,9 +47,17 @@ def char_ratio(a: Column, b: Column) -> Column:
     return F.when(lb == 0, 0.0).otherwise(F.length(normalize(a)) / lb)
 
 
-def without_comments(x: Column, keep_escaped: bool = True) -> Column:
-    """Lines cut at their first % that an even number of backslashes precedes (ST6, ST7)."""
-    return F.regexp_replace(x, r"(?m)(?<!\\)((?:\\\\)*)%[^\n]*", "$1") if keep_escaped else F.regexp_replace(x, r"%[^\n]*", "")
+def without_comments(x: Column, keep_escaped: bool = True, whole_lines: bool = False, join_lines: bool = False) -> Column:
+    """Lines cut at their first % that an even number of backslashes precedes (ST6, ST7).
+
+    The variants: any % cuts where not `keep_escaped`; lines that are comments as a whole go with their line end under
+    `whole_lines`; and under `join_lines` a comment takes the line end and the next line's indent with it.
+    """
+    if not keep_escaped:
+        return F.regexp_replace(x, r"%[^\n]*", "")
+    if whole_lines:
+        x = F.regexp_replace(x, r"(?m)^[ \t]*%[^\n]*(?:\n|\z)", "")
+    return F.regexp_replace(x, r"(?m)(?<!\\)((?:\\\\)*)%[^\n]*" + (r"(?:\n[ \t]*)?" if join_lines else ""), "$1")
 
 
 def split_keys(x: Column) -> Column:
@@ -121,6 +136,33 @@ def command_arguments(x: Column, command: str) -> Column:
     return F.regexp_extract_all(x, F.lit(r"\\" + command + r"(?![A-Za-z@])\s*(?:\[[^\]]*\]\s*)*\{([^{}]*)\}"), F.lit(1))
 
 
+def commands_with_options(x: Column, command: str) -> Column:
+    r"""Array of (options, argument) of \command[..]{..}; options is null without brackets (ST9)."""
+    pattern = r"\\" + command + r"(?![A-Za-z@])\s*(?:\[([^\]]*)\]\s*)?\{([^{}]*)\}"
+    found = lambda g: F.regexp_extract_all(x, F.lit(pattern), F.lit(g))
+    bracketed = F.transform(found(0), lambda m: m.rlike(r"^\\[A-Za-z@]+\s*\["))
+    both = F.arrays_zip(found(1).alias("o"), found(2).alias("a"), bracketed.alias("b"))
+    return F.transform(both, lambda p: F.struct(F.when(p["b"], p["o"]).alias("options"), p["a"].alias("argument")))
+
+
+def same_word(a: Column, b: Column) -> Column:
+    """Whether two names are equal but for the case of A-Z (ST24)."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(a, upper, upper.lower()) == F.translate(b, upper, upper.lower())
+
+
+def fitted_extent(width: Column, height: Column, most: int = 5_274_310, dots: int = 96) -> Column:
+    """(cx, cy) in EMU of an image of so many pixels, scaled down to the width that the text has (MA4)."""
+    emu = lambda n: (n * (914_400 // dots)).cast("double")
+    share = F.least(F.lit(1.0), most / F.greatest(emu(width), F.lit(1.0)))
+    return F.struct(F.round(emu(width) * share).cast("long").alias("cx"), F.round(emu(height) * share).cast("long").alias("cy"))
+
+
+def twips(millimetres: Column) -> Column:
+    """Twentieths of a point in so many millimetres (MA4)."""
+    return F.round(millimetres * 56.6929133858).cast("long")
+
+
 def residue_count(x: Column) -> Column:
     """Marks that markup leaves in text: commands, math, tags, entities (ST33)."""
     return F.regexp_count(x, F.lit(r"\\[A-Za-z]+|\$[^$\n]+\$|</?[A-Za-z][^<>]*>|&[a-z]+;"))

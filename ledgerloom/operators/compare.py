@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from xml.parsers import expat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from ledgerloom.functions import text as T
 
@@ -105,16 +107,88 @@ def op_counts(ops: str = "ops") -> list[Column]:
     return [count(kind) for kind in ("equal", "modified", "delete", "insert")]
 
 
+#: What a run's format is made of; a run's colour and text don't count.
+RUN_ATTRIBUTES = ("style", "bold", "italic", "underline", "vert_align", "size", "font_ascii", "font_east_asia")
+RUN = "struct<text: string, style: string, bold: boolean, italic: boolean, underline: string, vert_align: string, size: string, font_ascii: string, font_east_asia: string>"
+PARAGRAPH = f"struct<style: string, has_drawing: boolean, text: string, runs: array<{RUN}>>"
+
+
 def run_signature(runs: Column) -> Column:
     """Formats of a paragraph's runs with their counts, sorted (AG7)."""
-    keys = F.transform(runs, lambda r: F.concat_ws(";", F.concat(F.lit("style="), F.coalesce(r["style"], F.lit("-"))), F.concat(F.lit("b="), r["bold"].cast("string")), F.concat(F.lit("i="), r["italic"].cast("string"))))
-    return F.array_join(F.transform(F.array_sort(F.array_distinct(keys)), lambda k: F.concat(k, F.lit(" x"), F.size(F.filter(keys, lambda x: x == k)).cast("string"))), "; ")
+    text = lambda r, a: F.coalesce(r[a].cast("string"), F.lit("-"))
+    short = {"bold": "b", "italic": "i", "underline": "u", "vert_align": "va", "size": "sz"}
+    parts = lambda r: [F.concat(F.lit(f"{short.get(a, a)}="), text(r, a)) for a in RUN_ATTRIBUTES[:6]]
+    fonts = lambda r: F.concat(F.lit("font="), text(r, "font_ascii"), F.lit("/"), text(r, "font_east_asia"))
+    keys = F.transform(runs, lambda r: F.concat_ws(";", *parts(r), fonts(r)))
+    counted = lambda ks: F.transform(F.array_sort(F.array_distinct(ks)), lambda k: F.concat(k, F.lit(" x"), F.size(F.filter(ks, lambda x: x == k)).cast("string")))
+    return F.array_join(T.let(keys, counted), "; ")
+
+
+def format_changes(left: Column, right: Column) -> Column:
+    """Array of (field, left, right) of what differs between two paragraphs: style, drawing, the runs' signature (Q4)."""
+    side = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    entry = lambda name, a, b: F.when(~a.eqNullSafe(b), F.struct(F.lit(name).alias("field"), side(a).alias("left"), side(b).alias("right")))
+    runs = entry("runs", run_signature(left["runs"]), run_signature(right["runs"]))
+    fields = F.array(entry("paragraph.style", left["style"], right["style"]), entry("paragraph.has_drawing", left["has_drawing"], right["has_drawing"]), runs)
+    return F.filter(fields, lambda x: x.isNotNull())
 
 
 def format_kind(left: Column, right: Column) -> Column:
-    """Real, SplitOnly or None for two paragraphs (style, has_drawing, text, runs); runs are compared up to the shorter list (Q4, Q5)."""
-    differs = F.exists(F.zip_with(F.slice(left["runs"], 1, F.least(F.size(left["runs"]), F.size(right["runs"]))), F.slice(right["runs"], 1, F.least(F.size(left["runs"]), F.size(right["runs"]))), lambda a, b: ~(a["style"].eqNullSafe(b["style"]) & a["bold"].eqNullSafe(b["bold"]) & a["italic"].eqNullSafe(b["italic"]))), lambda x: x)
-    same_text = left["text"].eqNullSafe(right["text"])
+    """Real, SplitOnly or None for two paragraphs (PARAGRAPH); runs are compared up to the shorter list (Q4, Q5)."""
+    unlike = lambda a, b: ~reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in RUN_ATTRIBUTES])
+    shorter = F.least(F.size(left["runs"]), F.size(right["runs"]))
+    differs = F.exists(F.zip_with(F.slice(left["runs"], 1, shorter), F.slice(right["runs"], 1, shorter), unlike), lambda x: x)
+    same_text = T.collapsed(left["text"]).eqNullSafe(T.collapsed(right["text"]))
     split = ~differs & (F.size(left["runs"]) != F.size(right["runs"])) & (run_signature(left["runs"]) != run_signature(right["runs"])) & same_text
     real = ~left["style"].eqNullSafe(right["style"]) | (left["has_drawing"] != right["has_drawing"]) | differs
     return F.when(split, "SplitOnly").when(real, "Real").when(same_text, "SplitOnly").otherwise("None")
+
+
+# fixed values: tags that go with all they hold, and attributes that go
+NOISE_TAGS = {t.lower() for t in "w:proofErr w:noProof w:commentRangeStart w:commentRangeEnd w:commentReference w:smartTag w:smartTagPr".split()}
+NOISE_ATTRIBUTES = {"w:legacy", "w:dirty", "w:placeholder"}
+
+
+def canonical_xml(xml: str | None) -> str | None:
+    """A part without noise: dropped tags with their content, dropped attributes, the others sorted, texts trimmed (HS6).
+
+    What follows broken XML is left out.
+    """
+    if xml is None:
+        return None
+    out, skipped = [], []
+    parser = expat.ParserCreate()
+
+    def start(name: str, attributes: dict[str, str]) -> None:
+        if skipped or name.lower() in NOISE_TAGS:
+            skipped.append(name)
+            return
+        kept = sorted((k, v) for k, v in attributes.items() if "rsid" not in k.lower() and k.lower() not in NOISE_ATTRIBUTES)
+        out.append("<" + name + "".join(f' {k}="{v}"' for k, v in kept) + ">")
+
+    def end(name: str) -> None:
+        if skipped:
+            skipped.pop()
+        else:
+            out.append(f"</{name}>")
+
+    def text(data: str) -> None:
+        if not skipped:
+            out.append(data.strip())
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.buffer_text = start, end, text, True
+    try:
+        parser.Parse(xml, True)
+    except expat.ExpatError:
+        pass
+    return "".join(out)
+
+
+@F.pandas_udf(StringType())
+def _canonical(x: pd.Series) -> pd.Series:
+    return x.map(canonical_xml)
+
+
+def content_fingerprint(xml: Column) -> Column:
+    """64 bits of a part's canonical XML: equal for parts that differ in noise alone (HS6)."""
+    return F.xxhash64(_canonical(xml))

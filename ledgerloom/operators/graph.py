@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.lineage import cut
 from ledgerloom.operators.sequences import first_occurrence
 
 
@@ -20,20 +21,44 @@ def unresolved(references: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return references.join(labels.select(key).distinct(), key, "left_anti")
 
 
-def include_levels(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def missing_targets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (parent, child) to a child that is no node: includes of files that aren't there (GR1)."""
+    return edges.join(nodes.select(F.col("node").alias("child")).distinct(), "child", "left_anti")
+
+
+def include_levels(edges: DataFrame, roots: DataFrame, most: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(node, depth): the longest way from a root to each node over edges (parent, child); (depth, node) is a topological order.
 
-    One join a level; a level beyond `most` means a cycle (GR1, GR2, SO8).  Nodes reached twice aren't cycles (Z4).
+    One join a level, each level kept before the next begins; more levels than there are nodes, or than `most`, mean a cycle
+    (GR1, GR2, SO8).  Nodes reached twice aren't cycles (Z4).  Given all nodes, an edge to none of them is an error.
     """
-    level, found = roots.select("node", F.lit(0).alias("depth")), None
+    if nodes is not None and (lost := missing_targets(edges, nodes).limit(5).collect()):
+        raise ValueError("includes of files that aren't there: " + ", ".join(f"{r['parent']} -> {r['child']}" for r in lost))
+    if most is None:
+        most = edges.select("parent").union(edges.select("child")).distinct().count()
+    edges, level, found = cut(edges.select("parent", "child").distinct()), cut(roots.select("node", F.lit(0).alias("depth")).distinct()), None
     for depth in range(1, most + 2):
         found = level if found is None else found.union(level)
-        level = level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
+        level = cut(level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct())
         if level.isEmpty():
             return found.groupBy("node").agg(F.max("depth").alias("depth"))
     raise ValueError(f"includes are nested more than {most} deep, or in a cycle")
 
 
+def aliased(figures: DataFrame, assets: DataFrame, path: str = "path") -> DataFrame:
+    """figures (path) with `asset`: the asset of that very path, else the first, by path, of that file name (JN21)."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    whole = assets.select(F.col("path").alias("__p")).distinct()
+    named = assets.groupBy(name(F.col("path")).alias("__n")).agg(F.min("path").alias("__first"))
+    met = figures.join(whole, F.col(path) == F.col("__p"), "left").join(named, name(F.col(path)) == F.col("__n"), "left")
+    return met.withColumn("asset", F.coalesce("__p", "__first")).drop("__p", "__n", "__first")
+
+
+def merged_maps(kept: Column, added: Column) -> Column:
+    """Two maps as one; where both have a key, `kept` holds (SE4)."""
+    return F.map_concat(F.map_filter(added, lambda k, _: ~F.map_contains_key(kept, k)), kept)
+
+
 def first_existing(targets: DataFrame, files: DataFrame, extensions: list[str]) -> DataFrame:
     """targets (base, target) with `path`: the first of the candidates base/target, then with each extension, that exists (JN22)."""
     joined = F.when(F.col("base") == "", F.col("target")).otherwise(F.concat_ws("/", "base", "target"))
@@ -42,15 +67,16 @@ def first_existing(targets: DataFrame, files: DataFrame, extensions: list[str])
     return targets.join(hits, ["base", "target"], "left")
 
 
-def spliced(files: DataFrame, most: int = 16) -> DataFrame:
+def spliced(files: DataFrame) -> DataFrame:
     r"""files (project, path, text) with each \input{path} replaced by that file's text, the innermost first (ST23).
 
-    A round replaces the includes of files that hold none themselves; files in a cycle keep their commands (Z4).
+    A round replaces the includes of files that hold none themselves, until nothing is left to replace; files in a cycle
+    and includes of files that aren't there keep their commands (Z4).
     """
     from ledgerloom.functions.text import command_arguments
 
-    now = files
-    for _ in range(most):
+    now = cut(files.select("project", "path", "text"))
+    while True:
         called = now.select("project", "path", F.explode(F.array_distinct(command_arguments(F.col("text"), "(?:input|include)"))).alias("child"))
         done = now.filter(F.size(command_arguments(F.col("text"), "(?:input|include)")) == 0).select("project", F.col("path").alias("child"), F.col("text").alias("inner"))
         ready = called.join(done, ["project", "child"]).groupBy("project", "path").agg(F.map_from_entries(F.collect_list(F.struct("child", "inner"))).alias("inner"))
@@ -58,5 +84,4 @@ def spliced(files: DataFrame, most: int = 16) -> DataFrame:
             return now
         quoted = lambda v: F.regexp_replace(v, r"([\\$])", r"\\$1")
         put = lambda text, e: F.regexp_replace(text, F.concat(F.lit(r"\\(?:input|include)\{\Q"), e["key"], F.lit(r"\E\}")), quoted(e["value"]))
-        now = now.join(ready, ["project", "path"], "left").select("project", "path", F.when(F.col("inner").isNotNull(), F.aggregate(F.map_entries("inner"), F.col("text"), put)).otherwise(F.col("text")).alias("text"))
-    return now
+        now = cut(now.join(ready, ["project", "path"], "left").select("project", "path", F.when(F.col("inner").isNotNull(), F.aggregate(F.map_entries("inner"), F.col("text"), put)).otherwise(F.col("text")).alias("text")))

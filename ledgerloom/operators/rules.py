@@ -61,7 +61,7 @@ def checks(df: DataFrame, keys: list[str], named: dict[str, tuple[str, Column]])
 
 
 def gate(checked: DataFrame, keys: list[str]) -> DataFrame:
-    """Failed if an error check fails, PassedWithWarnings if a warning does; the exit code is 1 or 0 (Q12, Q13, AG12)."""
+    """Failed if an error check fails, PassedWithWarnings if a warning does; the exit code is 1 or 0 (Q13; layers of checks have codes of their own, quality.exit_codes)."""
     fails = lambda s: F.count_if((F.col("severity") == s) & ~F.col("passed"))
     n = checked.groupBy(*keys).agg(fails("error").alias("errors"), fails("warning").alias("warnings"), F.count("*").alias("total"))
     status = F.when(F.col("errors") > 0, "Failed").when(F.col("warnings") > 0, "PassedWithWarnings").otherwise("Passed")

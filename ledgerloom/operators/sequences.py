@@ -71,3 +71,8 @@ def carried_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """
     reach = cells.filter("span > 1").select(*keys, "col", F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("span") - 1)).alias("row")).distinct().withColumn("__hit", F.lit(True))
     return cells.join(reach, [*keys, "row", "col"], "left").withColumn("covered", F.coalesce("__hit", F.lit(False))).drop("__hit")
+
+
+def logical_width(span: Column) -> Column:
+    """Aggregate: a row's cells' spans, of at least one each, summed; at least one (AG24)."""
+    return F.greatest(F.coalesce(F.sum(F.greatest(span, F.lit(1))), F.lit(0)), F.lit(1)).cast("long")

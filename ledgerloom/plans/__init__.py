@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB SQL."""
 
-from ledgerloom.plans import compare_queries, layout_queries, profile_queries, relational_queries, rule_queries, text_queries  # noqa: F401  they register themselves
+from ledgerloom.plans import compare_queries, layout_queries, profile_queries, quality_queries, relational_queries, rule_queries, text_queries  # noqa: F401  they register themselves
 from ledgerloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -27,16 +27,27 @@ def doc_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.compared(pairs, "left", "right").select("conv_id", *C.op_counts())
 
 
-PARAGRAPH = "struct<style: string, has_drawing: boolean, text: string, runs: array<struct<text: string, style: string, bold: boolean, italic: boolean>>>"
+_RUN_SQL = r"""list_transform(string_split(text, ' '), lambda w: concat_ws('|', regexp_matches(w, '^[A-Z]'), ends_with(w, ','), CASE WHEN ends_with(w, '.') THEN 'single' ELSE '-' END,
+CASE WHEN regexp_matches(w, '^[0-9]') THEN 'superscript' ELSE '-' END, CASE WHEN length(w) > 8 THEN '28' ELSE '24' END, CASE WHEN contains(w, '-') THEN 'Courier' ELSE 'Times' END, CASE WHEN regexp_matches(w, '[^ -~]') THEN 'Song' ELSE '-' END))"""
 
 
-@query()
+@query(rf"""WITH p AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(text, '[\x09-\x0D ]+', ' ', 'g'), '^ | $', '', 'g') AS t, {_RUN_SQL} AS runs FROM conversations),
+q AS (SELECT p.conv_id, p.turn, p.role <> n.role AS restyled, p.t = n.t AS same, p.runs AS a, n.runs AS b, least(len(p.runs), len(n.runs)) AS k FROM p JOIN p n ON n.conv_id = p.conv_id AND n.turn = p.turn + 2),
+d AS (SELECT *, a[1:k] <> b[1:k] AS differs, list_sort(a) <> list_sort(b) AS resigned FROM q)
+SELECT conv_id, turn, CASE WHEN NOT differs AND len(a) <> len(b) AND resigned AND same THEN 'SplitOnly' WHEN restyled OR differs THEN 'Real' WHEN same THEN 'SplitOnly' ELSE 'None' END AS kind, restyled::INT + resigned::INT AS changes FROM d""")
 def format_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as paragraphs whose words are runs: the kind of change to the next turn (Q4, Q5)."""
-    runs = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("text"), F.lit(None).cast("string").alias("style"), w.rlike("^[A-Z]").alias("bold"), F.endswith(w, F.lit(",")).alias("italic")))
+    """Turns as paragraphs whose words are runs: the kind of change to the next turn of the role, and how many fields changed (Q4, Q5)."""
+
+    def run(w: Column) -> Column:
+        either = lambda c, yes, no=None: F.when(c, yes).otherwise(F.lit(no).cast("string"))
+        fields = {"text": w, "style": F.lit(None).cast("string"), "bold": w.rlike("^[A-Z]"), "italic": F.endswith(w, F.lit(",")), "underline": either(F.endswith(w, F.lit(".")), "single"), "vert_align": either(w.rlike("^[0-9]"), "superscript")}
+        fields |= {"size": either(F.length(w) > 8, "28", "24"), "font_ascii": either(F.contains(w, F.lit("-")), "Courier", "Times"), "font_east_asia": either(w.rlike("[^ -~]"), "Song")}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    runs = F.transform(F.split("text", " "), run)
     p = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct(F.col("role").alias("style"), F.lit(False).alias("has_drawing"), F.col("text"), runs.alias("runs")).alias("p"))
     pairs = p.join(p.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("p").alias("q")), ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", C.format_kind(F.col("p"), F.col("q")).alias("kind"))
+    return pairs.select("conv_id", "turn", C.format_kind(F.col("p"), F.col("q")).alias("kind"), F.size(C.format_changes(F.col("p"), F.col("q"))).alias("changes"))
 
 
 @query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1), '<[^<>]*>', '', 'g'), '[ \\x09-\\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS title FROM pages""")

@@ -116,13 +116,10 @@ def rule_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = "citet textbf quad paragraph maketitle affil keywords oddity zhabstract strangeone footnotemark begin".split()
-_KIND = F.when(F.col("event_type") == "view", "paragraph").otherwise("raw")
-
-
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
+    e, kind = F.col("event_id"), F.when(F.col("event_type") == "view", "paragraph").otherwise("raw")
     call = F.concat(F.lit(" \\"), _pick(NAMES, e % 12), F.when(e % 5 == 0, "").otherwise(F.concat(F.lit("{"), F.col("event_type"), F.lit("}"))))
-    return table(spark, sf_dir, "events").select("event_id", _pick([*PROFILE_IDS, "unheard-of"], F.col("user_id") % 9).alias("profile_id"), _KIND.alias("kind"), call.alias("text"))
+    return table(spark, sf_dir, "events").select("event_id", _pick([*PROFILE_IDS, "unheard-of"], F.col("user_id") % 9).alias("profile_id"), kind.alias("kind"), call.alias("text"))
 
 
 _BLOCKS_SQL = f"""{_REGISTRY_SQL}, b AS (SELECT event_id, {_sql_list([*PROFILE_IDS, "unheard-of"])}[user_id % 9 + 1] AS profile_id, event_type = 'view' AS done, {_sql_list(NAMES)}[event_id % 12 + 1] AS name, event_id % 5 <> 0 AS called FROM events),

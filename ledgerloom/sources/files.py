@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from ledgerloom.operators.compare import RUN
+
 EVENT = "type string, level int, text string, label string, path string, caption string, latex string, display boolean, keys array<string>, key string, kind string, macro string, schema string"
 BIB = ArrayType(StructType([StructField("entry_type", StringType()), StructField("key", StringType()), StructField("fields", MapType(StringType(), StringType()))]))
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -57,22 +59,28 @@ def last_page(nodes: DataFrame, keys: list[str], order: str, page: str = "page")
 
 
 def paragraphs_of(xml: bytes) -> list[dict]:
+    """Paragraphs with their runs and the formats of those; a switch without a value is on."""
     out = []
     for i, p in enumerate(ET.fromstring(xml).iter(f"{_W}p")):
-        style = p.find(f"{_W}pPr/{_W}pStyle")
-        runs = []
+        style, runs = p.find(f"{_W}pPr/{_W}pStyle"), []
         for r in p.iter(f"{_W}r"):
-            props = r.find(f"{_W}rPr")
-            has = lambda tag, props=props: props is not None and props.find(f"{_W}{tag}") is not None
-            rstyle = props.find(f"{_W}rStyle") if props is not None else None
-            runs.append({"text": "".join(t.text or "" for t in r.iter(f"{_W}t")), "style": rstyle.get(f"{_W}val") if rstyle is not None else None, "bold": has("b"), "italic": has("i")})
+            props = {c.tag.removeprefix(_W): c for c in (r.find(f"{_W}rPr") if r.find(f"{_W}rPr") is not None else [])}
+            value = lambda tag, name="val", props=props: props[tag].get(f"{_W}{name}") if tag in props else None
+            switch = lambda tag, props=props: tag in props and (props[tag].get(f"{_W}val") or "true").lower() not in ("0", "false", "off", "none")
+            runs.append(
+                {
+                    "text": "".join(t.text or "" for t in r.iter(f"{_W}t")), "style": value("rStyle"), "bold": switch("b"), "italic": switch("i"),
+                    "underline": (value("u") or "single") if "u" in props else None, "vert_align": value("vertAlign"), "size": value("sz"),
+                    "font_ascii": value("rFonts", "ascii") or value("rFonts", "hAnsi"), "font_east_asia": value("rFonts", "eastAsia"),
+                }
+            )
         out.append({"index": i, "style": style.get(f"{_W}val") if style is not None else None, "text": "".join(r["text"] for r in runs), "has_drawing": next(p.iter(f"{_W}drawing"), None) is not None, "runs": runs})
     return out
 
 
 def docx_paragraphs(entries: DataFrame) -> DataFrame:
     """(archive, index, style, text, has_drawing, runs) of the document part of each archive (SRC12)."""
-    kind = "archive string, index int, style string, text string, has_drawing boolean, runs array<struct<text: string, style: string, bold: boolean, italic: boolean>>"
+    kind = f"archive string, index int, style string, text string, has_drawing boolean, runs array<{RUN}>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -139,10 +147,16 @@ def bbl_items(x: Column) -> Column:
 
 
 def image_size(content: Column) -> Column:
-    """(width, height) of a PNG, from its header; null for anything else (SRC18)."""
+    """(width, height) of a PNG or JPEG, from its headers; null for anything else (SRC18)."""
     head = F.hex(F.substring(content, 1, 24))
-    number = lambda at: F.conv(F.substring(head, at, 8), 16, 10).cast("int")
-    return F.when(head.startswith("89504E470D0A1A0A"), F.struct(number(33).alias("width"), number(41).alias("height")))
+    png = F.struct(*[F.conv(F.substring(head, at, 8), 16, 10).cast("int").alias(n) for n, at in (("width", 33), ("height", 41))])
+    # segments of a JPEG: marker and length, up to the frame's header, which holds height and width
+    whole = F.hex(content)
+    number = lambda at: F.conv(F.substr(whole, at, F.lit(4)), 16, 10).cast("int")
+    step = lambda at: F.when(F.substr(whole, at, F.lit(4)).rlike("^FF(C[0-35-79-B]|CD|CE|CF)$") | (at > F.length(whole)), at).otherwise(at + 4 + 2 * number(at + 4))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(5), lambda at, _: F.coalesce(step(at), at))
+    jpeg = F.transform(F.array(found), lambda at: F.when(F.substr(whole, at, F.lit(4)).rlike("^FFC[0-9A-F]$"), F.struct(number(at + 14).alias("width"), number(at + 10).alias("height"))))
+    return F.when(head.startswith("89504E470D0A1A0A"), png).when(head.startswith("FFD8FF"), F.get(jpeg, F.lit(0)))
 
 
 def write_artifacts(df: DataFrame, path: str, by: str) -> None:

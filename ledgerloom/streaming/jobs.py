@@ -21,8 +21,23 @@ def usage_windows(events: DataFrame, time: str = "ts", late: str = "1 day", widt
     return timed.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Everything there is now, appended to Parquet files: exactly once, as the checkpoint and the sink's log decide."""
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def run_to_snapshots(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The whole state after each batch, a folder a batch below `path`; a batch that is run again replaces its folder."""
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Everything there is now, into an in-memory table."""
+    """Everything there is now, into an in-memory table on the driver: for looking at small results."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

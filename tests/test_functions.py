@@ -30,7 +30,7 @@ def test_normalize(spark):
     assert value(spark, T.normalize(F.col("x")), x="摘要 网络— 1 引言 “Hello”") == '摘要网络-1引言"Hello"'
 
 
-@pytest.mark.parametrize(("a", "b", "ratio"), [("摘  要 关键 词", "摘要关键词", 1.0), ("abc", "", 0.0), ("", "abc", 0.0), ("ab", "abcd", 0.5)])
+@pytest.mark.parametrize(("a", "b", "ratio"), [("one two", "onetwo", 1.0), ("abc", "", 0.0), ("", "abc", 0.0), ("ab", "abcd", 0.5)])
 def test_char_ratio(spark, a, b, ratio):
     assert value(spark, T.char_ratio(F.col("a"), F.col("b")), a=a, b=b) == ratio
 
@@ -51,7 +51,7 @@ def test_compressed_ranges(spark, numbers, text):
     assert df.select(T.compressed_ranges(F.col("n"))).first()[0] == text
 
 
-@pytest.mark.parametrize(("key", "kind"), [("fig:1", "figure"), ("tab:1", "table"), ("eq:1", "equation"), ("alg:demo", "algorithm"), ("x", "unknown")])
+@pytest.mark.parametrize(("key", "kind"), [("Section:intro", "section"), ("sec:2", "section"), ("prop:q", "proposition"), ("theorem:main", "theorem"), ("TBL:sizes", "table"), ("equation:9", "equation"), ("FIG:map", "figure"), ("algorithm:sort", "algorithm"), ("figure", "unknown"), ("", "unknown")])
 def test_label_kind(spark, key, kind):
     assert value(spark, T.label_kind(F.col("x")), x=key) == kind
 
@@ -76,6 +76,36 @@ def test_paths_and_commands(spark):
     assert value(spark, T.paragraph_boundaries(F.col("x")), x="a\n\n\n\nb\n\nc") == "a\n\nb\n\nc"
 
 
+def test_braces_and_arguments(spark):
+    assert [value(spark, M.matching_brace(F.col("x"), F.lit(i)), x="[x{y{z}w}") for i in (2, 4, 0)] == [8, 6, None]
+    assert value(spark, M.matching_brace(F.col("x"), F.lit(0)), x="{q\\} r}") == 6 and value(spark, M.matching_brace(F.col("x"), F.lit(0)), x="{open") is None
+    assert value(spark, M.matching_bracket(F.col("x"), F.lit(1)), x="p[q[r]s]t") == 7
+    assert value(spark, M.brace_depth(F.col("x")), x="{p{q{r}}}\\{ {s}") == 3
+    assert value(spark, M.command_argument(F.col("x"), "head"), x="\\header{no} \\head {on{e} \\} two} rest") == "on{e} \\} two"
+    assert value(spark, M.command_argument(F.col("x"), "head"), x="nothing") is None
+    nested = "".join(f"\\textbf{{{c}" for c in "abcdefghij") + "}" * 10
+    assert value(spark, M.replaced_command(F.col("x"), "textbf"), x=nested) == "abcdefghij"  # deeper than any fixed number of rounds
+    assert value(spark, M.replaced_command(F.col("x"), "note", "<$1>"), x="\\note{p \\b{q} \\{ r}") == "<p \\b{q} \\{ r>"
+
+
+def test_math(spark):
+    clean = lambda x: value(spark, M.clean_math(F.col("x")), x=x)
+    assert [clean(r"{\beta}"), clean(r"S=\{a_1,\ldots\}"), clean(r"\mathbf{V}\leq\sigma"), clean(r"x_{i-1}^{\mathrm{up}}"), clean(r"\mathcal{L}~z")] == ["β", "S={a_1,…}", "V≤sigma", "x_{i-1}^{up}", "ℒ z"]
+    assert value(spark, M.math_text(F.col("x")), x=r"p $\pi$ q \(r \in s\) $$t$$") == "p π q r ∈ s $$t$$"
+    parts = lambda x: [tuple(r) for r in value(spark, M.math_parts(F.col("x")), x=x)]
+    assert parts(r"p $q$ r $$s$$ \(t\)") == [("text", "p "), ("math", "q"), ("text", " r "), ("text", "$$s$$"), ("text", " "), ("math", "t")]
+    assert parts("p $$ q $r") == [("text", "p "), ("text", "$$"), ("text", " q "), ("text", "$r")] and parts("") == []
+
+
+def test_latex_text(spark):
+    cites, labels = F.create_map(F.lit("p"), F.lit(1), F.lit("q"), F.lit(2), F.lit("r"), F.lit(5)), F.create_map(F.lit("sec:1"), F.lit("4"))
+    text = "\\textbf{Big \\emph{deal}} ``said'' -- \\footnote{see \\textit{this}} 7\\% \\{set\\} \\ref{sec:1} \\citep{q,p,x,r} \\cite{none} % gone\n\\item[1.] first \\item next\\hspace{1em}\\odd{kept} \\label{sec:1}end"
+    plain = "Big deal “said” – （注：see this） 7% {set} 4 [1-2,5] [?] 1. first next kept end"
+    assert value(spark, M.latex_text(F.col("x"), cites, labels), x=text) == plain
+    runs = value(spark, M.styled_runs(M.latex_text(F.col("x"), cites, labels, marked=True)), x=text)
+    assert "".join(r["text"] for r in runs) == plain and [(r["style"], r["text"]) for r in runs if r["style"] != "plain"] == [("bold", "Big deal"), ("italic", "this")]
+
+
 def test_markup(spark):
     assert value(spark, M.plain_text(F.col("x")), x="\\textbf{a \\emph{b}} 5\\% $\\alpha$ \\noindent c~d % note") == "a b 5% α c d"
     assert value(spark, M.expanded(F.col("x")), x="\\newcommand{\\me}{old}\\def\\me{new \\x$}\\me, \\meet") == "new \\x$, \\meet"
@@ -120,11 +150,23 @@ def test_modified_pair():
 
 
 def test_format_kind(spark):
-    run = "array<struct<text: string, style: string, bold: boolean, italic: boolean>>"
-    kind = f"struct<style: string, has_drawing: boolean, text: string, runs: {run}>"
-    p = lambda bolds: ("s", False, "t", [("x", None, b, False) for b in bolds])
-    df = spark.createDataFrame([(p([False]), p([False, False])), (p([False]), p([True])), (p([True]), ("other", False, "t", [("x", None, True, False)]))], f"l {kind}, r {kind}")
-    assert [r[0] for r in df.select(C.format_kind(F.col("l"), F.col("r"))).collect()] == ["SplitOnly", "Real", "Real"]
+    kind = C.PARAGRAPH
+    run = lambda b=False, **k: ("x", None, b, False, k.get("u"), k.get("va"), k.get("sz"), k.get("font"), k.get("east"))
+    p = lambda bolds: ("s", False, "t", [run(b) for b in bolds])
+    pairs = [(p([False]), p([False, False])), (p([False]), p([True])), (p([True]), ("other", False, "t", [run(True)]))]
+    pairs += [(p([False]), ("s", False, "t", [run(**{k: "v"})])) for k in ("u", "va", "sz", "font", "east")] + [(p([False]), ("s", True, "t", [run()])), (p([False]), ("s", False, " t\n", [run()])), (p([False]), ("s", False, "u", [run()]))]
+    df = spark.createDataFrame(pairs, f"l {kind}, r {kind}").coalesce(1)
+    assert [r[0] for r in df.select(C.format_kind(F.col("l"), F.col("r"))).collect()] == ["SplitOnly", "Real", "Real"] + ["Real"] * 6 + ["SplitOnly", "None"]
+    changes = df.select(C.format_changes(F.col("l"), F.col("r")).alias("c")).collect()
+    assert [[x["field"] for x in r["c"]] for r in changes] == [["runs"], ["runs"], ["paragraph.style"]] + [["runs"]] * 5 + [["paragraph.has_drawing"], [], []]
+
+
+def test_fingerprints(spark):
+    part = '<w:p xmlns:w="u" w:rsidR="{}" b="2" a="1"><w:proofErr><w:t>no</w:t></w:proofErr><w:t> hi </w:t>{}</w:p>'
+    rows = [part.format("00A1", ""), part.format("FF", "").replace('b="2" a="1"', 'a="1" b="2"'), part.format("00A1", "<w:t>more</w:t>"), None]
+    found = [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string").orderBy("i").select(C.content_fingerprint(F.col("x"))).collect()]
+    assert found[0] == found[1] != found[2]
+    assert C.canonical_xml(rows[0]) == '<w:p a="1" b="2" xmlns:w="u"><w:t>hi</w:t></w:p>'
 
 
 def test_graph(spark):
@@ -205,6 +247,9 @@ def test_files(spark, tmp_path):
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 640, 480)
     sizes = spark.createDataFrame([(png,), (b"no",)], "c binary").select(files.image_size(F.col("c")).alias("s")).collect()
     assert [tuple(sizes[0]["s"]), sizes[1]["s"]] == [(640, 480), None]
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10" + b"J" * 14 + b"\xff\xc2\x00\x11\x08" + struct.pack(">HH", 300, 200) + b"\x03" * 20
+    assert tuple(value(spark, files.image_size(F.col("c")), c=bytearray(jpeg))) == (200, 300)
+    assert value(spark, files.image_size(F.col("c")), c=bytearray(b"\xff\xd8\xff\xd9")) is None
     rows = spark.createDataFrame([("j1", 1), ("j2", 2)], "job string, n int")
     files.write_artifacts(rows, str(tmp_path / "out"), "job")
     files.write_artifacts(rows, str(tmp_path / "out"), "job")
