@@ -88,3 +88,24 @@ def got_or_created(wanted: DataFrame, existing: DataFrame, key: str, defaults: d
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that stand in more than one row, with n."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def optional_filters(df: DataFrame, equal: dict[str, object], time: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """df filtered by the values and bounds that are given, both bounds included, compared as timestamps (FLT7, Z2 corrected)."""
+    for column, wanted in equal.items():
+        if wanted is not None:
+            df = df.filter(F.col(column) == F.lit(wanted))
+    at = F.col(time).cast("timestamp_ntz")
+    if since is not None:
+        df = df.filter(at >= F.lit(since).cast("timestamp_ntz"))
+    return df if until is None else df.filter(at <= F.lit(until).cast("timestamp_ntz"))
+
+
+def code_expired(until: Column, now: Column) -> Column:
+    """Whether a code can't be redeemed any more: its end lies before now; without an end it never does (Z15)."""
+    return F.coalesce(until < now, F.lit(False))
+
+
+def entitled(until: Column, now: Column) -> Column:
+    """Whether an entitlement holds: up to and including its end, or without one (Z15)."""
+    return F.coalesce(until >= now, F.lit(True))

@@ -25,6 +25,14 @@ def applied(rows: DataFrame, name: str, rules: DataFrame) -> DataFrame:
     return met.withColumn("output", F.coalesce("__o", F.lit("InlineText"))).withColumn("source", F.when(hit, "Loaded").otherwise("Fallback")).withColumn("accepted", hit).drop("__n", "__o")
 
 
+def mapped(blocks: DataFrame, kind: str, rules: DataFrame) -> DataFrame:
+    """blocks with (rule_id, element, diagnostic): by the first rule (kind, rule_id, element, position) of their kind, else map.missing to w:p with a diagnostic (JN14)."""
+    first = rules.groupBy(F.col("kind").alias("__k")).agg(F.min_by(F.struct("rule_id", "element"), "position").alias("__r"))
+    met = blocks.join(F.broadcast(first), F.col(kind) == F.col("__k"), "left")
+    missing = F.when(F.col("__r").isNull(), F.concat(F.lit("no mapping rule for "), F.coalesce(F.col(kind), F.lit("null"))))
+    return met.withColumns({"rule_id": F.coalesce("__r.rule_id", F.lit("map.missing")), "element": F.coalesce("__r.element", F.lit("w:p")), "diagnostic": missing}).drop("__k", "__r")
+
+
 def routed(output: Column) -> Column:
     """The block an output becomes; null where the raw fallback stays (RL4)."""
     return F.when(output == "Heading", "heading").when(output.isin("Paragraph", "Citation", "MetadataField", "AuthorList", "Affiliation", "KeywordList"), "paragraph").when(output == "Verbatim", "raw")

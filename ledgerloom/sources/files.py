@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
@@ -53,8 +54,6 @@ def event_lines(lines: DataFrame, schema: str = EVENT, line: str = "value") -> D
 
 def last_page(nodes: DataFrame, keys: list[str], order: str, page: str = "page") -> DataFrame:
     """nodes with the last page known so far (SRC6, WN11, Z9 corrected)."""
-    from pyspark.sql import Window
-
     return nodes.withColumn(page, F.last(page, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order)))
 
 
@@ -140,6 +139,24 @@ def bib_entries(sources: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "e"], "e.entry_type", "e.key", get("title").alias("title"), authors.alias("authors"), get("year").alias("year"), venue.alias("venue")).filter(F.col("title").isNotNull())
 
 
+def bib_texts(sources: DataFrame, text: str = "text") -> DataFrame:
+    """(…, key, text) of each entry as a plain citation: authors, title, venue with volume, number and pages, year (SRC10).
+
+    Authors stand as they are given, joined by commas; parts that an entry lacks are left out with their marks.
+    """
+    f = F.col("e.fields")
+    get = lambda k: F.nullif(F.trim(F.regexp_replace(F.coalesce(F.try_element_at(f, F.lit(k)), F.lit("")), "[{}]", "")), F.lit(""))
+    quoted = lambda x: F.replace(F.replace(x, F.lit("``"), F.lit("“")), F.lit("''"), F.lit("”"))
+    authors = F.array_join(F.transform(F.split(get("author"), r"\s+and\s+"), lambda a: F.trim(a)), ", ")
+    issue = F.concat(get("volume"), F.coalesce(F.concat(F.lit("("), get("number"), F.lit(")")), F.lit("")))
+    venue = F.nullif(F.concat_ws(", ", F.coalesce(get("journal"), get("booktitle")), issue), F.lit(""))
+    pages = F.replace(get("pages"), F.lit("--"), F.lit("–"))
+    venue = F.nullif(F.concat_ws(": ", venue, pages), F.lit(""))
+    dotted = lambda x: F.concat(x, F.lit("."))
+    rows = sources.select(*[c for c in sources.columns if c != text], F.explode(_bib(text)).alias("e"))
+    return rows.select(*[c for c in rows.columns if c != "e"], "e.key", F.concat_ws(" ", authors, dotted(quoted(get("title"))), dotted(venue), dotted(get("year"))).alias("text"))
+
+
 def bbl_items(x: Column) -> Column:
     r"""Items of a formatted bibliography, in order: key, number, text (SRC9)."""
     found = lambda g: F.regexp_extract_all(x, F.lit(r"(?s)\\bibitem(?:\[[^\]]*\])?\{([^{}]*)\}(.*?)(?=\\bibitem|\\end\{thebibliography\}|\z)"), F.lit(g))
@@ -164,6 +181,49 @@ def write_artifacts(df: DataFrame, path: str, by: str) -> None:
     df.repartition(by).write.mode("append").partitionBy(by).parquet(path)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """Report rows as JSON lines (SNK8, SNK9, SNK10)."""
-    df.write.mode("overwrite").json(path)
+def inserted(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """df appended to the table at `path`; returned are the rows written, read back (SNK1)."""
+    batch = uuid.uuid4().hex
+    df.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(path)
+    return spark.read.schema(df.schema).parquet(f"{path}/batch={batch}")
+
+
+def markdown_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """(n, value): the lines of a Markdown table of a report's rows, header first (SNK9, ST32)."""
+    cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = df.sparkSession.range(2).select(F.col("id").alias("n"), F.when(F.col("id") == 0, row([F.lit(c) for c in df.columns])).otherwise(row([F.lit("---")] * len(df.columns))).alias("value"))
+    body = df.select((F.row_number().over(Window.orderBy(*order)) + 1).cast("long").alias("n"), row([cell(c) for c in df.columns]).alias("value"))
+    return head.union(body)
+
+
+def registry_json(rules: DataFrame, order: list[str]) -> DataFrame:
+    """One row, value: the rules or audit records as one JSON array in order; their number is that of the rules (SNK10)."""
+    rows = rules.select(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rules.columns if c not in order]).alias("r"))
+    return rows.agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("value"))
+
+
+def rule_file(spark: SparkSession, path: str) -> DataFrame:
+    """(name, output, position) of a JSON array of rules; of one name the last holds, see rules.registry (SRC15)."""
+    text = spark.read.text(path, wholetext=True)
+    entries = F.from_json("value", "array<struct<name: string, output: string>>", {"mode": "FAILFAST"})
+    return text.select(F.posexplode(entries).alias("position", "r")).select("r.name", "r.output", "position")
+
+
+def mapping_file(spark: SparkSession, path: str) -> DataFrame:
+    """(position, rule) of a mapping file, a YAML list of flat entries; rule is a map, comments and quotes go (SRC16)."""
+    text = spark.read.text(path, wholetext=True)
+    entries = F.slice(F.split(F.concat(F.lit("\n"), "value"), r"\n[ \t]*- "), 2, 1_000_000)
+    found = lambda e, g: F.regexp_extract_all(e, F.lit(r"(?m)^[ \t]*([A-Za-z_][\w.-]*):[ \t]+(?:\"([^\"]*)\"|'([^']*)'|([^#\n]*))"), F.lit(g))
+    value = lambda e: F.transform(F.arrays_zip(found(e, 2).alias("a"), found(e, 3).alias("b"), found(e, 4).alias("c")), lambda v: F.trim(F.concat(v["a"], v["b"], v["c"])))
+    return text.select(F.posexplode(F.transform(entries, lambda e: F.map_from_arrays(found(e, 1), value(e)))).alias("position", "rule"))
+
+
+def write_report(df: DataFrame, path: str, form: str = "json", order: list[str] | None = None) -> None:
+    """Report rows as JSON lines, as CSV with a header, which spreadsheets open, or as a Markdown table (SNK8, SNK9, SNK10)."""
+    if form == "json":
+        df.write.mode("overwrite").json(path)
+    elif form == "csv":
+        df.write.mode("overwrite").option("header", "true").csv(path)
+    else:
+        markdown_lines(df, order or df.columns).orderBy("n").coalesce(1).select("value").write.mode("overwrite").text(path)

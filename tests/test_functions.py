@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import markup as M
 from ledgerloom.functions import text as T
 from ledgerloom.operators import compare as C
+from ledgerloom.operators import profiles as P
+from ledgerloom.operators import quality as Q
+from ledgerloom.operators import tree as N
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import relational as R
 from ledgerloom.operators import rules as L
@@ -297,3 +300,128 @@ def test_includes(spark):
 def test_carried_rows(spark):
     cells = spark.createDataFrame([(1, 0, 0, 3, "a"), (1, 1, 0, 1, "b"), (1, 2, 1, 1, "c"), (1, 3, 0, 1, "d")], "t int, row int, col int, span int, text string")
     assert [r["covered"] for r in S.carried_rows(cells, ["t"]).orderBy("row").collect()] == [False, True, False, False]
+
+
+def test_comment_variants(spark):
+    text = "a % x\n  % whole\n b\\% c %y\n   d"
+    strip = lambda **k: value(spark, T.without_comments(F.col("x"), **k), x=text)
+    assert strip() == "a \n  \n b\\% c \n   d"
+    assert strip(keep_escaped=False) == "a \n  \n b\\\n   d"
+    assert strip(whole_lines=True) == "a \n b\\% c \n   d"
+    assert strip(join_lines=True) == "a b\\% c d"
+
+
+def test_options_and_names(spark):
+    found = value(spark, T.commands_with_options(F.col("x"), "documentclass"), x="\\documentclass[a, b]{c} \\documentclass{d} \\documentclass[]{e}")
+    assert [tuple(r) for r in found] == [("a, b", "c"), (None, "d"), ("", "e")]
+    assert value(spark, T.same_word(F.lit("TikZ"), F.lit("tikz"))) and not value(spark, T.same_word(F.lit("É"), F.lit("é")))
+    assert tuple(value(spark, T.fitted_extent(F.lit(1000), F.lit(500)))) == (5274310, 2637155) and tuple(value(spark, T.fitted_extent(F.lit(96), F.lit(48)))) == (914400, 457200)
+
+
+def test_tokens_recover(spark):
+    text = "\\begin{a}{x}} \\end{b} $m$ % c\n\\end{a} \\"
+    found = value(spark, N.nested(N.tokens(F.col("x"))), x=text)
+    assert "".join(t["text"] for t in found) == text
+    assert [(t["text"], t["depth"]) for t in found if t["error"]] == [("}", 1), ("\\end{b}", 1)]
+    assert [t["depth"] for t in found if t["kind"] in ("begin", "end") and not t["error"]] == [0, 0]
+    assert value(spark, N.nested(N.tokens(F.col("x"))), x="") == []
+
+
+def test_blocks(spark):
+    text = "\\begin{document}\\section*{One}\npara % no\n\n\\begin{minipage}{3cm}\\begin{figure}\\caption{A {b}}x\\end{figure}\\end{minipage}\\begin{align*}y\\end{align*}\\begin{odd}z\\end{odd}\\sectionmark{q}\\end{document}"
+    found = [(b["kind"], b["name"], b["caption"]) for b in value(spark, N.blocks_of(F.col("x")), x=text)]
+    assert found == [("heading", "section", None), ("paragraph", None, None), ("captioned", "figure", "A {b}"), ("equation", "align*", None), ("raw", "odd", None), ("paragraph", None, None)]
+    assert value(spark, N.table_rows(F.col("x")), x="{cc} a & b\\\\ \\hline\\\\ & \\\\ \\\\[2pt] c \\& d & e") == [["a", "b"], ["c \\& d", "e"]]
+    assert value(spark, N.list_items(F.col("x")), x="\\item one\n two \\item[k] three") == ["one two", "k three"]
+
+
+def test_algorithm_rows(spark):
+    body = "\\KwIn{s}\n\\While{$a < b$}{\n a $+$ 1\\; \\tcp*{step}\n \\If{c}{ d }\n}\n\\Return{a}\\;"
+    rows = [(r["indent"], r["code"], r["comment"], r["keyword"]) for r in value(spark, N.algorithm_rows(F.col("x")), x=body)]
+    assert rows == [(0, "While (a < b)", "", "While"), (1, "a + 1;", "step", None), (1, "If (c)", "", "If"), (2, "d;", "", None), (1, "end", "", "End"), (0, "end", "", "End"), (0, "return a;", "", "Return")]
+
+
+def test_front_matter(spark):
+    text = "\\title{On \\emph{Things}}\\author{A B \\and C D}\\institute{X \\and Y}\\keywords{one, two; three}\\begin{abstract} short \\textbf{text}\\end{abstract}\\begin{IEEEbiography}{A B}was born.\\end{IEEEbiography}"
+    assert [x if isinstance(x, (str, type(None))) else list(x) for x in value(spark, N.front_matter(F.col("x")), x=text)] == ["On Things", ["A B", "C D"], ["X", "Y"], "short text", ["one", "two", "three"]]
+    assert [tuple(r) for r in value(spark, N.biographies(F.col("x")), x=text)] == [("A B", "was born.")]
+
+
+def test_visited_leaves_cycles_alone(spark):
+    rows = [(1, "a", None, 0), (1, "b", "a", 1), (1, "c", "a", 0), (1, "d", "c", 5), (1, "x", "y", 0), (1, "y", "x", 0)]
+    found = N.visited(spark.createDataFrame(rows, "tree int, node string, parent string, pos int")).orderBy("path").collect()
+    assert [(r["node"], r["depth"]) for r in found] == [("a", 0), ("c", 1), ("d", 2), ("b", 1)]
+
+
+def test_includes_that_are_not_there(spark):
+    edges, nodes = spark.createDataFrame([("a", "b"), ("b", "z")], "parent string, child string"), spark.createDataFrame([("a",), ("b",)], "node string")
+    with pytest.raises(ValueError, match="b -> z"):
+        G.include_levels(edges, nodes.filter("node = 'a'"), nodes=nodes)
+    long = spark.createDataFrame([(str(i), str(i + 1)) for i in range(20)], "parent string, child string")
+    rows = [(1, str(i), f"{i} \\input{{{i + 1}}}") for i in range(20)] + [(1, "20", "end")]  # deeper than any fixed number of rounds
+    assert {r["path"]: r["text"] for r in G.spliced(spark.createDataFrame(rows, "project int, path string, text string")).collect()}["0"].endswith("19 end")
+    assert long.count() == 20
+
+
+def test_quality_layers(spark):
+    checked = spark.createDataFrame([(1, "structural", "x", True), (1, "visual", "y", False), (2, "textual", "x", False), (2, "visual", "y", False), (3, "textual", "x", True)], "d int, layer string, name string, passed boolean")
+    assert {r["d"]: (r["passed"], r["exit_code"]) for r in Q.exit_codes(checked, ["d"]).collect()} == {1: (False, 2), 2: (False, 1), 3: (True, 0)}
+    sides = spark.createDataFrame([(1, "a – b “c”", "a-b\"c\""), (2, "a", None)], "d int, left string, right string")
+    ratios = Q.coverage_ratio(Q.coverage(sides, ["d"], ["left", "right"], ["a—b", "c ”"]), ["d"], ["left", "right"])
+    assert {r["d"]: (r["hits"], r["ratio"]) for r in ratios.collect()} == {1: (2, 1.0), 2: (0, 0.0)}
+    empty = spark.createDataFrame([(1, None, None)], "d int, confidence double, x string")
+    assert Q.confident(empty).count() == 0
+
+
+def test_rules_by_profile(spark):
+    files = spark.createDataFrame([(1, "a.TEX", "\\documentclass{Article}% \\usepackage{minted}\n\\usepackage{tikz,tikz}\\RequirePackage{biblatex}\\begin{minted}\\newcommand{\\a}{}\\define"), (1, "b.png", "\\usepackage{pgf}"), (1, "c.tex", None)], "project int, path string, text string")
+    sources, profile = P.sources_of(files), spark.createDataFrame([(1, "jos-paper")], "project int, profile_id string")
+    issues = lambda **k: {(r["code"], r["feature"], r["severity"]) for r in P.compatibility_issues(sources, profile, **k).collect()}
+    shared = {("unsupported_environment", "minted", "U"), ("limited_package", "biblatex", "W"), ("custom_macros", "custom macros", "W")}
+    assert issues() == shared | {("unsupported_package", "tikz", "U")} and issues(lenient=frozenset(["tikz", "minted_package"])) == shared | {("limited_package", "tikz", "W")}
+    score = P.compatibility_scores(sources, P.compatibility_issues(sources, profile)).first()
+    assert (score["unsupported"], score["warnings"], score["macros"], score["score"]) == (2, 2, 1, 100 - 36 - 12 - 2)
+    signals = {(r["kind"], r["value"], r["line"]) for r in P.signals_of(P.sources_of(spark.createDataFrame([(1, "m.tex", "x\n\\affiliation{a}\n\\documentclass[b, c]{d}")], "project int, path string, text string"))).collect()}
+    assert signals == {("documentclass", "d", 3), ("documentclass_option", "b", 3), ("documentclass_option", "c", 3), ("macro", "affil", 2)}
+    specs = spark.createDataFrame([("1.json", '{"id": "p", "detection": {"min_confidence": 0.5}}'), ("2.json", '{"id": "p", "aliases": ["q"], "detection": {"min_confidence": 0.9}}')], "path string, text string")
+    assert [(r["id"], r["path"], r["min_confidence"], r["aliases"]) for r in P.known_profiles(specs).collect()] == [("p", "2.json", 0.9, ["q"])]
+
+
+def test_rule_and_mapping_files(spark, tmp_path):
+    (tmp_path / "rules.json").write_text('[{"name": "a", "output": "Ignore"}, {"name": "b", "output": "Heading"}, {"name": "a", "output": "Verbatim"}]')
+    rules = files.rule_file(spark, str(tmp_path / "rules.json")).withColumn("priority", F.lit(0))
+    assert {r["name"]: r["output"] for r in L.registry(rules).collect()} == {"a": "Verbatim", "b": "Heading"}
+    (tmp_path / "map.yaml").write_text("rules:\n  - kind: heading # top\n    rule_id: 'map.h'\n    element: \"w:p\"\n  - kind: table\n    element: w:tbl\n")
+    assert [r["rule"] for r in files.mapping_file(spark, str(tmp_path / "map.yaml")).orderBy("position").collect()] == [{"kind": "heading", "rule_id": "map.h", "element": "w:p"}, {"kind": "table", "element": "w:tbl"}]
+
+
+def test_writers(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b|c"), (1, None)], "n int, t string")
+    assert {tuple(r) for r in files.inserted(spark, rows, str(tmp_path / "t")).collect()} == {(2, "b|c"), (1, None)} and files.inserted(spark, rows.limit(1), str(tmp_path / "t")).count() == 1
+    files.write_report(rows, str(tmp_path / "md"), "markdown", ["n"])
+    assert [r[0] for r in spark.read.text(str(tmp_path / "md")).collect()] == ["| n | t |", "| --- | --- |", "| 1 |  |", "| 2 | b\\|c |"]
+    files.write_report(rows, str(tmp_path / "csv"), "csv")
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 2
+    assert files.registry_json(rows, ["n"]).first()[0] == '[{"n":1},{"n":2,"t":"b|c"}]'
+
+
+def test_streams_to_files(spark, tmp_path):
+    from conftest import SF
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    for _ in range(2):  # a second run finds nothing new
+        jobs.run_to_files(stream.select("event_id"), str(tmp_path / "out"), str(tmp_path / "c1"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+    jobs.run_to_snapshots(jobs.job_states(stream), str(tmp_path / "states"), str(tmp_path / "c2"))
+    assert spark.read.parquet(str(tmp_path / "states")).select("user_id").distinct().count() == events.select("user_id").distinct().count()
+
+
+def test_boundaries_of_validity(spark):
+    """Codes are expired strictly before now, entitlements are valid up to and including it (Z15)."""
+    from ledgerloom.operators import relational
+
+    until, now = F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-01-01").cast("timestamp_ntz")
+    assert value(spark, relational.code_expired(until, now)) is False and value(spark, relational.entitled(until, now)) is True
+    assert value(spark, relational.code_expired(F.lit(None).cast("timestamp_ntz"), now)) is False and value(spark, relational.entitled(F.lit(None).cast("timestamp_ntz"), now)) is True
