@@ -17,6 +17,7 @@ documents, which hold the end id alone.  An empty table gives folders without bl
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,13 +39,19 @@ _OTHER_BYTES = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(_OTHER_BYTES)}
 
 
+# fixed values: what the vocabulary's file says of its normalizers and its splitter
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLITTER = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 class WordEncoder(dict):
     """Packed ids of each white-space separated word, by the tokenizers library.
 
     The vocabulary's splitter drops white space and never matches across it, so a text's ids are its words' ids one
     after the other.  Marks after a letter or digit are a match of their own, letters are lower-cased one by one, and a
     run of letters is one match, which goes to the library's merge model as it is; all else goes through its whole
-    pipeline.  The cache has two generations, of CACHED_WORDS each: words met again move to the younger one.
+    pipeline.  All this holds for the normalizers and the splitter of _NORMALIZERS and _SPLITTER; with any other file whole
+    texts go through the library.  The cache has two generations, of CACHED_WORDS each: words met again move to the younger.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -53,6 +60,9 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model, self.old = self.tokenizer.model, {}
+        settings = json.loads(self.tokenizer.to_str())
+        #: Whether words can be encoded one by one: the splitter and the normalizers are those that this class knows.
+        self.by_word = [n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])] == _NORMALIZERS and (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0] == _SPLITTER
         #: Ids on their way take two bytes where the vocabulary allows.
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
@@ -95,6 +105,8 @@ class WordEncoder(dict):
         return known
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(self.tokenizer.encode((t or b"").decode(), add_special_tokens=False).ids, dtype=self.kind).tobytes() for t in texts]
         return [b"".join(map(self.__getitem__, (t or b"").split())) for t in texts]
 
 

@@ -629,3 +629,17 @@ def test_op5_ties_and_languages(spark):
     assert row["clean_text"] == good + "\n" + lines[0] + "\nFine." and row["kept"]
     fifty = with_quality(spark.createDataFrame([(1, good), (2, good.replace(" ", "", 1)), (3, good + "\n" + "\n".join(["NOW BUY ALL OF IT HERE AND NOW MY FRIENDS"] * 5))], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["kept"] for r in fifty[:2]] == [True, False] and fifty[2]["n_words"] == 100 and fifty[2]["kept_words"] == 50
+
+
+def test_op4_other_vocabularies_go_through_the_library(tmp_path):
+    import json
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert word_encoder(path).by_word
+    other = json.load(open(path))
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]+"
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    encoder = word_encoder(str(tmp_path / "other.json"))
+    text = "a1b2 don't 12,5 end."
+    assert not encoder.by_word
+    assert np.frombuffer(encoder.encode([text.encode(), None])[0], encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
