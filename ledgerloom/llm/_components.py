@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import saved, spread_join
+from ledgerloom.llm._shared import discard, saved, spread_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         met = spread_join(large, least, ["u"], ["v"])
         small = met.select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").union(least.select("u", F.col("least").alias("v"))).distinct()
         small = saved(small, "links")
+        discard(now, large)
         before, after, now = after, digest(small), small
         if before == after:
             break

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,49 @@ def work_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/ledgerloom/{what}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends at files that outlive any executor."""
+def saved(df: DataFrame, what: str, partition_by: list[str] | None = None, outer: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends at files that outlive any executor.
+
+    The table outlives the innermost `scratch` if it is for what is outside.
+    """
     spark, schema = df.sparkSession, df.schema
     path = work_path(spark, what)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    if open_scratch := _SCRATCH[:-1] if outer else _SCRATCH:
+        open_scratch[-1].append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+#: Paths written within each `scratch` that is open, the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of `saved` that nothing will read any more."""
+    for table in tables:
+        if (path := getattr(table, "saved_path", None)) is not None:
+            _deleted(table.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved within are deleted at the end: what is made of them has to be written elsewhere before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _deleted(spark, path)
 
 
 def partition_count(spark: SparkSession) -> int:

@@ -21,7 +21,9 @@ their overlaps and the number of links of each class; its pairs grow with the sq
 
 Ids of classes are 128-bit hashes of their sets, shingles are 64-bit hashes.  Null and empty texts, and texts without
 words, have an empty set: they link with nothing.  Rows with one doc_id each keep their own row.  A null doc_id never is
-a component's smallest, unless all are.  Other columns of the input stay; those made here replace any of the same name.
+a component's smallest, unless all are.  Texts of any length are one set, whole.  Ties: shingles of one size class are
+ordered by hash, sets of one size by id.  An empty table gives an empty result.  The result has the columns named at each
+function and none of the input's others.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm._blocks import block_rows, bucket_cuts, dealt, expand, expand_sorted, squeeze, squeeze_sorted
 from ledgerloom.llm._components import components
-from ledgerloom.llm._shared import LOWER_WORDS, saved, shingle_hashes, spread_join
+from ledgerloom.llm._shared import LOWER_WORDS, discard, saved, scratch, shingle_hashes, spread_join
 
 SIZE, PERCENT = 5, 80
 #: Fragments of the global order a pair's overlap is counted in; classes of a shingle that are compared in a round if there are more than the next number.
@@ -202,14 +204,18 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # the first round compares one class with all others of its shingle: that with the fewest rarer ones, as a text
     # that others were made from has
-    entries = entries.withColumn("root", F.col("sid"))
+    held, entries, spark = entries, entries.withColumn("root", F.col("sid")), sets.sparkSession
     first = entries.groupBy("token").agg(F.min(F.struct("place", "n", "sid", "root")).alias("r")).select("token", "r.*")
-    leaders, links = saved(lead(first), "leaders"), None
+    leaders, links, roots = saved(lead(first), "leaders"), None, None
     while True:
-        new = saved(compared(leaders, entries), "links")
+        with scratch(spark):
+            new = saved(compared(leaders, entries), "links", outer=True)
         if links is None or not new.isEmpty():
-            roots = saved(components(new if links is None else links.union(new)), "roots")
-            links = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            with scratch(spark):
+                known = saved(components(new if links is None else links.union(new)), "roots", outer=True)
+            discard(roots)
+            roots, links = known, known.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        discard(new)
         # what is left: no leaders, and only shingles whose classes aren't connected yet
         left = entries.select("token", "sid", "n", "place").join(leaders.select("token", F.col("lead").alias("sid")).hint("merge"), ["token", "sid"], "left_anti")
         left = left.join(roots.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -217,12 +223,15 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         parts = left.groupBy("token", "root").agg(F.count("*").alias("m"))
         largest = parts.groupBy("token").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m")).filter("m > top.m").select("token", F.col("top.root").alias("top"), (F.col("m") - F.col("top.m")).alias("strays"))
         entries = saved(spread_join(left, largest, ["token"], ["sid"]), "prefixes")
+        discard(held, left)
+        held = entries
         if entries.isEmpty():
             return links
         # with all but a shingle's largest part compared, all of its pairs that matter are
         strays = entries.filter("root <> top")
         many = strays.filter(F.col("strays") > AT_ONCE).groupBy("token", F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct("place", "n", "sid", "root")).alias("r")).select("token", "r.*")
-        leaders = saved(lead(strays.filter(F.col("strays") <= AT_ONCE)).union(lead(many)), "leaders")
+        old, leaders = leaders, saved(lead(strays.filter(F.col("strays") <= AT_ONCE)).union(lead(many)), "leaders")
+        discard(old)
         entries = entries.drop("top", "strays")
 
 

@@ -12,7 +12,8 @@ any shared store and the loss of executors are taken care of):
 Reading looks the four lengths of each control byte up in a table of 256 rows and gathers the data bytes by numpy.
 
 Ids are ordered by (doc_id nulls first); rows with one doc_id keep any order among themselves.  Null texts are empty
-documents, which hold the end id alone.  An empty table gives folders without blocks.
+documents, which hold the end id alone.  A text of any length is one document, in one block.  An empty table gives folders
+without blocks.  Of the input only key and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

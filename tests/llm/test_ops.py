@@ -643,3 +643,22 @@ def test_op4_other_vocabularies_go_through_the_library(tmp_path):
     text = "a1b2 don't 12,5 end."
     assert not encoder.by_word
     assert np.frombuffer(encoder.encode([text.encode(), None])[0], encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_very_long_text_through_all_operators(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=5)) + str(i) for i in range(90_000)]  # no word twice
+    long, passage = "\n".join(" ".join(words[i : i + 9]) for i in range(0, 90_000, 9)), " ".join(words[50_000:50_030])
+    docs = spark.createDataFrame([(1, passage), (2, long), (3, long + "\ntail of it")], "doc_id long, text string")
+    assert len(long) > 10 * 65_536
+    by_id = lambda df: {r["doc_id"]: r for r in df.collect()}
+    assert {i: r["n_removed"] for i, r in by_id(factor_documents(docs)).items()} == {1: 0, 2: 30, 3: 90_000}
+    assert {i: r["component_id"] for i, r in by_id(with_near_duplicates(docs)).items()} == {1: 1, 2: 2, 3: 2}
+    assert {r["doc_id"]: r["start"] for r in op2.find_leaks(docs, spark.createDataFrame([(7, passage)], "item_id long, text string")).collect()} == {1: 0, 2: 50_000, 3: 50_000}
+    path = work_path(spark, "test")
+    write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), path, end_id=1)
+    assert np.frombuffer(by_id(read_token_files(spark, path))[2]["ids"], "<u4").tolist() == whole_ids(long)
+    assert by_id(with_quality(docs))[2]["n_words"] == 90_000 and by_id(with_licenses(docs))[2]["n_words"] == 90_000
+    assert by_id(with_passage_dedup(docs))[3]["clean_text"] == by_id(with_line_dedup(docs))[3]["clean_text"] == "tail of it"
+    assert by_id(with_surrogates(docs, "k"))[2]["clean_text"] == long
+    assert len(by_id(op10.with_toxicity(docs, np.zeros(1 << op10.BITS, np.float32), 0.0))) == 3
