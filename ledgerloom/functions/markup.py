@@ -45,7 +45,7 @@ def pieced(x: Column, pattern: str, group: int, made: Callable[[Column, Column],
 
 def brace_depth(x: Column) -> Column:
     """How deep a text's braces are nested; escaped ones don't count (ST10)."""
-    braces = F.split(F.regexp_replace(x, r"\\[\s\S]|[^{}\\]", ""), "")
+    braces = F.split(F.regexp_replace(x, r"\\[\s\S]|[^{}\\]+", ""), "")
     step = lambda a, c: F.struct((a["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c == "{", 1).otherwise(0)).alias("most"))
     return F.aggregate(braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
 
@@ -83,7 +83,8 @@ def command_argument(x: Column, command: str) -> Column:
 
 def _protected(x: Column) -> Column:
     """Escaped braces as characters of their own."""
-    return F.regexp_replace(F.regexp_replace(x, r"(?<!\\)((?:\\\\)*)\\\{", "$1" + _OPEN), r"(?<!\\)((?:\\\\)*)\\\}", "$1" + _CLOSE)
+    changed = lambda y: F.regexp_replace(F.regexp_replace(y, r"(?<!\\)((?:\\\\)*)\\\{", "$1" + _OPEN), r"(?<!\\)((?:\\\\)*)\\\}", "$1" + _CLOSE)
+    return T.let(x, lambda y: F.when(F.contains(y, F.lit("\\{")) | F.contains(y, F.lit("\\}")), changed(y)).otherwise(y))
 
 
 def _restored(x: Column, opens: str = "\\{", closes: str = "\\}") -> Column:
@@ -106,7 +107,8 @@ def replaced_command(x: Column, command: str, by: str = "$1") -> Column:
     r"""\command{arg} replaced by `by` ($1 is the argument), the innermost first, however deep (ST13)."""
     pattern = rf"\\{command}\*?(?![A-Za-z@])\s*(?:\[[^\]]*\])?\{{([^{{}}]*)\}}"
     # innermost braces of other commands are put out of the way, so that what holds them is innermost in the next round
-    other = rf"(?<!\\{command}\*?\s{{0,4}}(?:\[[^\]]{{0,99}}\])?)\{{([^{{}}]*)\}}"
+    # looking back from the brace, so that it is only done there
+    other = rf"\{{(?<!\\{command}\*?\s{{0,4}}(?:\[[^\]]{{0,99}}\])?\{{)([^{{}}]*)\}}"
     aside = lambda y: F.regexp_replace(y, other, f"{_SET_OPEN}$1{_SET_CLOSE}")
     made = _from_inside(_protected(x), lambda y: aside(F.regexp_replace(y, pattern, by)))
     return _restored(F.replace(F.replace(made, F.lit(_SET_OPEN), F.lit("{")), F.lit(_SET_CLOSE), F.lit("}")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators import profile_tables as P
-from ledgerloom.operators.rules import penalty_score, routed, rule_table
+from ledgerloom.operators.rules import penalty_score, routed, rule_table, small
 
 SOURCE_EXTENSIONS = ["tex", "sty", "cls", "ltx"]
 
@@ -135,9 +135,9 @@ def resolved_fallbacks(blocks: DataFrame, registry: DataFrame) -> DataFrame:
     other profile if that has none; a miss is audited as Fallback and stays raw, as does a hit that makes no block.
     """
     raw = F.col("kind") == "raw"
-    profiles = F.broadcast(registry.select(F.col("profile_id").alias("__p")).filter("__p IS NOT NULL").distinct())
+    profiles = small(registry.select(F.col("profile_id").alias("__p")).filter("__p IS NOT NULL").distinct())
     met = blocks.filter(raw).withColumn("__m", macro_of(F.col("text"))).join(profiles, F.col("profile_id") == F.col("__p"), "left")
-    rules = F.broadcast(registry.select(F.col("profile_id").alias("__q"), F.col("name").alias("__n"), F.col("output").alias("__o")))
+    rules = small(registry.select(F.col("profile_id").alias("__q"), F.col("name").alias("__n"), F.col("output").alias("__o")))
     met = met.join(rules, F.col("__p").eqNullSafe(F.col("__q")) & (F.col("__m.name") == F.col("__n")), "left")
     made = met.withColumn("decision", F.when(F.col("__o").isNotNull(), "Loaded").when(F.col("__m").isNotNull() | F.trim("text").startswith(r"\begin{"), "Fallback"))
     made = made.withColumn("kind", F.coalesce(routed(F.col("__o")), F.lit("raw")))

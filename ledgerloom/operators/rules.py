@@ -13,6 +13,11 @@ def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     return F.broadcast(spark.createDataFrame(rows, schema).coalesce(1))
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has at most so many rows, which is counted first; else as it is, for a join of any size."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def registry(rules: DataFrame) -> DataFrame:
     """Rules (name, priority, position, output): of one name the last by priority and position holds (RL1, SRC15)."""
     return last_occurrence(rules, ["name"], ["priority", "position"])
@@ -20,7 +25,7 @@ def registry(rules: DataFrame) -> DataFrame:
 
 def applied(rows: DataFrame, name: str, rules: DataFrame) -> DataFrame:
     """rows with output, source and accepted: what the rule of that name says, else a fallback to inline text (RL2, JN15)."""
-    met = rows.join(F.broadcast(rules.select(F.col("name").alias("__n"), F.col("output").alias("__o"))), F.col(name) == F.col("__n"), "left")
+    met = rows.join(small(rules.select(F.col("name").alias("__n"), F.col("output").alias("__o"))), F.col(name) == F.col("__n"), "left")
     hit = F.col("__n").isNotNull()
     return met.withColumn("output", F.coalesce("__o", F.lit("InlineText"))).withColumn("source", F.when(hit, "Loaded").otherwise("Fallback")).withColumn("accepted", hit).drop("__n", "__o")
 
@@ -28,7 +33,7 @@ def applied(rows: DataFrame, name: str, rules: DataFrame) -> DataFrame:
 def mapped(blocks: DataFrame, kind: str, rules: DataFrame) -> DataFrame:
     """blocks with (rule_id, element, diagnostic): by the first rule (kind, rule_id, element, position) of their kind, else map.missing to w:p with a diagnostic (JN14)."""
     first = rules.groupBy(F.col("kind").alias("__k")).agg(F.min_by(F.struct("rule_id", "element"), "position").alias("__r"))
-    met = blocks.join(F.broadcast(first), F.col(kind) == F.col("__k"), "left")
+    met = blocks.join(small(first), F.col(kind) == F.col("__k"), "left")
     missing = F.when(F.col("__r").isNull(), F.concat(F.lit("no mapping rule for "), F.coalesce(F.col(kind), F.lit("null"))))
     return met.withColumns({"rule_id": F.coalesce("__r.rule_id", F.lit("map.missing")), "element": F.coalesce("__r.element", F.lit("w:p")), "diagnostic": missing}).drop("__k", "__r")
 
@@ -44,13 +49,13 @@ def weighted_scores(signals: DataFrame, keys: list[str], profiles: DataFrame) ->
     Values match whatever their case, but count once for each spelling (Z6).
     """
     own = signals.select(*keys, "kind", "value").distinct()
-    met = own.join(F.broadcast(profiles.select("profile_id", F.col("kind").alias("__k"), F.lower("value").alias("__v"), "weight")), (F.col("kind") == F.col("__k")) & (F.lower("value") == F.col("__v")))
+    met = own.join(small(profiles.select("profile_id", F.col("kind").alias("__k"), F.lower("value").alias("__v"), "weight")), (F.col("kind") == F.col("__k")) & (F.lower("value") == F.col("__v")))
     return met.groupBy(*keys, "profile_id").agg(F.least(F.round(F.sum("weight"), 6), F.lit(1.0)).alias("confidence"))
 
 
 def detected(scores: DataFrame, keys: list[str], least: DataFrame, default: str = "generic") -> DataFrame:
     """The best profile of each group that reaches its own least confidence, else the default; ties go to the smaller id (SO5, Z5)."""
-    sure = scores.join(F.broadcast(least), "profile_id").filter(F.col("confidence") >= F.col("min_confidence"))
+    sure = scores.join(small(least), "profile_id").filter(F.col("confidence") >= F.col("min_confidence"))
     picked = sure.groupBy(*keys).agg(F.min_by("profile_id", F.struct(-F.col("confidence"), "profile_id")).alias("picked"))
     top = ambiguity(scores, keys, "confidence", "profile_id")
     return top.join(picked, keys, "left").withColumn("picked", F.coalesce("picked", F.lit(default)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import markup as M
+from ledgerloom.functions import text as T
 from ledgerloom.operators import compare as C
 from ledgerloom.plans.registry import query, table
 from ledgerloom.sources.files import bbl_items, bib_entries
@@ -62,18 +63,21 @@ def _as_markup(text: Column) -> Column:  # the tables hold no markup of this kin
     return F.concat(F.lit("\\newcommand{\\me}{engine} % note\n\\section{"), F.col("lang"), F.lit("} \\textbf{\\emph{"), head, F.lit("}} by \\me, see \\ref{fig:1} and $\\alpha$"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(lang || ' ' || h || ' by engine, see fig:1 and α', '[\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS plain
-FROM (SELECT doc_id, lang, regexp_replace(left(text, 200), '[\\{}$%~#&_^\n]', ' ', 'g') AS h FROM documents)""")
+_WHITE_SQL = f"[{T.WHITE}]+"
+_HEAD_SQL = r"(SELECT doc_id, lang, regexp_replace(text, '[\\{}$%~#&_^\n]', ' ', 'g') AS h FROM documents)"
+
+
+@query(f"""SELECT doc_id, trim(regexp_replace(lang || ' ' || h || ' by engine, see fig:1 and α', '{_WHITE_SQL}', ' ', 'g')) AS plain FROM {_HEAD_SQL}""")
 def latex_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marked-up heads of texts to plain text, macros expanded first; whole texts are those of latex_plain_whole."""
-    return table(spark, sf_dir, "documents").select("doc_id", M.plain_text(M.expanded(_as_markup(F.left("text", F.lit(200))))).alias("plain"))
+    """Whole marked-up texts to plain text, macros expanded first (ST20, ST22)."""
+    return table(spark, sf_dir, "documents").select("doc_id", M.plain_text(M.expanded(_as_markup(F.col("text")))).alias("plain"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(lang || ' ' || h || ' by engine, see fig:1 and α', '[\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS plain
-FROM (SELECT doc_id, lang, regexp_replace(text, '[\\{}$%~#&_^\n]', ' ', 'g') AS h FROM documents)""")
+@query(f"""SELECT doc_id, trim(regexp_replace(lang || ' ' || replace(replace(replace(replace(h, '``', '“'), chr(39) || chr(39), '”'), '---', '—'), '--', '–') || ' by engine, see 7 and α', '{_WHITE_SQL}', ' ', 'g')) AS plain FROM {_HEAD_SQL}""")
 def latex_plain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole marked-up texts to plain text, macros expanded first (ST12, ST22)."""
-    return table(spark, sf_dir, "documents").select("doc_id", M.plain_text(M.expanded(_as_markup(F.col("text")))).alias("plain"))
+    """Whole marked-up texts to plain text by all steps, with references resolved (ST12)."""
+    empty, labels = F.create_map().cast("map<string, bigint>"), F.create_map(F.lit("fig:1"), F.lit("7"))
+    return table(spark, sf_dir, "documents").select("doc_id", M.latex_text(M.expanded(_as_markup(F.col("text"))), empty, labels).alias("plain"))
 
 
 @query("""SELECT item_id, 'k' || item_id AS key, 'T ' || length(text) AS title, CASE WHEN item_id >= 10 THEN 'J' || item_id ELSE 'P' END AS venue, 2 AS n_authors FROM benchmark""")
