@@ -46,7 +46,10 @@ def pieced(x: Column, pattern: str, group: int, made: Callable[[Column, Column],
 def brace_depth(x: Column) -> Column:
     """How deep a text's braces are nested; escaped ones don't count (ST10)."""
     braces = F.split(F.regexp_replace(x, r"\\[\s\S]|[^{}\\]+", ""), "")
-    step = lambda a, c: F.struct((a["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c == "{", 1).otherwise(0)).alias("most"))
+    step = lambda a, c: F.struct(
+        (a["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"),
+        F.greatest(a["most"], a["now"] + F.when(c == "{", 1).otherwise(0)).alias("most")
+    )
     return F.aggregate(braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
 
 
@@ -144,7 +147,10 @@ def math_parts(x: Column) -> Column:
     parts = F.regexp_extract_all(x, F.lit(r"\$\$(?:(?!\$\$)[\s\S])*\$\$|\$\$|\$[^$]*\$|\$[^$]*\z|\\\((?:(?!\\\))[\s\S])*\\\)|\\\([^$]*|(?:(?!\\\()[^$])+"), F.lit(0))
     dollar = lambda p: p.rlike(r"^\$[^$]*\$$") & (F.length(p) > 1) & (p != "$$")
     bracket = lambda p: p.startswith("\\(") & p.endswith("\\)")
-    one = lambda p: F.when(dollar(p), F.struct(F.lit("math").alias("kind"), F.substr(p, F.lit(2), F.length(p) - 2).alias("text"))).when(bracket(p), F.struct(F.lit("math").alias("kind"), F.substr(p, F.lit(3), F.length(p) - 4).alias("text"))).otherwise(F.struct(F.lit("text").alias("kind"), p.alias("text")))
+    one = lambda p: F.when(dollar(p), F.struct(F.lit("math").alias("kind"), F.substr(p, F.lit(2), F.length(p) - 2).alias("text"))).when(
+        bracket(p),
+        F.struct(F.lit("math").alias("kind"), F.substr(p, F.lit(3), F.length(p) - 4).alias("text"))
+    ).otherwise(F.struct(F.lit("text").alias("kind"), p.alias("text")))
     return F.filter(F.transform(parts, one), lambda p: p["text"] != "")
 
 
@@ -188,7 +194,10 @@ def styled_runs(x: Column) -> Column:
     parts = F.regexp_extract_all(x, F.lit(r"\x01([BIETM])([\s\S]*?)\x01\1|[^\x01]+"), F.lit(0))
     style = F.create_map(*[F.lit(v) for letter, name in RUN_STYLES.values() for v in (letter, name)])
     bare = lambda p: F.regexp_replace(p, r"\x01[BIETM]", "")
-    runs = F.transform(parts, lambda p: F.struct(F.when(p.startswith(_MARK), F.try_element_at(style, F.substring(p, 2, 1))).otherwise("plain").alias("style"), bare(p).alias("text")))
+    runs = F.transform(
+        parts,
+        lambda p: F.struct(F.when(p.startswith(_MARK), F.try_element_at(style, F.substring(p, 2, 1))).otherwise("plain").alias("style"), bare(p).alias("text"))
+    )
     return F.filter(runs, lambda r: r["text"] != "")
 
 

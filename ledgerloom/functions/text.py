@@ -67,7 +67,15 @@ def split_keys(x: Column) -> Column:
 
 def label_kind(key: Column) -> Column:
     """What a label's prefix says it names (ST25)."""
-    kinds = {"figure": ("fig:", "figure:"), "table": ("tab:", "table:", "tbl:"), "equation": ("eq:", "equation:"), "algorithm": ("alg:", "algorithm:"), "theorem": ("thm:", "theorem:"), "proposition": ("prop:", "proposition:"), "section": ("sec:", "section:")}
+    kinds = {
+        "figure": ("fig:", "figure:"),
+        "table": ("tab:", "table:", "tbl:"),
+        "equation": ("eq:", "equation:"),
+        "algorithm": ("alg:", "algorithm:"),
+        "theorem": ("thm:", "theorem:"),
+        "proposition": ("prop:", "proposition:"),
+        "section": ("sec:", "section:")
+    }
     out = None
     for kind, prefixes in kinds.items():
         hit = reduce(lambda a, b: a | b, [F.lower(key).startswith(p) for p in prefixes])
@@ -171,7 +179,10 @@ def residue_count(x: Column) -> Column:
 def compressed_ranges(numbers: Column) -> Column:
     """An array of integers as sorted ranges: 1-3,5 (WN7)."""
     s = F.array_sort(F.array_distinct(numbers))
-    step = lambda a, n: F.when(F.size(a) == 0, F.array(F.struct(n.alias("lo"), n.alias("hi")))).when(F.element_at(a, -1)["hi"] + 1 == n, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["lo"].alias("lo"), n.alias("hi"))))).otherwise(F.concat(a, F.array(F.struct(n.alias("lo"), n.alias("hi")))))
+    step = lambda a, n: F.when(F.size(a) == 0, F.array(F.struct(n.alias("lo"), n.alias("hi")))).when(
+        F.element_at(a, -1)["hi"] + 1 == n,
+        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["lo"].alias("lo"), n.alias("hi"))))
+    ).otherwise(F.concat(a, F.array(F.struct(n.alias("lo"), n.alias("hi")))))
     ranges = F.aggregate(s, F.array().cast("array<struct<lo: bigint, hi: bigint>>"), lambda a, n: step(a, n.cast("long")))
     one = lambda r: F.when(r["lo"] == r["hi"], r["lo"].cast("string")).otherwise(F.concat_ws("-", r["lo"], r["hi"]))
     return F.array_join(F.transform(ranges, one), ",")
@@ -201,4 +212,9 @@ def wrapped(x: Column, width: int) -> Column:
         lines = F.when(~empty & full, F.concat(s["lines"], F.array(s["line"]))).otherwise(s["lines"])
         return F.struct(lines.alias("lines"), F.when(empty | full, w).otherwise(longer).alias("line"))
 
-    return F.aggregate(F.filter(F.split(collapsed(x), " "), lambda w: w != ""), state, step, lambda s: F.when(s["line"] == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(s["line"]))))
+    return F.aggregate(
+        F.filter(F.split(collapsed(x), " "), lambda w: w != ""),
+        state,
+        step,
+        lambda s: F.when(s["line"] == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(s["line"])))
+    )

@@ -120,7 +120,10 @@ def run_signature(runs: Column) -> Column:
     parts = lambda r: [F.concat(F.lit(f"{short.get(a, a)}="), text(r, a)) for a in RUN_ATTRIBUTES[:6]]
     fonts = lambda r: F.concat(F.lit("font="), text(r, "font_ascii"), F.lit("/"), text(r, "font_east_asia"))
     keys = F.transform(runs, lambda r: F.concat_ws(";", *parts(r), fonts(r)))
-    counted = lambda ks: F.transform(F.array_sort(F.array_distinct(ks)), lambda k: F.concat(k, F.lit(" x"), F.size(F.filter(ks, lambda x: x == k)).cast("string")))
+    counted = lambda ks: F.transform(
+        F.array_sort(F.array_distinct(ks)),
+        lambda k: F.concat(k, F.lit(" x"), F.size(F.filter(ks, lambda x: x == k)).cast("string"))
+    )
     return F.array_join(T.let(keys, counted), "; ")
 
 

@@ -78,10 +78,20 @@ def spliced(files: DataFrame) -> DataFrame:
     now = cut(files.select("project", "path", "text"))
     while True:
         called = now.select("project", "path", F.explode(F.array_distinct(command_arguments(F.col("text"), "(?:input|include)"))).alias("child"))
-        done = now.filter(F.size(command_arguments(F.col("text"), "(?:input|include)")) == 0).select("project", F.col("path").alias("child"), F.col("text").alias("inner"))
+        done = now.filter(F.size(command_arguments(F.col("text"), "(?:input|include)")) == 0).select(
+            "project",
+            F.col("path").alias("child"),
+            F.col("text").alias("inner")
+        )
         ready = called.join(done, ["project", "child"]).groupBy("project", "path").agg(F.map_from_entries(F.collect_list(F.struct("child", "inner"))).alias("inner"))
         if ready.isEmpty():
             return now
         quoted = lambda v: F.regexp_replace(v, r"([\\$])", r"\\$1")
         put = lambda text, e: F.regexp_replace(text, F.concat(F.lit(r"\\(?:input|include)\{\Q"), e["key"], F.lit(r"\E\}")), quoted(e["value"]))
-        now = cut(now.join(ready, ["project", "path"], "left").select("project", "path", F.when(F.col("inner").isNotNull(), F.aggregate(F.map_entries("inner"), F.col("text"), put)).otherwise(F.col("text")).alias("text")))
+        now = cut(
+            now.join(ready, ["project", "path"], "left").select(
+                "project",
+                "path",
+                F.when(F.col("inner").isNotNull(), F.aggregate(F.map_entries("inner"), F.col("text"), put)).otherwise(F.col("text")).alias("text")
+            )
+        )

@@ -44,7 +44,12 @@ def signals_of(sources: DataFrame) -> DataFrame:
         F.transform(_listed(_names(text, "documentclass", 1)), entry("documentclass_option", r"\documentclass")),
         F.transform(_listed(_names(text, "(?:usepackage|RequirePackage)")), entry("package", r"\usepackage")),
         F.transform(_names(text, "bibliographystyle"), entry("bibliographystyle", r"\bibliographystyle")),
-        *[F.when(F.contains(compact, F.lit("\\" + m)), F.array(entry("macro", "\\" + m)(F.lit(m)))).otherwise(F.array().cast("array<struct<kind: string, value: string, line: bigint>>")) for m in P.SIGNAL_MACROS],
+        *[
+            F.when(
+                F.contains(compact, F.lit("\\" + m)),
+                F.array(entry("macro", "\\" + m)(F.lit(m)))
+            ).otherwise(F.array().cast("array<struct<kind: string, value: string, line: bigint>>")) for m in P.SIGNAL_MACROS
+        ],
     )
     return sources.select("project", "path", F.explode(found).alias("s")).select("project", "path", "s.*")
 
@@ -61,7 +66,11 @@ def compatibility_issues(sources: DataFrame, profiles: DataFrame, lenient: froze
     names the switches of LENIENT under which an unsupported feature is a warning.
     """
     spark, text = sources.sparkSession, F.col("text")
-    kinds = {"class": _listed(_names(text, "documentclass")), "package": _listed(_names(text, "(?:usepackage|RequirePackage)")), "environment": F.regexp_extract_all(text, F.lit(r"\\begin\{([A-Za-z*]+)\}"), F.lit(1))}
+    kinds = {
+        "class": _listed(_names(text, "documentclass")),
+        "package": _listed(_names(text, "(?:usepackage|RequirePackage)")),
+        "environment": F.regexp_extract_all(text, F.lit(r"\\begin\{([A-Za-z*]+)\}"), F.lit(1))
+    }
     entry = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("feature"))
     entries = F.concat(*[F.transform(v, entry(k)) for k, v in kinds.items()])
     features = sources.select("project", F.explode(F.array_distinct(entries)).alias("f")).select("project", "f.*").distinct()
@@ -74,12 +83,22 @@ def compatibility_issues(sources: DataFrame, profiles: DataFrame, lenient: froze
     general = features.join(rules, ["kind", "feature"])
     own = features.join(profiles.select("project", "profile_id"), "project")
     packages = rule_table(spark, P.PROFILE_PACKAGES, "profile_id string, feature string, severity string")
-    by_profile = own.filter("kind = 'package'").join(packages, ["profile_id", "feature"]).withColumn("code", F.when(F.col("severity") == "U", "profile_unsupported_package").otherwise("profile_limited_package"))
+    by_profile = own.filter("kind = 'package'").join(packages, ["profile_id", "feature"]).withColumn(
+        "code",
+        F.when(F.col("severity") == "U", "profile_unsupported_package").otherwise("profile_limited_package")
+    )
     classes = rule_table(spark, [(p, [c.lower() for c in cs]) for p, cs in P.PROFILE_CLASSES.items()], "profile_id string, classes array<string>")
     refused = [n for k, n, _, _ in P.ISSUES if k == "class"]
-    mismatched = own.filter((F.col("kind") == "class") & ~F.col("feature").isin(refused)).join(classes, "profile_id").filter(~F.array_contains("classes", F.lower("feature")))
+    mismatched = own.filter(
+        (F.col("kind") == "class") & ~F.col("feature").isin(refused)
+    ).join(classes, "profile_id").filter(~F.array_contains("classes", F.lower("feature")))
     mismatched = mismatched.withColumn("code", F.lit("profile_document_class_mismatch")).withColumn("severity", F.lit("W"))
-    macros = macro_counts(sources).filter("macros > 0").select("project", F.lit("custom_macros").alias("code"), F.lit("custom macros").alias("feature"), F.lit("W").alias("severity"))
+    macros = macro_counts(sources).filter("macros > 0").select(
+        "project",
+        F.lit("custom_macros").alias("code"),
+        F.lit("custom macros").alias("feature"),
+        F.lit("W").alias("severity")
+    )
     columns = ["project", "code", "feature", "severity"]
     return general.select(columns).union(by_profile.select(columns)).union(mismatched.select(columns)).union(macros).distinct()
 
@@ -92,9 +111,18 @@ def macro_counts(sources: DataFrame) -> DataFrame:
 
 def compatibility_scores(sources: DataFrame, issues: DataFrame) -> DataFrame:
     """(project, unsupported, warnings, macros, score) of every project with sources (AG9)."""
-    n = issues.groupBy("project").agg(F.count_if(F.col("severity") == "U").alias("unsupported"), F.count_if((F.col("severity") == "W") & (F.col("code") != "custom_macros")).alias("w"))
+    n = issues.groupBy("project").agg(
+        F.count_if(F.col("severity") == "U").alias("unsupported"),
+        F.count_if((F.col("severity") == "W") & (F.col("code") != "custom_macros")).alias("w")
+    )
     met = macro_counts(sources).join(n, "project", "left").na.fill(0, ["unsupported", "w"])
-    return met.select("project", "unsupported", (F.col("w") + (F.col("macros") > 0).cast("int")).alias("warnings"), "macros", penalty_score(F.col("unsupported"), F.col("w"), F.col("macros")).alias("score"))
+    return met.select(
+        "project",
+        "unsupported",
+        (F.col("w") + (F.col("macros") > 0).cast("int")).alias("warnings"),
+        "macros",
+        penalty_score(F.col("unsupported"), F.col("w"), F.col("macros")).alias("score")
+    )
 
 
 def rule_registry(spark: SparkSession, profile_rules: DataFrame | None = None) -> DataFrame:
@@ -109,7 +137,14 @@ def rule_registry(spark: SparkSession, profile_rules: DataFrame | None = None) -
     if profile_rules is not None:
         known = known.union(profile_rules.select("profile_id")).distinct()
     known = known.union(spark.range(1).select(F.lit(None).cast("string").alias("profile_id")))
-    rows = known.withColumn("one", F.lit(1)).join(builtin.withColumn("one", F.lit(1)), "one").select("profile_id", "name", "output", F.lit("builtin").alias("origin"), F.lit(0).alias("rank"), F.lit(0).alias("position"))
+    rows = known.withColumn("one", F.lit(1)).join(builtin.withColumn("one", F.lit(1)), "one").select(
+        "profile_id",
+        "name",
+        "output",
+        F.lit("builtin").alias("origin"),
+        F.lit(0).alias("rank"),
+        F.lit(0).alias("position")
+    )
     rows = rows.union(journal.select("profile_id", "name", "output", F.lit("journal"), F.lit(1), F.lit(0)))
     if profile_rules is not None:
         output = F.lit("InlineText")
@@ -158,4 +193,9 @@ def known_profiles(files: DataFrame) -> DataFrame:
     spec = F.from_json("text", "id string, aliases array<string>, detection struct<min_confidence: double>", {"mode": "FAILFAST"})
     rows = files.select("path", spec.alias("s")).filter(F.col("s.id").isNotNull())
     last = rows.groupBy(F.col("s.id").alias("id")).agg(F.max_by("s", "path").alias("s"), F.max("path").alias("path"))
-    return last.select("id", "path", F.col("s.detection.min_confidence").alias("min_confidence"), F.coalesce("s.aliases", F.array().cast("array<string>")).alias("aliases"))
+    return last.select(
+        "id",
+        "path",
+        F.col("s.detection.min_confidence").alias("min_confidence"),
+        F.coalesce("s.aliases", F.array().cast("array<string>")).alias("aliases")
+    )

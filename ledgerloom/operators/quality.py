@@ -13,7 +13,22 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators.rules import checks
 
 # fixed values: thresholds of the layers
-THRESHOLDS = {"tables": 5, "images": 8, "captions": 6, "char_ratio": 0.75, "page_width": 10433, "page_height": 14742, "pdf_bytes": 5 * 1024 * 1024, "fonts": 2, "markers": 1.0, "sections": 1.0, "ssim": 0.95, "pixel_diff": 3.0, "page_tolerance": 0.20, "paragraphs_a_page": 6}
+THRESHOLDS = {
+    "tables": 5,
+    "images": 8,
+    "captions": 6,
+    "char_ratio": 0.75,
+    "page_width": 10433,
+    "page_height": 14742,
+    "pdf_bytes": 5 * 1024 * 1024,
+    "fonts": 2,
+    "markers": 1.0,
+    "sections": 1.0,
+    "ssim": 0.95,
+    "pixel_diff": 3.0,
+    "page_tolerance": 0.20,
+    "paragraphs_a_page": 6
+}
 #: Labels a paper has in all its forms; titles and addresses of a paper at hand come with the call.
 MARKERS = ["摘要", "关键词", "Abstract", "Key words", "表 1", "表 5", "图 1", "图 8", "算法 1", "References"]
 SECTIONS = ["1 引言", "2 相关工作", "3 系统总体设计", "4 关键算法", "5 系统实现", "6 实验与分析", "7 结束语"]
@@ -43,13 +58,19 @@ def part_metrics(document: Column, styles: Column) -> dict[str, Column]:
     return {
         "tables": _count(document, r"<w:tbl>"), "images": _count(document, r"<w:drawing[ />]"), "paragraphs": F.size(paragraphs).cast("long"),
         "captions": of(paragraphs, caption), "captions_kept": of(paragraphs, lambda p: caption(p) & F.contains(p, F.lit("<w:keepNext/>"))),
-        "images_kept": of(paragraphs, lambda p: F.contains(p, F.lit("<w:drawing")) & F.contains(p, F.lit("<w:keepNext/>"))), "kept_with_next": _count(document, r"<w:keepNext/>"),
+        "images_kept": of(
+            paragraphs,
+            lambda p: F.contains(p, F.lit("<w:drawing")) & F.contains(p, F.lit("<w:keepNext/>"))
+        ), "kept_with_next": _count(document, r"<w:keepNext/>"),
         "inside_rules": of(tables, border("insideV", "single")), "open_sides": of(tables, lambda t: border("left", "nil")(t) & border("right", "nil")(t)),
         "rows": _count(document, r"<w:tr[ >]"), "rows_whole": _count(document, r"<w:cantSplit/>"),
         "fonts": F.size(F.array_distinct(F.regexp_extract_all(document, F.lit(r'<w:rFonts [^>]*w:ascii="([^"]*)"'), F.lit(1)))).cast("long"),
         "superscripts": _count(document, r'<w:vertAlign w:val="superscript"/>'), "leaked_markup": _count(document, r"\\[A-Za-z]+|\[[htbp!]+\]"),
         "page_width": _attribute(document, "pgSz", "w").try_cast("long"), "page_height": _attribute(document, "pgSz", "h").try_cast("long"),
-        "margins": F.regexp_count(F.regexp_extract(document, r"<w:pgMar\b[^>]*", 0), F.lit(r'w:(?:top|bottom|left|right)="[1-9]')).cast("long"), "columns": F.coalesce(_attribute(document, "cols", "num").try_cast("long"), F.lit(1)),
+        "margins": F.regexp_count(
+            F.regexp_extract(document, r"<w:pgMar\b[^>]*", 0),
+            F.lit(r'w:(?:top|bottom|left|right)="[1-9]')
+        ).cast("long"), "columns": F.coalesce(_attribute(document, "cols", "num").try_cast("long"), F.lit(1)),
         "reference_left": _attribute(reference, "ind", "left").try_cast("long"), "reference_hanging": _attribute(reference, "ind", "hanging").try_cast("long"),
     }
 
@@ -60,7 +81,10 @@ def structural_layer(metrics: DataFrame, keys: list[str], t: dict = THRESHOLDS)
     ratio = F.when(c("oracle_chars") == 0, 0.0).otherwise(c("docx_chars") / c("oracle_chars"))
     named = {
         "tables": ("critical", c("tables") >= t["tables"]), "images": ("critical", c("images") == t["images"]), "captions": ("major", c("captions") >= t["captions"]),
-        "page_size": ("critical", (c("page_width") == t["page_width"]) & (c("page_height") == t["page_height"])), "margins": ("major", c("margins") == 4), "columns": ("major", c("columns") == 1),
+        "page_size": (
+            "critical",
+            (c("page_width") == t["page_width"]) & (c("page_height") == t["page_height"])
+        ), "margins": ("major", c("margins") == 4), "columns": ("major", c("columns") == 1),
         "reference_indent": ("major", (c("reference_left") == 420) & (c("reference_hanging") == 420)), "char_ratio": ("major", ratio >= t["char_ratio"]),
     }
     return checks(metrics, keys, named).withColumn("layer", F.lit("structural"))
@@ -82,7 +106,12 @@ def pdf_layer(metrics: DataFrame, keys: list[str], t: dict = THRESHOLDS) -> Data
     """Checks of a print (pages, paragraphs, pdf_bytes, fonts, has_unicode); pages may be off by a fifth of what the paragraphs take (Q10, MA3)."""
     c = F.col
     expected = F.greatest(c("paragraphs") / t["paragraphs_a_page"], F.lit(1.0))
-    named = {"pages": ("major", F.abs(c("pages") - expected) / expected <= t["page_tolerance"]), "size": ("major", c("pdf_bytes") < t["pdf_bytes"]), "fonts": ("critical", c("fonts") >= t["fonts"]), "unicode": ("critical", c("has_unicode"))}
+    named = {
+        "pages": ("major", F.abs(c("pages") - expected) / expected <= t["page_tolerance"]),
+        "size": ("major", c("pdf_bytes") < t["pdf_bytes"]),
+        "fonts": ("critical", c("fonts") >= t["fonts"]),
+        "unicode": ("critical", c("has_unicode"))
+    }
     return checks(metrics, keys, named).withColumn("layer", F.lit("structural"))
 
 
@@ -106,14 +135,26 @@ def coverage_ratio(covered: DataFrame, keys: list[str], sides: list[str]) -> Dat
 def textual_layer(ratios: DataFrame, keys: list[str], t: dict = THRESHOLDS) -> DataFrame:
     """Checks of (keys, docx_ratio, print_ratio, markers, sections), shares of texts' lengths and of markers held (Q7, Q8)."""
     c = F.col
-    named = {"docx_ratio": ("critical", c("docx_ratio") >= t["char_ratio"]), "print_ratio": ("critical", c("print_ratio") >= t["char_ratio"]), "markers": ("critical", c("markers") >= t["markers"]), "sections": ("major", c("sections") >= t["sections"])}
+    named = {
+        "docx_ratio": ("critical", c("docx_ratio") >= t["char_ratio"]),
+        "print_ratio": ("critical", c("print_ratio") >= t["char_ratio"]),
+        "markers": ("critical", c("markers") >= t["markers"]),
+        "sections": ("major", c("sections") >= t["sections"])
+    }
     return checks(ratios, keys, named).withColumn("layer", F.lit("textual"))
 
 
 def visual_layer(pages: DataFrame, keys: list[str], t: dict = THRESHOLDS) -> DataFrame:
     """Checks over pages (keys, ssim, diff), both sides' pages paired before: that all pass, by either measure (Q11)."""
-    n = pages.groupBy(*keys).agg(F.avg((F.col("ssim") >= t["ssim"]).cast("double")).alias("ssim_rate"), F.avg((F.col("diff") <= t["pixel_diff"]).cast("double")).alias("diff_rate"))
-    return checks(n, keys, {"ssim_pass_rate": ("critical", F.col("ssim_rate") >= 1.0), "diff_pass_rate": ("major", F.col("diff_rate") >= 1.0)}).withColumn("layer", F.lit("visual"))
+    n = pages.groupBy(*keys).agg(
+        F.avg((F.col("ssim") >= t["ssim"]).cast("double")).alias("ssim_rate"),
+        F.avg((F.col("diff") <= t["pixel_diff"]).cast("double")).alias("diff_rate")
+    )
+    return checks(
+        n,
+        keys,
+        {"ssim_pass_rate": ("critical", F.col("ssim_rate") >= 1.0), "diff_pass_rate": ("major", F.col("diff_rate") >= 1.0)}
+    ).withColumn("layer", F.lit("visual"))
 
 
 def exit_codes(checked: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,12 +171,28 @@ def compile_gate(metrics: DataFrame, keys: list[str]) -> DataFrame:
     backend, requested_backend, equations, equation_fallbacks.
     """
     c = F.col
-    entry = lambda name, severity, passed, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.coalesce(passed, F.lit(False)).alias("passed")))
+    entry = lambda name, severity, passed, when=None: F.when(
+        F.lit(True) if when is None else when,
+        F.struct(F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.coalesce(passed, F.lit(False)).alias("passed"))
+    )
     rows = [
-        entry("compatibility_score", "error", c("score") >= c("min_score")), entry("unresolved_references", "warning", c("unresolved") == 0), entry("raw_fallback_blocks", "error", c("raw_blocks") <= c("max_raw_blocks")),
-        entry("docx_non_empty", "error", c("bytes") > 0), entry("style_coverage", "info", F.lit(True), c("style_entries") > 0), entry("profile_confidence", "warning", c("confidence") >= 0.80, c("confidence").isNotNull()),
+        entry("compatibility_score", "error", c("score") >= c("min_score")), entry("unresolved_references", "warning", c("unresolved") == 0), entry(
+            "raw_fallback_blocks",
+            "error",
+            c("raw_blocks") <= c("max_raw_blocks")
+        ),
+        entry("docx_non_empty", "error", c("bytes") > 0), entry("style_coverage", "info", F.lit(True), c("style_entries") > 0), entry(
+            "profile_confidence",
+            "warning",
+            c("confidence") >= 0.80,
+            c("confidence").isNotNull()
+        ),
         entry("runtime_fallback", "warning", F.lit(False), c("unknown_macros") > 0), entry("backend_fallback", "warning", c("backend") == c("requested_backend")),
-        entry("equation_fallback", "warning", (c("equations") == 0) | (c("equation_fallbacks") < c("equations"))), entry("journal_detection", "info", F.lit(True), c("confidence").isNotNull()),
+        entry(
+            "equation_fallback",
+            "warning",
+            (c("equations") == 0) | (c("equation_fallbacks") < c("equations"))
+        ), entry("journal_detection", "info", F.lit(True), c("confidence").isNotNull()),
     ]
     return metrics.select(*keys, F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("c")).select(*keys, "c.*")
 
@@ -155,11 +212,16 @@ def traceability(blocks: DataFrame, nodes: DataFrame, parts: DataFrame, prints:
 
     blocks (kind, rule_ids), nodes (kind, rule_ids), parts (metrics of the document), prints (text), checked (passed).
     """
-    maps = lambda df, name, values: df.select(*keys, F.explode(values).alias("k")).groupBy(*keys, "k").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+    maps = lambda df, name, values: df.select(*keys, F.explode(values).alias("k")).groupBy(*keys, "k").agg(F.count("*").alias("n")).groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name)
+    )
     out = blocks.groupBy(*keys).agg(F.count("*").alias("blocks"), F.count_if(F.col("kind") == "raw").alias("raw_fallback"))
     for other in (
         maps(blocks, "block_kinds", F.array("kind")), maps(blocks, "block_rules", F.col("rule_ids")), nodes.groupBy(*keys).agg(F.count("*").alias("nodes")), maps(nodes, "node_rules", F.col("rule_ids")),
-        parts, prints.select(*keys, F.length(T.normalize(F.col("text"))).alias("print_chars")), checked.groupBy(*keys).agg(F.bool_and("passed").alias("passed"), F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("name")))).alias("failed_checks")),
+        parts, prints.select(*keys, F.length(T.normalize(F.col("text"))).alias("print_chars")), checked.groupBy(*keys).agg(
+            F.bool_and("passed").alias("passed"),
+            F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("name")))).alias("failed_checks")
+        ),
     ):
         out = out.join(other, keys, "left")
     return out.na.fill(0, ["nodes"])

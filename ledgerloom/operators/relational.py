@@ -28,7 +28,11 @@ def with_fallback(first: DataFrame, second: DataFrame, key: str, value: str) ->
     """(key, value, used): first's value where it has rows, else second's."""
     a, b = first.select(key, F.col(value).alias("__a"), F.lit(1).alias("__f")), second.select(key, F.col(value).alias("__b"))
     both = a.join(b, key, "full")
-    return both.select(key, F.when(F.col("__f") == 1, F.col("__a")).otherwise(F.col("__b")).alias(value), F.when(F.col("__f") == 1, "first").otherwise("second").alias("used"))
+    return both.select(
+        key,
+        F.when(F.col("__f") == 1, F.col("__a")).otherwise(F.col("__b")).alias(value),
+        F.when(F.col("__f") == 1, "first").otherwise("second").alias("used")
+    )
 
 
 def best_per_group(df: DataFrame, keys: list[str], order: list[str], largest: bool = True) -> DataFrame:

@@ -35,12 +35,17 @@ def mapped(blocks: DataFrame, kind: str, rules: DataFrame) -> DataFrame:
     first = rules.groupBy(F.col("kind").alias("__k")).agg(F.min_by(F.struct("rule_id", "element"), "position").alias("__r"))
     met = blocks.join(small(first), F.col(kind) == F.col("__k"), "left")
     missing = F.when(F.col("__r").isNull(), F.concat(F.lit("no mapping rule for "), F.coalesce(F.col(kind), F.lit("null"))))
-    return met.withColumns({"rule_id": F.coalesce("__r.rule_id", F.lit("map.missing")), "element": F.coalesce("__r.element", F.lit("w:p")), "diagnostic": missing}).drop("__k", "__r")
+    return met.withColumns(
+        {"rule_id": F.coalesce("__r.rule_id", F.lit("map.missing")), "element": F.coalesce("__r.element", F.lit("w:p")), "diagnostic": missing}
+    ).drop("__k", "__r")
 
 
 def routed(output: Column) -> Column:
     """The block an output becomes; null where the raw fallback stays (RL4)."""
-    return F.when(output == "Heading", "heading").when(output.isin("Paragraph", "Citation", "MetadataField", "AuthorList", "Affiliation", "KeywordList"), "paragraph").when(output == "Verbatim", "raw")
+    return F.when(output == "Heading", "heading").when(
+        output.isin("Paragraph", "Citation", "MetadataField", "AuthorList", "Affiliation", "KeywordList"),
+        "paragraph"
+    ).when(output == "Verbatim", "raw")
 
 
 def weighted_scores(signals: DataFrame, keys: list[str], profiles: DataFrame) -> DataFrame:
@@ -49,7 +54,10 @@ def weighted_scores(signals: DataFrame, keys: list[str], profiles: DataFrame) ->
     Values match whatever their case, but count once for each spelling (Z6).
     """
     own = signals.select(*keys, "kind", "value").distinct()
-    met = own.join(small(profiles.select("profile_id", F.col("kind").alias("__k"), F.lower("value").alias("__v"), "weight")), (F.col("kind") == F.col("__k")) & (F.lower("value") == F.col("__v")))
+    met = own.join(
+        small(profiles.select("profile_id", F.col("kind").alias("__k"), F.lower("value").alias("__v"), "weight")),
+        (F.col("kind") == F.col("__k")) & (F.lower("value") == F.col("__v"))
+    )
     return met.groupBy(*keys, "profile_id").agg(F.least(F.round(F.sum("weight"), 6), F.lit(1.0)).alias("confidence"))
 
 
@@ -78,7 +86,12 @@ def gate(checked: DataFrame, keys: list[str]) -> DataFrame:
     fails = lambda s: F.count_if((F.col("severity") == s) & ~F.col("passed"))
     n = checked.groupBy(*keys).agg(fails("error").alias("errors"), fails("warning").alias("warnings"), F.count("*").alias("total"))
     status = F.when(F.col("errors") > 0, "Failed").when(F.col("warnings") > 0, "PassedWithWarnings").otherwise("Passed")
-    return n.select(*keys, status.alias("status"), (F.col("total") - F.col("errors")).alias("passed_checks"), F.when(F.col("errors") > 0, 1).otherwise(0).alias("exit_code"))
+    return n.select(
+        *keys,
+        status.alias("status"),
+        (F.col("total") - F.col("errors")).alias("passed_checks"),
+        F.when(F.col("errors") > 0, 1).otherwise(0).alias("exit_code")
+    )
 
 
 def grade(whole: Column, exit_code: Column, size: Column, paragraphs: Column, residue: Column, score: Column, unresolved: Column) -> Column:

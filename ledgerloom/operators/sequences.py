@@ -23,7 +23,10 @@ def ranges(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(number)
     runs = df.select(*keys, number).distinct().withColumn("__run", F.col(number) - F.row_number().over(w)).groupBy(*keys, "__run").agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
     text = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
-    return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", text.alias("t")))).alias("__r")).select(*keys, F.array_join(F.transform("__r", lambda r: r["t"]), ",").alias("ranges"))
+    return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", text.alias("t")))).alias("__r")).select(
+        *keys,
+        F.array_join(F.transform("__r", lambda r: r["t"]), ",").alias("ranges")
+    )
 
 
 def running_numbers(df: DataFrame, keys: list[str], order: list[str], kind: str, equation: str = "equation") -> DataFrame:
@@ -60,7 +63,11 @@ def ambiguity(df: DataFrame, keys: list[str], confidence: str, tie: str, gap: fl
     """The best candidate of each group, and whether the second is too near (WN13, SO5)."""
     top = Window.partitionBy(*keys).orderBy(F.desc(confidence), tie)
     ranked = df.withColumn("__n", F.row_number().over(top)).filter("__n <= 2")
-    both = ranked.groupBy(*keys).agg(F.max(F.when(F.col("__n") == 1, F.col(tie))).alias(tie), F.max(F.when(F.col("__n") == 1, F.col(confidence))).alias(confidence), F.max(F.when(F.col("__n") == 2, F.col(confidence))).alias("__second"))
+    both = ranked.groupBy(*keys).agg(
+        F.max(F.when(F.col("__n") == 1, F.col(tie))).alias(tie),
+        F.max(F.when(F.col("__n") == 1, F.col(confidence))).alias(confidence),
+        F.max(F.when(F.col("__n") == 2, F.col(confidence))).alias("__second")
+    )
     return both.withColumn("ambiguous", F.coalesce((F.abs(F.col(confidence) - F.col("__second")) < gap) & (F.col(confidence) > least), F.lit(False))).drop("__second")
 
 
@@ -69,7 +76,11 @@ def carried_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
 
     A cell of span n covers its column in the n - 1 rows below; spans are exploded, so no table is held in one place.
     """
-    reach = cells.filter("span > 1").select(*keys, "col", F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("span") - 1)).alias("row")).distinct().withColumn("__hit", F.lit(True))
+    reach = cells.filter("span > 1").select(
+        *keys,
+        "col",
+        F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("span") - 1)).alias("row")
+    ).distinct().withColumn("__hit", F.lit(True))
     return cells.join(reach, [*keys, "row", "col"], "left").withColumn("covered", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 

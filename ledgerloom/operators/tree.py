@@ -17,7 +17,17 @@ from ledgerloom.functions import markup as M
 from ledgerloom.functions import text as T
 from ledgerloom.operators.lineage import cut
 
-_TOKENS = {"comment": r"%[^\n]*", "begin": r"\\begin\{[A-Za-z*]+\}", "end": r"\\end\{[A-Za-z*]+\}", "command": r"\\(?:[A-Za-z@]+\*?|[\s\S])", "open": r"\{", "close": r"\}", "math": r"\$\$?", "space": r"\s+", "text": r"[^%\\{}$\s]+|\\\z"}
+_TOKENS = {
+    "comment": r"%[^\n]*",
+    "begin": r"\\begin\{[A-Za-z*]+\}",
+    "end": r"\\end\{[A-Za-z*]+\}",
+    "command": r"\\(?:[A-Za-z@]+\*?|[\s\S])",
+    "open": r"\{",
+    "close": r"\}",
+    "math": r"\$\$?",
+    "space": r"\s+",
+    "text": r"[^%\\{}$\s]+|\\\z"
+}
 
 
 def tokens(x: Column) -> Column:
@@ -81,9 +91,18 @@ def blocks_of(x: Column) -> Column:
         body = F.regexp_replace(p, r"^\\begin\{[A-Za-z]+\*?\}(?:\[[^\]]*\])?|\\end\{[A-Za-z]+\*?\}$", "")
         kind = F.when(name != "", block_kind(name)).when(level != "", "heading").otherwise("paragraph")
         text = F.when(level != "", F.regexp_extract(p, r"\{([^{}]*)\}$", 1)).otherwise(F.trim(body))
-        items = F.when(kind == "list", list_items(body)).when(kind == "table", F.transform(table_rows(body), lambda r: F.array_join(r, "\t"))).otherwise(F.array().cast("array<string>"))
+        items = F.when(kind == "list", list_items(body)).when(
+            kind == "table",
+            F.transform(table_rows(body), lambda r: F.array_join(r, "\t"))
+        ).otherwise(F.array().cast("array<string>"))
         caption = F.when(kind == "captioned", M.command_argument(body, "caption"))
-        return F.struct(kind.alias("kind"), F.coalesce(F.nullif(name, F.lit("")), F.nullif(level, F.lit(""))).alias("name"), text.alias("text"), caption.alias("caption"), items.alias("items"))
+        return F.struct(
+            kind.alias("kind"),
+            F.coalesce(F.nullif(name, F.lit("")), F.nullif(level, F.lit(""))).alias("name"),
+            text.alias("text"),
+            caption.alias("caption"),
+            items.alias("items")
+        )
 
     return F.transform(F.filter(F.transform(pieces, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != ""), block)
 
@@ -100,7 +119,10 @@ def table_rows(body: Column) -> Column:
     A row of one cell that is empty or a rule goes, and so do rows of empty cells alone (Z17).
     """
     bare = F.regexp_replace(body, r"^\s*(?:\{[^{}]*\})", "")
-    cells = lambda r: F.transform(F.split(F.regexp_replace(r, r"\\(?:hline|toprule|midrule|bottomrule|c(?:mid)?(?:line|rule)(?:\([^)]*\))?\{[^{}]*\})", ""), r"(?<!\\)&", -1), lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))
+    cells = lambda r: F.transform(
+        F.split(F.regexp_replace(r, r"\\(?:hline|toprule|midrule|bottomrule|c(?:mid)?(?:line|rule)(?:\([^)]*\))?\{[^{}]*\})", ""), r"(?<!\\)&", -1),
+        lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    )
     return F.filter(F.transform(F.split(bare, r"\\\\(?:\[[^\]]*\])?", -1), cells), lambda r: F.exists(r, lambda c: c != ""))
 
 
@@ -132,7 +154,9 @@ def visited(nodes: DataFrame, tree: str = "tree") -> DataFrame:
     while not level.isEmpty():
         depth += 1
         above = level.select(F.col(tree), F.col("node").alias("parent"), F.col("path").alias("__path"))
-        level = cut(nodes.join(above, [tree, "parent"]).withColumns({"depth": F.lit(depth), "path": F.concat("__path", F.array("pos"))}).select(*columns, "depth", "path"))
+        level = cut(
+            nodes.join(above, [tree, "parent"]).withColumns({"depth": F.lit(depth), "path": F.concat("__path", F.array("pos"))}).select(*columns, "depth", "path")
+        )
         found = found.union(level)
     return found
 
@@ -154,7 +178,17 @@ def layout_nodes(lines: DataFrame, keys: list[str], order: str, line: str = "val
     return rows.withColumn("page", page).filter(F.col("n.type") == "node").select(*keys, order, "n.id", kind.alias("kind"), "page", *fields)
 
 
-_LINE = ArrayType(StructType([StructField("indent", IntegerType()), StructField("guides", ArrayType(IntegerType())), StructField("code", StringType()), StructField("comment", StringType()), StructField("keyword", StringType())]))
+_LINE = ArrayType(
+    StructType(
+        [
+            StructField("indent", IntegerType()),
+            StructField("guides", ArrayType(IntegerType())),
+            StructField("code", StringType()),
+            StructField("comment", StringType()),
+            StructField("keyword", StringType())
+        ]
+    )
+)
 _OPENS = re.compile(r"\\(ForEach|If|For|While)\s*\{")
 _STEP = re.compile(r"\\(?:KwIn|KwOut|KwData|KwResult|caption|label|SetAlgoLined|DontPrintSemicolon)\b")
 
@@ -175,7 +209,15 @@ def algorithm_lines(body: str, indent: int = 0) -> list[dict]:
 
     def line(code: str, comment: str = "", keyword: str | None = None) -> None:
         clean = lambda x: re.sub(r"\s+", " ", re.sub(r"\\([A-Za-z]+)", r"\1", re.sub(r"[${}]", "", x.replace(r"\;", ";")))).strip()
-        out.append({"indent": indent, "guides": list(range(indent + (keyword != "End"))) if indent else [0][: keyword != "End"], "code": clean(code), "comment": clean(comment), "keyword": keyword})
+        out.append(
+            {
+                "indent": indent,
+                "guides": list(range(indent + (keyword != "End"))) if indent else [0][: keyword != "End"],
+                "code": clean(code),
+                "comment": clean(comment),
+                "keyword": keyword
+            }
+        )
 
     at = 0
     while at < len(body):
@@ -213,7 +255,13 @@ def front_matter(x: Column, title: str = "title", author: str = "author", instit
     split = lambda v, by: F.filter(F.transform(F.split(F.coalesce(v, F.lit("")), by), lambda a: T.collapsed(M.plain_text(a))), lambda a: a != "")
     abstract = F.regexp_extract(x, r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}", 1)
     keywords = F.coalesce(M.command_argument(x, "keywords"), M.command_argument(x, "IEEEkeywords"), F.lit(""))
-    return F.struct(M.plain_text(M.command_argument(x, title)).alias("title"), split(M.command_argument(x, author), r"\\and(?![A-Za-z])").alias("authors"), split(M.command_argument(x, institute), r"\\and(?![A-Za-z])|\\\\").alias("institutes"), F.nullif(M.plain_text(abstract), F.lit("")).alias("abstract"), split(keywords, "[,;]").alias("keywords"))
+    return F.struct(
+        M.plain_text(M.command_argument(x, title)).alias("title"),
+        split(M.command_argument(x, author), r"\\and(?![A-Za-z])").alias("authors"),
+        split(M.command_argument(x, institute), r"\\and(?![A-Za-z])|\\\\").alias("institutes"),
+        F.nullif(M.plain_text(abstract), F.lit("")).alias("abstract"),
+        split(keywords, "[,;]").alias("keywords")
+    )
 
 
 def biographies(x: Column) -> Column:

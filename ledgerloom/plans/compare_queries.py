@@ -23,7 +23,9 @@ def lcs_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def doc_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation aligned with the next, paragraph by paragraph (Q1, Q3, Q6, SE5)."""
-    docs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p")).select("conv_id", F.transform("p", lambda x: x["text"]).alias("left"))
+    docs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p")
+    ).select("conv_id", F.transform("p", lambda x: x["text"]).alias("left"))
     pairs = docs.join(docs.select((F.col("conv_id") - 1).alias("conv_id"), F.col("left").alias("right")), "conv_id")
     return C.compared(pairs, "left", "right").select("conv_id", *C.op_counts())
 
@@ -41,17 +43,34 @@ def format_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(w: Column) -> Column:
         either = lambda c, yes, no=None: F.when(c, yes).otherwise(F.lit(no).cast("string"))
-        fields = {"text": w, "style": F.lit(None).cast("string"), "bold": w.rlike("^[A-Z]"), "italic": F.endswith(w, F.lit(",")), "underline": either(F.endswith(w, F.lit(".")), "single"), "vert_align": either(w.rlike("^[0-9]"), "superscript")}
-        fields |= {"size": either(F.length(w) > 8, "28", "24"), "font_ascii": either(F.contains(w, F.lit("-")), "Courier", "Times"), "font_east_asia": either(w.rlike("[^ -~]"), "Song")}
+        fields = {
+            "text": w,
+            "style": F.lit(None).cast("string"),
+            "bold": w.rlike("^[A-Z]"),
+            "italic": F.endswith(w, F.lit(",")),
+            "underline": either(F.endswith(w, F.lit(".")), "single"),
+            "vert_align": either(w.rlike("^[0-9]"), "superscript")
+        }
+        fields |= {
+            "size": either(F.length(w) > 8, "28", "24"),
+            "font_ascii": either(F.contains(w, F.lit("-")), "Courier", "Times"),
+            "font_east_asia": either(w.rlike("[^ -~]"), "Song")
+        }
         return F.struct(*[v.alias(k) for k, v in fields.items()])
 
     runs = F.transform(F.split("text", " "), run)
-    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct(F.col("role").alias("style"), F.lit(False).alias("has_drawing"), F.col("text"), runs.alias("runs")).alias("p"))
+    p = table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.struct(F.col("role").alias("style"), F.lit(False).alias("has_drawing"), F.col("text"), runs.alias("runs")).alias("p")
+    )
     pairs = p.join(p.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("p").alias("q")), ["conv_id", "turn"])
     return pairs.select("conv_id", "turn", C.format_kind(F.col("p"), F.col("q")).alias("kind"), F.size(C.format_changes(F.col("p"), F.col("q"))).alias("changes"))
 
 
-@query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1), '<[^<>]*>', '', 'g'), '[ \\x09-\\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS title FROM pages""")
+@query(
+    """SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1), '<[^<>]*>', '', 'g'), '[ \\x09-\\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS title FROM pages"""
+)
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one heading of each page as text (ST20, ST36)."""
     title = F.regexp_replace(F.regexp_extract("html", r"<h1[^>]*>(.*?)</h1>", 1), "<[^<>]*>", "")
@@ -60,7 +79,13 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _as_markup(text: Column) -> Column:  # the tables hold no markup of this kind: it is put around their text
     head = F.regexp_replace(text, r"[\\{}$%~#&_^\n]", " ")
-    return F.concat(F.lit("\\newcommand{\\me}{engine} % note\n\\section{"), F.col("lang"), F.lit("} \\textbf{\\emph{"), head, F.lit("}} by \\me, see \\ref{fig:1} and $\\alpha$"))
+    return F.concat(
+        F.lit("\\newcommand{\\me}{engine} % note\n\\section{"),
+        F.col("lang"),
+        F.lit("} \\textbf{\\emph{"),
+        head,
+        F.lit("}} by \\me, see \\ref{fig:1} and $\\alpha$")
+    )
 
 
 _WHITE_SQL = f"[{T.WHITE}]+"
@@ -73,18 +98,30 @@ def latex_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", M.plain_text(M.expanded(_as_markup(F.col("text")))).alias("plain"))
 
 
-@query(f"""SELECT doc_id, trim(regexp_replace(lang || ' ' || replace(replace(replace(replace(h, '``', '“'), chr(39) || chr(39), '”'), '---', '—'), '--', '–') || ' by engine, see 7 and α', '{_WHITE_SQL}', ' ', 'g')) AS plain FROM {_HEAD_SQL}""")
+@query(
+    f"""SELECT doc_id, trim(regexp_replace(lang || ' ' || replace(replace(replace(replace(h, '``', '“'), chr(39) || chr(39), '”'), '---', '—'), '--', '–') || ' by engine, see 7 and α', '{_WHITE_SQL}', ' ', 'g')) AS plain FROM {_HEAD_SQL}"""
+)
 def latex_plain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole marked-up texts to plain text by all steps, with references resolved (ST12)."""
     empty, labels = F.create_map().cast("map<string, bigint>"), F.create_map(F.lit("fig:1"), F.lit("7"))
     return table(spark, sf_dir, "documents").select("doc_id", M.latex_text(M.expanded(_as_markup(F.col("text"))), empty, labels).alias("plain"))
 
 
-@query("""SELECT item_id, 'k' || item_id AS key, 'T ' || length(text) AS title, CASE WHEN item_id >= 10 THEN 'J' || item_id ELSE 'P' END AS venue, 2 AS n_authors FROM benchmark""")
+@query(
+    """SELECT item_id, 'k' || item_id AS key, 'T ' || length(text) AS title, CASE WHEN item_id >= 10 THEN 'J' || item_id ELSE 'P' END AS venue, 2 AS n_authors FROM benchmark"""
+)
 def bib_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries written around the items' numbers and read again (SRC8, ST37, ST38)."""
     venue = F.when(F.col("item_id") >= 10, F.concat(F.lit("journal = \"J"), F.col("item_id"), F.lit("\""))).otherwise(F.lit("publisher = P"))
-    source = F.concat(F.lit("% note\n@Article{k"), F.col("item_id"), F.lit(",\n title = {T {"), F.length("text"), F.lit("}},\n author = {A. B and C D},\n year = 2020,\n "), venue, F.lit("\n}"))
+    source = F.concat(
+        F.lit("% note\n@Article{k"),
+        F.col("item_id"),
+        F.lit(",\n title = {T {"),
+        F.length("text"),
+        F.lit("}},\n author = {A. B and C D},\n year = 2020,\n "),
+        venue,
+        F.lit("\n}")
+    )
     entries = bib_entries(table(spark, sf_dir, "benchmark").select("item_id", source.alias("text")))
     return entries.select("item_id", "key", "title", "venue", F.size("authors").alias("n_authors"))
 

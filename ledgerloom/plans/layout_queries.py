@@ -12,7 +12,10 @@ _SCAN = """scan AS (SELECT page_id, u.pos::BIGINT AS pos, u.tag FROM (SELECT pag
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("pos", "tag")).withColumn("pos", F.col("pos").cast("long"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.posexplode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("pos", "tag")
+    ).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"""WITH {_SCAN}, named AS (SELECT tag AS label, 0 AS source, page_id, pos FROM scan UNION ALL SELECT role, 1, conv_id, turn FROM conversations UNION ALL SELECT 'p', 1, conv_id, turn FROM conversations)
@@ -43,24 +46,39 @@ def glyph_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     fonts = F.broadcast(spark.createDataFrame([(0, "serif"), (1, "sans"), (2, "mono")], "id int, name string").coalesce(1))
     flags = F.col("event_id") * 7919 % 1048576
     code = F.when(flags.bitwiseAND(524288) != 0, flags.bitwiseAND(65535)).when(flags.bitwiseAND(255) < 128, flags.bitwiseAND(255)).otherwise(-1)
-    met = table(spark, sf_dir, "events").select("event_id", code.alias("code"), (F.col("event_id") % 9).alias("font_id")).join(fonts, F.col("font_id") == F.col("id"), "left")
+    met = table(spark, sf_dir, "events").select(
+        "event_id",
+        code.alias("code"),
+        (F.col("event_id") % 9).alias("font_id")
+    ).join(fonts, F.col("font_id") == F.col("id"), "left")
     return met.select("event_id", F.coalesce("name", F.concat(F.lit("font"), "font_id")).alias("font"), "code")
 
 
-@query("""SELECT user_id, bool_or(event_type = 'error') AS any_error, bool_and(value >= 0) AS all_positive, bool_or(value > 120) AS any_large, array_to_string(list_sort(list_distinct(array_agg(event_type))), ',') AS kinds FROM events GROUP BY user_id""")
+@query(
+    """SELECT user_id, bool_or(event_type = 'error') AS any_error, bool_and(value >= 0) AS all_positive, bool_or(value > 120) AS any_large, array_to_string(list_sort(list_distinct(array_agg(event_type))), ',') AS kinds FROM events GROUP BY user_id"""
+)
 def template_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of many files folded by or and and, and the sorted set of what they name (RL8, AG10)."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("any_error"), F.bool_and(F.col("value") >= 0).alias("all_positive"), F.bool_or(F.col("value") > 120).alias("any_large"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.bool_or(F.col("event_type") == "error").alias("any_error"),
+        F.bool_and(F.col("value") >= 0).alias("all_positive"),
+        F.bool_or(F.col("value") > 120).alias("any_large"),
+        F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds")
+    )
 
 
-@query("""SELECT conv_id, count(*) FILTER (length(trim(text)) > 0) AS blocks, count(*) AS nodes, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::BIGINT AS leaves FROM conversations GROUP BY conv_id""")
+@query(
+    """SELECT conv_id, count(*) FILTER (length(trim(text)) > 0) AS blocks, count(*) AS nodes, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::BIGINT AS leaves FROM conversations GROUP BY conv_id"""
+)
 def tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of blocks and lines: top-level blocks alone, all nodes, leaves that aren't blank (AG23, GR6, FLT10, AR1)."""
     trees = table(spark, sf_dir, "conversations").select("conv_id", F.col("text"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("children"))
     return trees.groupBy("conv_id").agg(F.count_if(F.length(F.trim("text")) > 0).alias("blocks"), F.count("*").alias("nodes"), F.sum(F.size("children")).alias("leaves"))
 
 
-@query("""SELECT page_id, len(u)::BIGINT AS n_features, u[1] AS first_feature FROM (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1))) AS u FROM pages)""")
+@query(
+    """SELECT page_id, len(u)::BIGINT AS n_features, u[1] AS first_feature FROM (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1))) AS u FROM pages)"""
+)
 def json_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON array column written and read again (JS1, JS2, SNK10)."""
     features = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))))
@@ -69,7 +87,9 @@ def json_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("page_id", F.size(read).cast("long").alias("n_features"), F.get(read, F.lit(0)).alias("first_feature"))
 
 
-@query(f"WITH {_SCAN} SELECT page_id, pos, tag, CASE WHEN tag IN ('h1', 'title') THEN 'heading' WHEN tag IN ('p', 'li') THEN 'paragraph' WHEN tag IN ('ul', 'ol') THEN 'list' WHEN tag IN ('a', 'b', 'br') THEN 'inline' ELSE 'raw' END AS block, row_number() OVER (PARTITION BY page_id, tag ORDER BY pos) AS number FROM scan")
+@query(
+    f"WITH {_SCAN} SELECT page_id, pos, tag, CASE WHEN tag IN ('h1', 'title') THEN 'heading' WHEN tag IN ('p', 'li') THEN 'paragraph' WHEN tag IN ('ul', 'ol') THEN 'list' WHEN tag IN ('a', 'b', 'br') THEN 'inline' ELSE 'raw' END AS block, row_number() OVER (PARTITION BY page_id, tag ORDER BY pos) AS number FROM scan"
+)
 def block_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements as flat nodes: the block each becomes, raw for unknown ones, and its number among its kind (GR4, GR5, GR8, PRJ5, WN1)."""
     block = F.when(F.col("tag").isin("h1", "title"), "heading").when(F.col("tag").isin("p", "li"), "paragraph").when(F.col("tag").isin("ul", "ol"), "list").when(F.col("tag").isin("a", "b", "br"), "inline").otherwise("raw")

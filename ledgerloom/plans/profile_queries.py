@@ -29,7 +29,10 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     packages = F.concat_ws(",  ", _pick(PACKAGES, k % 13), _pick(PACKAGES, F.floor(k / 7) % 13))
     text = F.concat(
-        F.lit("% \\usepackage{pstricks}\n\\documentclass"), F.when(k % 3 != 0, F.concat(F.lit("["), _pick(OPTIONS, k % 4), F.lit(", twoside]"))).otherwise(""), F.lit("{"), _pick(CLASSES, k % 11),
+        F.lit("% \\usepackage{pstricks}\n\\documentclass"), F.when(
+            k % 3 != 0,
+            F.concat(F.lit("["), _pick(OPTIONS, k % 4), F.lit(", twoside]"))
+        ).otherwise(""), F.lit("{"), _pick(CLASSES, k % 11),
         F.lit("}\n\\usepackage[x]{"), packages, F.lit("} % and \\begin{minted}\n"), F.when(k % 5 == 0, F.lit("\\newcommand{\\a}{b}\\def\\c{50\\% d}\n")).otherwise(""),
         F.lit("\\"), _pick(MACROS, k % 7), F.lit("{x}\\begin{"), _pick(ENVIRONMENTS, F.floor(k / 3) % 5), F.lit("}\n\\bibliographystyle{"), F.when(k % 2 == 0, "naturemag").otherwise("plain"), F.lit("}\n"),
     )
@@ -98,7 +101,13 @@ def project_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: profile_id, name, semantic, position: rules a profile's file adds, the last of a name holds
-FILE_RULES = [("nature", "maketitle", "metadata", 0), ("nature", "textbf", "heading", 1), ("nature", "textbf", "paragraph", 2), ("tacl", "oddity", "strange", 0), ("medical-journal", "abstractx", "paragraph", 0)]
+FILE_RULES = [
+    ("nature", "maketitle", "metadata", 0),
+    ("nature", "textbf", "heading", 1),
+    ("nature", "textbf", "paragraph", 2),
+    ("tacl", "oddity", "strange", 0),
+    ("medical-journal", "abstractx", "paragraph", 0)
+]
 _REGISTRY_SQL = f"""file(profile_id, name, semantic, pos) AS (VALUES {_values(FILE_RULES)}), journal(profile_id, name, output) AS (VALUES {_values([(p, n, o) for p, n, _, o in P.journal_rows()])}),
 builtin(name, output) AS (SELECT DISTINCT * FROM (VALUES {_values(P.builtin_rows())})), sem(semantic, output) AS (VALUES {_values(list(P.SEMANTICS.items()))}), ids AS (SELECT profile_id FROM file UNION SELECT profile_id FROM journal UNION SELECT NULL),
 allr AS (SELECT profile_id, name, output, 'builtin' AS origin, 0 AS rank FROM ids, builtin UNION ALL SELECT *, 'journal', 1 FROM journal UNION ALL SELECT profile_id, name, coalesce(output, 'InlineText'), 'profile', 2 + pos FROM file LEFT JOIN sem ON file.semantic = sem.semantic),
@@ -119,7 +128,12 @@ NAMES = "citet textbf quad paragraph maketitle affil keywords oddity zhabstract
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, kind = F.col("event_id"), F.when(F.col("event_type") == "view", "paragraph").otherwise("raw")
     call = F.concat(F.lit(" \\"), _pick(NAMES, e % 12), F.when(e % 5 == 0, "").otherwise(F.concat(F.lit("{"), F.col("event_type"), F.lit("}"))))
-    return table(spark, sf_dir, "events").select("event_id", _pick([*PROFILE_IDS, "unheard-of"], F.col("user_id") % 9).alias("profile_id"), kind.alias("kind"), call.alias("text"))
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        _pick([*PROFILE_IDS, "unheard-of"], F.col("user_id") % 9).alias("profile_id"),
+        kind.alias("kind"),
+        call.alias("text")
+    )
 
 
 _BLOCKS_SQL = f"""{_REGISTRY_SQL}, b AS (SELECT event_id, {_sql_list([*PROFILE_IDS, "unheard-of"])}[user_id % 9 + 1] AS profile_id, event_type = 'view' AS done, {_sql_list(NAMES)}[event_id % 12 + 1] AS name, event_id % 5 <> 0 AS called FROM events),

@@ -20,13 +20,36 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<w:p><w:pPr><w:pStyle w:val=\""), F.when(role == "user", "TableCaption").otherwise("Body"), F.lit("\"/>"), F.when(n % 3 != 2, "<w:keepNext/>").otherwise(""), F.lit("</w:pPr><w:r><w:rPr><w:rFonts w:ascii=\""),
         F.when(F.length("text") % 2 == 0, "Times").otherwise("Courier"), F.lit("\"/>"), F.when(role == "system", "<w:vertAlign w:val=\"superscript\"/>").otherwise(""), F.lit("</w:rPr><w:t>"), text, F.lit("</w:t>"),
         F.when(role == "assistant", "<w:drawing/>").otherwise(""), F.lit("</w:r></w:p>"),
-        F.when(role == "user", F.concat(F.lit("<w:tbl><w:tblPr><w:tblBorders><w:left w:val=\"nil\"/><w:right w:val=\"nil\"/><w:insideV w:val=\""), F.when(n % 4 == 1, "single").otherwise("nil"), F.lit("\"/></w:tblBorders></w:tblPr><w:tr><w:trPr><w:cantSplit/></w:trPr></w:tr></w:tbl>"))).otherwise(""),
+        F.when(
+            role == "user",
+            F.concat(
+                F.lit("<w:tbl><w:tblPr><w:tblBorders><w:left w:val=\"nil\"/><w:right w:val=\"nil\"/><w:insideV w:val=\""),
+                F.when(n % 4 == 1, "single").otherwise("nil"),
+                F.lit("\"/></w:tblBorders></w:tblPr><w:tr><w:trPr><w:cantSplit/></w:trPr></w:tr></w:tbl>")
+            )
+        ).otherwise(""),
     )
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", paragraph.alias("p")))), lambda x: x["p"]), "")
     c = F.col("conv_id")
-    section = F.concat(F.lit("<w:sectPr><w:pgSz w:w=\"10433\" w:h=\""), F.when(c % 2 == 0, "14742").otherwise("16838"), F.lit("\"/><w:pgMar w:top=\"10\" w:bottom=\"10\" w:left=\"5\" w:right=\""), c % 3, F.lit("\"/>"), F.when(c % 5 == 0, "<w:cols w:num=\"2\"/>").otherwise(""), F.lit("</w:sectPr>"))
-    styles = F.concat(F.lit("<w:style w:styleId=\"Reference\"><w:pPr><w:ind w:left=\"420\" w:hanging=\""), F.when(c % 7 == 0, "0").otherwise("420"), F.lit("\"/></w:pPr></w:style>"))
-    parts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(body.alias("body"), F.sum(F.length(T.normalize(F.col("text")))).alias("docx_chars"), F.sum(F.length("text")).alias("oracle_chars"))
+    section = F.concat(
+        F.lit("<w:sectPr><w:pgSz w:w=\"10433\" w:h=\""),
+        F.when(c % 2 == 0, "14742").otherwise("16838"),
+        F.lit("\"/><w:pgMar w:top=\"10\" w:bottom=\"10\" w:left=\"5\" w:right=\""),
+        c % 3,
+        F.lit("\"/>"),
+        F.when(c % 5 == 0, "<w:cols w:num=\"2\"/>").otherwise(""),
+        F.lit("</w:sectPr>")
+    )
+    styles = F.concat(
+        F.lit("<w:style w:styleId=\"Reference\"><w:pPr><w:ind w:left=\"420\" w:hanging=\""),
+        F.when(c % 7 == 0, "0").otherwise("420"),
+        F.lit("\"/></w:pPr></w:style>")
+    )
+    parts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        body.alias("body"),
+        F.sum(F.length(T.normalize(F.col("text")))).alias("docx_chars"),
+        F.sum(F.length("text")).alias("oracle_chars")
+    )
     return parts.select("conv_id", F.concat(F.col("body"), section).alias("document"), styles.alias("styles"), "docx_chars", "oracle_chars")
 
 
@@ -83,7 +106,11 @@ def layer_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MARKERS = ["the", "a", "model", "-", "  ", "“", "que", "der", "0", "1", ".", ",", "?", "!", "ing", "en", "of", "and", "is", "e r", "th e", "zz"]
 SECTIONS = ["the", "of", "and", "in", "to", "is", "a"]
-_SIDES_SQL = f"""s AS (SELECT conv_id, {', '.join(f"regexp_replace(translate(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = '{r}'), ''), '{T.DASHES}{T.QUOTES}', '--''''" + '""' + f"'), '[{T.WHITE}]', '', 'g') AS {r}" for r in ("system", "user", "assistant"))} FROM conversations GROUP BY conv_id)"""
+_SIDES_SQL = f"""s AS (SELECT conv_id, {
+    ', '.join(
+        f"regexp_replace(translate(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = '{r}'), ''), '{T.DASHES}{T.QUOTES}', '--''''" + '""' + f"'), '[{T.WHITE}]', '', 'g') AS {r}" for r in ("system", "user", "assistant")
+    )
+} FROM conversations GROUP BY conv_id)"""
 _NORMAL_MARKERS = [m.translate(str.maketrans("–—‘’“”", "--''\"\"")).replace(" ", "") for m in MARKERS]
 
 
@@ -95,7 +122,10 @@ def _sql_strings(values: list[str]) -> str:
 SELECT conv_id, len(hit)::BIGINT AS hits, len(hit) / 22.0::DOUBLE AS ratio, len(sections)::BIGINT AS section_hits, len(sections) / 7.0::DOUBLE AS section_ratio FROM h""")
 def marker_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """22 markers on three sides and seven sections on two, all in normal form (Q7, Q8, AG13, JN18)."""
-    side = lambda r: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", "text")))), lambda x: x["text"]), " ").alias(r)
+    side = lambda r: F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", "text")))), lambda x: x["text"]),
+        " "
+    ).alias(r)
     sides = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*[side(r) for r in ("system", "user", "assistant")])
     both = Q.coverage_ratio(Q.coverage(sides, ["conv_id"], ["system", "user", "assistant"], MARKERS), ["conv_id"], ["system", "user", "assistant"])
     sections = Q.coverage_ratio(Q.coverage(sides, ["conv_id"], ["user", "assistant"], SECTIONS), ["conv_id"], ["user", "assistant"])

@@ -52,7 +52,12 @@ def quota_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     total = lambda df: df.groupBy("user_id").agg(F.sum(_cents("value")).alias("used"))
     ledger = total(events.filter((F.col("event_type") == "purchase") & (F.col("value") > 100)))
-    return R.with_fallback(ledger.withColumnRenamed("used", "total"), total(events).withColumnRenamed("used", "total"), "user_id", "total").select("user_id", F.col("total").alias("used"), F.col("used").alias("used_source"))
+    return R.with_fallback(
+        ledger.withColumnRenamed("used", "total"),
+        total(events).withColumnRenamed("used", "total"),
+        "user_id",
+        "total"
+    ).select("user_id", F.col("total").alias("used"), F.col("used").alias("used_source"))
 
 
 @query("""SELECT user_id, date_trunc('month', ts)::DATE::VARCHAR AS period_start, (date_trunc('month', ts) + INTERVAL 1 MONTH)::DATE::VARCHAR AS period_end, count(*) AS n,
@@ -60,11 +65,18 @@ sum(round(value * 100)::BIGINT)::BIGINT AS quantity FROM events GROUP BY ALL""")
 def usage_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage by user and calendar month, with the month's bounds (DT2)."""
     start = F.trunc(F.col("ts").cast("date"), "month")
-    rows = table(spark, sf_dir, "events").select("user_id", start.cast("string").alias("period_start"), F.add_months(start, 1).cast("string").alias("period_end"), _cents("value").alias("q"))
+    rows = table(spark, sf_dir, "events").select(
+        "user_id",
+        start.cast("string").alias("period_start"),
+        F.add_months(start, 1).cast("string").alias("period_end"),
+        _cents("value").alias("q")
+    )
     return rows.groupBy("user_id", "period_start", "period_end").agg(F.count("*").alias("n"), F.sum("q").alias("quantity"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'date' WHEN c_acctbal > 0 THEN 'count' WHEN coalesce(c_nationkey, -1) % 2 = 0 THEN 'preview' ELSE 'none' END AS plan FROM customer""")
+@query(
+    """SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'date' WHEN c_acctbal > 0 THEN 'count' WHEN coalesce(c_nationkey, -1) % 2 = 0 THEN 'preview' ELSE 'none' END AS plan FROM customer"""
+)
 def plan_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered plan labels: by date, then by count, then preview (PRJ4, CN1)."""
     label = F.when(F.col("c_acctbal") > 5000, "date").when(F.col("c_acctbal") > 0, "count").when(F.coalesce("c_nationkey", F.lit(-1)) % 2 == 0, "preview").otherwise("none")
@@ -83,11 +95,16 @@ GROUP BY o_orderkey, p_type""")
 def code_batch_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes by batch and package: a three-way join (JN5, JN4)."""
     codes = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
-    joined = codes.join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = codes.join(
+        table(spark, sf_dir, "part").select("p_partkey", "p_type"),
+        F.col("l_partkey") == F.col("p_partkey")
+    ).join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("o_orderkey", "p_type").agg(F.count("*").alias("codes"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
 
 
-@query("""SELECT c_custkey, count(o_orderkey) AS n, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 150000 GROUP BY c_custkey""")
+@query(
+    """SELECT c_custkey, count(o_orderkey) AS n, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 150000 GROUP BY c_custkey"""
+)
 def left_join_on_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A left join whose condition on the right side stands in ON and so keeps unmatched rows (JN6)."""
     on = (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 150000)
@@ -95,14 +112,18 @@ def left_join_on_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"), F.max("o_totalprice").alias("top"))
 
 
-@query("""SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""")
+@query(
+    """SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1"""
+)
 def latest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest order of each customer (WN8, SO3)."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
     return R.best_per_group(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
-@query("""SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 2""")
+@query(
+    """SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 2"""
+)
 def previous_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order before the newest of each customer (FLT5, WN9)."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
@@ -122,7 +143,10 @@ FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS attempts, max(ts
 def stale_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs whose lock is older than 15 minutes wait again or, after three attempts, fail (SNK5, FLT6, MA2)."""
     now = F.lit(AS_OF).cast("timestamp_ntz")
-    jobs = table(spark, sf_dir, "events").filter(F.col("ts") <= now).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("attempts"), (F.max("ts") < now - F.expr("INTERVAL 15 MINUTES")).alias("stale"))
+    jobs = table(spark, sf_dir, "events").filter(F.col("ts") <= now).groupBy("user_id").agg(
+        F.count_if(F.col("event_type") == "error").alias("attempts"),
+        (F.max("ts") < now - F.expr("INTERVAL 15 MINUTES")).alias("stale")
+    )
     status = F.when((F.col("attempts") >= 3) & F.col("stale"), "failed").when(F.col("stale"), "queued").otherwise("running")
     return jobs.select("user_id", "attempts", status.alias("status"), F.least(F.lit(60), F.greatest(F.lit(1), F.col("attempts") * 5)).cast("long").alias("backoff_s"))
 
@@ -136,18 +160,25 @@ def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.upserted(base, delta, "k")
 
 
-@query("""SELECT k, sum(v)::BIGINT AS v FROM (SELECT c_custkey AS k, round(c_acctbal * 100)::BIGINT AS v FROM customer UNION ALL SELECT o_custkey, round(o_totalprice * 100)::BIGINT FROM orders WHERE o_orderstatus = 'P') GROUP BY k""")
+@query(
+    """SELECT k, sum(v)::BIGINT AS v FROM (SELECT c_custkey AS k, round(c_acctbal * 100)::BIGINT AS v FROM customer UNION ALL SELECT o_custkey, round(o_totalprice * 100)::BIGINT FROM orders WHERE o_orderstatus = 'P') GROUP BY k"""
+)
 def additive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances after additive upserts (SNK3)."""
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), _cents("c_acctbal").alias("v"))
     return R.added(base, table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"), _cents("o_totalprice").alias("v")), "k", "v")
 
 
-@query(f"""SELECT o_orderkey, greatest(coalesce(CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END, TIMESTAMP '{AS_OF}'), TIMESTAMP '{AS_OF}') + to_days((o_orderkey % 30)::INT) AS valid_until FROM orders""")
+@query(
+    f"""SELECT o_orderkey, greatest(coalesce(CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END, TIMESTAMP '{AS_OF}'), TIMESTAMP '{AS_OF}') + to_days((o_orderkey % 30)::INT) AS valid_until FROM orders"""
+)
 def extended_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entitlements extended by days from their expiry or from now (SNK4, DT1)."""
     until = F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", R.extended(until, F.lit(AS_OF).cast("timestamp_ntz"), (F.col("o_orderkey") % 30).cast("int")).alias("valid_until"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        R.extended(until, F.lit(AS_OF).cast("timestamp_ntz"), (F.col("o_orderkey") % 30).cast("int")).alias("valid_until")
+    )
 
 
 @query("""SELECT c_custkey, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, c_mktsegment) AS c_mktsegment, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 0.0 END, c_acctbal) AS c_acctbal
@@ -155,7 +186,11 @@ FROM customer LEFT JOIN nation ON n_nationkey = c_custkey""")
 def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows patched with those values that aren't null (SNK6)."""
     nation = table(spark, sf_dir, "nation")
-    patches = nation.select(F.col("n_nationkey").cast("long").alias("c_custkey"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("c_mktsegment"), F.when(F.col("n_nationkey") % 3 == 0, F.lit(0.0)).alias("c_acctbal"))
+    patches = nation.select(
+        F.col("n_nationkey").cast("long").alias("c_custkey"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("c_mktsegment"),
+        F.when(F.col("n_nationkey") % 3 == 0, F.lit(0.0)).alias("c_acctbal")
+    )
     return R.patched(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), patches, "c_custkey")
 
 
@@ -164,14 +199,23 @@ FROM (SELECT DISTINCT user_id * 20 AS user_id FROM events) u LEFT JOIN customer
 def get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each wanted key, with defaults where there was none (Z19)."""
     existing = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), _cents("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("plan"))
-    return R.got_or_created(table(spark, sf_dir, "events").select((F.col("user_id") * 20).alias("user_id")), existing, "user_id", {"balance": F.lit(0).cast("long"), "plan": F.lit("preview")})
+    return R.got_or_created(
+        table(spark, sf_dir, "events").select((F.col("user_id") * 20).alias("user_id")),
+        existing,
+        "user_id",
+        {"balance": F.lit(0).cast("long"), "plan": F.lit("preview")}
+    )
 
 
 @query("""SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM orders) AS jobs, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS open_jobs,
 (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS running_jobs, (SELECT count(DISTINCT conv_id) FROM conversations) AS threads, (SELECT count(*) FROM events WHERE event_type = 'error') AS errors""")
 def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar counts of several tables, one row each before they meet (AG5, FLT9; counts don't saturate)."""
-    orders = table(spark, sf_dir, "orders").agg(F.count("*").alias("jobs"), F.count_if(F.col("o_orderstatus") == "O").alias("open_jobs"), F.count_if(F.col("o_orderstatus") == "P").alias("running_jobs"))
+    orders = table(spark, sf_dir, "orders").agg(
+        F.count("*").alias("jobs"),
+        F.count_if(F.col("o_orderstatus") == "O").alias("open_jobs"),
+        F.count_if(F.col("o_orderstatus") == "P").alias("running_jobs")
+    )
     users = table(spark, sf_dir, "customer").agg(F.count("*").alias("users"))
     threads = table(spark, sf_dir, "conversations").agg(F.count_distinct("conv_id").alias("threads"))
     errors = table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "error").alias("errors"))
@@ -191,11 +235,18 @@ def orphan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT event_id, floor(epoch(ts))::BIGINT AS epoch_s, ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AS in_range, event_id::VARCHAR AS id FROM events")
+@query(
+    "SELECT event_id, floor(epoch(ts))::BIGINT AS epoch_s, ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AS in_range, event_id::VARCHAR AS id FROM events"
+)
 def epoch_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole epoch seconds, a half-open range and an id as text (PRJ1, PRJ2, DT3)."""
     ts = lambda s: F.lit(s).cast("timestamp_ntz")
-    return table(spark, sf_dir, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch_s"), ((F.col("ts") >= ts("2024-01-10")) & (F.col("ts") < ts("2024-01-20"))).alias("in_range"), F.col("event_id").cast("string").alias("id"))
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch_s"),
+        ((F.col("ts") >= ts("2024-01-10")) & (F.col("ts") < ts("2024-01-20"))).alias("in_range"),
+        F.col("event_id").cast("string").alias("id")
+    )
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, coalesce((props->>'$.v2')::BIGINT, (props->>'$.k')::BIGINT * 10) AS v FROM events")
@@ -227,7 +278,9 @@ def valid_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").filter(valid).join(users, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "c_name")
 
 
-@query("""SELECT o_orderkey, CASE WHEN r = 1 THEN 'F' ELSE o_orderstatus END AS status, r = 1 AS returned FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders)""")
+@query(
+    """SELECT o_orderkey, CASE WHEN r = 1 THEN 'F' ELSE o_orderstatus END AS status, r = 1 AS returned FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders)"""
+)
 def token_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot after each user's newest token was looked up, which revokes it (JN2, JN8, Z14)."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
@@ -242,9 +295,18 @@ def optional_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested object that stands only where its row was joined, and a total beside each row (PRJ3)."""
     orders, users = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").filter("c_acctbal > 9000")
     met = orders.join(users, F.col("o_custkey") == F.col("c_custkey"), "left")
-    nested = met.select("o_orderkey", F.when(F.col("c_custkey").isNotNull(), F.struct(F.col("c_mktsegment").alias("type"), F.col("c_nationkey").alias("level"))).alias("strategy"), F.lit(1).alias("__k"))
+    nested = met.select(
+        "o_orderkey",
+        F.when(F.col("c_custkey").isNotNull(), F.struct(F.col("c_mktsegment").alias("type"), F.col("c_nationkey").alias("level"))).alias("strategy"),
+        F.lit(1).alias("__k")
+    )
     total = orders.agg(F.count("*").alias("n_orders")).withColumn("__k", F.lit(1))
-    return nested.join(F.broadcast(total), "__k").select("o_orderkey", "n_orders", F.concat_ws(":", "strategy.type", "strategy.level").alias("s"), "strategy").select("o_orderkey", "n_orders", F.when(F.col("strategy").isNotNull(), F.col("s")).alias("strategy"))
+    return nested.join(F.broadcast(total), "__k").select(
+        "o_orderkey",
+        "n_orders",
+        F.concat_ws(":", "strategy.type", "strategy.level").alias("s"),
+        "strategy"
+    ).select("o_orderkey", "n_orders", F.when(F.col("strategy").isNotNull(), F.col("s")).alias("strategy"))
 
 
 @query("SELECT event_type, count(*) AS n, max(ts) AS latest FROM events GROUP BY event_type")

@@ -8,7 +8,22 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import rules as R
 from ledgerloom.plans.registry import query, table
 
-PROFILES = [("en", "the", 0.5), ("en", "of", 0.3), ("en", "and", 0.2), ("fr", "les", 0.5), ("fr", "des", 0.3), ("fr", "et", 0.2), ("de", "und", 0.5), ("de", "der", 0.3), ("de", "ist", 0.2), ("es", "que", 0.5), ("es", "los", 0.3), ("es", "una", 0.2), ("latin", "et", 0.7), ("latin", "de", 0.1)]
+PROFILES = [
+    ("en", "the", 0.5),
+    ("en", "of", 0.3),
+    ("en", "and", 0.2),
+    ("fr", "les", 0.5),
+    ("fr", "des", 0.3),
+    ("fr", "et", 0.2),
+    ("de", "und", 0.5),
+    ("de", "der", 0.3),
+    ("de", "ist", 0.2),
+    ("es", "que", 0.5),
+    ("es", "los", 0.3),
+    ("es", "una", 0.2),
+    ("latin", "et", 0.7),
+    ("latin", "de", 0.1)
+]
 _PROFILE_SQL = ", ".join(f"('{p}', '{v}', {w})" for p, v, w in PROFILES)
 _WORDS_SQL = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D.,!?|#*$%&<>]+')"
 
@@ -17,7 +32,11 @@ def _word_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D.,!?|#*$%&<>]+"), F.lit(0)))
     wanted = F.array(*[F.lit(v) for v in sorted({v for _, v, _ in PROFILES})])
     # only signals leave the row
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit("word").alias("kind"), F.explode(F.filter(words, lambda w: F.array_contains(wanted, F.lower(w)))).alias("value"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.lit("word").alias("kind"),
+        F.explode(F.filter(words, lambda w: F.array_contains(wanted, F.lower(w)))).alias("value")
+    )
 
 
 @query(f"""WITH p AS (SELECT * FROM (VALUES {_PROFILE_SQL}) t(profile_id, value, weight)), s AS (SELECT DISTINCT doc_id, unnest({_WORDS_SQL}) AS value FROM documents),
@@ -34,7 +53,13 @@ def weighted_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: tag, code, U(nsupported) or W(arning)
-ISSUE_RULES = [("br", "unsupported_environment", "U"), ("b", "limited_environment", "W"), ("ul", "limited_package", "W"), ("script", "unsupported_package", "U"), ("nav", "unsupported_environment", "U")]
+ISSUE_RULES = [
+    ("br", "unsupported_environment", "U"),
+    ("b", "limited_environment", "W"),
+    ("ul", "limited_package", "W"),
+    ("script", "unsupported_package", "U"),
+    ("nav", "unsupported_environment", "U")
+]
 
 
 @query(f"""WITH r AS (SELECT * FROM (VALUES {", ".join(map(str, ISSUE_RULES))}) t(tag, code, severity)), i AS (SELECT DISTINCT page_id, code, r.tag, severity FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) p JOIN r ON r.tag = p.tag),
@@ -49,7 +74,12 @@ def compat_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = found.groupBy("page_id").agg(F.count_if(F.col("severity") == "U").alias("unsupported"), F.count_if(F.col("severity") == "W").alias("w"))
     macros = pages.select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit('class="([^"]*)"'), F.lit(1)))).cast("long").alias("macros"))
     met = macros.join(counts, "page_id", "left").na.fill(0, ["unsupported", "w"])
-    return met.select("page_id", "unsupported", (F.col("w") + F.when(F.col("macros") > 0, 1).otherwise(0)).alias("warnings"), R.penalty_score(F.col("unsupported"), F.col("w"), F.col("macros")).alias("score"))
+    return met.select(
+        "page_id",
+        "unsupported",
+        (F.col("w") + F.when(F.col("macros") > 0, 1).otherwise(0)).alias("warnings"),
+        R.penalty_score(F.col("unsupported"), F.col("w"), F.col("macros")).alias("score")
+    )
 
 
 @query("""WITH d AS (SELECT d.doc_id, n_chars, quality, toxic, len(string_split(text, chr(10))) AS lines FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
@@ -60,7 +90,12 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks in long form and the gate over them (Q12, Q13, AG12)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.size(F.split("text", "\n", -1)).alias("lines"))
     met = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    named = {"non_empty": ("error", F.col("n_chars") > 0), "label": ("error", F.col("quality") == 1), "tone": ("warning", F.col("toxic") == 0), "lines": ("warning", F.col("lines") >= 3)}
+    named = {
+        "non_empty": ("error", F.col("n_chars") > 0),
+        "label": ("error", F.col("quality") == 1),
+        "tone": ("warning", F.col("toxic") == 0),
+        "lines": ("warning", F.col("lines") >= 3)
+    }
     return R.gate(R.checks(met, ["doc_id"], named), ["doc_id"])
 
 
@@ -71,28 +106,49 @@ _GRADE_SQL = """CASE WHEN bytes = 0 THEN 'F' WHEN bytes < 20480 / 64 OR paragrap
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").withColumn("known", F.lit(True))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.size(F.split("text", "\n", -1)).alias("paragraphs"), (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).alias("residue"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "lang",
+        F.octet_length("text").alias("bytes"),
+        F.size(F.split("text", "\n", -1)).alias("paragraphs"),
+        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).alias("residue")
+    )
     met = docs.join(labels, "doc_id", "left")
     score = 100 - F.least(F.lit(100), 18 * (F.coalesce("quality", F.lit(1)) == 0).cast("int") + 6 * (F.coalesce("toxic", F.lit(0)) == 1).cast("int"))
     met = met.select("doc_id", "lang", "bytes", "paragraphs", "residue", score.alias("score"), F.col("known").isNull().cast("int").alias("unresolved"))
     c = F.col
-    return met.withColumn("grade", R.grade(c("bytes") > 0, F.lit(0), c("bytes") * 64, c("paragraphs") * 10, c("residue"), c("score"), c("unresolved"))).withColumn("issues", F.array_join(R.issues({"small": c("bytes") < 320, "residue": c("residue") > 25, "score": c("score") < 80, "unresolved": c("unresolved") > 0}), ","))
+    return met.withColumn("grade", R.grade(c("bytes") > 0, F.lit(0), c("bytes") * 64, c("paragraphs") * 10, c("residue"), c("score"), c("unresolved"))).withColumn(
+        "issues",
+        F.array_join(R.issues({"small": c("bytes") < 320, "residue": c("residue") > 25, "score": c("score") < 80, "unresolved": c("unresolved") > 0}), ",")
+    )
 
 
-@query(f"WITH {_METRICS_SQL} SELECT doc_id, {_GRADE_SQL} AS grade, array_to_string(list_filter([CASE WHEN bytes < 320 THEN 'small' END, CASE WHEN residue > 25 THEN 'residue' END, CASE WHEN score < 80 THEN 'score' END, CASE WHEN unresolved > 0 THEN 'unresolved' END], lambda x: x IS NOT NULL), ',') AS issues FROM m")
+@query(
+    f"WITH {_METRICS_SQL} SELECT doc_id, {_GRADE_SQL} AS grade, array_to_string(list_filter([CASE WHEN bytes < 320 THEN 'small' END, CASE WHEN residue > 25 THEN 'residue' END, CASE WHEN score < 80 THEN 'score' END, CASE WHEN unresolved > 0 THEN 'unresolved' END], lambda x: x IS NOT NULL), ',') AS issues FROM m"
+)
 def grade_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades A to F with the issues that led there (Q14)."""
     return _graded(spark, sf_dir).select("doc_id", "grade", "issues")
 
 
-@query(f"WITH {_METRICS_SQL} SELECT lang, count(*) FILTER (g = 'A') AS a, count(*) FILTER (g = 'B') AS b, count(*) FILTER (g = 'C') AS c, count(*) FILTER (g = 'D') AS d, count(*) FILTER (g = 'F') AS f FROM (SELECT lang, {_GRADE_SQL} AS g FROM m) GROUP BY lang")
+@query(
+    f"WITH {_METRICS_SQL} SELECT lang, count(*) FILTER (g = 'A') AS a, count(*) FILTER (g = 'B') AS b, count(*) FILTER (g = 'C') AS c, count(*) FILTER (g = 'D') AS d, count(*) FILTER (g = 'F') AS f FROM (SELECT lang, {_GRADE_SQL} AS g FROM m) GROUP BY lang"
+)
 def grade_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grade counts by profile (AG20)."""
     return _graded(spark, sf_dir).groupBy("lang").pivot("grade", ["A", "B", "C", "D", "F"]).count().na.fill(0).toDF("lang", "a", "b", "c", "d", "f")
 
 
 #: name, priority, position, output: later and higher ones replace earlier ones
-RULES = [("click", 0, 0, "InlineText"), ("view", 0, 1, "Ignore"), ("signup", 0, 2, "Heading"), ("signup", 0, 3, "Paragraph"), ("view", 1, 0, "Citation"), ("click", 2, 0, "AuthorList"), ("unused", 0, 4, "Verbatim")]
+RULES = [
+    ("click", 0, 0, "InlineText"),
+    ("view", 0, 1, "Ignore"),
+    ("signup", 0, 2, "Heading"),
+    ("signup", 0, 3, "Paragraph"),
+    ("view", 1, 0, "Citation"),
+    ("click", 2, 0, "AuthorList"),
+    ("unused", 0, 4, "Verbatim")
+]
 _RULES_SQL = f"r AS (SELECT name, arg_max(output, priority * 100 + position) AS output FROM (VALUES {', '.join(map(str, RULES))}) t(name, priority, position, output) GROUP BY name)"
 
 
@@ -102,7 +158,12 @@ def rule_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules looked up by name, the last registration holds, unknown names fall back (RL1, RL2, RL4, RL5, JN14, JN15, AG15, SE3)."""
     rules = R.registry(spark.createDataFrame(RULES, "name string, priority int, position int, output string").coalesce(1))
     rows = R.applied(table(spark, sf_dir, "events"), "event_type", rules)
-    return rows.groupBy("event_type", "output", "source", R.routed(F.col("output")).alias("block")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    return rows.groupBy(
+        "event_type",
+        "output",
+        "source",
+        R.routed(F.col("output")).alias("block")
+    ).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
 ALIASES = [("MACHINERY", "nature"), ("FURNITURE", "springer"), ("BUILDING", "missing"), ("nature", "nature")]
@@ -120,7 +181,9 @@ def profile_alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("""WITH c AS (SELECT conv_id, role AS kind, CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS rank, min(turn) AS turn FROM conversations GROUP BY ALL) SELECT conv_id, arg_min(kind, rank) AS chosen, arg_min(turn, rank) AS turn, count(*) AS available FROM c GROUP BY conv_id""")
+@query(
+    """WITH c AS (SELECT conv_id, role AS kind, CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS rank, min(turn) AS turn FROM conversations GROUP BY ALL) SELECT conv_id, arg_min(kind, rank) AS chosen, arg_min(turn, rank) AS turn, count(*) AS available FROM c GROUP BY conv_id"""
+)
 def ordered_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first available of ranked candidates (SO11, SE2, JN21, JN22)."""
     rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "assistant", 1).otherwise(2)
@@ -149,10 +212,15 @@ def vector_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_pairs(spark, sf_dir).select("vec_id", F.round(R.ssim(F.col("v"), F.col("w")), 6).alias("ssim"))
 
 
-@query("""SELECT user_id, day, CASE WHEN count(o) = 0 THEN 'view' WHEN min(o) <> max(o) THEN 'Mixed' ELSE min(o) END AS kind FROM (SELECT user_id, ts::DATE::VARCHAR AS day, CASE WHEN event_type <> 'view' THEN event_type END AS o FROM events) GROUP BY user_id, day""")
+@query(
+    """SELECT user_id, day, CASE WHEN count(o) = 0 THEN 'view' WHEN min(o) <> max(o) THEN 'Mixed' ELSE min(o) END AS kind FROM (SELECT user_id, ts::DATE::VARCHAR AS day, CASE WHEN event_type <> 'view' THEN event_type END AS o FROM events) GROUP BY user_id, day"""
+)
 def page_kind_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of each page: one, none or mixed (AG19)."""
-    return table(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").cast("string").alias("day")).agg(R.folded_kind(F.col("event_type"), "view").alias("kind"))
+    return table(spark, sf_dir, "events").groupBy(
+        "user_id",
+        F.col("ts").cast("date").cast("string").alias("day")
+    ).agg(R.folded_kind(F.col("event_type"), "view").alias("kind"))
 
 
 THRESHOLDS = [("paragraphs", ">=", 5.0), ("links", "=", 5.0), ("headings", "=", 1.0), ("bytes", "<", 5242880.0)]
@@ -163,14 +231,22 @@ SELECT page_id, m.metric, actual, expected, CASE op WHEN '>=' THEN actual >= exp
 def structural_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted elements, one row each, against thresholds (Q9, Q10, Q15, AG16, AG22)."""
     count = lambda p: F.regexp_count("html", F.lit(p)).cast("double")
-    wide = table(spark, sf_dir, "pages").select("page_id", count("<p[ >]").alias("paragraphs"), count("<a ").alias("links"), count("<h1").alias("headings"), F.octet_length("html").cast("double").alias("bytes"))
+    wide = table(spark, sf_dir, "pages").select(
+        "page_id",
+        count("<p[ >]").alias("paragraphs"),
+        count("<a ").alias("links"),
+        count("<h1").alias("headings"),
+        F.octet_length("html").cast("double").alias("bytes")
+    )
     long = wide.unpivot("page_id", ["paragraphs", "links", "headings", "bytes"], "metric", "actual")
     met = long.join(R.rule_table(spark, THRESHOLDS, "metric string, op string, expected double"), "metric")
     passed = F.when(F.col("op") == ">=", F.col("actual") >= F.col("expected")).when(F.col("op") == "<", F.col("actual") < F.col("expected")).otherwise(F.col("actual") == F.col("expected"))
     return met.select("page_id", "metric", "actual", "expected", passed.alias("passed"))
 
 
-@query("""SELECT r.lang, r.n - l.n AS rows_delta, r.c - l.c AS chars_delta FROM (SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS c FROM documents GROUP BY lang) r JOIN (SELECT d.lang, count(*) AS n, sum(n_chars)::BIGINT AS c FROM documents d JOIN labels USING (doc_id) GROUP BY d.lang) l ON l.lang = r.lang""")
+@query(
+    """SELECT r.lang, r.n - l.n AS rows_delta, r.c - l.c AS chars_delta FROM (SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS c FROM documents GROUP BY lang) r JOIN (SELECT d.lang, count(*) AS n, sum(n_chars)::BIGINT AS c FROM documents d JOIN labels USING (doc_id) GROUP BY d.lang) l ON l.lang = r.lang"""
+)
 def delta_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of two sides' counts (AG25, AG14, Q16)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
@@ -179,8 +255,15 @@ def delta_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("lang", (F.col("n_r") - F.col("n_l")).alias("rows_delta"), (F.col("c_r") - F.col("c_l")).alias("chars_delta"))
 
 
-@query("SELECT p_partkey, abs(p_size - e) / e <= 0.20 AS within, round(p_retailprice * 56.6929133858)::BIGINT AS twips, greatest(p_size, 1) AS span FROM (SELECT *, greatest(p_partkey % 60 / 6.0, 1.0) AS e FROM part)")
+@query(
+    "SELECT p_partkey, abs(p_size - e) / e <= 0.20 AS within, round(p_retailprice * 56.6929133858)::BIGINT AS twips, greatest(p_size, 1) AS span FROM (SELECT *, greatest(p_partkey % 60 / 6.0, 1.0) AS e FROM part)"
+)
 def unit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative tolerances, unit conversions, spans of at least one (MA3, MA4, AG24)."""
     e = F.greatest(F.col("p_partkey") % 60 / 6.0, F.lit(1.0))
-    return table(spark, sf_dir, "part").select("p_partkey", (F.abs(F.col("p_size") - e) / e <= 0.20).alias("within"), F.round(F.col("p_retailprice") * 56.6929133858).cast("long").alias("twips"), F.greatest("p_size", F.lit(1)).alias("span"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        (F.abs(F.col("p_size") - e) / e <= 0.20).alias("within"),
+        F.round(F.col("p_retailprice") * 56.6929133858).cast("long").alias("twips"),
+        F.greatest("p_size", F.lit(1)).alias("span")
+    )

@@ -22,14 +22,23 @@ _ODD = ("\u201c", "\u00a0\u2014\u2019")
 _ODD_TEXT = f"'{_ODD[0]}' || text || '{_ODD[1]}'"
 
 
-@query(f"SELECT doc_id, length({_norm('(' + _ODD_TEXT + ')')})::BIGINT AS n_normal, CASE WHEN length({_norm('text')}) = 0 THEN 0.0 ELSE round(length({_norm('left(text, 100)')})::DOUBLE / length({_norm('text')}), 6) END AS ratio, md5({_norm('(' + _ODD_TEXT + ')')}) AS digest FROM documents")
+@query(
+    f"SELECT doc_id, length({_norm('(' + _ODD_TEXT + ')')})::BIGINT AS n_normal, CASE WHEN length({_norm('text')}) = 0 THEN 0.0 ELSE round(length({_norm('left(text, 100)')})::DOUBLE / length({_norm('text')}), 6) END AS ratio, md5({_norm('(' + _ODD_TEXT + ')')}) AS digest FROM documents"
+)
 def normalize_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized lengths and the ratio of a head to its whole (ST1, Z1); two texts are compared by turn_ratio."""
     odd = F.concat(F.lit(_ODD[0]), F.col("text"), F.lit(_ODD[1]))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.normalize(odd)).cast("long").alias("n_normal"), F.round(T.char_ratio(F.left("text", F.lit(100)), F.col("text")), 6).alias("ratio"), F.md5(T.normalize(odd)).alias("digest"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.length(T.normalize(odd)).cast("long").alias("n_normal"),
+        F.round(T.char_ratio(F.left("text", F.lit(100)), F.col("text")), 6).alias("ratio"),
+        F.md5(T.normalize(odd)).alias("digest")
+    )
 
 
-@query(f"SELECT a.conv_id, a.turn, CASE WHEN length({_norm('b.text')}) = 0 THEN 0.0 ELSE round(length({_norm('a.text')})::DOUBLE / length({_norm('b.text')}), 6) END AS ratio FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+@query(
+    f"SELECT a.conv_id, a.turn, CASE WHEN length({_norm('b.text')}) = 0 THEN 0.0 ELSE round(length({_norm('a.text')})::DOUBLE / length({_norm('b.text')}), 6) END AS ratio FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+)
 def turn_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratio of each turn's whole text to the next turn's (ST5, Z1)."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -37,16 +46,24 @@ def turn_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", "turn", F.round(T.char_ratio(F.col("text"), F.col("after")), 6).alias("ratio"))
 
 
-@query(f"SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[{_WHITE}]+', ' ', 'g')), '^(.{{{{60}}}}).+$', '\\1...') AS preview, length(regexp_replace(text, '[{_WHITE}()\\x{{FF08}}\\x{{FF09}}]', '', 'g'))::BIGINT AS n_canonical FROM documents".replace("{{60}}", "{60}"))
+@query(
+    f"SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[{_WHITE}]+', ' ', 'g')), '^(.{{{{60}}}}).+$', '\\1...') AS preview, length(regexp_replace(text, '[{_WHITE}()\\x{{FF08}}\\x{{FF09}}]', '', 'g'))::BIGINT AS n_canonical FROM documents".replace("{{60}}", "{60}")
+)
 def text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previews and canonical lengths (ST2, ST3, ST4)."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 60).alias("preview"), F.length(T.canonical(F.col("text"))).cast("long").alias("n_canonical"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        T.preview(F.col("text"), 60).alias("preview"),
+        F.length(T.canonical(F.col("text"))).cast("long").alias("n_canonical")
+    )
 
 
 MARKERS = ["License", "reserved", "token", "GNU", "CC BY", "the", "und", "les", "ción"]
 
 
-@query("SELECT doc_id, sum(hit::INT)::BIGINT AS hits, round(avg(hit::INT), 6) AS coverage FROM (SELECT doc_id, contains(text, m) AS hit FROM documents, (SELECT unnest(" + str(MARKERS) + ") AS m)) GROUP BY doc_id")
+@query(
+    "SELECT doc_id, sum(hit::INT)::BIGINT AS hits, round(avg(hit::INT), 6) AS coverage FROM (SELECT doc_id, contains(text, m) AS hit FROM documents, (SELECT unnest(" + str(MARKERS) + ") AS m)) GROUP BY doc_id"
+)
 def marker_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of fixed markers each text holds, in one projection without a join (JN18, AG13, Q7, Q8)."""
     hits = F.size(F.filter(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(F.col("text"), m)))
@@ -56,7 +73,12 @@ def marker_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT item_id, count(*) AS n_documents, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def benchmark_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold each passage verbatim (JN18, JN23)."""
-    return contained(table(spark, sf_dir, "documents"), "text", table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")), "needle").groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_doc"))
+    return contained(
+        table(spark, sf_dir, "documents"),
+        "text",
+        table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")),
+        "needle"
+    ).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_doc"))
 
 
 @query("SELECT coalesce(CASE WHEN lang <> 'es' THEN lang END, '(none)') AS style, source, count(*) AS n FROM documents GROUP BY ALL")
@@ -66,17 +88,25 @@ def style_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(style.alias("style"), "source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, string_agg(role || ' x' || n, '; ' ORDER BY role) AS signature FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY conv_id")
+@query(
+    "SELECT conv_id, string_agg(role || ' x' || n, '; ' ORDER BY role) AS signature FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY conv_id"
+)
 def run_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiset signatures: kinds with their counts, sorted (AG7, MP1)."""
     counts = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"))
     return counts.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("role", F.lit(" x"), "n"))), "; ").alias("signature"))
 
 
-@query("SELECT doc_id, length(string_agg(regexp_replace(line, '%.*$', ''), chr(10) ORDER BY i))::BIGINT AS n_left, count(*) FILTER (contains(line, '%')) AS n_comments FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) GROUP BY doc_id")
+@query(
+    "SELECT doc_id, length(string_agg(regexp_replace(line, '%.*$', ''), chr(10) ORDER BY i))::BIGINT AS n_left, count(*) FILTER (contains(line, '%')) AS n_comments FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) GROUP BY doc_id"
+)
 def comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without comments (ST6)."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.without_comments(F.col("text"))).cast("long").alias("n_left"), F.regexp_count("text", F.lit("%[^\\n]*")).cast("long").alias("n_comments"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.length(T.without_comments(F.col("text"))).cast("long").alias("n_left"),
+        F.regexp_count("text", F.lit("%[^\\n]*")).cast("long").alias("n_comments")
+    )
 
 
 @query(r"""SELECT page_id, len(regexp_extract_all(regexp_replace(html, '<[^<>]*>', '', 'g'), '\\[A-Za-z]+|\$[^$\n]+\$|</?[A-Za-z][^<>]*>|&[a-z]+;'))::BIGINT AS residue,
@@ -84,7 +114,11 @@ len(regexp_extract_all(html, '\\[A-Za-z]+|\$[^$\n]+\$|</?[A-Za-z][^<>]*>|&[a-z]+
 def residue_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks of markup before and after tags are stripped (ST17, ST33)."""
     stripped = F.regexp_replace("html", "<[^<>]*>", "")
-    return table(spark, sf_dir, "pages").select("page_id", T.residue_count(stripped).cast("long").alias("residue"), T.residue_count(F.col("html")).cast("long").alias("before"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        T.residue_count(stripped).cast("long").alias("residue"),
+        T.residue_count(F.col("html")).cast("long").alias("before")
+    )
 
 
 @query("""SELECT c_custkey, n AS normal, regexp_replace(regexp_replace(n, '(.{4})', '\\1-', 'g'), '-$', '') AS grouped, CASE WHEN length(n) <= 12 THEN n ELSE left(n, 8) || '****' || right(n, 4) END AS preview, sha256('pepper:' || n) AS hash, right(n, 4) AS batch,
@@ -93,20 +127,34 @@ FROM (SELECT c_custkey, translate(upper(regexp_replace(c_name || ' o-i l', '[\\s
 def redeem_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes: normal form, groups, preview, peppered hash, batch and checksum (ST27-ST30, HS2-HS4)."""
     n = F.col("normal")
-    return table(spark, sf_dir, "customer").select("c_custkey", T.code_normal(F.concat("c_name", F.lit(" o-i l"))).alias("normal")).select("c_custkey", "normal", T.code_grouped(n).alias("grouped"), T.code_preview(n).alias("preview"), T.peppered(n, "pepper").alias("hash"), F.right(n, F.lit(4)).alias("batch"), T.code_checksum(n).alias("checksum"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.code_normal(F.concat("c_name", F.lit(" o-i l"))).alias("normal")).select(
+        "c_custkey",
+        "normal",
+        T.code_grouped(n).alias("grouped"),
+        T.code_preview(n).alias("preview"),
+        T.peppered(n, "pepper").alias("hash"),
+        F.right(n, F.lit(4)).alias("batch"),
+        T.code_checksum(n).alias("checksum")
+    )
 
 
 @query("SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL")
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of each kind on a page (AG16, AG21)."""
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag")
+    ).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 _LINKS = """links AS (SELECT page_id, u.pos::BIGINT AS pos, u.href FROM (SELECT page_id, unnest(list_transform(list_zip(regexp_extract_all(html, 'href="([^"]*)"', 1), range(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))), lambda z: {'href': z[1], 'pos': z[2]})) AS u FROM pages))"""
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href")).withColumn("pos", F.col("pos").cast("long"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href")
+    ).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"WITH {_LINKS} SELECT page_id, pos, href, regexp_extract(href, '^https?://([^/]+)', 1) AS host FROM links")
@@ -115,7 +163,9 @@ def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).withColumn("host", F.regexp_extract("href", "^https?://([^/]+)", 1))
 
 
-@query(f"WITH {_LINKS}, l AS (SELECT href, min(page_id) AS target FROM links WHERE pos = 0 GROUP BY href) SELECT page_id, pos, links.href, target IS NOT NULL AS resolved, coalesce(target::VARCHAR, '??') AS target FROM links LEFT JOIN l ON l.href = links.href WHERE pos > 0")
+@query(
+    f"WITH {_LINKS}, l AS (SELECT href, min(page_id) AS target FROM links WHERE pos = 0 GROUP BY href) SELECT page_id, pos, links.href, target IS NOT NULL AS resolved, coalesce(target::VARCHAR, '??') AS target FROM links LEFT JOIN l ON l.href = links.href WHERE pos > 0"
+)
 def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later links of pages as references to the first page that begins with one (JN9, JN13, WN3, GR3)."""
     links = _links(spark, sf_dir)
@@ -137,25 +187,34 @@ SELECT p.page_id, '[' || coalesce(t, '?') || ']' AS citation FROM (SELECT DISTIN
 def citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of numbered entries as compressed ranges, [?] without any (JN12, WN7)."""
     links = _links(spark, sf_dir)
-    numbers = links.filter("pos = 0").select("href").distinct().withColumn("n", F.row_number().over(Window.partitionBy(F.regexp_extract("href", "^https?://([^/]+)", 1)).orderBy("href")))
+    numbers = links.filter("pos = 0").select("href").distinct().withColumn(
+        "n",
+        F.row_number().over(Window.partitionBy(F.regexp_extract("href", "^https?://([^/]+)", 1)).orderBy("href"))
+    )
     met = links.join(numbers, "href", "left").groupBy("page_id").agg(F.collect_set("n").alias("ns"))
     text = T.compressed_ranges(F.col("ns"))
     return met.select("page_id", F.concat(F.lit("["), F.when(F.size("ns") == 0, "?").otherwise(text), F.lit("]")).alias("citation"))
 
 
-@query("SELECT conv_id, string_agg(CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || '-' || hi END, ',' ORDER BY lo) AS ranges FROM (SELECT conv_id, min(turn) AS lo, max(turn) AS hi FROM (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations WHERE role = 'user' OR turn < 3) GROUP BY conv_id, g) GROUP BY conv_id")
+@query(
+    "SELECT conv_id, string_agg(CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || '-' || hi END, ',' ORDER BY lo) AS ranges FROM (SELECT conv_id, min(turn) AS lo, max(turn) AS hi FROM (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations WHERE role = 'user' OR turn < 3) GROUP BY conv_id, g) GROUP BY conv_id"
+)
 def compress_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Integers of each group as ranges (WN7)."""
     return S.ranges(table(spark, sf_dir, "conversations").filter("role = 'user' OR turn < 3"), ["conv_id"], "turn")
 
 
-@query("SELECT user_id, event_type, island, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS island FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL")
+@query(
+    "SELECT user_id, event_type, island, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS island FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL"
+)
 def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjacent rows of one kind as one (WN5, WN6)."""
     return S.merged_runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type"], n=F.count("*"), first_event=F.min("event_id"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'signup' THEN '(' || n || ')' ELSE n::VARCHAR END AS number FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)")
+@query(
+    "SELECT event_id, CASE WHEN event_type = 'signup' THEN '(' || n || ')' ELSE n::VARCHAR END AS number FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)"
+)
 def running_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running numbers by kind, in brackets for one of them (WN1)."""
     return S.running_numbers(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", equation="signup").select("event_id", "number")
@@ -174,7 +233,9 @@ def heading_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.heading_numbers(table(spark, sf_dir, "events").withColumn("level", level), ["user_id"], ["ts", "event_id"], "level").select("event_id", "number")
 
 
-@query("SELECT user_id, (arg_min(event_id, event_id)) AS first_event, max(event_id) AS last_event, arg_max(event_type, event_id) AS last_type, arg_min(event_type, event_id) AS first_type FROM events GROUP BY user_id")
+@query(
+    "SELECT user_id, (arg_min(event_id, event_id)) AS first_event, max(event_id) AS last_event, arg_max(event_type, event_id) AS last_type, arg_min(event_type, event_id) AS first_type FROM events GROUP BY user_id"
+)
 def first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First definition and last definition of each key (WN3, WN4, Z12)."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
@@ -188,7 +249,10 @@ def include_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything reached from the roots, with the depth that orders it topologically (GR1, GR2, SO8)."""
     region, nation, customer = (table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    edges = nation.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child")).union(customer.select(name("n", "c_nationkey"), name("c", "c_custkey")))
+    edges = nation.select(
+        name("r", "n_regionkey").alias("parent"),
+        name("n", "n_nationkey").alias("child")
+    ).union(customer.select(name("n", "c_nationkey"), name("c", "c_custkey")))
     return G.include_levels(edges, region.select(name("r", "r_regionkey").alias("node")))
 
 
@@ -202,11 +266,20 @@ def content_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One key for each project from the digests of its files in order (HS7)."""
     files = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("d"))
-    return files.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "d"))), lambda x: x["d"]), ""), 256).alias("cache_key"))
+    return files.groupBy("conv_id").agg(
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "d"))), lambda x: x["d"]), ""), 256).alias("cache_key")
+    )
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, CASE WHEN lower(url) LIKE '%fig%' THEN 'figure' ELSE 'unknown' END AS kind, len(list_filter(list_transform(string_split(url, '/'), lambda k: trim(k)), lambda k: k <> ''))::BIGINT AS parts FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Fig:' || url ELSE url END AS url FROM pages)""")
+@query(
+    """SELECT page_id, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, CASE WHEN lower(url) LIKE '%fig%' THEN 'figure' ELSE 'unknown' END AS kind, len(list_filter(list_transform(string_split(url, '/'), lambda k: trim(k)), lambda k: k <> ''))::BIGINT AS parts FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Fig:' || url ELSE url END AS url FROM pages)"""
+)
 def label_and_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Escapes, label kinds and trimmed parts (ST25, ST26, ST32, ST11)."""
     url = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("Fig:"), F.col("url"))).otherwise(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", T.xml_escaped(url).alias("escaped"), F.when(T.label_kind(url) == "figure", "figure").otherwise("unknown").alias("kind"), F.size(T.split_keys(F.replace(url, F.lit("/"), F.lit(",")))).cast("long").alias("parts"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        T.xml_escaped(url).alias("escaped"),
+        F.when(T.label_kind(url) == "figure", "figure").otherwise("unknown").alias("kind"),
+        F.size(T.split_keys(F.replace(url, F.lit("/"), F.lit(",")))).cast("long").alias("parts")
+    )

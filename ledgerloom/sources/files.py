@@ -73,7 +73,15 @@ def paragraphs_of(xml: bytes) -> list[dict]:
                     "font_ascii": value("rFonts", "ascii") or value("rFonts", "hAnsi"), "font_east_asia": value("rFonts", "eastAsia"),
                 }
             )
-        out.append({"index": i, "style": style.get(f"{_W}val") if style is not None else None, "text": "".join(r["text"] for r in runs), "has_drawing": next(p.iter(f"{_W}drawing"), None) is not None, "runs": runs})
+        out.append(
+            {
+                "index": i,
+                "style": style.get(f"{_W}val") if style is not None else None,
+                "text": "".join(r["text"] for r in runs),
+                "has_drawing": next(p.iter(f"{_W}drawing"), None) is not None,
+                "runs": runs
+            }
+        )
     return out
 
 
@@ -136,7 +144,15 @@ def bib_entries(sources: DataFrame, text: str = "text") -> DataFrame:
     rows = sources.select(*[c for c in sources.columns if c != text], F.explode(_bib(text)).alias("e"))
     venue = F.coalesce(get("booktitle"), get("journal"), get("publisher"))
     authors = F.filter(F.transform(F.split(F.coalesce(get("author"), F.lit("")), r"\s+and\s+"), lambda a: F.trim(a)), lambda a: a != "")
-    return rows.select(*[c for c in rows.columns if c != "e"], "e.entry_type", "e.key", get("title").alias("title"), authors.alias("authors"), get("year").alias("year"), venue.alias("venue")).filter(F.col("title").isNotNull())
+    return rows.select(
+        *[c for c in rows.columns if c != "e"],
+        "e.entry_type",
+        "e.key",
+        get("title").alias("title"),
+        authors.alias("authors"),
+        get("year").alias("year"),
+        venue.alias("venue")
+    ).filter(F.col("title").isNotNull())
 
 
 def bib_texts(sources: DataFrame, text: str = "text") -> DataFrame:
@@ -154,13 +170,20 @@ def bib_texts(sources: DataFrame, text: str = "text") -> DataFrame:
     venue = F.nullif(F.concat_ws(": ", venue, pages), F.lit(""))
     dotted = lambda x: F.concat(x, F.lit("."))
     rows = sources.select(*[c for c in sources.columns if c != text], F.explode(_bib(text)).alias("e"))
-    return rows.select(*[c for c in rows.columns if c != "e"], "e.key", F.concat_ws(" ", authors, dotted(quoted(get("title"))), dotted(venue), dotted(get("year"))).alias("text"))
+    return rows.select(
+        *[c for c in rows.columns if c != "e"],
+        "e.key",
+        F.concat_ws(" ", authors, dotted(quoted(get("title"))), dotted(venue), dotted(get("year"))).alias("text")
+    )
 
 
 def bbl_items(x: Column) -> Column:
     r"""Items of a formatted bibliography, in order: key, number, text (SRC9)."""
     found = lambda g: F.regexp_extract_all(x, F.lit(r"(?s)\\bibitem(?:\[[^\]]*\])?\{([^{}]*)\}(.*?)(?=\\bibitem|\\end\{thebibliography\}|\z)"), F.lit(g))
-    return F.transform(F.arrays_zip(found(1).alias("k"), found(2).alias("t")), lambda p, i: F.struct(p["k"].alias("key"), (i + 1).alias("number"), F.trim(F.regexp_replace(p["t"], r"\s+", " ")).alias("text")))
+    return F.transform(
+        F.arrays_zip(found(1).alias("k"), found(2).alias("t")),
+        lambda p, i: F.struct(p["k"].alias("key"), (i + 1).alias("number"), F.trim(F.regexp_replace(p["t"], r"\s+", " ")).alias("text"))
+    )
 
 
 def image_size(content: Column) -> Column:
@@ -170,9 +193,15 @@ def image_size(content: Column) -> Column:
     # segments of a JPEG: marker and length, up to the frame's header, which holds height and width
     whole = F.hex(content)
     number = lambda at: F.conv(F.substr(whole, at, F.lit(4)), 16, 10).cast("int")
-    step = lambda at: F.when(F.substr(whole, at, F.lit(4)).rlike("^FF(C[0-35-79-B]|CD|CE|CF)$") | (at > F.length(whole)), at).otherwise(at + 4 + 2 * number(at + 4))
+    step = lambda at: F.when(
+        F.substr(whole, at, F.lit(4)).rlike("^FF(C[0-35-79-B]|CD|CE|CF)$") | (at > F.length(whole)),
+        at
+    ).otherwise(at + 4 + 2 * number(at + 4))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(5), lambda at, _: F.coalesce(step(at), at))
-    jpeg = F.transform(F.array(found), lambda at: F.when(F.substr(whole, at, F.lit(4)).rlike("^FFC[0-9A-F]$"), F.struct(number(at + 14).alias("width"), number(at + 10).alias("height"))))
+    jpeg = F.transform(
+        F.array(found),
+        lambda at: F.when(F.substr(whole, at, F.lit(4)).rlike("^FFC[0-9A-F]$"), F.struct(number(at + 14).alias("width"), number(at + 10).alias("height")))
+    )
     return F.when(head.startswith("89504E470D0A1A0A"), png).when(head.startswith("FFD8FF"), F.get(jpeg, F.lit(0)))
 
 
@@ -192,7 +221,10 @@ def markdown_lines(df: DataFrame, order: list[str]) -> DataFrame:
     """(n, value): the lines of a Markdown table of a report's rows, header first (SNK9, ST32)."""
     cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    head = df.sparkSession.range(2).select(F.col("id").alias("n"), F.when(F.col("id") == 0, row([F.lit(c) for c in df.columns])).otherwise(row([F.lit("---")] * len(df.columns))).alias("value"))
+    head = df.sparkSession.range(2).select(
+        F.col("id").alias("n"),
+        F.when(F.col("id") == 0, row([F.lit(c) for c in df.columns])).otherwise(row([F.lit("---")] * len(df.columns))).alias("value")
+    )
     body = df.select((F.row_number().over(Window.orderBy(*order)) + 1).cast("long").alias("n"), row([cell(c) for c in df.columns]).alias("value"))
     return head.union(body)
 
@@ -215,7 +247,10 @@ def mapping_file(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     entries = F.slice(F.split(F.concat(F.lit("\n"), "value"), r"\n[ \t]*- "), 2, 1_000_000)
     found = lambda e, g: F.regexp_extract_all(e, F.lit(r"(?m)^[ \t]*([A-Za-z_][\w.-]*):[ \t]+(?:\"([^\"]*)\"|'([^']*)'|([^#\n]*))"), F.lit(g))
-    value = lambda e: F.transform(F.arrays_zip(found(e, 2).alias("a"), found(e, 3).alias("b"), found(e, 4).alias("c")), lambda v: F.trim(F.concat(v["a"], v["b"], v["c"])))
+    value = lambda e: F.transform(
+        F.arrays_zip(found(e, 2).alias("a"), found(e, 3).alias("b"), found(e, 4).alias("c")),
+        lambda v: F.trim(F.concat(v["a"], v["b"], v["c"]))
+    )
     return text.select(F.posexplode(F.transform(entries, lambda e: F.map_from_arrays(found(e, 1), value(e)))).alias("position", "rule"))
 
 

@@ -12,7 +12,12 @@ def job_states(events: DataFrame, key: str = "user_id", kind: str = "event_type"
     last = F.max(F.struct(time, number, kind)).alias("last")
     states = events.groupBy(key).agg(F.count_if(F.col(kind) == "error").alias("attempts"), last)
     backoff = F.least(F.lit(60), F.greatest(F.lit(1), 5 * F.col("attempts")))
-    return states.select(key, F.col(f"last.{kind}").alias("state"), "attempts", (F.col(f"last.{time}") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), backoff.cast("decimal(18,6)"))).alias("next_run"))
+    return states.select(
+        key,
+        F.col(f"last.{kind}").alias("state"),
+        "attempts",
+        (F.col(f"last.{time}") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), backoff.cast("decimal(18,6)"))).alias("next_run")
+    )
 
 
 def usage_windows(events: DataFrame, time: str = "ts", late: str = "1 day", width: str = "1 day") -> DataFrame:

@@ -54,7 +54,21 @@ def test_compressed_ranges(spark, numbers, text):
     assert df.select(T.compressed_ranges(F.col("n"))).first()[0] == text
 
 
-@pytest.mark.parametrize(("key", "kind"), [("Section:intro", "section"), ("sec:2", "section"), ("prop:q", "proposition"), ("theorem:main", "theorem"), ("TBL:sizes", "table"), ("equation:9", "equation"), ("FIG:map", "figure"), ("algorithm:sort", "algorithm"), ("figure", "unknown"), ("", "unknown")])
+@pytest.mark.parametrize(
+    ("key", "kind"),
+    [
+        ("Section:intro", "section"),
+        ("sec:2", "section"),
+        ("prop:q", "proposition"),
+        ("theorem:main", "theorem"),
+        ("TBL:sizes", "table"),
+        ("equation:9", "equation"),
+        ("FIG:map", "figure"),
+        ("algorithm:sort", "algorithm"),
+        ("figure", "unknown"),
+        ("", "unknown")
+    ]
+)
 def test_label_kind(spark, key, kind):
     assert value(spark, T.label_kind(F.col("x")), x=key) == kind
 
@@ -93,7 +107,13 @@ def test_braces_and_arguments(spark):
 
 def test_math(spark):
     clean = lambda x: value(spark, M.clean_math(F.col("x")), x=x)
-    assert [clean(r"{\beta}"), clean(r"S=\{a_1,\ldots\}"), clean(r"\mathbf{V}\leq\sigma"), clean(r"x_{i-1}^{\mathrm{up}}"), clean(r"\mathcal{L}~z")] == ["β", "S={a_1,…}", "V≤sigma", "x_{i-1}^{up}", "ℒ z"]
+    assert [
+        clean(r"{\beta}"),
+        clean(r"S=\{a_1,\ldots\}"),
+        clean(r"\mathbf{V}\leq\sigma"),
+        clean(r"x_{i-1}^{\mathrm{up}}"),
+        clean(r"\mathcal{L}~z")
+    ] == ["β", "S={a_1,…}", "V≤sigma", "x_{i-1}^{up}", "ℒ z"]
     assert value(spark, M.math_text(F.col("x")), x=r"p $\pi$ q \(r \in s\) $$t$$") == "p π q r ∈ s $$t$$"
     parts = lambda x: [tuple(r) for r in value(spark, M.math_parts(F.col("x")), x=x)]
     assert parts(r"p $q$ r $$s$$ \(t\)") == [("text", "p "), ("math", "q"), ("text", " r "), ("text", "$$s$$"), ("text", " "), ("math", "t")]
@@ -157,7 +177,11 @@ def test_format_kind(spark):
     run = lambda b=False, **k: ("x", None, b, False, k.get("u"), k.get("va"), k.get("sz"), k.get("font"), k.get("east"))
     p = lambda bolds: ("s", False, "t", [run(b) for b in bolds])
     pairs = [(p([False]), p([False, False])), (p([False]), p([True])), (p([True]), ("other", False, "t", [run(True)]))]
-    pairs += [(p([False]), ("s", False, "t", [run(**{k: "v"})])) for k in ("u", "va", "sz", "font", "east")] + [(p([False]), ("s", True, "t", [run()])), (p([False]), ("s", False, " t\n", [run()])), (p([False]), ("s", False, "u", [run()]))]
+    pairs += [(p([False]), ("s", False, "t", [run(**{k: "v"})])) for k in ("u", "va", "sz", "font", "east")] + [
+        (p([False]), ("s", True, "t", [run()])),
+        (p([False]), ("s", False, " t\n", [run()])),
+        (p([False]), ("s", False, "u", [run()]))
+    ]
     df = spark.createDataFrame(pairs, f"l {kind}, r {kind}").coalesce(1)
     assert [r[0] for r in df.select(C.format_kind(F.col("l"), F.col("r"))).collect()] == ["SplitOnly", "Real", "Real"] + ["Real"] * 6 + ["SplitOnly", "None"]
     changes = df.select(C.format_changes(F.col("l"), F.col("r")).alias("c")).collect()
@@ -167,7 +191,9 @@ def test_format_kind(spark):
 def test_fingerprints(spark):
     part = '<w:p xmlns:w="u" w:rsidR="{}" b="2" a="1"><w:proofErr><w:t>no</w:t></w:proofErr><w:t> hi </w:t>{}</w:p>'
     rows = [part.format("00A1", ""), part.format("FF", "").replace('b="2" a="1"', 'a="1" b="2"'), part.format("00A1", "<w:t>more</w:t>"), None]
-    found = [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string").orderBy("i").select(C.content_fingerprint(F.col("x"))).collect()]
+    found = [
+        r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string").orderBy("i").select(C.content_fingerprint(F.col("x"))).collect()
+    ]
     assert found[0] == found[1] != found[2]
     assert C.canonical_xml(rows[0]) == '<w:p a="1" b="2" xmlns:w="u"><w:t>hi</w:t></w:p>'
 
@@ -238,7 +264,10 @@ def test_files(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
         z.writestr("a/main.tex", "x")
-        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:pPr><w:pStyle w:val="H1"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>Hi</w:t></w:r><w:r><w:t> there</w:t></w:r></w:p></w:document>')
+        z.writestr(
+            "word/document.xml",
+            '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:pPr><w:pStyle w:val="H1"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>Hi</w:t></w:r><w:r><w:t> there</w:t></w:r></w:p></w:document>'
+        )
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "sub" / "x.zip").write_bytes(buffer.getvalue())
     found = files.folder(spark, str(tmp_path / "in"))
@@ -330,7 +359,14 @@ def test_tokens_recover(spark):
 def test_blocks(spark):
     text = "\\begin{document}\\section*{One}\npara % no\n\n\\begin{minipage}{3cm}\\begin{figure}\\caption{A {b}}x\\end{figure}\\end{minipage}\\begin{align*}y\\end{align*}\\begin{odd}z\\end{odd}\\sectionmark{q}\\end{document}"
     found = [(b["kind"], b["name"], b["caption"]) for b in value(spark, N.blocks_of(F.col("x")), x=text)]
-    assert found == [("heading", "section", None), ("paragraph", None, None), ("captioned", "figure", "A {b}"), ("equation", "align*", None), ("raw", "odd", None), ("paragraph", None, None)]
+    assert found == [
+        ("heading", "section", None),
+        ("paragraph", None, None),
+        ("captioned", "figure", "A {b}"),
+        ("equation", "align*", None),
+        ("raw", "odd", None),
+        ("paragraph", None, None)
+    ]
     assert value(spark, N.table_rows(F.col("x")), x="{cc} a & b\\\\ \\hline\\\\ & \\\\ \\\\[2pt] c \\& d & e") == [["a", "b"], ["c \\& d", "e"]]
     assert value(spark, N.list_items(F.col("x")), x="\\item one\n two \\item[k] three") == ["one two", "k three"]
 
@@ -338,12 +374,22 @@ def test_blocks(spark):
 def test_algorithm_rows(spark):
     body = "\\KwIn{s}\n\\While{$a < b$}{\n a $+$ 1\\; \\tcp*{step}\n \\If{c}{ d }\n}\n\\Return{a}\\;"
     rows = [(r["indent"], r["code"], r["comment"], r["keyword"]) for r in value(spark, N.algorithm_rows(F.col("x")), x=body)]
-    assert rows == [(0, "While (a < b)", "", "While"), (1, "a + 1;", "step", None), (1, "If (c)", "", "If"), (2, "d;", "", None), (1, "end", "", "End"), (0, "end", "", "End"), (0, "return a;", "", "Return")]
+    assert rows == [
+        (0, "While (a < b)", "", "While"),
+        (1, "a + 1;", "step", None),
+        (1, "If (c)", "", "If"),
+        (2, "d;", "", None),
+        (1, "end", "", "End"),
+        (0, "end", "", "End"),
+        (0, "return a;", "", "Return")
+    ]
 
 
 def test_front_matter(spark):
     text = "\\title{On \\emph{Things}}\\author{A B \\and C D}\\institute{X \\and Y}\\keywords{one, two; three}\\begin{abstract} short \\textbf{text}\\end{abstract}\\begin{IEEEbiography}{A B}was born.\\end{IEEEbiography}"
-    assert [x if isinstance(x, (str, type(None))) else list(x) for x in value(spark, N.front_matter(F.col("x")), x=text)] == ["On Things", ["A B", "C D"], ["X", "Y"], "short text", ["one", "two", "three"]]
+    assert [
+        x if isinstance(x, (str, type(None))) else list(x) for x in value(spark, N.front_matter(F.col("x")), x=text)
+    ] == ["On Things", ["A B", "C D"], ["X", "Y"], "short text", ["one", "two", "three"]]
     assert [tuple(r) for r in value(spark, N.biographies(F.col("x")), x=text)] == [("A B", "was born.")]
 
 
@@ -364,7 +410,10 @@ def test_includes_that_are_not_there(spark):
 
 
 def test_quality_layers(spark):
-    checked = spark.createDataFrame([(1, "structural", "x", True), (1, "visual", "y", False), (2, "textual", "x", False), (2, "visual", "y", False), (3, "textual", "x", True)], "d int, layer string, name string, passed boolean")
+    checked = spark.createDataFrame(
+        [(1, "structural", "x", True), (1, "visual", "y", False), (2, "textual", "x", False), (2, "visual", "y", False), (3, "textual", "x", True)],
+        "d int, layer string, name string, passed boolean"
+    )
     assert {r["d"]: (r["passed"], r["exit_code"]) for r in Q.exit_codes(checked, ["d"]).collect()} == {1: (False, 2), 2: (False, 1), 3: (True, 0)}
     sides = spark.createDataFrame([(1, "a – b “c”", "a-b\"c\""), (2, "a", None)], "d int, left string, right string")
     ratios = Q.coverage_ratio(Q.coverage(sides, ["d"], ["left", "right"], ["a—b", "c ”"]), ["d"], ["left", "right"])
@@ -374,16 +423,30 @@ def test_quality_layers(spark):
 
 
 def test_rules_by_profile(spark):
-    files = spark.createDataFrame([(1, "a.TEX", "\\documentclass{Article}% \\usepackage{minted}\n\\usepackage{tikz,tikz}\\RequirePackage{biblatex}\\begin{minted}\\newcommand{\\a}{}\\define"), (1, "b.png", "\\usepackage{pgf}"), (1, "c.tex", None)], "project int, path string, text string")
+    files = spark.createDataFrame(
+        [
+            (1, "a.TEX", "\\documentclass{Article}% \\usepackage{minted}\n\\usepackage{tikz,tikz}\\RequirePackage{biblatex}\\begin{minted}\\newcommand{\\a}{}\\define"),
+            (1, "b.png", "\\usepackage{pgf}"),
+            (1, "c.tex", None)
+        ],
+        "project int, path string, text string"
+    )
     sources, profile = P.sources_of(files), spark.createDataFrame([(1, "jos-paper")], "project int, profile_id string")
     issues = lambda **k: {(r["code"], r["feature"], r["severity"]) for r in P.compatibility_issues(sources, profile, **k).collect()}
     shared = {("unsupported_environment", "minted", "U"), ("limited_package", "biblatex", "W"), ("custom_macros", "custom macros", "W")}
     assert issues() == shared | {("unsupported_package", "tikz", "U")} and issues(lenient=frozenset(["tikz", "minted_package"])) == shared | {("limited_package", "tikz", "W")}
     score = P.compatibility_scores(sources, P.compatibility_issues(sources, profile)).first()
     assert (score["unsupported"], score["warnings"], score["macros"], score["score"]) == (2, 2, 1, 100 - 36 - 12 - 2)
-    signals = {(r["kind"], r["value"], r["line"]) for r in P.signals_of(P.sources_of(spark.createDataFrame([(1, "m.tex", "x\n\\affiliation{a}\n\\documentclass[b, c]{d}")], "project int, path string, text string"))).collect()}
+    signals = {
+        (r["kind"], r["value"], r["line"]) for r in P.signals_of(
+            P.sources_of(spark.createDataFrame([(1, "m.tex", "x\n\\affiliation{a}\n\\documentclass[b, c]{d}")], "project int, path string, text string"))
+        ).collect()
+    }
     assert signals == {("documentclass", "d", 3), ("documentclass_option", "b", 3), ("documentclass_option", "c", 3), ("macro", "affil", 2)}
-    specs = spark.createDataFrame([("1.json", '{"id": "p", "detection": {"min_confidence": 0.5}}'), ("2.json", '{"id": "p", "aliases": ["q"], "detection": {"min_confidence": 0.9}}')], "path string, text string")
+    specs = spark.createDataFrame(
+        [("1.json", '{"id": "p", "detection": {"min_confidence": 0.5}}'), ("2.json", '{"id": "p", "aliases": ["q"], "detection": {"min_confidence": 0.9}}')],
+        "path string, text string"
+    )
     assert [(r["id"], r["path"], r["min_confidence"], r["aliases"]) for r in P.known_profiles(specs).collect()] == [("p", "2.json", 0.9, ["q"])]
 
 
@@ -392,12 +455,16 @@ def test_rule_and_mapping_files(spark, tmp_path):
     rules = files.rule_file(spark, str(tmp_path / "rules.json")).withColumn("priority", F.lit(0))
     assert {r["name"]: r["output"] for r in L.registry(rules).collect()} == {"a": "Verbatim", "b": "Heading"}
     (tmp_path / "map.yaml").write_text("rules:\n  - kind: heading # top\n    rule_id: 'map.h'\n    element: \"w:p\"\n  - kind: table\n    element: w:tbl\n")
-    assert [r["rule"] for r in files.mapping_file(spark, str(tmp_path / "map.yaml")).orderBy("position").collect()] == [{"kind": "heading", "rule_id": "map.h", "element": "w:p"}, {"kind": "table", "element": "w:tbl"}]
+    assert [
+        r["rule"] for r in files.mapping_file(spark, str(tmp_path / "map.yaml")).orderBy("position").collect()
+    ] == [{"kind": "heading", "rule_id": "map.h", "element": "w:p"}, {"kind": "table", "element": "w:tbl"}]
 
 
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b|c"), (1, None)], "n int, t string")
-    assert {tuple(r) for r in files.inserted(spark, rows, str(tmp_path / "t")).collect()} == {(2, "b|c"), (1, None)} and files.inserted(spark, rows.limit(1), str(tmp_path / "t")).count() == 1
+    assert {
+        tuple(r) for r in files.inserted(spark, rows, str(tmp_path / "t")).collect()
+    } == {(2, "b|c"), (1, None)} and files.inserted(spark, rows.limit(1), str(tmp_path / "t")).count() == 1
     files.write_report(rows, str(tmp_path / "md"), "markdown", ["n"])
     assert [r[0] for r in spark.read.text(str(tmp_path / "md")).collect()] == ["| n | t |", "| --- | --- |", "| 1 |  |", "| 2 | b\\|c |"]
     files.write_report(rows, str(tmp_path / "csv"), "csv")
@@ -424,4 +491,7 @@ def test_boundaries_of_validity(spark):
 
     until, now = F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-01-01").cast("timestamp_ntz")
     assert value(spark, relational.code_expired(until, now)) is False and value(spark, relational.entitled(until, now)) is True
-    assert value(spark, relational.code_expired(F.lit(None).cast("timestamp_ntz"), now)) is False and value(spark, relational.entitled(F.lit(None).cast("timestamp_ntz"), now)) is True
+    assert value(
+        spark,
+        relational.code_expired(F.lit(None).cast("timestamp_ntz"), now)
+    ) is False and value(spark, relational.entitled(F.lit(None).cast("timestamp_ntz"), now)) is True
