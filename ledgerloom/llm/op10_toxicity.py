@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm._shared import SLICE_ROWS, saved, utf8_rows, with_columns_from
+from ledgerloom.llm._blocks import expand, squeeze
+from ledgerloom.llm._shared import SLICE_ROWS, discard, saved, utf8_rows, with_columns_from
 
 GRAMS, BITS = (4, 5, 6), 18
 #: Labelled rows the classifier is fitted on at most; least training documents with a feature, least standard errors of its scale.
@@ -67,6 +68,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return met.groupBy("key").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"), F.max("toxic").alias("toxic")).select("toxic", "row.text")
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Sorted ids as compressed differences."""
+    return squeeze(np.diff(ids, prepend=0).astype("<u4"))
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(expand(blob, np.uint32), dtype=np.int64)
+
+
 def feature_rows(train: DataFrame) -> DataFrame:
     """(toxic, features): packed ids of each training text's features."""
 
@@ -74,7 +84,7 @@ def feature_rows(train: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([features_of(t).astype("<u4").tobytes() for t in utf8_rows(part.column(1))], pa.binary())], names=["toxic", "features"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(features_of(t)) for t in utf8_rows(part.column(1))], pa.binary())], names=["toxic", "features"])
 
     return train.mapInArrow(run, "toxic int, features binary")
 
@@ -87,7 +97,7 @@ def class_counts(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         count, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             for toxic, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                count[int(toxic > 0), np.frombuffer(ids, "<u4")] += 1
+                count[int(toxic > 0), unpacked(ids)] += 1
                 rows[int(toxic > 0)] += 1
         ranges = [count[:, at : at + width].tobytes() for at in range(0, 1 << BITS, width)]
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(ranges))], pa.int32()), pa.array([rows.tobytes(), *ranges], pa.binary())], names=["part", "counts"])
@@ -114,8 +124,8 @@ def loss_and_gradient(rows: Iterator[tuple[int, bytes]], weights: np.ndarray, sc
     """Summed logistic loss of rows (label, packed feature places) and its gradient; the intercept is last."""
     k, value = len(scale), np.append(weights[:-1] * scale, 0.0)
     loss, gradient = 0.0, np.zeros(k + 1)
-    for y, packed in rows:
-        ids = np.frombuffer(packed, "<u4")
+    for y, blob in rows:
+        ids = unpacked(blob)
         margin = float(value[ids].sum()) + weights[-1]
         loss += np.logaddexp(0.0, margin) - y * margin
         gap = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y
@@ -170,10 +180,11 @@ def train_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [place[np.frombuffer(x, "<u4")] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[x >= 0].astype("<u4").tobytes() for x in own], pa.binary())], names=["toxic", "features"])
+            own = [place[unpacked(x)] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(x[x >= 0]) for x in own], pa.binary())], names=["toxic", "features"])
 
-    sample = saved(features.mapInArrow(kept, "toxic int, features binary").repartition(PARTS), "toxicity-sample")
+    sample = saved(features.coalesce(PARTS).mapInArrow(kept, "toxic int, features binary"), "toxicity-sample")
+    discard(features)
 
     def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(w)
