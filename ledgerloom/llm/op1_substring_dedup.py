@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,25 +38,23 @@ ANCHOR_BITS = 40
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start: int, length: int, source: long, source_start: int>>"
 _FACTOR = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
 #: Factors on their way.  A document's own (block `home`, key, digest of its text) go to its block; where `doc` is null, the row asks
-#: block `target` for sources.  The arrays are packed, an entry a factor: start, length, source, place in the source, digest of the words.
-_ROWS = "target int, home int, key long, doc binary, start binary, length binary, source binary, source_start binary, words binary"
-_KINDS = {"start": np.int32, "length": np.int32, "source": np.int64, "source_start": np.int32}
+#: block `target` for sources, or tells `home` that they don't agree.  `factors` is packed, a FACTOR an entry.
+_ROWS = "target int, home int, key long, doc binary, factors binary"
+FACTOR = np.dtype([("source", np.int64), ("source_start", np.int32), ("length", np.int32), ("words", "V16"), ("start", np.int32)])
 
 
-def _row(target: int, home: int, key: int | None, doc: bytes | None, factors: list[tuple[int, int, int, int, bytes]]) -> dict:
-    columns = list(zip(*factors))
-    packed = {n: np.array(c, k).tobytes() for (n, k), c in zip(_KINDS.items(), columns)}
-    return {"target": target, "home": home, "key": key, "doc": doc, **packed, "words": b"".join(columns[4])}
-
-
-def _factors(row: dict) -> list[tuple[int, int, int, int, bytes]]:
-    columns = [np.frombuffer(row[n], k).tolist() for n, k in _KINDS.items()]
-    return [(*f, row["words"][16 * i : 16 * i + 16]) for i, f in enumerate(zip(*columns))]
+def _rows(rows: list[tuple]) -> pa.Table:
+    """(target, home, key, doc, factors) as a table."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip((x.split() for x in _ROWS.split(", ")), columns)})
 
 
-def _table(rows: list[dict]) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.Table.from_pylist(rows, pa.schema([(n, kinds[k]) for n, k in (c.split() for c in _ROWS.split(", "))]))
+def _asked(factors: np.ndarray) -> np.ndarray:
+    """Distinct factors, wherever they stand."""
+    factors = factors.copy()
+    factors["start"] = 0
+    return np.unique(factors.view(f"V{FACTOR.itemsize}")).view(FACTOR)
 
 
 def anchors_of(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -148,10 +147,10 @@ def factor_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         known = _joined([expand_sorted(x) for x in answers.column("keys").to_pylist()], np.uint64)
         order = np.argsort(known)
         known = known[order]
-        sources, places, homes = (_joined([expand(x, kind) for x in answers.column(name).to_pylist()], kind)[order] for name, kind in (("sources", np.int64), ("places", np.uint32), ("homes", np.uint32)))
-        home, rows = table.column("block")[0].as_py() if len(table) else 0, []
+        read = lambda name, kind: _joined([expand(x, kind) for x in answers.column(name).to_pylist()], kind)[order]
+        sources, places, homes = read("sources", np.int64), read("places", np.uint32), read("homes", np.uint32)
+        home, rows, asked = table.column("block")[0].as_py() if len(table) else 0, [], []
         done: set[tuple[int, bytes]] = set()  # repeated rows send their factors once
-        asked: dict[int, set[tuple]] = {}
         for i, t, no in zip(ids.tolist(), texts, null.tolist()) if len(known) else ():
             keys = shingle_hashes(word_hashes(t), window, seed=2)
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -159,61 +158,78 @@ def factor_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             if not len(begins) or (i, doc := digest(t)) in done:
                 continue
             done.add((i, doc))
-            source, place, block = sources[at[begins]], places[at[begins]].astype(np.int64), homes[at[begins]]
+            source, place = sources[at[begins]], places[at[begins]].astype(np.int64)
             goes_on = (np.diff(begins) == 1) & (np.diff(source) == 0) & (np.diff(place) == 1)
             heads = np.append(0, np.flatnonzero(~goes_on) + 1)
-            lengths = begins[np.append(heads[1:], len(begins)) - 1] - begins[heads] + window
-            words, own = (t or b"").split(), []
-            for h, n in zip(heads.tolist(), lengths.tolist()):
-                start = int(begins[h])
-                factor = start, n, int(source[h]), int(place[h]), digest(b" ".join(words[start : start + n]))
-                own.append(factor)
-                asked.setdefault(int(block[h]), set()).add((0, *factor[1:]))
-            rows.append(_row(home, home, None if no else i, doc, own))
-        return _table(rows + [_row(b, home, None, None, list(f)) for b, f in asked.items()])
+            own = np.zeros(len(heads), FACTOR)
+            own["start"], own["source"], own["source_start"] = begins[heads], source[heads], place[heads]
+            own["length"] = begins[np.append(heads[1:], len(begins)) - 1] - begins[heads] + window
+            words = (t or b"").split()
+            spans = zip(own["start"].tolist(), (own["start"] + own["length"]).tolist())
+            own["words"] = np.frombuffer(b"".join([digest(b" ".join(words[a:z])) for a, z in spans]), "V16")
+            rows.append((home, home, None if no else i, doc, own.tobytes()))
+            asked.append((own, homes[at[begins]][heads]))
+        if asked:
+            own, blocks_of = np.concatenate([a for a, _ in asked]), np.concatenate([b for _, b in asked])
+            rows += [(int(b), home, None, None, _asked(own[blocks_of == b]).tobytes()) for b in np.unique(blocks_of)]
+        return _rows(rows)
 
     def compare(table: pa.Table, factors: pa.Table) -> pa.Table:
         """Documents' own factors as they came; of what others ask those whose words don't stand in the source."""
-        rows = factors.to_pylist()
-        wanted: dict[int, dict[tuple, list[int]]] = {}
-        for row in rows:
-            for f in _factors(row) if row["doc"] is None else ():
-                wanted.setdefault(f[2], {}).setdefault(f, []).append(row["home"])
-        ids, texts, _ = block_rows(table) if len(table) and wanted else (np.empty(0, np.int64), [], None)
+        asks = factors.filter(pa.compute.is_null(factors.column("doc")))
+        own = factors.filter(pa.compute.is_valid(factors.column("doc")))
+        blobs = asks.column("factors").to_pylist()
+        wanted = _joined([np.frombuffer(x, FACTOR) for x in blobs], FACTOR)
+        whose = np.repeat(np.asarray(asks.column("home"), np.int32), [len(x) // FACTOR.itemsize for x in blobs])
+        order = np.argsort(wanted["source"], kind="stable")
+        wanted, whose, agree = wanted[order], whose[order], np.zeros(len(order), bool)
+        ids, texts, _ = block_rows(table) if len(table) and len(wanted) else (np.empty(0, np.int64), [], None)
         for i, t in zip(ids.tolist(), texts):
-            if wanted.get(i):
-                words = (t or b"").split()
-                wanted[i] = {f: who for f, who in wanted[i].items() if digest(b" ".join(words[f[3] : f[3] + f[1]])) != f[4]}
-        refused: dict[int, list[tuple]] = {}
-        for own in wanted.values():
-            for f, who in own.items():
-                for home in who:
-                    refused.setdefault(home, []).append(f)
-        return _table([r for r in rows if r["doc"] is not None] + [_row(h, h, None, None, f) for h, f in refused.items()])
+            first, stop = np.searchsorted(wanted["source"], i), np.searchsorted(wanted["source"], i, "right")
+            words = (t or b"").split() if stop > first else []
+            seen: dict[tuple[int, int], bytes] = {}
+            for n in range(first, stop):
+                span = int(wanted[n]["source_start"]), int(wanted[n]["length"])
+                if span not in seen:
+                    seen[span] = digest(b" ".join(words[span[0] : sum(span)]))
+                agree[n] |= seen[span] == wanted[n]["words"].tobytes()
+        refused, whose = wanted[~agree], whose[~agree]
+        told = _rows([(int(h), int(h), None, None, refused[whose == h].tobytes()) for h in np.unique(whose)])
+        return pa.concat_tables([own.select(told.column_names).cast(told.schema), told])
 
     def cut(table: pa.Table, factors: pa.Table) -> pa.Table:
         """Documents without the words of their factors."""
         ids, texts, null = block_rows(table) if len(table) else (np.empty(0, np.int64), [], np.empty(0, bool))
-        rows = factors.to_pylist()
-        refused = {f[1:] for r in rows if r["doc"] is None for f in _factors(r)}
-        own = {(r["key"], r["doc"]): r for r in rows if r["doc"] is not None}
-        keyed = {k for k, _ in own}
+        known, bare = {}, lambda f: f[["source", "source_start", "length", "words"]].tobytes()
+        refused: set[bytes] = set()
+        for key, doc, blob in zip(*(factors.column(c).to_pylist() for c in ("key", "doc", "factors"))):
+            if doc is None:
+                refused.update(bare(f) for f in np.frombuffer(blob, FACTOR))
+            else:
+                known[key, doc] = blob
+        keyed = {k for k, _ in known}
         counts, removed, kept, factors_out = [], [], [], []
         for i, t, no in zip(ids.tolist(), texts, null.tolist()):
             words, key = (t or b"").split(), None if no else i
-            row = own.get((key, digest(t))) if key in keyed else None
-            found, left = [f for f in _factors(row) if f[1:] not in refused] if row else [], words
-            if found:
+            blob = known.get((key, digest(t))) if key in keyed else None
+            found, left = np.frombuffer(blob or b"", FACTOR), words
+            if refused:
+                found = found[[bare(f) not in refused for f in found]]
+            if len(found):
                 cover = np.zeros(len(words) + 1, np.int64)
-                for start, n, *_ in found:
-                    cover[start] += 1
-                    cover[start + n] -= 1
+                np.add.at(cover, found["start"], 1)
+                np.add.at(cover, found["start"] + found["length"], -1)
                 left = [w for w, s in zip(words, (np.cumsum(cover[:-1]) == 0).tolist()) if s]
             counts.append(len(words))
             removed.append(len(words) - len(left))
             kept.append(b" ".join(left))
-            factors_out.append([dict(zip(("start", "length", "source", "source_start"), f)) for f in found])
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "factors": pa.array(factors_out, _FACTOR)})
+            factors_out.append(found)
+        spans = _joined(factors_out, FACTOR)
+        entries = pa.StructArray.from_arrays([pa.array(spans[n].copy()) for n in ("start", "length", "source", "source_start")], fields=list(_FACTOR.value_type))
+        ends = pa.array(np.cumsum([0] + [len(f) for f in factors_out]), pa.int32())
+        counted = {"n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
+        kept_text = pa.array(kept, pa.binary()).cast(pa.string())
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), **counted, "kept_text": kept_text, "factors": pa.ListArray.from_arrays(ends, entries)})
 
     sent = blocks.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, keys binary, twice binary")
     shared = sent.groupBy("bucket").applyInArrow(shared_anchors, "block int, keys binary")
