@@ -273,7 +273,7 @@ def with_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     classes = saved(classes.join(roots.hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(smallest.hint("merge"), "root").select("sid", "component_id")
-    rows = sets.select(F.col("key").alias(key), "text_hash", F.col("n").alias("n_shingles"), "sid").join(named.hint("merge"), "sid", "left")
+    rows = spread_join(sets.select(F.col("key").alias(key), "text_hash", F.col("n").alias("n_shingles"), "sid"), named, ["sid"], [key, "text_hash"], "left")
     return rows.select(key, "n_shingles", F.lower(F.hex("sid")).alias("class_id"), F.coalesce("component_id", key).alias("component_id"), "text_hash")
 
 
