@@ -20,7 +20,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = now.select(F.col("v").alias("node"), F.col("u").alias("other")).union(now.select(F.col("u").alias("node"), F.col("v").alias("other")))
         least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
-        large = saved(spread_join(both.filter("other > node"), least, ["node"], ["other"]).select(F.col("other").alias("u"), F.col("least").alias("v")).distinct(), "links")
+        large = saved(
+            spread_join(both.filter("other > node"), least, ["node"], ["other"]).select(F.col("other").alias("u"), F.col("least").alias("v")).distinct(),
+            "links"
+        )
         least = large.groupBy("u").agg(F.min("v").alias("least"))
         met = spread_join(large, least, ["u"], ["v"])
         small = met.select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").union(least.select("u", F.col("least").alias("v"))).distinct()

@@ -45,7 +45,11 @@ TEXTS = [
         "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         ["redistribution and use", "are permitted provided"],
     ),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["permission to use copy modify", "is hereby granted"]),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        ["permission to use copy modify", "is hereby granted"]
+    ),
     (
         "apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
@@ -56,7 +60,11 @@ TEXTS = [
     ("gpl-2.0", _GNU.format(name="General Public License", version=2), ["gnu general public license", "version 2"]),
     ("lgpl", _GNU.format(name="Lesser General Public License", version=3), ["gnu lesser general public license"]),
     ("agpl-3.0", _GNU.format(name="Affero General Public License", version=3), ["gnu affero general public license", "version 3"]),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ["mozilla public license", "2 0"]),
+    (
+        "mpl-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        ["mozilla public license", "2 0"]
+    ),
     (
         "zlib",
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
@@ -77,11 +85,31 @@ TEXTS = [
 
 #: Short openings of the texts above, as files quote them.
 OPENINGS = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ["permission is hereby granted", "without restriction"]),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use", "are permitted provided"]),
-    ("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ["gnu general public license", "version 3"]),
-    ("gpl-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License", ["gnu general public license", "version 2"]),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify", "hereby granted"]),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        ["permission is hereby granted", "without restriction"]
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        ["redistribution and use", "are permitted provided"]
+    ),
+    (
+        "gpl-3.0",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        ["gnu general public license", "version 3"]
+    ),
+    (
+        "gpl-2.0",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License",
+        ["gnu general public license", "version 2"]
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        ["permission to use copy modify", "hereby granted"]
+    ),
     ("unlicense", "This is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
 ]
 

@@ -62,7 +62,9 @@ def is_held_out(key: str = "doc_id") -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """(toxic, text) of the rows to learn from; the labels are bounded by `rows`, so that they can be broadcast."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~is_held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic"))
+    known = labels.filter(
+        F.col(label).isNotNull() & F.col(key).isNotNull() & ~is_held_out(key)
+    ).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(rows)
     met = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
     return met.groupBy("key").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"), F.max("toxic").alias("toxic")).select("toxic", "row.text")
@@ -84,7 +86,10 @@ def feature_rows(train: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(features_of(t)) for t in utf8_rows(part.column(1))], pa.binary())], names=["toxic", "features"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([packed(features_of(t)) for t in utf8_rows(part.column(1))], pa.binary())],
+                    names=["toxic", "features"]
+                )
 
     return train.mapInArrow(run, "toxic int, features binary")
 
@@ -106,7 +111,9 @@ def class_counts(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         out = np.sum([np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist()], axis=0)
         return pa.table({"part": group.column("part").slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
 
-    parts = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in features.mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(total, "part int, counts binary").collect()}
+    parts = {
+        r["part"]: np.frombuffer(r["counts"], np.int64) for r in features.mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(total, "part int, counts binary").collect()
+    }
     rows = parts.pop(-1, np.zeros(2, np.int64))
     counts = np.concatenate([parts[k].reshape(2, -1) for k in sorted(parts)], axis=1) if parts else np.zeros((2, 1 << BITS), np.int64)
     return rows, counts
@@ -165,7 +172,15 @@ def minimized(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start
     return x
 
 
-def train_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = MAX_TRAIN_ROWS, l2: float = 1.0) -> tuple[np.ndarray, float]:
+def train_weights(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    rows: int = MAX_TRAIN_ROWS,
+    l2: float = 1.0
+) -> tuple[np.ndarray, float]:
     """(weight of each hashed feature, intercept): the least mean of loss and l2 / 2 times the squared weights over the rows."""
     spark = docs.sparkSession
     features = saved(feature_rows(training_rows(docs, labels, key, text, label, rows)), "toxicity-features")

@@ -81,7 +81,11 @@ def _sent(columns: dict[str, np.ndarray], keys: np.ndarray, block: int, buckets:
     cuts = bucket_cuts(keys, buckets, bits)
     used = np.flatnonzero(np.diff(cuts)).tolist()
     part = lambda b: slice(cuts[b], cuts[b + 1])
-    out = {"bucket": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "keys": pa.array([squeeze_sorted(keys[part(b)]) for b in used], pa.binary())}
+    out = {
+        "bucket": pa.array(used, pa.int32()),
+        "block": pa.array([block] * len(used), pa.int32()),
+        "keys": pa.array([squeeze_sorted(keys[part(b)]) for b in used], pa.binary())
+    }
     return pa.table(out | {name: pa.array([squeeze(x[part(b)]) for b in used], pa.binary()) for name, x in columns.items()})
 
 
@@ -123,7 +127,13 @@ def factor_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         last = np.append(first[1:], len(order)) - 1
         again = (sources[order[last]] > sources[order[first]]).astype(np.uint8) if len(order) else np.empty(0, np.uint8)
         first = order[first]
-        return _sent({"checks": checks[first], "sources": sources[first], "places": places[first], "again": again}, keys[first], table.column("block")[0].as_py() if len(table) else 0, buckets, 64)
+        return _sent(
+            {"checks": checks[first], "sources": sources[first], "places": places[first], "again": again},
+            keys[first],
+            table.column("block")[0].as_py() if len(table) else 0,
+            buckets,
+            64
+        )
 
     def first_places(table: pa.Table) -> pa.Table:
         own = [expand_sorted(x) for x in table.column("keys").to_pylist()]
@@ -139,7 +149,9 @@ def factor_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         spans = [np.arange(e - len(k), e)[told[e - len(k) : e]] for k, e in zip(own, ends)]
         keep = [i for i, s in enumerate(spans) if len(s)]
         out = {"block": table.column("block").take(pa.array(keep, pa.int64())), "keys": pa.array([squeeze_sorted(keys[spans[i]]) for i in keep], pa.binary())}
-        return pa.table(out | {name: pa.array([squeeze(x[leader[spans[i]]]) for i in keep], pa.binary()) for name, x in (("sources", sources), ("places", places), ("homes", homes))})
+        return pa.table(
+            out | {name: pa.array([squeeze(x[leader[spans[i]]]) for i in keep], pa.binary()) for name, x in (("sources", sources), ("places", places), ("homes", homes))}
+        )
 
     def parse(table: pa.Table, answers: pa.Table) -> pa.Table:
         """The block's factors by document, and what it asks other blocks: each question once."""
@@ -233,7 +245,10 @@ def factor_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     sent = blocks.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, keys binary, twice binary")
     shared = sent.groupBy("bucket").applyInArrow(shared_anchors, "block int, keys binary")
-    windows = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_windows, "bucket int, block int, keys binary, checks binary, sources binary, places binary, again binary")
+    windows = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
+        send_windows,
+        "bucket int, block int, keys binary, checks binary, sources binary, places binary, again binary"
+    )
     found = windows.groupBy("bucket").applyInArrow(first_places, "block int, keys binary, sources binary, places binary, homes binary")
     factors = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(parse, _ROWS)
     agreed = blocks.groupBy("block").cogroup(factors.groupBy("target")).applyInArrow(compare, _ROWS)
@@ -243,4 +258,10 @@ def factor_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return factor_documents(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+    return factor_documents(docs).select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+        F.size("factors").cast("long").alias("n_factors")
+    )

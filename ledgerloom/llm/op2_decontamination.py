@@ -247,7 +247,10 @@ def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     digest = F.unhex(F.md5(F.col(text)))
     texts, found = docs.select(F.col(text).alias("text")), None
     while part is not None:
-        own = saved(_with_part(texts, part, "text").filter(F.size("leaks") > 0).select(F.unhex(F.md5("text")).alias("__digest"), F.explode("leaks").alias("leak")).distinct(), "leaks")
+        own = saved(
+            _with_part(texts, part, "text").filter(F.size("leaks") > 0).select(F.unhex(F.md5("text")).alias("__digest"), F.explode("leaks").alias("leak")).distinct(),
+            "leaks"
+        )
         found = own if found is None else found.union(own)
         part, after = after, next(parts, None)
     leaks = found.groupBy("__digest").agg(F.array_sort(F.collect_list("leak")).alias("leaks"))
@@ -255,7 +258,15 @@ def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     return met.withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAK))).drop("__own", "__digest")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", most: int = MAX_ITEM_WORDS) -> DataFrame:
+def find_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    most: int = MAX_ITEM_WORDS
+) -> DataFrame:
     """A row (doc_id, item_id, start, n_words, distance) for each document and item that leaks into it."""
     found = with_leaks(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), items, "text", item_key, item_text, most)
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")

@@ -82,7 +82,14 @@ def document_sets(docs: DataFrame, key: str, text: str, size: int = SIZE, percen
         cuts = bucket_cuts(keys, buckets, COUNT_BITS)
         used = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
         part = lambda b: slice(cuts[b], cuts[b + 1])
-        return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int32()), "keys": pa.array([squeeze_sorted(keys[part(b)]) for b in used], pa.binary()), "counts": pa.array([squeeze(n[part(b)].astype(np.uint32)) for b in used], pa.binary())})
+        return pa.table(
+            {
+                "bucket": pa.array(used, pa.int32()),
+                "block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int32()),
+                "keys": pa.array([squeeze_sorted(keys[part(b)]) for b in used], pa.binary()),
+                "counts": pa.array([squeeze(n[part(b)].astype(np.uint32)) for b in used], pa.binary())
+            }
+        )
 
     def total(table: pa.Table) -> pa.Table:
         own = [expand_sorted(x) for x in table.column("keys").to_pylist()]
@@ -90,7 +97,13 @@ def document_sets(docs: DataFrame, key: str, text: str, size: int = SIZE, percen
         n = np.bincount(inverse, weights=np.concatenate([expand(x, np.uint32) for x in table.column("counts").to_pylist()])).astype(np.uint32)
         ends = np.cumsum([len(k) for k in own])
         counts = [n[inverse[e - len(k) : e]] for k, e in zip(own, ends)]
-        return pa.table({"block": table.column("block"), "keys": pa.array([squeeze_sorted(k[c > 1]) for k, c in zip(own, counts)], pa.binary()), "counts": pa.array([squeeze(c[c > 1]) for c in counts], pa.binary())})
+        return pa.table(
+            {
+                "block": table.column("block"),
+                "keys": pa.array([squeeze_sorted(k[c > 1]) for k, c in zip(own, counts)], pa.binary()),
+                "counts": pa.array([squeeze(c[c > 1]) for c in counts], pa.binary())
+            }
+        )
 
     def sets(table: pa.Table, answers: pa.Table) -> pa.Table:
         keys, texts, null, digests = block_rows(table, ["text_hash"]) if len(table) else (np.empty(0, np.int64), [], np.empty(0, bool), pa.array([], pa.int64()))
@@ -115,7 +128,13 @@ def document_sets(docs: DataFrame, key: str, text: str, size: int = SIZE, percen
             hashes.append(tokens[alone:].tobytes() if len(first) else None)
             classes.append(rare[order][alone:].tobytes() if len(first) else None)
         kinds = {"key": pa.array(keys, pa.int64(), mask=null), "text_hash": digests, "n": pa.array(ns, pa.int64()), "sid": pa.array(sids, pa.binary())}
-        return pa.table(kinds | {"prefix": pa.array(prefixes, pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())]))), "hashes": pa.array(hashes, pa.binary()), "rarity": pa.array(classes, pa.binary())})
+        return pa.table(
+            kinds | {
+                "prefix": pa.array(prefixes, pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())]))),
+                "hashes": pa.array(hashes, pa.binary()),
+                "rarity": pa.array(classes, pa.binary())
+            }
+        )
 
     sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block int, keys binary, counts binary")
     answers = sent.groupBy("bucket").applyInArrow(total, "block int, keys binary, counts binary")
@@ -161,7 +180,10 @@ def overlaps(pairs: DataFrame, sets: DataFrame, cuts: list[tuple[int, int]]) ->
         for batch in batches:
             for sid, hashes, rarities in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 parts = fragments_of(np.frombuffer(hashes, np.uint64), np.frombuffer(rarities, np.uint8), cuts)
-                yield pa.RecordBatch.from_arrays([pa.array([sid] * len(parts), pa.binary()), pa.array([f for f, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], names=["sid", "fragment", "part"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([sid] * len(parts), pa.binary()), pa.array([f for f, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())],
+                    names=["sid", "fragment", "part"]
+                )
 
     def count(batches):
         for batch in batches:
@@ -221,7 +243,11 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         left = left.join(roots.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         left = saved(left, "prefixes")
         parts = left.groupBy("token", "root").agg(F.count("*").alias("m"))
-        largest = parts.groupBy("token").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m")).filter("m > top.m").select("token", F.col("top.root").alias("top"), (F.col("m") - F.col("top.m")).alias("strays"))
+        largest = parts.groupBy("token").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m")).filter("m > top.m").select(
+            "token",
+            F.col("top.root").alias("top"),
+            (F.col("m") - F.col("top.m")).alias("strays")
+        )
         entries = saved(spread_join(left, largest, ["token"], ["sid"]), "prefixes")
         discard(held, left)
         held = entries
@@ -229,7 +255,10 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             return links
         # with all but a shingle's largest part compared, all of its pairs that matter are
         strays = entries.filter("root <> top")
-        many = strays.filter(F.col("strays") > AT_ONCE).groupBy("token", F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct("place", "n", "sid", "root")).alias("r")).select("token", "r.*")
+        many = strays.filter(F.col("strays") > AT_ONCE).groupBy(
+            "token",
+            F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("salt")
+        ).agg(F.min(F.struct("place", "n", "sid", "root")).alias("r")).select("token", "r.*")
         old, leaders = leaders, saved(lead(strays.filter(F.col("strays") <= AT_ONCE)).union(lead(many)), "leaders")
         discard(old)
         entries = entries.drop("top", "strays")
@@ -240,7 +269,9 @@ def all_class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = saved(sets.select("sid", "n", F.explode("prefix").alias("p")).select("sid", "n", "p.token", "p.place"), "prefixes")
     one = lambda at: entries.select("token", F.struct("n", "sid").alias(at), (F.col("n") - F.col("place")).alias(f"rest_{at}"))
     enough = (100 + percent) * F.least("rest_x", "rest_y") >= percent * (F.col("x.n") + F.col("y.n"))  # as in class_links
-    met = one("x").join(one("y").hint("merge"), "token").filter((F.col("x") < F.col("y")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & enough).select("x", "y").distinct()
+    met = one("x").join(one("y").hint("merge"), "token").filter(
+        (F.col("x") < F.col("y")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & enough
+    ).select("x", "y").distinct()
     pairs = saved(met.select(F.col("x.sid").alias("a"), F.col("x.n").alias("na"), F.col("y.sid").alias("b"), F.col("y.n").alias("nb")), "pairs")
     return overlaps(pairs, sets, pivots(sets)).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
 

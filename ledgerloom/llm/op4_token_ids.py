@@ -63,7 +63,9 @@ class WordEncoder(dict):
         self.model, self.old = self.tokenizer.model, {}
         settings = json.loads(self.tokenizer.to_str())
         #: Whether words can be encoded one by one: the splitter and the normalizers are those that this class knows.
-        self.by_word = [n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])] == _NORMALIZERS and (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0] == _SPLITTER
+        self.by_word = [
+            n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])
+        ] == _NORMALIZERS and (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0] == _SPLITTER
         #: Ids on their way take two bytes where the vocabulary allows.
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
@@ -216,7 +218,10 @@ def write_token_files(df: DataFrame, tokenizer_path: str, path: str, end_id: int
 
     # ids are dealt before they are packed, so that finding the ranges of keys costs no Python pass
     ordered = encoded.repartitionByRange("key").sortWithinPartitions("key")
-    ordered.mapInArrow(blocks, "shard int, start long, keys array<long>, lengths array<long>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ordered.mapInArrow(
+        blocks,
+        "shard int, start long, keys array<long>, lengths array<long>, control binary, data binary"
+    ).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

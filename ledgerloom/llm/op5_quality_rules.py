@@ -84,7 +84,12 @@ def repeated_words(words: Column, size: int = 3) -> Column:
     last = F.size(words) - size
     windows = F.array_sort(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("h"), i.alias("p"))))
     same = lambda s, i, j: F.get(s, i)["h"].eqNullSafe(F.get(s, j)["h"])
-    places = lambda s: F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ((i > 0) & same(s, i, i - 1)) | ((i + 1 < F.size(s)) & same(s, i, i + 1))), lambda i: F.get(s, i)["p"]))
+    places = lambda s: F.array_sort(
+        F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ((i > 0) & same(s, i, i - 1)) | ((i + 1 < F.size(s)) & same(s, i, i + 1))),
+            lambda i: F.get(s, i)["p"]
+        )
+    )
     step = lambda a, p: F.struct((a["n"] + F.least(F.lit(size), p - a["end"] + size)).alias("n"), (p + size).alias("end"))
     # a window adds the words behind the end of the one before it
     covered = lambda ps: F.aggregate(ps, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda a: a["n"])

@@ -56,8 +56,19 @@ LONGER = 8
 KINDS = {"email": EMAIL, "ip": IP, "secret": SECRET, "ssn": SSN, "card": CARD, "phone": PHONE, "name": NAME}
 PATTERN = "(?:" + "|".join(KINDS.values()) + ")"
 
-SYLLABLES = {"latin": "ba da fe ga ka la le ma mi na ne no ra ri ro sa se ta te va ve vi za zo", "cyrillic": "ба ва га да ка ла ле ма ми на не но ра ри ро са се та те ве ви за зо фа", "greek": "βα γα δα κα λα λε μα μι να νε νο ρα ρι ρο σα σε τα τε βε ζα ζο φα χα ψα"}
-ENDINGS = {("given", "m"): {"latin": "n", "cyrillic": "н", "greek": "ς"}, ("given", "f"): {"latin": "lia", "cyrillic": "лия", "greek": "λια"}, ("given", "n"): {"latin": "l", "cyrillic": "ль", "greek": "λ"}, ("surname", "m"): {"latin": "rd", "cyrillic": "ров", "greek": "ρης"}, ("surname", "f"): {"latin": "rd", "cyrillic": "рова", "greek": "ρη"}, ("surname", "n"): {"latin": "rd", "cyrillic": "рен", "greek": "ρη"}}
+SYLLABLES = {
+    "latin": "ba da fe ga ka la le ma mi na ne no ra ri ro sa se ta te va ve vi za zo",
+    "cyrillic": "ба ва га да ка ла ле ма ми на не но ра ри ро са се та те ве ви за зо фа",
+    "greek": "βα γα δα κα λα λε μα μι να νε νο ρα ρι ρο σα σε τα τε βε ζα ζο φα χα ψα"
+}
+ENDINGS = {
+    ("given", "m"): {"latin": "n", "cyrillic": "н", "greek": "ς"},
+    ("given", "f"): {"latin": "lia", "cyrillic": "лия", "greek": "λια"},
+    ("given", "n"): {"latin": "l", "cyrillic": "ль", "greek": "λ"},
+    ("surname", "m"): {"latin": "rd", "cyrillic": "ров", "greek": "ρης"},
+    ("surname", "f"): {"latin": "rd", "cyrillic": "рова", "greek": "ρη"},
+    ("surname", "n"): {"latin": "rd", "cyrillic": "рен", "greek": "ρη"}
+}
 
 
 def digits_of(x: Column) -> Column:
@@ -119,23 +130,46 @@ def surrogate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
 
     def drawn(stream: Column) -> Column:
         value = lambda i: F.conv(F.substr(stream, F.pmod(2 * i, F.lit(126)) + 1, F.lit(2)), 16, 10).cast("int")
-        letters = lambda x, digits: F.array_join(F.transform(F.split(x, ""), lambda c, i: F.when(c.rlike("[0-9]"), (value(i + digits) % 10).cast("string")).when(c.rlike("[a-z]"), F.chr(97 + value(i + digits) % 26)).otherwise(c)), "")
+        letters = lambda x, digits: F.array_join(
+            F.transform(
+                F.split(x, ""),
+                lambda c, i: F.when(c.rlike("[0-9]"), (value(i + digits) % 10).cast("string")).when(c.rlike("[a-z]"), F.chr(97 + value(i + digits) % 26)).otherwise(c)
+            ),
+            ""
+        )
         # later draws are longer, as marks alone can't be drawn anew
-        more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.chr(97 + value(i + 47) % 26)), "")).otherwise(F.lit(""))
-        digits = F.when(attempt >= LONGER, F.array_join(F.transform(F.sequence(F.lit(LONGER), F.greatest(attempt, F.lit(LONGER))), lambda i: (value(i + 53) % 10).cast("string")), "")).otherwise(F.lit(""))
+        more = F.when(
+            attempt > 0,
+            F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.chr(97 + value(i + 47) % 26)), "")
+        ).otherwise(F.lit(""))
+        digits = F.when(
+            attempt >= LONGER,
+            F.array_join(F.transform(F.sequence(F.lit(LONGER), F.greatest(attempt, F.lit(LONGER))), lambda i: (value(i + 53) % 10).cast("string")), "")
+        ).otherwise(F.lit(""))
         email = F.concat(letters(F.substring_index(form, "@", 1), 0), more, F.lit("@"), letters(F.regexp_extract(form, r"@(.*)\.[^.]*$", 1), 31), F.lit(".example"))
         ip = F.concat_ws(".", (240 + value(F.lit(0)) % 15).cast("string"), *[(value(F.lit(i))).cast("string") for i in (1, 2, 3)])
         ip = F.when(attempt < LONGER, ip).otherwise(F.concat_ws(":", F.lit("2001:db8"), *[F.substring(stream, 4 * i + 1, 4) for i in range(6)]))
         numbers = lambda keep: F.concat(F.substring(form, 1, keep), letters(F.substr(form, F.lit(keep + 1)), 0), digits)
         secret = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.substr(stream, F.pmod(i, F.lit(128)) + 1, F.lit(1))), "")
         head = F.concat(F.lit("9"), letters(F.substr(form, F.lit(2), F.length(form) - 2), 0), digits)
-        check = let(F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(head, F.lit("0"))), F.lit(10)), F.lit(10)), lambda d: F.when(F.pmod(luhn_sum(form), F.lit(10)) == 0, d).otherwise(F.pmod(d + 1 + value(F.lit(60)) % 9, F.lit(10))))
+        check = let(
+            F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(head, F.lit("0"))), F.lit(10)), F.lit(10)),
+            lambda d: F.when(F.pmod(luhn_sum(form), F.lit(10)) == 0, d).otherwise(F.pmod(d + 1 + value(F.lit(60)) % 9, F.lit(10)))
+        )
         role, gender, script = (F.split_part(kind, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
         syllable = lambda s, i: F.get(F.array(*[F.lit(x) for x in SYLLABLES[s].split()]), value(F.lit(i)) % 24)
         # later draws are longer, so that there always are enough
-        stem = lambda s: F.concat(syllable(s, 40), syllable(s, 41), F.when(role == "surname", F.concat(syllable(s, 42), syllable(s, 43))).otherwise(F.lit("")), *[F.when(attempt >= i, syllable(s, 43 + i)).otherwise(F.lit("")) for i in range(1, 9)])
+        stem = lambda s: F.concat(
+            syllable(s, 40),
+            syllable(s, 41),
+            F.when(role == "surname", F.concat(syllable(s, 42), syllable(s, 43))).otherwise(F.lit("")),
+            *[F.when(attempt >= i, syllable(s, 43 + i)).otherwise(F.lit("")) for i in range(1, 9)]
+        )
         ending = lambda s: F.coalesce(*[F.when((role == r) & (gender == g), F.lit(e[s])) for (r, g), e in ENDINGS.items()], F.lit(""))
-        name = F.when(script == "cyrillic", F.concat(stem("cyrillic"), ending("cyrillic"))).when(script == "greek", F.concat(stem("greek"), ending("greek"))).otherwise(F.concat(stem("latin"), ending("latin")))
+        name = F.when(
+            script == "cyrillic",
+            F.concat(stem("cyrillic"), ending("cyrillic"))
+        ).when(script == "greek", F.concat(stem("greek"), ending("greek"))).otherwise(F.concat(stem("latin"), ending("latin")))
         return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "ssn", numbers(0)).when(kind == "phone", numbers(1)).when(kind == "card", F.concat(head, check.cast("string"))).otherwise(name)
 
     return let(hexed, drawn)
@@ -161,9 +195,15 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 def written_like(e: Column, s: Column) -> Column:
     """Surrogate s (canonical) in the format of the entity or name word e."""
-    places = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(s, F.length(digits_of(F.substr(e, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
+    places = F.array_join(
+        F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(s, F.length(digits_of(F.substr(e, F.lit(1), i + 1))), F.lit(1))).otherwise(c)),
+        ""
+    )
     places = F.concat(places, F.substr(s, F.length(digits_of(e)) + 1))  # a longer surrogate's last digits
-    cased = F.when((F.upper(e) == e) & (F.lower(e) != e), F.upper(s)).when(e.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))).otherwise(s)
+    cased = F.when((F.upper(e) == e) & (F.lower(e) != e), F.upper(s)).when(
+        e.rlike(r"^\p{Lu}"),
+        F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))
+    ).otherwise(s)
     return F.when(e.rlike(r"^[0-9 ().+-]+$") & ~e.rlike(f"^{IP}$") & ~e.rlike(f"^{SECRET}$"), places).otherwise(cased)
 
 
@@ -175,7 +215,9 @@ def with_surrogates(docs: DataFrame, key: str, text: str = "text", doc_key: str
     row = F.struct(F.col(doc_key).cast("string").alias("id"), F.xxhash64(text).alias("hash"))
     parts = saved(docs.select(row.alias("row"), F.explode(F.array_distinct(F.flatten(F.transform(found, parts_of)))).alias("part")).select("row", "part.*"), "parts")
     known = distinct_surrogates(parts, key)
-    table = parts.join(known.hint("merge"), ["kind", "form"]).groupBy(F.col("row").alias("__row")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "form").alias("k"), "surrogate"))).alias("__known"))
+    table = parts.join(known.hint("merge"), ["kind", "form"]).groupBy(F.col("row").alias("__row")).agg(
+        F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "form").alias("k"), "surrogate"))).alias("__known")
+    )
     met = docs.withColumn("__own", row).join(table.hint("shuffle_hash"), F.col("__own").eqNullSafe(F.col("__row")), "left").drop("__own", "__row")
     k = F.col("__known")
 
@@ -188,7 +230,10 @@ def with_surrogates(docs: DataFrame, key: str, text: str = "text", doc_key: str
         return let(parts_of(e), by_parts)
 
     # the longest first, so that a name goes before one it begins with
-    surnames = F.transform(F.filter(F.map_entries(k), lambda x: x["key"].startswith("surname-")), lambda x: F.struct(F.split_part(x["key"], F.lit(":"), F.lit(2)).alias("form"), x["value"].alias("value")))
+    surnames = F.transform(
+        F.filter(F.map_entries(k), lambda x: x["key"].startswith("surname-")),
+        lambda x: F.struct(F.split_part(x["key"], F.lit(":"), F.lit(2)).alias("form"), x["value"].alias("value"))
+    )
     surnames = F.reverse(F.array_sort(F.transform(surnames, lambda x: F.struct(F.length(x["form"]).alias("n"), x["form"].alias("form"), x["value"].alias("value")))))
 
     def bare(segment: Column, names: Column) -> Column:
@@ -196,7 +241,11 @@ def with_surrogates(docs: DataFrame, key: str, text: str = "text", doc_key: str
         pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform(names, lambda x: x["form"]), "|"), F.lit(r")(?!\p{L})"))
         known = lambda form: F.get(F.filter(names, lambda x: x["form"] == form), F.lit(0))["value"]
         other = lambda m: written_like(m, F.coalesce(known(F.lower(m)), known(F.lower(F.upper(m))), m))
-        both = F.zip_with(F.split(segment, pattern, -1), F.transform(F.regexp_extract_all(segment, pattern, F.lit(0)), other), lambda s, m: F.concat(s, F.coalesce(m, F.lit(""))))
+        both = F.zip_with(
+            F.split(segment, pattern, -1),
+            F.transform(F.regexp_extract_all(segment, pattern, F.lit(0)), other),
+            lambda s, m: F.concat(s, F.coalesce(m, F.lit("")))
+        )
         return F.when(F.size(names) > 0, F.array_join(both, "")).otherwise(segment)
 
     def rebuilt(es: Column) -> Column:
@@ -205,7 +254,9 @@ def with_surrogates(docs: DataFrame, key: str, text: str = "text", doc_key: str
         return F.struct(F.size(es).alias("n"), F.array_join(mixed(let(surnames, between)), "").alias("text"))
 
     made = F.when(k.isNotNull(), let(found, rebuilt))
-    out = met.withColumn("__made", made).withColumns({"n_entities": F.coalesce(F.col("__made.n"), F.lit(0)).cast("long"), "clean_text": F.coalesce(F.col("__made.text"), F.col(text))})
+    out = met.withColumn("__made", made).withColumns(
+        {"n_entities": F.coalesce(F.col("__made.n"), F.lit(0)).cast("long"), "clean_text": F.coalesce(F.col("__made.text"), F.col(text))}
+    )
     return out.drop("__known", "__made")
 
 

@@ -52,19 +52,30 @@ def chunks_of(text: Column, window: int = WINDOW, most: int = MAX_LINES) -> Colu
             """Of the lines with words the numbers of those that a chunk ends at, the last one apart."""
             hashes = F.transform(at, lambda i: F.conv(F.substring(F.md5(F.get(lines, i)), 1, 7), 16, 10).cast("long"))
             values = let(hashes, lambda h: F.transform(h, lambda x, k: rolling(h, k)))
-            least = lambda v: F.filter(F.transform(v, lambda x, k: F.when((x < F.get(v, k - 1)) & (x < F.get(v, k + 1)) & (k + 2 < F.size(v)), k)), lambda k: k.isNotNull())
+            least = lambda v: F.filter(
+                F.transform(v, lambda x, k: F.when((x < F.get(v, k - 1)) & (x < F.get(v, k + 1)) & (k + 2 < F.size(v)), k)),
+                lambda k: k.isNotNull()
+            )
 
             def divided(minima: Column) -> Column:
                 start = lambda j: F.coalesce(F.get(minima, j - 1) + 1, F.lit(0))
                 last = F.size(at) - 1
                 inner = lambda s, e: F.when(s + most < e, F.sequence(s + most - 1, e - 2, F.lit(most))).otherwise(F.array().cast("array<int>"))
-                parts = F.transform(F.concat(minima, F.array(last)), lambda e, j: F.concat(inner(start(j), e), F.when(e < last, F.array(e)).otherwise(F.array().cast("array<int>"))))
+                parts = F.transform(
+                    F.concat(minima, F.array(last)),
+                    lambda e, j: F.concat(inner(start(j), e), F.when(e < last, F.array(e)).otherwise(F.array().cast("array<int>")))
+                )
                 return F.flatten(parts)
 
             return let(let(values, least), divided)
 
         def chunk(own: Column, first: Column) -> Column:
-            return F.struct(F.array_join(own, "\n").alias("text"), first.alias("start"), F.size(own).alias("lines"), F.size(F.filter(own, lambda x: x.rlike(_WORD))).alias("word_lines"))
+            return F.struct(
+                F.array_join(own, "\n").alias("text"),
+                first.alias("start"),
+                F.size(own).alias("lines"),
+                F.size(F.filter(own, lambda x: x.rlike(_WORD))).alias("word_lines")
+            )
 
         def chunks(e: Column) -> Column:
             start = lambda k: F.coalesce(F.get(e, k - 1) + 1, F.lit(0))
@@ -97,10 +108,25 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     met = docs.join(found.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__doc")))
 
     def with_texts(c: Column) -> Column:
-        one = lambda x: let(F.get(c, x["place"]), lambda own: F.struct(x["hash"].alias("hash"), x["is_first"].alias("is_first"), x["place"].alias("place"), own["text"].alias("text"), own["start"].alias("start"), own["lines"].alias("lines"), F.get(c, x["place"] - 1)["text"].alias("before"), F.get(c, x["place"] + 1)["text"].alias("after")))
+        one = lambda x: let(
+            F.get(c, x["place"]),
+            lambda own: F.struct(
+                x["hash"].alias("hash"),
+                x["is_first"].alias("is_first"),
+                x["place"].alias("place"),
+                own["text"].alias("text"),
+                own["start"].alias("start"),
+                own["lines"].alias("lines"),
+                F.get(c, x["place"] - 1)["text"].alias("before"),
+                F.get(c, x["place"] + 1)["text"].alias("after")
+            )
+        )
         return F.transform("__found", one)
 
-    met = saved(met.select(*own, F.explode(let(chunks_of(F.col(text)), with_texts)).alias("c")).select("key", "doc", "c.*").filter(F.xxhash64("text") == F.col("hash")), "repeated-chunks")
+    met = saved(
+        met.select(*own, F.explode(let(chunks_of(F.col(text)), with_texts)).alias("c")).select("key", "doc", "c.*").filter(F.xxhash64("text") == F.col("hash")),
+        "repeated-chunks"
+    )
     first = met.filter("is_first").groupBy("hash").agg(F.min(F.struct("text", "before", "after")).alias("first"))
     later = spread_join(met.filter("NOT is_first"), first, ["hash"], ["key", "place"]).filter(F.encode("text", "utf-8") == F.encode("first.text", "utf-8"))
     before, after = _equal_lines(F.col("before"), F.col("first.before"), backwards=True), _equal_lines(F.col("after"), F.col("first.after"))
@@ -114,7 +140,13 @@ def without_lines(docs: DataFrame, gone: DataFrame, key: str, text: str) -> Data
     met = docs.join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__doc")), "left").drop("__key", "__doc")
     covered = F.flatten(F.transform("__gone", lambda x: F.sequence(x["place"], x["end"])))
     left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    made = let(F.split(F.col(text), "\n", -1), lambda lines: let(left(lines), lambda at: F.struct((F.size(lines) - F.size(at)).alias("n"), F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n").alias("text"))))
+    made = let(
+        F.split(F.col(text), "\n", -1),
+        lambda lines: let(
+            left(lines),
+            lambda at: F.struct((F.size(lines) - F.size(at)).alias("n"), F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n").alias("text"))
+        )
+    )
     out = met.withColumn("__made", F.when(F.col("__gone").isNotNull(), made)).withColumns(
         {
             "n_lines": F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0)).cast("long"),

@@ -100,7 +100,9 @@ class LicenseIndex:
             drift = drift_of(template)
             for i, s in enumerate(starts):
                 j = bisect_left(starts, s + drift + 1)
-                if sum(at[x] for x in starts[i:j]) >= need and has_keys(words, template, self.keys[t], s) and (score := max(in_order(words, template, x) for x in starts[i:j])) >= MIN_SCORE:
+                if sum(at[x] for x in starts[i:j]) >= need and has_keys(words, template, self.keys[t], s) and (
+                    score := max(in_order(words, template, x) for x in starts[i:j])
+                ) >= MIN_SCORE:
                     out.append((t, score))
         return out
 

@@ -17,7 +17,22 @@ from ledgerloom.llm.op8_byte_bpe import op8_byte_bpe
 from ledgerloom.llm.op9_license_scan import op9_license_scan
 from ledgerloom.llm.op10_toxicity import op10_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_ngram_join, op3_class_links, op4_token_ids, op5.op5_quality_rules, op6_pii, op7.op7_line_dedup, op7.op7_passage_dedup, op8_byte_bpe, op9_license_scan, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        op1_substring_dedup,
+        op2_decontamination,
+        op3_ngram_join,
+        op3_class_links,
+        op4_token_ids,
+        op5.op5_quality_rules,
+        op6_pii,
+        op7.op7_line_dedup,
+        op7.op7_passage_dedup,
+        op8_byte_bpe,
+        op9_license_scan,
+        op10_toxicity
+    )
+}
 
 #: DuckDB SQL of those queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {"op5_quality_rules": op5.ORACLE, "op7_line_dedup": op7.ORACLE}

@@ -37,7 +37,21 @@ WORDS = lambda n: " ".join(RNG.choices(VOCABULARY, k=n))
 def corpus():
     """Texts with copies, near copies, shared passages, and all odd cases."""
     base, passage = [WORDS(60) for _ in range(6)], WORDS(30)
-    texts = base + [base[0], base[0], base[1] + " more", base[2].upper(), WORDS(20) + " " + passage, passage + "\n" + WORDS(9), WORDS(8000) + " " + passage, "", "  \n ", "one two", "ONE two", "a\x1cb   c d", "é" * 40]
+    texts = base + [
+        base[0],
+        base[0],
+        base[1] + " more",
+        base[2].upper(),
+        WORDS(20) + " " + passage,
+        passage + "\n" + WORDS(9),
+        WORDS(8000) + " " + passage,
+        "",
+        "  \n ",
+        "one two",
+        "ONE two",
+        "a\x1cb   c d",
+        "é" * 40
+    ]
     rows = [(i + 1, t) for i, t in enumerate(texts)]
     return rows + [(3, base[2]), (3, base[2]), (None, base[4]), (None, None), (50, None), (-7, base[5] + " tail")]
 
@@ -270,7 +284,9 @@ def test_op6(spark, odd, empty):
     assert sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(card))) % 10 == 0
     surname = re.search(r"Mrs\. \S+ (\S+) met Mr\. (\S+); (\S+) left", b).groups()
     assert len(set(surname)) == 1 and re.search("Госпожа [А-я]+а\\.", b)
-    assert [r["clean_text"] for r in with_surrogates(df, "k").orderBy("doc_id").collect()] == [a, b] != [r["clean_text"] for r in with_surrogates(df, "other").orderBy("doc_id").collect()]
+    assert [r["clean_text"] for r in with_surrogates(df, "k").orderBy("doc_id").collect()] == [a, b] != [
+        r["clean_text"] for r in with_surrogates(df, "other").orderBy("doc_id").collect()
+    ]
     kept = with_surrogates(odd, "k")
     assert kept.filter("NOT clean_text <=> text").count() == 0 and kept.count() == len(corpus())
     assert with_surrogates(empty, "k").count() == 0
@@ -280,7 +296,11 @@ def test_op6_keeps_entities_distinct(spark, monkeypatch):
     from ledgerloom.llm import op6_pii as op6
 
     # all of 30 numbers draw one surrogate at first: every round but one of them draws again
-    monkeypatch.setattr(op6, "surrogate", lambda key, kind, form, attempt: F.concat(F.lit("9"), F.when(attempt < 3, F.lit("0")).otherwise(F.concat(form, attempt.cast("string")))))
+    monkeypatch.setattr(
+        op6,
+        "surrogate",
+        lambda key, kind, form, attempt: F.concat(F.lit("9"), F.when(attempt < 3, F.lit("0")).otherwise(F.concat(form, attempt.cast("string"))))
+    )
     df = spark.createDataFrame([("ssn", str(i)) for i in range(30)] + [("ssn", "90")], "kind string, form string")
     rows = op6.distinct_surrogates(df, "k").collect()
     assert len(rows) == len({r["surrogate"] for r in rows}) == 31 and not {r["surrogate"] for r in rows} & {str(i) for i in range(30)} - {"90"} and "90" not in {r["surrogate"] for r in rows}
@@ -289,7 +309,15 @@ def test_op6_keeps_entities_distinct(spark, monkeypatch):
 def test_op7(spark, odd, empty):
     lines = [WORDS(9) for _ in range(12)]
     block = "\n".join(lines)
-    rows = [(1, WORDS(5) + "\n" + block + "\n" + WORDS(5)), (2, WORDS(6) + "\n" + WORDS(3) + "\n" + block), (3, block + "\n"), (3, block + "\n"), (None, block), (4, None), (5, "")]
+    rows = [
+        (1, WORDS(5) + "\n" + block + "\n" + WORDS(5)),
+        (2, WORDS(6) + "\n" + WORDS(3) + "\n" + block),
+        (3, block + "\n"),
+        (3, block + "\n"),
+        (None, block),
+        (4, None),
+        (5, "")
+    ]
     out = {(r["doc_id"], r["text"]): r for r in with_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[None, block]["n_removed"] == 0 and out[1, rows[0][1]]["n_removed"] >= 6
     kept = out[2, rows[1][1]]["clean_text"].split("\n")
@@ -302,7 +330,10 @@ def test_op6_bare_surnames_in_any_case(spark):
     text = "Mr McDonald met Ms O'Brien and Dr. Smith. McDonald, MCDONALD and O'Brien spoke; SMITH, Smith's and smithy left with mcdonald. Госпожа Иванова; ИВАНОВА. Mr Smith-Jones, Smith-Jones."
     out = with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()["clean_text"]
     assert not re.search(r"mcdonald|o'brien|smith(?!y)|иванова", out, re.I) and "smithy" in out
-    first, second, third, again, upper, other, cried, plain = re.match(r"Mr (\S+) met Ms (\S+) and Dr\. (\S+)\. (\S+), (\S+) and (\S+) spoke; (\S+), (\S+)'s", out).groups()
+    first, second, third, again, upper, other, cried, plain = re.match(
+        r"Mr (\S+) met Ms (\S+) and Dr\. (\S+)\. (\S+), (\S+) and (\S+) spoke; (\S+), (\S+)'s",
+        out
+    ).groups()
     assert (again, upper, other, cried, plain) == (first, first.upper(), second, third.upper(), third)
     name, same = re.search(r"Mr (\S+), (\S+)\.$", out).groups()
     assert name == same
@@ -342,7 +373,18 @@ def test_op7_passages(spark, odd, empty):
         at = RNG.randrange(60 - n)
         gap = "\n\n" if k % 4 == 3 else "\n"
         rows += [(k, gap.join([WORDS(8), *own[at : at + n], WORDS(8)]))]
-    rows += [(90, "\n".join(own)), (91, "\n".join(own)), (92, "\n" + "\n".join(own[:2]) + "\n"), (None, "\n".join(own[5:9])), (None, "\n".join(own[20:22] * 2)), (93, "a\na\na"), (93, "b\nc"), (94, "b\nc\n\nd"), (95, own[3]), (96, "")]
+    rows += [
+        (90, "\n".join(own)),
+        (91, "\n".join(own)),
+        (92, "\n" + "\n".join(own[:2]) + "\n"),
+        (None, "\n".join(own[5:9])),
+        (None, "\n".join(own[20:22] * 2)),
+        (93, "a\na\na"),
+        (93, "b\nc"),
+        (94, "b\nc\n\nd"),
+        (95, own[3]),
+        (96, "")
+    ]
     RNG.shuffle(rows)
     found = with_passage_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted([(r["doc_id"], r["n_removed"], r["clean_text"]) for r in found], key=repr) == brute_passages(rows)
@@ -387,7 +429,15 @@ def brute_base(text):
 
 
 def test_op9(spark, odd, empty):
-    extra = ["Licensed under the Apache License, Version 2.0.", "Released under the (MIT) License!", "all rights  reserved; ALL-RIGHTS-RESERVED cc BY", "general public licenses", "under the new MIT License for all", "we saw an apache with no licence", WORDS(500) + " Licensed under CC BY-NC 4.0. " + WORDS(50)]
+    extra = [
+        "Licensed under the Apache License, Version 2.0.",
+        "Released under the (MIT) License!",
+        "all rights  reserved; ALL-RIGHTS-RESERVED cc BY",
+        "general public licenses",
+        "under the new MIT License for all",
+        "we saw an apache with no licence",
+        WORDS(500) + " Licensed under CC BY-NC 4.0. " + WORDS(50)
+    ]
     rows = corpus() + [(100 + i, t) for i, t in enumerate(extra)]
     out = with_licenses(frame(spark, rows)).collect()
     assert all((r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_base(r["text"]) for r in out)
@@ -540,7 +590,10 @@ def test_op7_chunks_have_two_lines_and_an_end(spark):
     from ledgerloom.llm.op7_line_dedup import MAX_LINES, chunks_of
 
     texts = ["\n".join(WORDS(6) for _ in range(300)), "\n".join(["same line"] * 100), "one\n\n\ntwo", "\n\n", ""]
-    for text, row in zip(texts, spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(chunks_of(F.col("t")).alias("c")).collect()):
+    for text, row in zip(
+        texts,
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(chunks_of(F.col("t")).alias("c")).collect()
+    ):
         assert "\n".join(c["text"] for c in row["c"]) == text
         assert all(c["word_lines"] <= MAX_LINES + 1 for c in row["c"]) and (len(row["c"]) == 1 or all(c["word_lines"] >= 2 for c in row["c"]))
 
@@ -554,7 +607,11 @@ def test_op8_a_long_text_without_cuts_in_its_second_half(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     text = "page text " * 100_000 + "".join(RNG.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_200_000))
-    row = decode_ids(encode_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).first()
+    row = decode_ids(
+        encode_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"), path, public_tokenizers.PATTERN),
+        path,
+        public_tokenizers.PATTERN
+    ).first()
     assert np.frombuffer(row["token_ids"], "<u4").tolist() == library.encode_ordinary(text) and bytes(row["decoded"]) == text.encode()
 
 
@@ -624,10 +681,24 @@ def test_op10_edges(spark, odd, empty):
 
 def test_op5_ties_and_languages(spark):
     good = "\n".join(f"{WORDS(10)}." for _ in range(5))
-    lines = ["the design in spread more words empowered by terms of useful", "Cookies akzeptieren und weiter gehen bitte.", "Tous droits réservés par nous.", "leer más aquí ahora mismo.", "• one two three", "Heading", "read this and that…", "Fine."]
+    lines = [
+        "the design in spread more words empowered by terms of useful",
+        "Cookies akzeptieren und weiter gehen bitte.",
+        "Tous droits réservés par nous.",
+        "leer más aquí ahora mismo.",
+        "• one two three",
+        "Heading",
+        "read this and that…",
+        "Fine."
+    ]
     row = with_quality(spark.createDataFrame([(1, good + "\n" + "\n".join(lines))], "doc_id long, text string")).first()
     assert row["clean_text"] == good + "\n" + lines[0] + "\nFine." and row["kept"]
-    fifty = with_quality(spark.createDataFrame([(1, good), (2, good.replace(" ", "", 1)), (3, good + "\n" + "\n".join(["NOW BUY ALL OF IT HERE AND NOW MY FRIENDS"] * 5))], "doc_id long, text string")).orderBy("doc_id").collect()
+    fifty = with_quality(
+        spark.createDataFrame(
+            [(1, good), (2, good.replace(" ", "", 1)), (3, good + "\n" + "\n".join(["NOW BUY ALL OF IT HERE AND NOW MY FRIENDS"] * 5))],
+            "doc_id long, text string"
+        )
+    ).orderBy("doc_id").collect()
     assert [r["kept"] for r in fifty[:2]] == [True, False] and fifty[2]["n_words"] == 100 and fifty[2]["kept_words"] == 50
 
 
@@ -654,7 +725,9 @@ def test_a_very_long_text_through_all_operators(spark):
     by_id = lambda df: {r["doc_id"]: r for r in df.collect()}
     assert {i: r["n_removed"] for i, r in by_id(factor_documents(docs)).items()} == {1: 0, 2: 30, 3: 90_000}
     assert {i: r["component_id"] for i, r in by_id(with_near_duplicates(docs)).items()} == {1: 1, 2: 2, 3: 2}
-    assert {r["doc_id"]: r["start"] for r in op2.find_leaks(docs, spark.createDataFrame([(7, passage)], "item_id long, text string")).collect()} == {1: 0, 2: 50_000, 3: 50_000}
+    assert {
+        r["doc_id"]: r["start"] for r in op2.find_leaks(docs, spark.createDataFrame([(7, passage)], "item_id long, text string")).collect()
+    } == {1: 0, 2: 50_000, 3: 50_000}
     path = work_path(spark, "test")
     write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), path, end_id=1)
     assert np.frombuffer(by_id(read_token_files(spark, path))[2]["ids"], "<u4").tolist() == whole_ids(long)

@@ -48,13 +48,22 @@ def test_exact_copies_go_whole(spark):
     docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
     left = P.near_duplicates(spark, saved(P.line_dedup(spark, docs, SF), "copies"), SF).collect()
     assert left and all(r["doc_id"] < 1000 for r in left)  # of each planted copy nothing is left
-    assert {r["doc_id"] for r in left} == {r["doc_id"] for r in P.near_duplicates(spark, saved(P.line_dedup(spark, docs.filter("doc_id < 1000"), SF), "once"), SF).collect()}
+    assert {r["doc_id"] for r in left} == {
+        r["doc_id"] for r in P.near_duplicates(spark, saved(P.line_dedup(spark, docs.filter("doc_id < 1000"), SF), "once"), SF).collect()
+    }
 
 
 def test_odd_rows(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     text = " ".join(f"w{i}" for i in range(60)) + "."
-    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, text, None, None, None), (2, text, None, None, None), (None, text, "en", "s", 1), (3, text, "en", "s", 1)]
+    rows = [
+        (None, None, None, None, None),
+        (1, "", "en", "s", 0),
+        (2, text, None, None, None),
+        (2, text, None, None, None),
+        (None, text, "en", "s", 1),
+        (3, text, "en", "s", 1)
+    ]
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         for _, stage in P.STAGES:
             docs = saved(stage(spark, docs, SF), "odd")
