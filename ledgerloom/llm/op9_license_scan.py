@@ -68,6 +68,7 @@ class LicenseIndex:
         self.labels = [label for label, _, _ in templates]
         self.templates = [license_words(t.encode()) for _, t, _ in templates]
         self.keys = [[license_words(k.encode()) for k in keys] for _, _, keys in templates]
+        self.key_words = [{w for k in keys for w in k} for keys in self.keys]
         self.base = [(license_words(p.encode()), label) for p, label in base.items()]
         self.base_firsts = {p[0] for p, _ in self.base}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
@@ -83,8 +84,10 @@ class LicenseIndex:
 
     def aligned(self, words: list[bytes]) -> list[tuple[int, float]]:
         """(template, score) of each verified alignment."""
+        present = self.rank.keys() & set(words)
+        possible = {t for t, needed in enumerate(self.key_words) if needed <= present}  # others lack words of their key phrases
         places: dict[bytes, list[int]] = defaultdict(list)
-        for p, w in enumerate(words):
+        for p, w in enumerate(words) if possible else ():
             if w in self.rank:
                 places[w].append(p)
         own = sorted(places, key=self.rank.__getitem__)
@@ -92,8 +95,9 @@ class LicenseIndex:
         asked: Counter = Counter()
         for w in own[: max(RARE_LEAST, math.ceil(RARE_SHARE * len(own)))]:
             for t, q in self.postings[w]:
-                asked[t] += 1
-                votes[t].update([p - q for p in places[w]])
+                if t in possible:
+                    asked[t] += 1
+                    votes[t].update([p - q for p in places[w]])
         out = []
         for t, at in votes.items():
             template, starts, need = self.templates[t], sorted(at), math.ceil(MIN_VOTES * asked[t])
