@@ -132,3 +132,43 @@ def bbl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.concat(F.lit("\\bibitem[x]{a} First.\n\\bibitem{k"), F.col("item_id"), F.lit("} Second,\n "), F.length("text"), F.lit(".\n\\end{thebibliography}"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(bbl_items(source)).alias("b"))
     return items.filter("b.number = 2").select("item_id", "b.key", "b.number", "b.text")
+
+
+_LINES_SQL = rf"""(SELECT doc_id, i, line FROM (SELECT doc_id, lang, source, unnest(range(len(lines))) AS i, unnest(list_transform(lines, lambda l: trim(regexp_replace(regexp_replace(l, '[\\{{}}@%"]', ' ', 'g'), '[{T.WHITE}\x1c-\x1f]+', ' ', 'g')))) AS line
+FROM (SELECT *, string_split(text, chr(10)) AS lines FROM documents)) WHERE line <> '')"""
+
+
+def _clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, i, line): each document's lines, without marks that bibliographies give a meaning."""
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r'[\\{}@%"]', " "), rf"[{T.WHITE}\x1c-\x1f]+", " "))
+    lines = F.transform(F.split("text", "\n", -1), clean)
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("i", "line")).filter("line <> ''")
+
+
+@query(
+    f"""SELECT doc_id, 'k' || i AS key, line AS title, CASE i % 4 WHEN 0 THEN 'Proc ' || i WHEN 1 THEN 'J ' || i WHEN 2 THEN 'P' END AS venue,
+    array_to_string(list_transform(range(i % 3), lambda j: 'A ' || j), ';') AS authors, CASE WHEN i % 5 > 0 THEN (1990 + i % 30)::VARCHAR END AS year FROM {_LINES_SQL} WHERE i % 7 <> 6"""
+)
+def bibliography_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bibliographies with an entry for each line of a document: its text in nested braces, quotes or open to the end (SRC8, ST37, ST38, Z8)."""
+    i, line = F.col("i"), F.col("line")
+    title = F.when(i % 2 == 0, F.concat(F.lit("{"), F.regexp_replace(line, "^(.)(.*)$", "{$1}$2"), F.lit("}"))).otherwise(F.concat(F.lit('"'), line, F.lit('"')))
+    names = F.array_join(F.transform(F.when(i % 3 > 0, F.sequence(F.lit(0), i % 3 - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.concat(F.lit("A "), j)), " and ")
+    venues = {0: F.concat(F.lit(", booktitle = {Proc "), i, F.lit("}, journal = {no}")), 1: F.concat(F.lit(', JOURNAL = "J '), i, F.lit('"')), 2: F.lit(", publisher = P")}
+    venue = F.when(i % 4 == 0, venues[0]).when(i % 4 == 1, venues[1]).when(i % 4 == 2, venues[2]).otherwise("")
+    fields = F.concat(F.lit("\n Title = "), title, F.lit(",\n author={"), names, F.lit("}"), venue, F.when(i % 5 > 0, F.concat(F.lit(", year = "), 1990 + i % 30)).otherwise(""))
+    # every seventh entry has no title and goes
+    entry = F.concat(F.lit("% note @x{y}\n@article{k"), i, F.lit(","), F.when(i % 7 == 6, F.lit(" year = 1")).otherwise(fields), F.lit("\n}\n"))
+    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", entry.alias("e")))), lambda x: x["e"]), "")
+    found = bib_entries(_clean_lines(spark, sf_dir).groupBy("doc_id").agg(entries.alias("text")))
+    return found.select("doc_id", "key", "title", "venue", F.array_join("authors", ";").alias("authors"), "year")
+
+
+@query(f"SELECT doc_id, 'k' || i AS key, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS number, line AS text FROM {_LINES_SQL}")
+def bibliography_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r"""Formatted bibliographies with an item for each line of a document, numbered in order (SRC9)."""
+    item = F.concat(F.lit("\\bibitem"), F.when(F.col("i") % 2 == 0, "[x]").otherwise(""), F.lit("{k"), F.col("i"), F.lit("}\n  "), F.col("line"), F.lit("\n"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", item.alias("t")))), lambda x: x["t"]), "")
+    docs = _clean_lines(spark, sf_dir).groupBy("doc_id").agg(F.concat(items, F.lit("\\end{thebibliography} rest")).alias("text"))
+    found = docs.select("doc_id", F.explode(bbl_items(F.col("text"))).alias("b"))
+    return found.select("doc_id", "b.key", F.col("b.number").cast("long").alias("number"), "b.text")
