@@ -37,7 +37,7 @@ LEAF, ID_LEAF, PIECE_LEAF = 65_536, 65_536, 6
 #: Parts and windows of up to so many bytes are remembered.
 WINDOW_BYTES = 12
 #: Bytes, about, that a worker's memory of encoded matches takes, and each of those of parts, windows and neighbours.
-MATCH_CACHE, PART_CACHE = 40 << 20, 12 << 20
+MATCH_CACHE, PART_CACHE = 64 << 20, 32 << 20
 
 
 class Cache(dict):
