@@ -7,7 +7,8 @@ lines with words or more, if its text has.  Where no boundary comes, as in a run
 lines with words, or one later where one alone would be left.  A chunk with at least MIN_LINES lines that hold words and whose text occurs earlier, in
 a smaller (doc_id, place of the chunk), is removed, with the lines beside it, within the chunks next to it, that equal those
 beside its first occurrence, so that a passage goes up to its ends where a chunk of it has been found.  Of every line the
-first occurrence stays.  Chunks meet by hash; bytes are compared before anything is removed.
+first occurrence stays.  Chunks meet by hash and are compared by their bytes before anything is removed; the lines beside
+them by 128 bits of their SHA-256.
 
 Null texts stay null and have no lines; an empty text is one empty line.  A null doc_id counts as the smallest.  Rows are
 told apart by doc_id and text: rows with one doc_id and different texts each lose their own chunks, repeated rows the
@@ -87,10 +88,15 @@ def chunks_of(text: Column, window: int = WINDOW, most: int = MAX_LINES) -> Colu
     return F.when(text.isNotNull(), let(F.split(text, "\n", -1), cut))
 
 
-def _equal_lines(a: Column, b: Column, backwards: bool = False) -> Column:
-    """How many lines two texts begin, or end, with in common; none where one is null."""
-    lines = lambda x: F.reverse(F.split(x, "\n", -1)) if backwards else F.split(x, "\n", -1)
-    both = F.zip_with(lines(a), lines(b), lambda x, y: F.encode(x, "utf-8").eqNullSafe(F.encode(y, "utf-8")))
+def _line_digests(x: Column, backwards: bool = False) -> Column:
+    """128 bits of the SHA-256 of each of a text's lines, from the first or from the last; null for null."""
+    digests = F.transform(F.split(x, "\n", -1), lambda line: F.substring(F.unhex(F.sha2(line, 256)), 1, 16))
+    return F.reverse(digests) if backwards else digests
+
+
+def _equal_lines(a: Column, b: Column) -> Column:
+    """How many entries two arrays begin with in common; none where one is null."""
+    both = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
     return F.coalesce(let(both, lambda same: F.when(F.array_position(same, False) == 0, F.size(same)).otherwise(F.array_position(same, False) - 1)).cast("int"), F.lit(0))
 
 
@@ -117,8 +123,8 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
                 own["text"].alias("text"),
                 own["start"].alias("start"),
                 own["lines"].alias("lines"),
-                F.get(c, x["place"] - 1)["text"].alias("before"),
-                F.get(c, x["place"] + 1)["text"].alias("after")
+                _line_digests(F.get(c, x["place"] - 1)["text"], backwards=True).alias("before"),
+                _line_digests(F.get(c, x["place"] + 1)["text"]).alias("after")
             )
         )
         return F.transform("__found", one)
@@ -129,7 +135,7 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     )
     first = met.filter("is_first").groupBy("hash").agg(F.min(F.struct("text", "before", "after")).alias("first"))
     later = spread_join(met.filter("NOT is_first"), first, ["hash"], ["key", "place"]).filter(F.encode("text", "utf-8") == F.encode("first.text", "utf-8"))
-    before, after = _equal_lines(F.col("before"), F.col("first.before"), backwards=True), _equal_lines(F.col("after"), F.col("first.after"))
+    before, after = _equal_lines(F.col("before"), F.col("first.before")), _equal_lines(F.col("after"), F.col("first.after"))
     return later.select("key", "doc", (F.col("start") - before).alias("place"), (F.col("start") + F.col("lines") - 1 + after).alias("end"))
 
 
