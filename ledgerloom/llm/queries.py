@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import op5_quality_rules as op5
 from ledgerloom.llm import op7_line_dedup as op7
+from ledgerloom.llm import op12_filter_audit as op12
 from ledgerloom.llm.op1_substring_dedup import op1_substring_dedup
 from ledgerloom.llm.op2_decontamination import op2_decontamination
 from ledgerloom.llm.op3_ngram_join import op3_class_links, op3_ngram_join
@@ -30,9 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7.op7_passage_dedup,
         op8_byte_bpe,
         op9_license_scan,
-        op10_toxicity
+        op10_toxicity,
+        op12.op12_filter_audit,
     )
 }
 
 #: DuckDB SQL of those queries that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": op5.ORACLE, "op7_line_dedup": op7.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": op5.ORACLE, "op7_line_dedup": op7.ORACLE, "op12_filter_audit": op12.ORACLE}
