@@ -17,6 +17,7 @@ from ledgerloom.llm.op6_pii import op6_pii
 from ledgerloom.llm.op8_byte_bpe import op8_byte_bpe
 from ledgerloom.llm.op9_license_scan import op9_license_scan
 from ledgerloom.llm.op10_toxicity import op10_toxicity
+from ledgerloom.llm.op11_tokenizer_alignment import op11_tokenizer_alignment
 from ledgerloom.llm.op13_lm_scoring import op13_lm_scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_license_scan,
         op10_toxicity,
+        op11_tokenizer_alignment,
         op12.op12_filter_audit,
         op13_lm_scoring,
     )
