@@ -221,22 +221,6 @@ def references_resolved(x: Column, numbers: Column) -> Column:
     return pieced(x, r"\\(?:eq)?ref\{([^{}]*)\}", 1, number)
 
 
-def macros_of(x: Column) -> Column:
-    r"""Map of \newcommand, \renewcommand and \def names to bodies without nested braces; the last of a name holds (ST22)."""
-    pattern = r"\\(?:(?:re)?newcommand\*?\{?\\([A-Za-z]+)\}?(?:\[[0-9]\])?|def\\([A-Za-z]+))\{([^{}]*)\}"
-    found = lambda g: F.regexp_extract_all(x, F.lit(pattern), F.lit(g))
-    entries = F.zip_with(F.zip_with(found(1), found(2), lambda a, b: F.concat(a, b)), found(3), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
-
-
-def expanded(x: Column) -> Column:
-    r"""Macro calls replaced once by their bodies, definitions dropped; arguments stay (ST22)."""
-    body = F.regexp_replace(x, r"\\(?:(?:re)?newcommand\*?\{?\\[A-Za-z]+\}?(?:\[[0-9]\])?|def\\[A-Za-z]+)\{[^{}]*\}\n?", "")
-    quoted = lambda v: F.regexp_replace(v, r"([\\$])", r"\\$1")
-    return F.aggregate(F.map_entries(macros_of(x)), body, lambda y, e: F.regexp_replace(y, F.concat(F.lit(r"\\"), e["key"], F.lit("(?![A-Za-z])")), quoted(e["value"])))
-
-
 def script_runs(x: Column) -> Column:
     """Text cut into (style, text) runs at ^{..} and _{..} (ST15)."""
     pieces = F.regexp_extract_all(x, F.lit(r"[\^_]\{[^{}]*\}|[^\^_]+|[\^_]"), F.lit(0))

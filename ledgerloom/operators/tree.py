@@ -1,7 +1,6 @@
-r"""Marked-up documents as tokens, blocks and trees.
+r"""Tokens, indexes, layouts and trees of rows (tree, node, parent, pos), which are walked a level at a time.
 
-Tokens and blocks are arrays in their document's row, so documents are worked on in parallel and none is taken apart over
-tasks; trees of rows (tree, node, parent, pos) are walked a level at a time.
+Trees and blocks of marked-up documents are made by `syntax`.
 """
 
 from __future__ import annotations
@@ -37,93 +36,11 @@ def tokens(x: Column) -> Column:
     return F.transform(pieces, lambda p: F.struct(kind(p).alias("kind"), p.alias("text")))
 
 
-def nested(tokens_of: Column) -> Column:
-    """The tokens with (depth, error): how many groups and environments are open around each, lossless (GR9).
-
-    A closing mark that fits nothing open is an error and closes nothing; what is still open at the end is no error of a
-    token.  So one slip leaves the rest as it is.
-    """
-    name = lambda t: F.regexp_extract(t["text"], r"\{(.*)\}", 1)
-    mark = lambda t: F.when(t["kind"] == "open", "{").when(t["kind"] == "begin", name(t))
-    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<struct<kind: string, text: string, depth: int, error: boolean>>").alias("out"))
-
-    def step(a: Column, t: Column) -> Column:
-        closes = t["kind"].isin("close", "end")
-        fits = closes & (F.size(a["open"]) > 0) & (F.try_element_at(a["open"], F.lit(-1)) == F.when(t["kind"] == "close", "{").otherwise(name(t)))
-        opened = F.when(fits, F.slice(a["open"], 1, F.size(a["open"]) - 1)).when(mark(t).isNotNull(), F.concat(a["open"], F.array(mark(t)))).otherwise(a["open"])
-        depth = F.size(a["open"]) - F.when(fits, 1).otherwise(0)
-        one = F.struct(t["kind"].alias("kind"), t["text"].alias("text"), depth.alias("depth"), F.coalesce(closes & ~fits, F.lit(False)).alias("error"))
-        return F.struct(opened.alias("open"), F.concat(a["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(tokens_of, start, step, lambda a: a["out"])
-
-
 # fixed values: what environments become
 BLOCKS = {
     "list": "itemize enumerate description list", "table": "tabular array", "captioned": "figure table algorithm", "equation": "equation align gather",
     "theorem": "theorem proof proposition lemma corollary definition remark example",
 }
-_LEVELS = ["section", "subsection", "subsubsection", "paragraph"]
-
-
-def block_kind(environment: Column) -> Column:
-    """The block an environment becomes; a star makes no difference, unknown ones stay raw (GR4)."""
-    bare = F.regexp_replace(environment, r"\*$", "")
-    out = F.lit("raw")
-    for kind, names in BLOCKS.items():
-        out = F.when(bare.isin(names.split()), kind).otherwise(out)
-    return out
-
-
-def blocks_of(x: Column) -> Column:
-    r"""Array of (kind, name, text, caption, items): a document's headings, environments and paragraphs, in order (GR4).
-
-    `document` and `minipage` are looked into.  Items are those of a list, or a table's rows with cells between tabs.  A
-    command that only begins like a heading's, as \sectionmark does, is none (Z20).
-    """
-    inside = F.regexp_replace(T.without_comments(x), r"(?s)^.*?\\begin\{document\}|\\end\{document\}.*$|\\(?:begin|end)\{minipage\}(?:\[[^\]]*\])?(?:\{[^{}]*\})?", "")
-    environment, heading = r"\\begin\{([A-Za-z]+\*?)\}[\s\S]*?\\end\{\1\}", rf"\\(?:{'|'.join(_LEVELS)})\*?(?![A-Za-z])\s*\{{[^{{}}]*\}}"
-    pieces = F.regexp_extract_all(inside, F.lit(rf"{environment}|{heading}|(?:(?!\\begin\{{|{heading}|\n[ \t]*\n)[\s\S])+"), F.lit(0))
-
-    def block(p: Column) -> Column:
-        name = F.regexp_extract(p, r"^\\begin\{([A-Za-z]+\*?)\}", 1)
-        level = F.regexp_extract(p, rf"^\\({'|'.join(_LEVELS)})\*?(?![A-Za-z])", 1)
-        body = F.regexp_replace(p, r"^\\begin\{[A-Za-z]+\*?\}(?:\[[^\]]*\])?|\\end\{[A-Za-z]+\*?\}$", "")
-        kind = F.when(name != "", block_kind(name)).when(level != "", "heading").otherwise("paragraph")
-        text = F.when(level != "", F.regexp_extract(p, r"\{([^{}]*)\}$", 1)).otherwise(F.trim(body))
-        items = F.when(kind == "list", list_items(body)).when(
-            kind == "table",
-            F.transform(table_rows(body), lambda r: F.array_join(r, "\t"))
-        ).otherwise(F.array().cast("array<string>"))
-        caption = F.when(kind == "captioned", M.command_argument(body, "caption"))
-        return F.struct(
-            kind.alias("kind"),
-            F.coalesce(F.nullif(name, F.lit("")), F.nullif(level, F.lit(""))).alias("name"),
-            text.alias("text"),
-            caption.alias("caption"),
-            items.alias("items")
-        )
-
-    return F.transform(F.filter(F.transform(pieces, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != ""), block)
-
-
-def list_items(body: Column) -> Column:
-    r"""Items of a list; a label in brackets goes before its item (GR4)."""
-    parts = F.slice(F.split(body, r"\\item(?![A-Za-z])", -1), 2, 1_000_000_000)
-    return F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"^\s*\[([^\]]*)\]\s*", "$1 "), r"\s+", " ")))
-
-
-def table_rows(body: Column) -> Column:
-    r"""Rows of cells of a table's body.
-
-    A row of one cell that is empty or a rule goes, and so do rows of empty cells alone (Z17).
-    """
-    bare = F.regexp_replace(body, r"^\s*(?:\{[^{}]*\})", "")
-    cells = lambda r: F.transform(
-        F.split(F.regexp_replace(r, r"\\(?:hline|toprule|midrule|bottomrule|c(?:mid)?(?:line|rule)(?:\([^)]*\))?\{[^{}]*\})", ""), r"(?<!\\)&", -1),
-        lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    )
-    return F.filter(F.transform(F.split(bare, r"\\\\(?:\[[^\]]*\])?", -1), cells), lambda r: F.exists(r, lambda c: c != ""))
 
 
 def numbering_index(blocks: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:

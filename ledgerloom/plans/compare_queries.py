@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import markup as M
 from ledgerloom.functions import text as T
+from ledgerloom.functions.macros import macros_expanded
 from ledgerloom.operators import compare as C
 from ledgerloom.plans.registry import query, table
 from ledgerloom.sources.files import bbl_items, bib_entries
@@ -95,7 +96,7 @@ _HEAD_SQL = r"(SELECT doc_id, lang, regexp_replace(text, '[\\{}$%~#&_^\n]', ' ',
 @query(f"""SELECT doc_id, trim(regexp_replace(lang || ' ' || h || ' by engine, see fig:1 and α', '{_WHITE_SQL}', ' ', 'g')) AS plain FROM {_HEAD_SQL}""")
 def latex_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole marked-up texts to plain text, macros expanded first (ST20, ST22)."""
-    return table(spark, sf_dir, "documents").select("doc_id", M.plain_text(M.expanded(_as_markup(F.col("text")))).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", M.plain_text(macros_expanded(_as_markup(F.col("text")))).alias("plain"))
 
 
 @query(
@@ -104,7 +105,7 @@ def latex_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latex_plain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole marked-up texts to plain text by all steps, with references resolved (ST12)."""
     empty, labels = F.create_map().cast("map<string, bigint>"), F.create_map(F.lit("fig:1"), F.lit("7"))
-    return table(spark, sf_dir, "documents").select("doc_id", M.latex_text(M.expanded(_as_markup(F.col("text"))), empty, labels).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", M.latex_text(macros_expanded(_as_markup(F.col("text"))), empty, labels).alias("plain"))
 
 
 @query(

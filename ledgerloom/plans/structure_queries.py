@@ -5,7 +5,7 @@ Documents are written around conversations, a block a turn; the SQL works on the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
@@ -13,6 +13,7 @@ from ledgerloom.operators import graph as G
 from ledgerloom.operators import quality as Q
 from ledgerloom.operators import relational as R
 from ledgerloom.operators import rules as L
+from ledgerloom.operators import syntax as S
 from ledgerloom.operators import tree as T
 from ledgerloom.plans.registry import query, table
 from ledgerloom.sources.files import bib_texts
@@ -46,8 +47,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, kind, count(*) AS n, sum(items)::BIGINT AS items FROM b GROUP BY ALL""")
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings, lists, tables and paragraphs of each document; empty table rows and commands like a heading's don't count (GR4, Z17, Z20)."""
-    blocks = _documents(spark, sf_dir).select("conv_id", F.explode(T.blocks_of(F.col("text"))).alias("b")).select("conv_id", "b.*")
-    return blocks.groupBy("conv_id", "kind").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items"))
+    blocks = S.block_tree(_documents(spark, sf_dir), ["conv_id"])
+    held = F.count(F.when(F.col("kind").isin("item", "row"), 1)).over(Window.partitionBy("conv_id", F.coalesce("parent", "block")))
+    top = blocks.withColumn("items", held).filter("parent IS NULL")
+    return top.groupBy("conv_id", "kind").agg(F.count("*").alias("n"), F.sum("items").alias("items"))
 
 
 @query(
@@ -55,7 +58,7 @@ def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def numbering_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running numbers of each document's headings (GR5, WN1)."""
-    blocks = _documents(spark, sf_dir).select("conv_id", F.posexplode(T.blocks_of(F.col("text"))).alias("pos", "b")).select("conv_id", "pos", "b.kind", "b.name")
+    blocks = S.block_tree(_documents(spark, sf_dir), ["conv_id"]).filter("parent IS NULL").select("conv_id", "pos", "kind", "name")
     return T.numbering_index(blocks, ["conv_id"]).groupBy("conv_id").agg(F.max("number").cast("long").alias("most"), F.count("*").alias("n"))
 
 
@@ -72,14 +75,14 @@ def resource_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document with their nesting: environments opened, closing marks that fit nothing, and whether all tokens joined are the text (GR9)."""
-    found = _documents(spark, sf_dir).select("conv_id", "text", T.nested(T.tokens(F.col("text"))).alias("t"))
-    count = lambda test: F.size(F.filter("t", test)).cast("long")
-    return found.select(
-        "conv_id",
-        count(lambda t: t["kind"] == "begin").alias("environments"),
-        count(lambda t: t["error"]).alias("errors"),
-        (F.array_join(F.transform("t", lambda t: t["text"]), "") == F.col("text")).alias("lossless")
+    docs = _documents(spark, sf_dir)
+    leaves = F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("node", "text"))))
+    found = S.syntax_tree(docs, ["conv_id"]).groupBy("conv_id").agg(
+        F.count_if(F.col("kind") == "environment").alias("environments"),
+        F.count_if("error").alias("errors"),
+        F.array_join(F.transform(leaves, lambda x: x["text"]), "").alias("joined"),
     )
+    return docs.join(found, "conv_id").select("conv_id", "environments", "errors", (F.col("joined") == F.col("text")).alias("lossless"))
 
 
 @query("""SELECT 'c' || c_custkey AS node, 2 AS depth, (r_regionkey || '/' || n_nationkey || '/' || c_custkey) AS path FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey

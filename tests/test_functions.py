@@ -131,7 +131,6 @@ def test_latex_text(spark):
 
 def test_markup(spark):
     assert value(spark, M.plain_text(F.col("x")), x="\\textbf{a \\emph{b}} 5\\% $\\alpha$ \\noindent c~d % note") == "a b 5% α c d"
-    assert value(spark, M.expanded(F.col("x")), x="\\newcommand{\\me}{old}\\def\\me{new \\x$}\\me, \\meet") == "new \\x$, \\meet"
     numbers = F.create_map(F.lit("fig:1"), F.lit("3"))
     assert value(spark, M.references_resolved(F.col("x"), numbers), x="see \\ref{fig:1}, \\ref{a,b}, \\eqref{fig:1}") == "see 3, ??, (3)"
     assert [tuple(r) for r in value(spark, M.script_runs(F.col("x")), x="a^{2}b_{i}")] == [("normal", "a"), ("superscript", "2"), ("normal", "b"), ("subscript", "i")]
@@ -347,30 +346,6 @@ def test_options_and_names(spark):
     assert tuple(value(spark, T.fitted_extent(F.lit(1000), F.lit(500)))) == (5274310, 2637155) and tuple(value(spark, T.fitted_extent(F.lit(96), F.lit(48)))) == (914400, 457200)
 
 
-def test_tokens_recover(spark):
-    text = "\\begin{a}{x}} \\end{b} $m$ % c\n\\end{a} \\"
-    found = value(spark, N.nested(N.tokens(F.col("x"))), x=text)
-    assert "".join(t["text"] for t in found) == text
-    assert [(t["text"], t["depth"]) for t in found if t["error"]] == [("}", 1), ("\\end{b}", 1)]
-    assert [t["depth"] for t in found if t["kind"] in ("begin", "end") and not t["error"]] == [0, 0]
-    assert value(spark, N.nested(N.tokens(F.col("x"))), x="") == []
-
-
-def test_blocks(spark):
-    text = "\\begin{document}\\section*{One}\npara % no\n\n\\begin{minipage}{3cm}\\begin{figure}\\caption{A {b}}x\\end{figure}\\end{minipage}\\begin{align*}y\\end{align*}\\begin{odd}z\\end{odd}\\sectionmark{q}\\end{document}"
-    found = [(b["kind"], b["name"], b["caption"]) for b in value(spark, N.blocks_of(F.col("x")), x=text)]
-    assert found == [
-        ("heading", "section", None),
-        ("paragraph", None, None),
-        ("captioned", "figure", "A {b}"),
-        ("equation", "align*", None),
-        ("raw", "odd", None),
-        ("paragraph", None, None)
-    ]
-    assert value(spark, N.table_rows(F.col("x")), x="{cc} a & b\\\\ \\hline\\\\ & \\\\ \\\\[2pt] c \\& d & e") == [["a", "b"], ["c \\& d", "e"]]
-    assert value(spark, N.list_items(F.col("x")), x="\\item one\n two \\item[k] three") == ["one two", "k three"]
-
-
 def test_algorithm_rows(spark):
     body = "\\KwIn{s}\n\\While{$a < b$}{\n a $+$ 1\\; \\tcp*{step}\n \\If{c}{ d }\n}\n\\Return{a}\\;"
     rows = [(r["indent"], r["code"], r["comment"], r["keyword"]) for r in value(spark, N.algorithm_rows(F.col("x")), x=body)]
