@@ -4,9 +4,11 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from tokenizers import Tokenizer
 
 from conftest import SF
@@ -92,10 +94,7 @@ def test_windows_and_runs_are_joined(monkeypatch):
         state = op11.Sweep(a, b)
         rows = []
         for which, s in enumerate((a, b)):
-            import numpy as np
-            import zstandard
-
-            ids = s(text)
+            ids = np.frombuffer(s([text])[0], s.kind)
             ends = np.cumsum(s.sizes[ids])
             edges = np.searchsorted(ends, np.arange(window, ends[-1], window), "right").tolist()
             rows += [(w, which, int(ends[i - 1]) if i else 0, zstandard.compress(ids[i:j].tobytes())) for w, (i, j) in enumerate(zip([0, *edges], [*edges, len(ids)])) if j > i]
@@ -112,9 +111,23 @@ def test_windows_and_runs_are_joined(monkeypatch):
 def test_word_by_word_as_the_library(kind):
     s = op11.side(kind, A if kind == "byte_level" else B)
     assert s.by_words
-    for text in filter(None, odd_texts()):
-        ids, whole = s(text), s.checked([text])[0]
-        assert (ids is None and whole is None) or ids.tobytes() == whole
+    texts = list(filter(None, odd_texts()))
+    one, model = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    one.encode_special_tokens = True
+    for text, ids in zip(texts, s(texts)):
+        whole = one.encode(" " + text, add_special_tokens=False).ids if kind == "byte_level" else model.encode(text)
+        assert ids is None and b"".join(s.token_bytes[i] for i in whole) != b" " + text.encode() or np.frombuffer(ids, s.kind).tolist() == whole
+
+
+def test_settled_characters_and_tokens_as_the_library():
+    """Every two neighbours below U+0250, and every token as a word, encoded by ranks as by the file's library."""
+    one, s = Tokenizer.from_file(A), op11.byte_level(A)
+    one.encode_special_tokens = True
+    texts = ["".join(chr(a) + chr(b) for a in range(0x250))[:1300] + "a" for b in range(0x250)]
+    texts += [t.decode() for t in s.token_bytes if t and t.decode(errors="ignore").encode() == t]
+    assert len(texts) > 40_000
+    library = [e.ids for e in one.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert s.encode(texts) == library
 
 
 def test_empty(spark):
