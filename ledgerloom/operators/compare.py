@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from functools import reduce
 from xml.parsers import expat
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +17,43 @@ SIMILAR = 0.82
 OPS = "array<struct<kind: string, left: int, right: int, similarity: double>>"
 
 
+class _Columns:
+    """Where each element of a sequence stands, as bits of an integer; the masks of frequent elements are remembered."""
+
+    def __init__(self, items: list | str):
+        self.size, self.places = len(items), {}
+        for i, x in enumerate(items):
+            self.places.setdefault(x, []).append(i)
+        self.masks: dict = {}
+
+    def mask(self, x: object) -> int:
+        if (known := self.masks.get(x)) is not None:
+            return known
+        places = self.places.get(x, ())
+        if len(places) < 8:
+            return sum(1 << i for i in places)
+        bits = bytearray(self.size // 8 + 1)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        out = int.from_bytes(bits, "little")
+        if len(places) * 64 > self.size:  # at most 64 such elements
+            self.masks[x] = out
+        return out
+
+
+def _next_row(row: int, mask: int, full: int) -> int:
+    """The bits after one more element: of the first k bits as many are zero as a longest common subsequence with the first k elements is long."""
+    met = row & mask
+    return ((row + met) | (row - met)) & full
+
+
 def lcs_length(a: list | str, b: list | str) -> int:
-    """Length of a longest common subsequence, a row of the table at a time."""
-    if len(a) < len(b):
-        a, b = b, a
-    codes = {x: i for i, x in enumerate(dict.fromkeys(b))}
-    right = np.array([codes[x] for x in b], np.int64)
-    row = np.zeros(len(b) + 1, np.int64)
+    """Length of a longest common subsequence, a row of bits at a time."""
+    columns = _Columns(b)
+    row = full = (1 << len(b)) - 1
     for x in a:
-        new = row.copy()
-        new[1:] = np.maximum(row[1:], np.where(right == codes.get(x, -1), row[:-1] + 1, 0))
-        row = np.maximum.accumulate(new)
-    return int(row[-1])
+        row = _next_row(row, columns.mask(x), full)
+    return len(b) - row.bit_count()
 
 
 def similarity_of(a: str, b: str) -> float:
@@ -50,20 +74,42 @@ def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def aligned(left: list[str], right: list[str]) -> list[tuple]:
-    """(kind, left, right) in order: equal, delete or insert; of ways of equal length a deletion comes first (Q1)."""
+    """(kind, left, right) in order: equal, delete or insert; of ways of equal length a deletion comes first (Q1).
+
+    A row of bits tells how long the common subsequences of the rest of `left` with every rest of `right` are.  Every
+    so-many-th row is kept and those between are made again when the way comes there, so a pair of n paragraphs each takes
+    n ** 1.5 / 4 bytes, and n * n / 32 steps of a machine word.
+    """
     m, n = len(left), len(right)
-    codes = {x: i for i, x in enumerate(dict.fromkeys(right))}
-    r = np.array([codes[x] for x in right], np.int64)
-    table = np.zeros((m + 1, n + 1), np.int32)
+    columns, full = _Columns(right[::-1]), (1 << n) - 1
+    step = max(1, int(m**0.5))
+    kept, row = {m: full}, full
     for i in range(m - 1, -1, -1):
-        row = np.maximum(table[i + 1, :-1], np.where(r == codes.get(left[i], -1), table[i + 1, 1:] + 1, 0))
-        table[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+        row = _next_row(row, columns.mask(left[i]), full)
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}  # of one stretch
+
+    def row_of(i: int) -> int:
+        if i not in rows:
+            rows.clear()
+            end = min(m, (i // step + 1) * step)
+            row = rows[end] = kept[end]
+            for k in range(end - 1, i // step * step - 1, -1):
+                row = rows[k] = _next_row(row, columns.mask(left[k]), full)
+        return rows[i]
+
+    def length(i: int, rest: int) -> int:
+        """Of left from i with the last `rest` elements of right."""
+        return rest - (row_of(i) & ((1 << rest) - 1)).bit_count()
+
     ops, i, j = [], 0, 0
+    best = length(0, n)
     while i < m and j < n:
         if left[i] == right[j]:
             ops.append(("equal", i, j))
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
+            i, j, best = i + 1, j + 1, best - 1
+        elif not row_of(i) >> (n - j - 1) & 1 or length(i + 1, n - j) == best:  # an insertion would lose one, or a deletion loses none
             ops.append(("delete", i, None))
             i += 1
         else:

@@ -31,6 +31,68 @@ def doc_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.compared(pairs, "left", "right").select("conv_id", *C.op_counts())
 
 
+_LCS_SQL = """l(x, y, i, j, v) AS (
+    SELECT x, y, 0, unnest(range(length(y) + 1)), 0 FROM xy
+    UNION ALL
+    SELECT x, y, i, j, max(best) OVER (PARTITION BY x, y ORDER BY j) FROM (
+        SELECT x, y, i + 1 AS i, j, greatest(v, CASE WHEN j > 0 AND substr(x, i + 1, 1) = substr(y, j, 1) THEN lag(v) OVER (PARTITION BY x, y ORDER BY j) + 1 ELSE 0 END) AS best
+        FROM l WHERE i < length(x))),
+likeness AS (SELECT x, y, v / greatest(length(x), length(y)) AS similarity FROM l WHERE i = length(x) AND j = length(y))"""
+_BARE_SQL = "replace(p_name, ' ', '')"
+
+
+@query(
+    f"""WITH RECURSIVE n AS (SELECT p_partkey, {_BARE_SQL} || p_size AS x, lead({_BARE_SQL} || p_size) OVER (ORDER BY p_partkey) AS y FROM part),
+    xy AS (SELECT DISTINCT x, y FROM n WHERE y IS NOT NULL), {_LCS_SQL}
+    SELECT p_partkey, round(similarity, 6) AS similarity FROM n JOIN likeness USING (x, y)"""
+)
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of each part's name and size to the next part's (Q2)."""
+    named = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" (", "p_name", "p_size").alias("x"))  # brackets and blanks don't count
+    following = named.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("x").alias("y"))
+    return named.join(following, "p_partkey").select("p_partkey", F.round(C.similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+@query(
+    f"""WITH RECURSIVE n AS (SELECT substr(p_brand, 7)::INTEGER AS g, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, p_name || ' ' || p_size % 10 AS t, {_BARE_SQL} || p_size % 10 AS x FROM part),
+    size AS (SELECT a.g, a.c AS m, b.c AS n FROM (SELECT g, count(*) AS c FROM n GROUP BY g) a JOIN (SELECT g - 1 AS g, count(*) AS c FROM n GROUP BY g) b USING (g)),
+    t(g, i, j, v) AS (
+        SELECT g, m, unnest(range(n + 1)), 0 FROM size
+        UNION ALL
+        SELECT g, i, j, max(best) OVER (PARTITION BY g ORDER BY j DESC) FROM (
+            SELECT t.g, t.i - 1 AS i, t.j, greatest(v, CASE WHEN a.t = b.t THEN lag(v) OVER (PARTITION BY t.g ORDER BY t.j DESC) + 1 ELSE 0 END) AS best
+            FROM t JOIN n a ON a.g = t.g AND a.k = t.i - 1 LEFT JOIN n b ON b.g = t.g + 1 AND b.k = t.j)),
+    walk(g, s, i, j, kind) AS (
+        SELECT g, -1, 0, 0, '' FROM size
+        UNION ALL
+        SELECT g, s + 1, i + (kind <> 'insert')::INT, j + (kind <> 'delete')::INT, kind FROM (
+            SELECT w.g, s, w.i, w.j, CASE WHEN a.t = b.t THEN 'equal' WHEN coalesce(d.v, -1) >= coalesce(e.v, -1) THEN 'delete' ELSE 'insert' END AS kind
+            FROM walk w JOIN size z ON z.g = w.g LEFT JOIN n a ON a.g = w.g AND a.k = w.i LEFT JOIN n b ON b.g = w.g + 1 AND b.k = w.j
+            LEFT JOIN t d ON d.g = w.g AND d.i = w.i + 1 AND d.j = w.j LEFT JOIN t e ON e.g = w.g AND e.i = w.i AND e.j = w.j + 1
+            WHERE w.i < m OR w.j < z.n)),
+    ops AS (SELECT g, s, kind, CASE WHEN kind <> 'insert' THEN i - 1 END AS a, CASE WHEN kind <> 'delete' THEN j - 1 END AS b FROM walk WHERE s >= 0),
+    near AS (SELECT *, lead(kind) OVER w AS other, coalesce(a, lead(a) OVER w) AS a2, coalesce(b, lead(b) OVER w) AS b2 FROM ops WINDOW w AS (PARTITION BY g ORDER BY s)),
+    pairs AS (SELECT near.*, p.x, q.x AS y FROM near LEFT JOIN n p ON p.g = near.g AND p.k = a2 LEFT JOIN n q ON q.g = near.g + 1 AND q.k = b2),
+    xy AS (SELECT DISTINCT x, y FROM pairs WHERE kind IN ('delete', 'insert') AND other IN ('delete', 'insert') AND kind <> other), {_LCS_SQL},
+    good AS (SELECT pairs.*, similarity, kind <> other AND kind <> 'equal' AND other <> 'equal' AND similarity >= 0.82 AS is_good FROM pairs LEFT JOIN likeness USING (x, y)),
+    runs AS (SELECT *, s - max(CASE WHEN is_good THEN NULL ELSE s END) OVER (PARTITION BY g ORDER BY s) AS place, min(s) OVER (PARTITION BY g) AS least FROM good),
+    taken AS (SELECT *, coalesce(is_good, false) AND coalesce(place, s + 1) % 2 = 1 AS pairs_up FROM runs),
+    kept AS (SELECT *, coalesce(lag(pairs_up) OVER (PARTITION BY g ORDER BY s), false) AS gone FROM taken)
+    SELECT g AS brand, row_number() OVER (PARTITION BY g ORDER BY s) - 1 AS pos, CASE WHEN pairs_up THEN 'modified' ELSE kind END AS kind,
+        coalesce(CASE WHEN pairs_up THEN a2 ELSE a END, -1)::BIGINT AS left_place, coalesce(CASE WHEN pairs_up THEN b2 ELSE b END, -1)::BIGINT AS right_place,
+        CASE WHEN pairs_up THEN round(similarity, 6) WHEN kind = 'equal' THEN 1.0 END AS similarity
+    FROM kept WHERE NOT gone"""
+)
+def name_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's part names aligned with the next brand's: equal, modified, deleted, inserted, in order (Q1-3, Q6, JN19, SE5)."""
+    parts = table(spark, sf_dir, "part").select(F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("brand"), F.struct("p_partkey", F.concat_ws(" ", "p_name", F.col("p_size") % 10).alias("name")).alias("p"))
+    lists = parts.groupBy("brand").agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["name"]).alias("names"))
+    pairs = lists.join(lists.select((F.col("brand") - 1).alias("brand"), F.col("names").alias("following")), "brand")
+    found = C.compared(pairs, "names", "following").select("brand", F.posexplode("ops").alias("pos", "o"))
+    place = lambda side: F.coalesce(F.col(f"o.{side}"), F.lit(-1)).cast("long").alias(f"{side}_place")
+    return found.select("brand", F.col("pos").cast("long").alias("pos"), "o.kind", place("left"), place("right"), F.round("o.similarity", 6).alias("similarity"))
+
+
 _RUN_SQL = r"""list_transform(string_split(text, ' '), lambda w: concat_ws('|', regexp_matches(w, '^[A-Z]'), ends_with(w, ','), CASE WHEN ends_with(w, '.') THEN 'single' ELSE '-' END,
 CASE WHEN regexp_matches(w, '^[0-9]') THEN 'superscript' ELSE '-' END, CASE WHEN length(w) > 8 THEN '28' ELSE '24' END, CASE WHEN contains(w, '-') THEN 'Courier' ELSE 'Times' END, CASE WHEN regexp_matches(w, '[^ -~]') THEN 'Song' ELSE '-' END))"""
 

@@ -4,6 +4,7 @@ import io
 import itertools
 import random
 import struct
+import tracemalloc
 import zipfile
 
 import pytest
@@ -160,6 +161,31 @@ def test_lcs_against_brute_force():
         assert [j for _, _, j in ops if j is not None] == list(range(len(b)))
 
 
+def test_alignment_takes_deletions_first_and_little_memory():
+    def by_table(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(reversed(range(len(a))), reversed(range(len(b)))):
+            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        out, i, j = [], 0, 0
+        while i < len(a) and j < len(b):
+            kind = "equal" if a[i] == b[j] else "delete" if table[i + 1][j] >= table[i][j + 1] else "insert"
+            out.append((kind, None if kind == "insert" else i, None if kind == "delete" else j))
+            i, j = i + (kind != "insert"), j + (kind != "delete")
+        return out + [("delete", k, None) for k in range(i, len(a))] + [("insert", None, k) for k in range(j, len(b))]
+
+    rng = random.Random(9)
+    for _ in range(500):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(25))] for _ in range(2))
+        assert C.aligned(a, b) == by_table(a, b)
+    left = [rng.randrange(3000) for _ in range(12_000)]
+    right = [x if rng.random() < 0.7 else -1 for x in left]
+    tracemalloc.start()
+    found = C.aligned(left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6 and sum(k == "equal" for k, _, _ in found) == C.lcs_length(left, right)
+
+
 def test_similarity(spark):
     assert value(spark, C.similarity(F.col("a"), F.col("b")), a="", b="") == 1.0
     assert value(spark, C.similarity(F.col("a"), F.col("b")), a="a (b)", b="ab") == 1.0
