@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -132,11 +133,14 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of a text's words, all of them at once: sums of the bytes times random keys of their places, mixed.
 
-    Each place of a word has a key of its own, so two given words share a hash with a chance of at most 2**-56, whatever
-    they are made of.  `pair` gives two independent hashes.  Words are runs of bytes that aren't separators.
+    Each place of a word has a key of its own, made from a seed.  Where the seed is drawn anew for a run (`keyed_words`),
+    two given words share a hash with a chance of at most 2**-56, whatever they are made of; with the fixed seed 0 words can
+    be made to share one, so what rests on that has to compare words.  `pair` gives two independent hashes.  Words are runs
+    of bytes that aren't separators.
     """
 
-    def __init__(self, separators: bytes, lower: bool):
+    def __init__(self, separators: bytes, lower: bool, seed: int = 0):
+        self.seed = seed
         self.gap = np.isin(np.arange(256), np.frombuffer(separators, np.uint8))
         folded = np.arange(256)
         if lower:
@@ -156,7 +160,7 @@ class WordHasher:
         values, out = self.values[b[starts[0] :]], []
         with np.errstate(over="ignore"):
             if (most := int(place.max()) + 1) > len(self.keys[0]):
-                self.keys = [mixed(np.arange(2 * most, dtype=np.uint64), 101 + i) for i in range(2)]
+                self.keys = [mixed(np.arange(2 * most, dtype=np.uint64), 101 + i + 2 * self.seed) for i in range(2)]
             for i in range(hashes):
                 out.append(mixed(np.add.reduceat(values * self.keys[i][place], starts - starts[0]), 78 + i))
         return out
@@ -170,11 +174,17 @@ class WordHasher:
 
 
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
-#: Words between white space, as they are and with A-Z lower-cased; and runs of a-z, 0-9 and non-ASCII bytes.
-PLAIN_WORDS, LOWER_WORDS = WordHasher(WHITE_SPACE, False), WordHasher(WHITE_SPACE, True)
+#: Words between white space as they are; and runs of a-z, 0-9 and non-ASCII bytes.
+PLAIN_WORDS = WordHasher(WHITE_SPACE, False)
 ALNUM_WORDS = WordHasher(bytes(i for i in range(128) if not chr(i).isalnum()), True)
 
 
+@lru_cache(maxsize=4)
+def keyed_words(seed: int) -> WordHasher:
+    """Words between white space with A-Z lower-cased, by keys of a seed that the driver has drawn."""
+    return WordHasher(WHITE_SPACE, True, seed)
+
+
 def shingle_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     """Hash of every run of `size` consecutive word hashes, in order."""
     n = len(words) - size + 1

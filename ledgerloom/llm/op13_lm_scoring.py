@@ -26,6 +26,7 @@ named like a result are replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import secrets
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm._blocks import expand, expand_sorted, squeeze, squeeze_sorted
-from ledgerloom.llm._shared import LOWER_WORDS, mixed, partition_count, saved, utf8_rows, with_columns_from, work_path
+from ledgerloom.llm._shared import keyed_words, mixed, partition_count, saved, utf8_rows, with_columns_from, work_path
 
 #: Tokens a task sums at a time; bytes of text whose words and pairs a bucket holds, on average; bytes of text scored at a time.
 RUN_TOKENS, BUCKET_BYTES, SLICE_BYTES = 2_500_000, 16 << 20, 4 << 20
@@ -54,9 +55,9 @@ def is_held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(texts: list[bytes | None], seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of the texts, one text after the other, and where each text's begin."""
-    each = [LOWER_WORDS.of(t) for t in texts]
+    each = [keyed_words(seed).of(t) for t in texts]
     sizes = np.array([len(x) + 1 for x in each], np.int64)
     ends = np.cumsum(sizes)
     out = np.full(int(sizes.sum()), END)
@@ -178,14 +179,14 @@ def in_runs(batches: Iterator[pa.RecordBatch], take: Callable[[list[bytes | None
     yield from flush()
 
 
-def word_counts(train: DataFrame, folder: str, buckets: int) -> tuple[int, int]:
+def word_counts(train: DataFrame, folder: str, buckets: int, seed: int) -> tuple[int, int]:
     """Writes the words' hashes and counts; (tokens, distinct words)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[tuple[np.ndarray, np.ndarray]] = []
 
         def take(texts: list[bytes | None]) -> int:
-            hashes, _ = tokens_of(texts)
+            hashes, _ = tokens_of(texts, seed)
             seen.append(np.unique(hashes, return_counts=True))
             return len(hashes)
 
@@ -219,14 +220,14 @@ def word_counts(train: DataFrame, folder: str, buckets: int) -> tuple[int, int]:
 _ADDED = "kind int, bucket int, place binary, total binary, ones binary, twos binary, more binary"
 
 
-def pair_counts(train: DataFrame, folder: str, buckets: int) -> DataFrame:
+def pair_counts(train: DataFrame, folder: str, buckets: int, seed: int) -> DataFrame:
     """Writes the pairs' hashes and counts; returns what they add to the words, as rows of _ADDED."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[tuple[np.ndarray, ...]] = []
 
         def take(texts: list[bytes | None]) -> int:
-            hashes, starts = tokens_of(texts)
+            hashes, starts = tokens_of(texts, seed)
             distinct, which = np.unique(np.append(hashes, START), return_inverse=True)
             ids = word_ids(folder, buckets, distinct)[which]
             right, left = ids[:-1], np.roll(ids[:-1], 1)
@@ -309,6 +310,7 @@ class Model(NamedTuple):
 
     folder: str
     buckets: int
+    seed: int
     tokens: int
     words: int
     discounts: tuple[float, float, float]
@@ -324,8 +326,9 @@ def trained(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     buckets = max(partition_count(spark), -(-size // BUCKET_BYTES))
     train = docs.filter(F.col(key).isNotNull() & ~is_held_out(key)).select(F.col(text).cast("string").alias("text"))
     folder = mounted(work_path(spark, "lm"))
-    tokens, words = word_counts(train, folder, buckets)
-    added = pair_counts(train, folder, buckets)
+    seed = secrets.randbits(63)  # of the words' hashes, which no text can foresee
+    tokens, words = word_counts(train, folder, buckets, seed)
+    added = pair_counts(train, folder, buckets, seed)
 
     def four(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(4, np.int64)
@@ -339,7 +342,7 @@ def trained(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     left_total, by_count, more = word_sums(added, folder, discounts)
     left_discounts = discounts_of(by_count)
     left_free = sum(d * m for d, m in zip(left_discounts, (by_count[0], by_count[1], more)))
-    return Model(folder, buckets, tokens, words, discounts, left_discounts, left_total, left_free)
+    return Model(folder, buckets, seed, tokens, words, discounts, left_discounts, left_total, left_free)
 
 
 # -- scoring -----------------------------------------------------------------------------------------------------------
@@ -347,7 +350,7 @@ def trained(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
 
 def scored(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: tokens, tokens that training showed, base score, log10 probability."""
-    hashes, starts = tokens_of(texts)
+    hashes, starts = tokens_of(texts, model.seed)
     distinct, which = np.unique(np.append(hashes, START), return_inverse=True)
     ids = np.full(len(distinct), -1, np.int64)
     count, total, left, free = (np.zeros(len(distinct)) for _ in range(4))

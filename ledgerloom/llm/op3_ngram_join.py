@@ -19,7 +19,8 @@ Documents with equal sets are one class; classes link when their sets' Jaccard s
 The search of step 3 finds components alone.  `with_class_links` compares every candidate pair and returns all links with
 their overlaps and the number of links of each class; its pairs grow with the square of a group of different near copies.
 
-Ids of classes are 128-bit hashes of their sets, shingles are 64-bit hashes.  Null and empty texts, and texts without
+Shingles are 64-bit and sets 128-bit hashes by keys that are drawn anew for each run, so no texts can be made to share
+one; classes are named by the smallest of their rows, as their sets' hashes differ from run to run.  Null and empty texts, and texts without
 words, have an empty set: they link with nothing.  Rows with one doc_id each keep their own row.  A null doc_id never is
 a component's smallest, unless all are.  Texts of any length are one set, whole.  Ties: shingles of one size class are
 ordered by hash, sets of one size by id.  An empty table gives an empty result.  The result has the columns named at each
@@ -28,15 +29,17 @@ function and none of the input's others.
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._blocks import block_rows, bucket_cuts, dealt, expand, expand_sorted, squeeze, squeeze_sorted
+from ledgerloom.llm._blocks import NO_ID, block_rows, bucket_cuts, dealt, expand, expand_sorted, squeeze, squeeze_sorted
 from ledgerloom.llm._components import components
-from ledgerloom.llm._shared import LOWER_WORDS, discard, saved, scratch, shingle_hashes, spread_join
+from ledgerloom.llm._shared import discard, keyed_words, saved, scratch, shingle_hashes, spread_join
 
 SIZE, PERCENT = 5, 80
 #: Fragments of the global order a pair's overlap is counted in; classes of a shingle that are compared in a round if there are more than the next number.
@@ -45,9 +48,9 @@ FRAGMENTS, LEADERS, AT_ONCE = 4, 256, 1024
 COUNT_BITS = 40
 
 
-def shingle_set(text: bytes | None, size: int = SIZE) -> np.ndarray:
+def shingle_set(text: bytes | None, size: int, seed: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    words = LOWER_WORDS.of(text)
+    words = keyed_words(seed).of(text)
     if 0 < len(words) < size:
         return shingle_hashes(words, len(words), seed=len(words))
     return np.unique(shingle_hashes(words, size, seed=size))
@@ -74,10 +77,10 @@ SET = "key long, text_hash long, n long, sid binary, prefix array<struct<token:
 def document_sets(docs: DataFrame, key: str, text: str, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Each row's set; see SET."""
     blocks, buckets = dealt(docs, key, text)
-    shift = np.uint64(64 - COUNT_BITS)
+    shift, seed = np.uint64(64 - COUNT_BITS), secrets.randbits(63)
 
     def send(table: pa.Table) -> pa.Table:
-        sets = {set_id(s): s for s in (shingle_set(t, size) for t in block_rows(table)[1])}  # copies count once in a block
+        sets = {set_id(s): s for s in (shingle_set(t, size, seed) for t in block_rows(table)[1])}  # copies count once in a block
         keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets.values()]) >> shift, return_counts=True)
         cuts = bucket_cuts(keys, buckets, COUNT_BITS)
         used = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
@@ -113,7 +116,7 @@ def document_sets(docs: DataFrame, key: str, text: str, size: int = SIZE, percen
         shared, counts = shared[order], counts[order]
         ns, sids, prefixes, hashes, classes = [], [], [], [], []
         for t in texts:
-            s = shingle_set(t, size)
+            s = shingle_set(t, size, seed)
             k = s >> shift
             at = np.minimum(np.searchsorted(shared, k), max(len(shared) - 1, 0))
             n = np.where(shared[at] == k, counts[at], 1) if len(shared) else np.ones(len(s), np.uint32)
@@ -283,14 +286,25 @@ def class_sets(sets: DataFrame) -> DataFrame:
     return saved(own, "classes")
 
 
+def class_names(sets: DataFrame) -> DataFrame:
+    """(sid, first, class_id): each class with the smallest key of its rows, and the name that it has in every run: of the
+    row with the smallest key (null the largest) and hash of the text.
+    """
+    row = F.struct(F.coalesce("key", F.lit(NO_ID)).alias("key"), "text_hash")
+    named = sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("first"), F.min(row).alias("row"))
+    return named.select("sid", "first", F.concat_ws("-", F.coalesce(F.col("first").cast("string"), F.lit("null")), F.lower(F.hex("row.text_hash"))).alias("class_id"))
+
+
 def with_class_links(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(class_a, class_b, n_a, n_b, overlap, links_a, links_b): every link between two classes, and how many links each end has in all."""
-    links = saved(all_class_links(class_sets(saved(document_sets(docs, key, text, size, percent), "sets")), percent), "links")
+    sets = saved(document_sets(docs, key, text, size, percent), "sets")
+    links = saved(all_class_links(class_sets(sets), percent), "links")
+    names = saved(class_names(sets).select("sid", "class_id"), "names")
     counts = saved(links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("links")), "counts")
     for end in ("a", "b"):
         links = links.join(counts.select(F.col("sid").alias(end), F.col("links").alias(f"links_{end}")).hint("merge"), end)
-    named = [F.lower(F.hex(end)).alias(f"class_{end}") for end in ("a", "b")]
-    return links.select(*named, F.col("na").alias("n_a"), F.col("nb").alias("n_b"), "overlap", "links_a", "links_b")
+        links = links.join(names.select(F.col("sid").alias(end), F.col("class_id").alias(f"class_{end}")).hint("merge"), end)
+    return links.select("class_a", "class_b", F.col("na").alias("n_a"), F.col("nb").alias("n_b"), "overlap", "links_a", "links_b")
 
 
 def with_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -299,13 +313,13 @@ def with_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     text_hash, Spark's xxhash64 of the text, tells rows with one key apart.
     """
     sets = saved(document_sets(docs, key, text, size, percent), "sets")
-    classes = sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("first"))
+    classes = class_names(sets)
     roots = components(class_links(class_sets(sets), percent)).select(F.col("node").alias("sid"), "root")
     classes = saved(classes.join(roots.hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(smallest.hint("merge"), "root").select("sid", "component_id")
+    named = classes.join(smallest.hint("merge"), "root").select("sid", "class_id", "component_id")
     rows = spread_join(sets.select(F.col("key").alias(key), "text_hash", F.col("n").alias("n_shingles"), "sid"), named, ["sid"], [key, "text_hash"], "left")
-    return rows.select(key, "n_shingles", F.lower(F.hex("sid")).alias("class_id"), F.coalesce("component_id", key).alias("component_id"), "text_hash")
+    return rows.select(key, "n_shingles", "class_id", F.coalesce("component_id", key).alias("component_id"), "text_hash")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,52 @@ def test_op2_recall_against_brute_force(spark):
         assert all(r["distance"] <= op2.allowed(len(items[r["item_id"]][1].split())) for r in found)
 
 
+def test_op2_recall_wherever_the_edits_are():
+    """As many edits as the bound allows: at random, at one end, in the middle, in any stretch, spread evenly, half at the start and half in the middle."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(3000)]
+    draw = lambda n: rng.choices(vocabulary, k=n)
+    total = 0
+    for m in (6, 12, 24, 30, 60, 120, 200, 400):
+        k, items = op2.allowed(m), [draw(m) for _ in range(40)]
+        index = op2.ItemIndex([(i, " ".join(w).encode()) for i, w in enumerate(items)])
+        for places in (
+            lambda: rng.sample(range(m), k),
+            lambda: range(k),
+            lambda: range(m - k, m),
+            lambda: range((m - k) // 2, (m + k) // 2),
+            lambda: [x + p for p in [rng.randrange(m - k + 1)] for x in range(k)],
+            lambda: [int((j + 0.5) * m / k) for j in range(k)],
+            lambda: [*range(k // 2), *range(m // 2, m // 2 + k - k // 2)],
+        ):
+            texts = []
+            for w in items:
+                changed = list(w)
+                for p in places():
+                    changed[p] = f"zz{rng.randrange(99)}"
+                texts.append(" ".join(draw(30) + changed + draw(30)).encode())
+            found = sum(any(leak[0] == i for leak in leaks) for i, leaks in enumerate(index.leaks(texts)))
+            assert found >= 0.9 * len(items), (m, found)
+            total += len(items)
+    assert total > 1000
+
+
+#: Two words that share a hash by the fixed keys.
+ALIKE = "wsdoylrvzhgblglbluqilibtwobysyki", "jbrhbszpibdpvpkdxocssyzlqkqdvads"
+
+
+def test_words_made_to_share_a_hash_are_told_apart(spark):
+    rest = WORDS(12)
+    rows = [(1, ALIKE[0]), (2, ALIKE[1]), (3, f"{rest} {ALIKE[0]}"), (4, f"{ALIKE[1]} {rest}"), (5, f"{rest} {ALIKE[1]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = with_near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(rows)
+    assert len({r["class_id"] for r in found}) == 5
+    items = spark.createDataFrame([(1, f"one two three {ALIKE[0]}")], "item_id long, text string")  # four words: no edits
+    texts = spark.createDataFrame([(1, f"x one two three {ALIKE[1]}"), (2, f"one two three {ALIKE[0].upper()} y")], "doc_id long, text string")
+    assert [r["doc_id"] for r in op2.find_leaks(texts, items).collect()] == [2]
+
+
 def test_op2_edges(spark, odd, empty):
     benchmark = spark.createDataFrame([(1, corpus()[3][1]), (2, None), (3, ""), (None, "x " * 20)], "item_id long, text string")
     assert [(r["doc_id"], r["n_words"], r["distance"]) for r in op2.find_leaks(odd, benchmark).collect()] == [(4, 60, 0)]
