@@ -40,7 +40,7 @@ BOILERPLATE = (
 )
 _BOILERPLATE = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(BOILERPLATE) + r")(?:\z|[^\p{L}\p{N}])"
 _TERMINAL, _BULLET, _ELLIPSIS = r"[.!?:;…\"'»”’)\]][\x20\x09-\x0D]*\z", r"^[\x20\x09-\x0D]*[•·‣▪*–-][\x20\x09-\x0D]", r"(?:…|[.]{3})[\x20\x09-\x0D]*\z"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_MARK, _TEN_CAPITALS = r"[#*$%&|<>»›•!?]", r"^[^A-Z]*+(?:[A-Z][^A-Z]*+){10}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,36 +53,38 @@ def words_of(text: Column) -> Column:
 
 
 def count_of(text: Column, characters: str) -> Column:
-    """How many of a text's characters are among `characters`."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """How many of a text's characters are among `characters`, few of which a text usually has."""
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line fails one of the rules."""
+    """Whether a line fails one of the rules.  What most lines don't have is asked for before anything is counted."""
+
+    def marks(n: Column) -> Column:
+        separators = count_of(line, SEPARATORS)
+        return let(separators, lambda k: (k >= 2) & (3 * k >= n)) | (2 * count_of(line, SYMBOLS) > n) | (2 * count_of(line, "!?") > n)
 
     def rules(n: Column) -> Column:
-        separators, symbols = count_of(line, SEPARATORS), count_of(line, SYMBOLS)
-        upper, lower = count_of(line, _UPPER), count_of(line, _UPPER.lower())
         return (n > 0) & (
-            ((separators >= 2) & (3 * separators >= n))
-            | (2 * symbols > n)
-            | (2 * count_of(line, "!?") > n)
-            | ((upper >= 10) & (upper > lower))
+            (line.rlike(_MARK) & marks(n))
+            | (line.rlike(_TEN_CAPITALS) & (count_of(line, "A-Z") > F.length(F.regexp_replace(line, "[^a-z]+", ""))))
             | ((n < MIN_LINE_WORDS) & ~line.rlike(_TERMINAL))
             | ((n < MIN_BULLET_WORDS) & line.rlike(_BULLET) & ~line.rlike(_TERMINAL))
             | ((n <= BOILERPLATE_WORDS) & (line.rlike(_ELLIPSIS) | line.rlike("(?iu)" + _BOILERPLATE)))
         )
 
-    return let(F.size(words_of(line)), rules)
+    return let(F.regexp_count(line, F.lit(WORD)), rules)
 
 
 def repeated_words(words: Column, size: int = 3) -> Column:
     """Words covered by windows of `size` words that occur twice or more among `words`.
 
-    Windows are sorted by hash with their places, so that equal ones are neighbours: n log n for a text of n words.
+    Most texts have no two equal windows, which a set of their hashes tells.  In the others windows are sorted by hash with
+    their places, so that equal ones are neighbours: n log n for a text of n words.
     """
     last = F.size(words) - size
-    windows = F.array_sort(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("h"), i.alias("p"))))
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
+    windows = lambda hs: F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     same = lambda s, i, j: F.get(s, i)["h"].eqNullSafe(F.get(s, j)["h"])
     places = lambda s: F.array_sort(
         F.transform(
@@ -93,7 +95,8 @@ def repeated_words(words: Column, size: int = 3) -> Column:
     step = lambda a, p: F.struct((a["n"] + F.least(F.lit(size), p - a["end"] + size)).alias("n"), (p + size).alias("end"))
     # a window adds the words behind the end of the one before it
     covered = lambda ps: F.aggregate(ps, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda a: a["n"])
-    return F.when(last < 1, F.lit(0)).otherwise(let(windows, lambda s: let(places(s), covered)))
+    among = lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(let(windows(hs), lambda s: let(places(s), covered)))
+    return F.when(last < 1, F.lit(0)).otherwise(let(hashes, among))
 
 
 def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -122,7 +125,7 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": F.col("__lines.dup"),
             "n_repeat_words": F.col("__words.repeated"),
             "base_failed": (n < MIN_WORDS) | (100 * F.col("__words.repeated") > 50 * n),
-            "kept_words": F.size(words_of(F.col("__lines.clean"))).cast("long"),
+            "kept_words": F.regexp_count("__lines.clean", F.lit(WORD)).cast("long"),
             "clean_text": F.when(t.isNotNull(), F.col("__lines.clean")),
         }
     )
