@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm._shared import ALNUM_WORDS, mixed, saved, utf8_rows, with_columns_from
 
-WALKS, BANDS, SAMPLED = 6, 4, 4
+WALKS, BANDS, SAMPLED = 6, 4, 5
 MAX_ITEM_WORDS = 2_000_000
 #: Least words of the size classes, and the steps they are sampled from.
 CLASSES = ((1, 1), (3, 4), (6, 9), (12, 18), (24, 32))
@@ -129,6 +129,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, bytes]]):
         hashed = [(i, hashes_of(text), text) for i, text in items]
         self.ids, self.words, self.texts = ([x[k] for x in hashed if len(x[1])] for k in range(3))
+        self.counts = [np.unique(w, return_counts=True) for w in self.words]
         self.classes = sorted({class_of(len(w)) for w in self.words})
         self.tables: dict[tuple[int, int], tuple] = {}
         for c in self.classes:
@@ -190,7 +191,7 @@ class ItemIndex:
             for a, z in zip(cut, np.append(cut[1:], len(items))):
                 i, t = int(items[a]), int(text[a])
                 own = words[begins[t] : begins[t] + ends[t]]
-                best = self.nearest(self.words[i], own, starts[a:z] - begins[t])
+                best = self.nearest(self.words[i], self.counts[i], own, starts[a:z] - begins[t])
                 if best is not None and (best := self.by_words(i, texts[first + t], starts[a:z] - begins[t])) is not None:
                     out[first + t].append((self.ids[i], best[1], best[2], best[0]))
         return out
@@ -200,18 +201,18 @@ class ItemIndex:
         item = words_of(self.texts[i])
         number = {w: k for k, w in enumerate(dict.fromkeys(item))}
         code = lambda words: np.array([number.get(w, len(number)) for w in words], np.int64)
-        return self.nearest(code(item), code(words_of(text)), starts)
+        own = code(item)
+        return self.nearest(own, np.unique(own, return_counts=True), code(words_of(text)), starts)
 
     @staticmethod
-    def nearest(item: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[int, int, int] | None:
-        """(distance, start, words) of the stretch nearest to the item around the starts, if it is near enough."""
+    def nearest(item: np.ndarray, counts: tuple[np.ndarray, np.ndarray], words: np.ndarray, starts: np.ndarray) -> tuple[int, int, int] | None:
+        """(distance, start, words) of the stretch nearest to the item around the sorted starts, if it is near enough; counts: of the item's words."""
         k = allowed(len(item))
-        low = np.maximum(starts - 2 * k - 2, 0)
-        high = np.minimum(starts + len(item) + 2 * k + 2, len(words))
-        apart = np.flatnonzero(low[1:] > np.maximum.accumulate(high)[:-1]) + 1
-        (own, times), best = np.unique(item, return_counts=True), None
-        for a, z in zip(np.append(0, apart), np.append(apart, len(low))):
-            begin, end = int(low[a]), int(high[a:z].max())
+        before, behind = 2 * k + 2, len(item) + 2 * k + 2
+        (own, times), best = counts, None
+        cuts = [0, len(starts)] if len(starts) == 1 else [0, *(np.flatnonzero(np.diff(starts) > before + behind) + 1).tolist(), len(starts)]
+        for a, z in zip(cuts, cuts[1:]):
+            begin, end = max(int(starts[a]) - before, 0), min(int(starts[z - 1]) + behind, len(words))
             around = words[begin:end]
             # words of the item that stand around at all: each other one is an edit
             at = np.minimum(np.searchsorted(own, around), len(own) - 1)
