@@ -7,6 +7,7 @@ from ledgerloom.plans import (  # noqa: F401  they register themselves
     quality_queries,
     relational_queries,
     rule_queries,
+    streaming_queries,
     structure_queries,
     syntax_queries,
     text_queries,
