@@ -5,12 +5,8 @@ Trees and blocks of marked-up documents are made by `syntax`.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ledgerloom.functions import markup as M
 from ledgerloom.functions import text as T
@@ -95,78 +91,6 @@ def layout_nodes(lines: DataFrame, keys: list[str], order: str, line: str = "val
     return rows.withColumn("page", page).filter(F.col("n.type") == "node").select(*keys, order, "n.id", kind.alias("kind"), "page", *fields)
 
 
-_LINE = ArrayType(
-    StructType(
-        [
-            StructField("indent", IntegerType()),
-            StructField("guides", ArrayType(IntegerType())),
-            StructField("code", StringType()),
-            StructField("comment", StringType()),
-            StructField("keyword", StringType())
-        ]
-    )
-)
-_OPENS = re.compile(r"\\(ForEach|If|For|While)\s*\{")
-_STEP = re.compile(r"\\(?:KwIn|KwOut|KwData|KwResult|caption|label|SetAlgoLined|DontPrintSemicolon)\b")
-
-
-def _group(s: str, at: int) -> tuple[str, int]:
-    """What the brace at `at` encloses, and the place behind its end; an open group ends with the text."""
-    depth = 0
-    for i in range(at, len(s)):
-        depth += (s[i] == "{") - (s[i] == "}")
-        if depth == 0:
-            return s[at + 1 : i], i + 1
-    return s[at + 1 :], len(s)
-
-
-def algorithm_lines(body: str, indent: int = 0) -> list[dict]:
-    r"""Lines of an algorithm's body: loops and conditions with their bodies one step in and an `end`, returns, statements."""
-    out: list[dict] = []
-
-    def line(code: str, comment: str = "", keyword: str | None = None) -> None:
-        clean = lambda x: re.sub(r"\s+", " ", re.sub(r"\\([A-Za-z]+)", r"\1", re.sub(r"[${}]", "", x.replace(r"\;", ";")))).strip()
-        out.append(
-            {
-                "indent": indent,
-                "guides": list(range(indent + (keyword != "End"))) if indent else [0][: keyword != "End"],
-                "code": clean(code),
-                "comment": clean(comment),
-                "keyword": keyword
-            }
-        )
-
-    at = 0
-    while at < len(body):
-        stop = body.find("\n", at)
-        stop = len(body) if stop < 0 else stop
-        row = body[at:stop].strip()
-        start = at + len(body[at:stop]) - len(body[at:stop].lstrip())
-        note = re.search(r"\\tcp\*?(?:\[[^\]]*\])?\s*\{(.*)\}", row)
-        if opened := _OPENS.match(body, start):
-            condition, at = _group(body, opened.end() - 1)
-            inner, at = _group(body, at) if body[at : at + 1] == "{" else ("", at)
-            line(f"{opened[1]} ({condition})", keyword=opened[1])
-            out += algorithm_lines(inner, indent + 1)
-            line("end", keyword="End")
-            continue
-        if row.startswith(r"\Return"):
-            value = _group(row, row.index("{"))[0] if "{" in row else row[7:].replace(r"\;", "")
-            line("return " + value + (";" if r"\;" in row else ""), note[1] if note else "", "Return")
-        elif row and not _STEP.match(row):
-            code = row[: note.start()] if note else row
-            if code.strip():
-                line(code if re.search(r"[;,]\s*$", code) else code + ";", note[1] if note else "")
-        at = stop + 1
-    return out
-
-
-@F.pandas_udf(_LINE)
-def algorithm_rows(body: pd.Series) -> pd.Series:
-    r"""Array of (indent, guides, code, comment, keyword) of an algorithm's body (ST35)."""
-    return body.map(lambda b: None if b is None else algorithm_lines(b))
-
-
 def front_matter(x: Column, title: str = "title", author: str = "author", institute: str = "institute") -> Column:
     r"""(title, authors, institutes, abstract, keywords) of a document's head; authors stand between \and (ST36)."""
     split = lambda v, by: F.filter(F.transform(F.split(F.coalesce(v, F.lit("")), by), lambda a: T.collapsed(M.plain_text(a))), lambda a: a != "")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.macros import macros_defined, macros_expanded
 from ledgerloom.operators import syntax as S
+from ledgerloom.operators.algorithms import algorithm_rows
 from ledgerloom.plans.registry import query, table
+from ledgerloom.sources.files import mapping_rules, mapping_trees
 
 
 def _event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,3 +133,46 @@ def macro_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many macros each document defines, and how many of them lead back to themselves (ST22)."""
     found = _macro_documents(spark, sf_dir).select("c_nationkey", F.explode(macros_defined(F.col("text"))).alias("m"))
     return found.groupBy("c_nationkey").agg(F.count("*").alias("macros"), F.count_if("m.cyclic").alias("cyclic"))
+
+
+@query(
+    f"""{_WALK_SQL} SELECT user_id, (CASE WHEN event_type = 'view' THEN before ELSE depth END)::BIGINT AS indent, count(*) FILTER (event_type = 'click') AS statements, count(*) FILTER (event_type = 'view') AS conditions
+    FROM e WHERE event_type IN ('view', 'click') GROUP BY ALL"""
+)
+def algorithm_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements and conditions of algorithms of random depth by their indent (ST35)."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    piece = (
+        F.when(kind == "view", F.concat(F.lit("\\If{$v_"), i, F.lit("$}\n{")))
+        .when(kind == "error", "}\n")
+        .when(kind == "click", F.concat(F.lit("c \\leftarrow "), i, F.lit("\; \\tcp*{note "), i, F.lit("}\n")))
+        .otherwise(" ")
+    )
+    events = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", piece.alias("piece")).alias("e"), (kind == "view").cast("int").alias("opens"))
+    body = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["piece"]), ""), F.repeat(F.lit("}"), F.sum("opens").cast("int")))
+    lines = events.groupBy("user_id").agg(body.alias("body")).select("user_id", F.explode(algorithm_rows(F.col("body"))).alias("l"))
+    note = F.regexp_extract("l.code", r"(\d+);$", 1) == F.regexp_extract("l.comment", r"note (\d+)$", 1)
+    own = lines.filter((F.col("l.keyword") == "If") | F.col("l.keyword").isNull())
+    return own.groupBy("user_id", F.col("l.indent").cast("long").alias("indent")).agg(
+        F.count_if(F.col("l.keyword").isNull() & note).alias("statements"), F.count_if(F.col("l.keyword") == "If").alias("conditions")
+    )
+
+
+@query(
+    """SELECT p_brand AS brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INTEGER AS position, 'p' || p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'block' ELSE 'inline' END AS rule_type,
+    p_size::BIGINT AS size, p_partkey % 3 AS tags, coalesce('t' || nullif(p_partkey % 3, 0) || ' # no', '') AS last_tag FROM part"""
+)
+def mapping_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of nested mapping files, a file for each brand (SRC16)."""
+    p = F.col("p_partkey")
+    tags = F.when(p % 3 == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(p % 3, F.lit(1))), lambda k: F.concat(F.lit('    - "t'), k, F.lit(' # no"\n'))), ""))
+    source = F.when(p % 2 == 0, "source_ast_kind: A # b").otherwise("source_inline_kind: 'C: d'")
+    entry = F.concat(F.lit("  - id: p"), p, F.lit("\n    "), source, F.lit("\n    size: {n: "), F.col("p_size"), F.lit(", of: [x, y]}\n    tags:\n"), tags, F.lit("\n"))
+    parts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("path")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", entry.alias("e")))).alias("es"))
+    texts = parts.select("path", F.concat(F.lit("# rules\nrules:\n"), F.array_join(F.transform("es", lambda e: e["e"]), "")).alias("text"))
+    rules = mapping_rules(mapping_trees(texts))
+    tags_of = F.coalesce(F.expr("try_variant_get(rule, '$.tags', 'array<string>')"), F.array().cast("array<string>"))
+    return rules.select(
+        F.col("path").alias("brand"), "position", "id", "rule_type", F.expr("try_variant_get(rule, '$.size.n', 'bigint')").alias("size"),
+        F.size(tags_of).cast("long").alias("tags"), F.coalesce(F.try_element_at(tags_of, F.lit(-1)), F.lit("")).alias("last_tag"),
+    )

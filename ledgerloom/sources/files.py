@@ -6,7 +6,9 @@ Bytes are parsed inside tasks, a file a row; nothing is opened on the driver, so
 from __future__ import annotations
 
 import io
+import json
 import re
+import struct
 import uuid
 import xml.etree.ElementTree as ET
 import zipfile
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from ledgerloom.operators.compare import RUN
 
@@ -186,23 +188,40 @@ def bbl_items(x: Column) -> Column:
     )
 
 
+def _jpeg_size(data: bytes) -> tuple[int, int] | None:
+    """(width, height) of the first frame header, however many segments stand before it; markers may have fill bytes in front."""
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        marker = data[at + 1]
+        if marker == 0xFF:
+            at += 1
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return struct.unpack(">HH", data[at + 5 : at + 9])[::-1] if at + 9 <= len(data) else None
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD7:  # no length
+            at += 2
+        elif marker in (0xD9, 0xDA):
+            return None
+        else:
+            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    return None
+
+
+def _image_size(data: bytes | None) -> tuple[int, int] | None:
+    if data is not None and data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return struct.unpack(">II", data[16:24])
+    return _jpeg_size(data) if data is not None and data[:3] == b"\xff\xd8\xff" else None
+
+
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
+def _image_sizes(content: pd.Series) -> pd.DataFrame:
+    found = [_image_size(x) or (None, None) for x in content]
+    return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
+
+
 def image_size(content: Column) -> Column:
     """(width, height) of a PNG or JPEG, from its headers; null for anything else (SRC18)."""
-    head = F.hex(F.substring(content, 1, 24))
-    png = F.struct(*[F.conv(F.substring(head, at, 8), 16, 10).cast("int").alias(n) for n, at in (("width", 33), ("height", 41))])
-    # segments of a JPEG: marker and length, up to the frame's header, which holds height and width
-    whole = F.hex(content)
-    number = lambda at: F.conv(F.substr(whole, at, F.lit(4)), 16, 10).cast("int")
-    step = lambda at: F.when(
-        F.substr(whole, at, F.lit(4)).rlike("^FF(C[0-35-79-B]|CD|CE|CF)$") | (at > F.length(whole)),
-        at
-    ).otherwise(at + 4 + 2 * number(at + 4))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(5), lambda at, _: F.coalesce(step(at), at))
-    jpeg = F.transform(
-        F.array(found),
-        lambda at: F.when(F.substr(whole, at, F.lit(4)).rlike("^FFC[0-9A-F]$"), F.struct(number(at + 14).alias("width"), number(at + 10).alias("height")))
-    )
-    return F.when(head.startswith("89504E470D0A1A0A"), png).when(head.startswith("FFD8FF"), F.get(jpeg, F.lit(0)))
+    size = _image_sizes(content)
+    return F.when(size["width"].isNotNull(), size)
 
 
 def write_artifacts(df: DataFrame, path: str, by: str) -> None:
@@ -242,16 +261,152 @@ def rule_file(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode(entries).alias("position", "r")).select("r.name", "r.output", "position")
 
 
+_KEY = re.compile(r"""(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^\s#&*!|>'"%@`\[\]{},-][^#]*?|-[^\s#][^#]*?))\s*:(?=\s|$)""")
+
+
+def _scalar(text: str) -> object:
+    """A value as JSON has it: quoted text, a flow list or map, null, a truth value, a number, or plain text without its comment."""
+    text = text.strip()
+    if text[:1] == '"':
+        stop = re.match(r'"(?:[^"\\]|\\.)*"', text)
+        return json.loads(stop[0]) if stop else text
+    if text[:1] == "'":
+        stop = re.match(r"'(?:[^']|'')*'", text)
+        return stop[0][1:-1].replace("''", "'") if stop else text
+    if text[:1] in ("[", "{"):
+        return _flow(text)[0]
+    text = re.sub(r"\s+#.*$|^#.*$", "", text).strip()
+    if text in ("", "~", "null", "Null", "NULL"):
+        return None
+    if text in ("true", "True", "TRUE", "false", "False", "FALSE"):
+        return text.lower() == "true"
+    if re.fullmatch(r"[+-]?(?:0|[1-9][0-9]*)", text):
+        return int(text)
+    return float(text) if re.fullmatch(r"[+-]?(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", text) else text
+
+
+_FLOW = re.compile(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[\[\]{},]|:(?=\s|$)|(?:[^\[\]{},:\s]|:(?=\S)|\s+(?=[^\[\]{},:\s]))+)""")
+
+
+def _flow(text: str) -> tuple[object, int]:
+    """A list or map in brackets, and where it ends; what is open stands on a stack."""
+    at, stack, out = 0, [], None
+    while m := _FLOW.match(text, at):
+        at, token = m.end(), m[1]
+        if token in "[{":
+            stack.append([token, [], None])
+        elif token in "]}":
+            made = stack.pop()
+            value = made[1] if made[0] == "[" else dict(made[1])
+            if not stack:
+                return value, at
+            _put(stack[-1], value)
+        elif token == ":":
+            stack[-1][2] = stack[-1][1].pop() if stack[-1][0] == "[" else stack[-1][2]
+        elif token != ",":
+            _put(stack[-1], _scalar(token))
+    return out, at
+
+
+def _put(open_one: list, value: object) -> None:
+    """A value of an open list; of an open map a key first and then its value."""
+    if open_one[0] == "[":
+        open_one[1].append(value)
+    elif open_one[2] is None:
+        open_one[2] = value
+    else:
+        open_one[1].append((open_one[2], value))
+        open_one[2] = None
+
+
+def mapping_tree(text: str) -> object:
+    """What a file of nested maps and lists says: an indentation parser for YAML without anchors, tags and several documents.
+
+    Deeper lines belong to the key or dash before them; a list may stand as deep as its key.  Blocks of text after `|` keep
+    their lines and after `>` fold them.  Of a key that stands twice the last value holds.  Lines that are none of this are
+    part of the text before them.
+    """
+    lines = [(len(x) - len(x.lstrip(" ")), x.strip()) for x in text.replace("\t", "  ").splitlines()]
+    root: dict = {"value": None}
+    stack: list[tuple[int, object, object]] = [(-1, root, "value")]  # indent, container, where in it the next value goes
+    k = 0
+    while k < len(lines):
+        indent, line = lines[k]
+        k += 1
+        if not line or line[0] == "#" or line in ("---", "..."):
+            continue
+        while stack[-1][0] >= indent and not (stack[-1][0] == indent and (line == "-" or line.startswith("- ")) and stack[-1][2] is not None and isinstance(stack[-1][1], dict)):
+            stack.pop()
+        while True:
+            _, holder, slot = stack[-1]
+            if line == "-" or line.startswith("- "):
+                if not isinstance(holder[slot], list):
+                    holder[slot] = []
+                holder[slot].append(None)
+                stack.append((indent, holder[slot], len(holder[slot]) - 1))
+                rest = line[1:].lstrip()
+                indent, line = indent + len(line) - len(rest), rest
+                if line and line[0] != "#":
+                    continue
+            elif m := _KEY.match(line):
+                key = json.loads(f'"{m[1]}"') if m[1] is not None else m[2].replace("''", "'") if m[2] is not None else m[3].strip()
+                if not isinstance(holder[slot], dict):
+                    holder[slot] = {}
+                holder[slot][key] = None
+                stack.append((indent, holder[slot], key))
+                rest = line[m.end() :].strip()
+                if rest[:1] in ("|", ">"):
+                    body = []
+                    while k < len(lines) and (not lines[k][1] or lines[k][0] > indent):
+                        body.append(lines[k])
+                        k += 1
+                    least = min((i for i, x in body if x), default=0)
+                    held = [" " * (i - least) + x if x else "" for i, x in body]
+                    while held and not held[-1]:
+                        held.pop()
+                    holder[slot][key] = ("\n" if rest[0] == "|" else " ").join(held) + ("" if rest[1:2] == "-" else "\n")
+                elif rest and rest[0] != "#":
+                    holder[slot][key] = _scalar(rest)
+            else:
+                value = _scalar(line)
+                holder[slot] = f"{holder[slot]} {value}" if isinstance(holder[slot], str) else value
+            break
+    return root["value"]
+
+
+@F.pandas_udf(StringType())
+def _mapping_json(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else json.dumps(mapping_tree(t), ensure_ascii=False))
+
+
+def mapping_trees(files: DataFrame) -> DataFrame:
+    """(path, tree) of files (path, text): nested maps and lists as a variant, all keys kept (SRC16)."""
+    return files.select("path", F.parse_json(_mapping_json("text")).alias("tree"))
+
+
+def mapping_tree_file(spark: SparkSession, path: str) -> DataFrame:
+    """(path, tree) of the mapping files at a path (SRC16)."""
+    return mapping_trees(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+
+
+def mapping_rules(files: DataFrame) -> DataFrame:
+    """(path, position, id, source_kind, target_kind, style, rule_type, rule) of mapping files (SRC16).
+
+    A rule's type is its own, or else `inline` where it names an inline source, `resource` where it has a relationship rule,
+    and `block` otherwise; rule is the whole entry, with the keys that nothing here knows.
+    """
+    rules = files.select("path", F.expr("posexplode(cast(try_variant_get(tree, '$.rules', 'array<variant>') AS array<variant>))").alias("position", "rule"))
+    get = lambda k: F.try_variant_get("rule", f"$.{k}", "string")
+    kind = F.coalesce(get("source_ast_kind"), get("source_inline_kind"), F.lit(""))
+    related = F.try_variant_get("rule", "$.relationship_rule", "variant").isNotNull()
+    guessed = F.when(get("source_inline_kind").isNotNull(), "inline").when(related, "resource").otherwise("block")
+    return rules.select("path", "position", get("id").alias("id"), kind.alias("source_kind"), get("target_render_node").alias("target_kind"), get("style_from_profile").alias("style"), F.coalesce(get("rule_type"), guessed).alias("rule_type"), "rule")
+
+
 def mapping_file(spark: SparkSession, path: str) -> DataFrame:
-    """(position, rule) of a mapping file, a YAML list of flat entries; rule is a map, comments and quotes go (SRC16)."""
-    text = spark.read.text(path, wholetext=True)
-    entries = F.slice(F.split(F.concat(F.lit("\n"), "value"), r"\n[ \t]*- "), 2, 1_000_000)
-    found = lambda e, g: F.regexp_extract_all(e, F.lit(r"(?m)^[ \t]*([A-Za-z_][\w.-]*):[ \t]+(?:\"([^\"]*)\"|'([^']*)'|([^#\n]*))"), F.lit(g))
-    value = lambda e: F.transform(
-        F.arrays_zip(found(e, 2).alias("a"), found(e, 3).alias("b"), found(e, 4).alias("c")),
-        lambda v: F.trim(F.concat(v["a"], v["b"], v["c"]))
-    )
-    return text.select(F.posexplode(F.transform(entries, lambda e: F.map_from_arrays(found(e, 1), value(e)))).alias("position", "rule"))
+    """(position, rule) of a mapping file that is a list, or has one under `rules`; rule is a map of its flat values (SRC16)."""
+    tree = mapping_tree_file(spark, path).select(F.expr("coalesce(try_variant_get(tree, '$.rules', 'array<variant>'), try_variant_get(tree, '$', 'array<variant>'))").alias("rules"))
+    return tree.select(F.posexplode("rules").alias("position", "r")).select("position", F.expr("try_variant_get(r, '$', 'map<string, string>')").alias("rule"))
 
 
 def write_report(df: DataFrame, path: str, form: str = "json", order: list[str] | None = None) -> None:

@@ -2,6 +2,7 @@
 
 import io
 import itertools
+import json
 import random
 import struct
 import tracemalloc
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import markup as M
 from ledgerloom.functions import text as T
+from ledgerloom.operators import algorithms as A
 from ledgerloom.operators import compare as C
 from ledgerloom.operators import profiles as P
 from ledgerloom.operators import quality as Q
@@ -374,7 +376,7 @@ def test_options_and_names(spark):
 
 def test_algorithm_rows(spark):
     body = "\\KwIn{s}\n\\While{$a < b$}{\n a $+$ 1\\; \\tcp*{step}\n \\If{c}{ d }\n}\n\\Return{a}\\;"
-    rows = [(r["indent"], r["code"], r["comment"], r["keyword"]) for r in value(spark, N.algorithm_rows(F.col("x")), x=body)]
+    rows = [(r["indent"], r["code"], r["comment"], r["keyword"]) for r in value(spark, A.algorithm_rows(F.col("x")), x=body)]
     assert rows == [
         (0, "While (a < b)", "", "While"),
         (1, "a + 1;", "step", None),
@@ -386,6 +388,33 @@ def test_algorithm_rows(spark):
     ]
 
 
+def test_algorithm_cases(spark):
+    rows = A.algorithm_lines(r"\KwIn{x}" + "\n" + r"\KwOut{y}" + "\n" + r"\Return{x + 1}")
+    assert [(r["code"], r["keyword"]) for r in rows] == [("return x + 1", "Return")]
+    rows = A.algorithm_lines(r"\KwIn{L}" + "\n" + r"\ForEach{$l \in L$}{$a = $l\;\Return{$a$}\}")
+    assert [(r["indent"], r["code"], r["keyword"]) for r in rows] == [(0, "ForEach (l ∈ L)", "ForEach"), (1, "a = l;", None), (1, "return a", "Return"), (0, "end", "End")]
+    (row,) = A.algorithm_lines(r"a = b \tcp*{test comment}")
+    assert row["comment"] == "test comment" and row["code"] == "a = b;"
+    (row,) = A.algorithm_lines(r"A \leftarrow TopK(H, K) \tcp*{by $w_p$ the first $K$}")
+    assert row["comment"] == "by wp the first K" and row["code"] == "A ← TopK(H, K);"
+    loop = "\n".join([r"\For{$i$}", "{", r"  \If{a}{x\; y,", r" z} \tcp*{why}", "}", "last"])
+    assert [(r["indent"], r["code"], r["comment"], r["guides"], r["end_guides"]) for r in A.algorithm_lines(loop)] == [
+        (0, "For (i)", "", [0], [0]),
+        (1, "If (a)", "why", [0], [0]),
+        (2, "x;", "", [0], []),
+        (2, "y,", "", [0], []),
+        (2, "z;", "", [0], []),
+        (1, "end", "", [0], []),
+        (0, "end", "", [0], []),
+        (0, "last;", "", [0], []),
+    ]
+    deep = A.algorithm_lines(r"\If{a}{" * 5000 + "x" + "}" * 5000)
+    assert max(r["indent"] for r in deep) == 5000 and len(deep) == 10_001
+    head = value(spark, A.algorithm_inputs(F.col("x")), x="\n".join([r"\caption{On $x_1$}\label{a}", r" \KwIn{$A \cup B$}", r"\KwResult{r}", r"\label{alg:1}", r"\KwOut{open"]))
+    assert ([tuple(i) for i in head["io"]], head["caption"], head["label"]) == ([("Input", "A ∪ B"), ("Result", "r")], "On x1", "alg:1")
+    assert A.algorithm_lines("") == []
+
+
 def test_front_matter(spark):
     text = "\\title{On \\emph{Things}}\\author{A B \\and C D}\\institute{X \\and Y}\\keywords{one, two; three}\\begin{abstract} short \\textbf{text}\\end{abstract}\\begin{IEEEbiography}{A B}was born.\\end{IEEEbiography}"
     assert [
@@ -461,6 +490,74 @@ def test_rule_and_mapping_files(spark, tmp_path):
     ] == [{"kind": "heading", "rule_id": "map.h", "element": "w:p"}, {"kind": "table", "element": "w:tbl"}]
 
 
+def test_nested_mapping_files(spark, tmp_path):
+    text = """# head
+schema_version: "0.1"   # quoted
+target: docx
+rules:
+  - id: map.heading
+    source_ast_kind: Heading
+    target_render_node: 'It''s'
+    run_properties:
+      vertical_align: superscript
+      sizes: [1, 2.5, "a, b", {k: v, w: [x]}]
+    validation: {required_text: true, media: null}
+    note: |
+      two
+        lines
+
+    odd key: plain # comment
+  - id: map.cite
+    source_inline_kind: Citation
+    list:
+    - a
+    -   b: 1
+        c: 2
+    -
+      - deep
+  - id: map.image
+    relationship_rule:
+      type: image
+    folded: >-
+      one
+      two
+empty:
+url: http://x.y/z#part
+"""
+    plain = {
+        "schema_version": "0.1",
+        "target": "docx",
+        "rules": [
+            {
+                "id": "map.heading", "source_ast_kind": "Heading", "target_render_node": "It's",
+                "run_properties": {"vertical_align": "superscript", "sizes": [1, 2.5, "a, b", {"k": "v", "w": ["x"]}]},
+                "validation": {"required_text": True, "media": None}, "note": "two\n  lines\n", "odd key": "plain",
+            },
+            {"id": "map.cite", "source_inline_kind": "Citation", "list": ["a", {"b": 1, "c": 2}, ["deep"]]},
+            {"id": "map.image", "relationship_rule": {"type": "image"}, "folded": "one two"},
+        ],
+        "empty": None,
+        "url": "http://x.y/z#part",
+    }
+    assert files.mapping_tree(text) == plain
+    assert files.mapping_tree("") is None and files.mapping_tree("- 1\n- [a]\n") == [1, ["a"]]
+    (tmp_path / "map.yaml").write_text(text)
+    tree = files.mapping_tree_file(spark, str(tmp_path / "map.yaml"))
+    rules = files.mapping_rules(tree).orderBy("position").collect()
+    assert [(r["id"], r["source_kind"], r["target_kind"], r["rule_type"]) for r in rules] == [
+        ("map.heading", "Heading", "It's", "block"), ("map.cite", "Citation", None, "inline"), ("map.image", "", None, "resource"),
+    ]
+    assert json.loads(rules[0]["rule"].toJson())["validation"] == {"required_text": True, "media": None}
+
+
+def test_images_with_many_segments(spark):
+    segment = b"\xff\xe2" + struct.pack(">H", 6) + b"abcd"
+    frame = b"\xff\xff\xc0" + struct.pack(">HBHH", 11, 8, 300, 200) + bytes(4)
+    rows = [b"\xff\xd8\xff\xe0" + struct.pack(">H", 2) + segment * 500 + frame, b"\xff\xd8" + segment * 3, b"\x89PNG", None, b""]
+    found = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(rows)], "i int, c binary").select("i", files.image_size(F.col("c")).alias("s")).orderBy("i").collect()
+    assert [r["s"] and tuple(r["s"]) for r in found] == [(200, 300), None, None, None, None]
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b|c"), (1, None)], "n int, t string")
     assert {
