@@ -95,3 +95,61 @@ def spliced(files: DataFrame) -> DataFrame:
                 F.when(F.col("inner").isNotNull(), F.aggregate(F.map_entries("inner"), F.col("text"), put)).otherwise(F.col("text")).alias("text")
             )
         )
+
+
+def include_edges(files: DataFrame, extensions: list[str]) -> DataFrame:
+    r"""(project, parent, target, child): what each file of a project includes, from its text (GR1, JN22).
+
+    Targets of \input and \include outside comments are paths from the project's root; the child is the first that exists of
+    the target itself and the target with each extension, or null.
+    """
+    from ledgerloom.functions.text import command_arguments, without_comments
+
+    called = files.select("project", F.col("path").alias("parent"), F.explode(F.array_distinct(command_arguments(without_comments(F.col("text")), "(?:input|include)"))).alias("target"))
+    wanted = called.select("project", "target").distinct()
+    candidates = wanted.select("project", "target", F.posexplode(F.array("target", *[F.concat("target", F.lit(e)) for e in extensions])).alias("rank", "path"))
+    hits = candidates.join(files.select("project", "path").distinct(), ["project", "path"]).groupBy("project", "target").agg(F.min_by("path", "rank").alias("child"))
+    return called.join(hits, ["project", "target"], "left").select("project", "parent", "target", "child")
+
+
+def discovered(files: DataFrame, roots: DataFrame, extensions: list[str]) -> DataFrame:
+    """(project, path, kind, depth) of what the roots (project, path) lead to (GR1).
+
+    Kinds: `file`, with the fewest includes between it and a root; `missing`, a target that no file stands for, as deep as
+    if it were there; `cycle`, a file that includes lead from back to it, with its depth as a file.  A file that is reached
+    twice is one row and no cycle (Z4).  One join a level, and one a round of the search for cycles; each is kept.
+    """
+    edges = cut(include_edges(files, extensions))
+    there = edges.filter("child IS NOT NULL").select("project", F.col("parent").alias("path"), "child").distinct()
+    level = cut(roots.join(files.select("project", "path").distinct(), ["project", "path"], "left_semi").select("project", "path", F.lit(0).alias("depth")).distinct())
+    found = level
+    while not level.isEmpty():
+        after = level.join(there, ["project", "path"]).select("project", F.col("child").alias("path"), (F.col("depth") + 1).alias("depth")).distinct()
+        level = cut(after.join(found.select("project", "path"), ["project", "path"], "left_anti"))
+        found = cut(found.union(level))
+    reached = edges.join(found.select("project", F.col("path").alias("parent"), "depth"), ["project", "parent"])
+    missing = reached.filter("child IS NULL").groupBy("project", F.col("target").alias("path")).agg((F.min("depth") + 1).alias("depth"))
+    # what is on no way back: files without an include into them, and files without one out of them, are taken off in turn
+    core = cut(reached.filter("child IS NOT NULL").select("project", "parent", "child").distinct())
+    size, before = core.count(), -1
+    while size not in (0, before):
+        inner = core.join(core.select("project", F.col("child").alias("parent")).distinct(), ["project", "parent"], "left_semi")
+        core = cut(inner.join(core.select("project", F.col("parent").alias("child")).distinct(), ["project", "child"], "left_semi").select("project", "parent", "child"))
+        size, before = core.count(), size
+    on_cycle = _led_back(core).join(found, ["project", "path"])
+    named = lambda df, kind: df.select("project", "path", F.lit(kind).alias("kind"), "depth")
+    return named(found, "file").union(named(missing, "missing")).union(named(on_cycle, "cycle"))
+
+
+def _led_back(core: DataFrame) -> DataFrame:
+    """(project, path) of the nodes of a graph (project, parent, child) that a way leads from back to them: pairs of a node
+    and what it reaches grow until none is new; the graph is what is left between cycles.
+    """
+    steps = core.select("project", F.col("parent").alias("via"), F.col("child").alias("to"))
+    pairs = cut(core.select("project", F.col("parent").alias("path"), F.col("child").alias("to")).distinct())
+    new = pairs
+    while not new.isEmpty():
+        further = new.select("project", "path", F.col("to").alias("via")).join(steps, ["project", "via"]).select("project", "path", "to").distinct()
+        new = cut(further.join(pairs, ["project", "path", "to"], "left_anti"))
+        pairs = cut(pairs.union(new))
+    return pairs.filter("path = to").select("project", "path")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.macros import macros_defined, macros_expanded
 from ledgerloom.operators import syntax as S
 from ledgerloom.operators.algorithms import algorithm_rows
+from ledgerloom.operators.graph import discovered
 from ledgerloom.plans.registry import query, table
 from ledgerloom.sources.files import mapping_rules, mapping_trees
 
@@ -145,7 +146,7 @@ def algorithm_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     piece = (
         F.when(kind == "view", F.concat(F.lit("\\If{$v_"), i, F.lit("$}\n{")))
         .when(kind == "error", "}\n")
-        .when(kind == "click", F.concat(F.lit("c \\leftarrow "), i, F.lit("\; \\tcp*{note "), i, F.lit("}\n")))
+        .when(kind == "click", F.concat(F.lit("c \\leftarrow "), i, F.lit("\\; \\tcp*{note "), i, F.lit("}\n")))
         .otherwise(" ")
     )
     events = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", piece.alias("piece")).alias("e"), (kind == "view").cast("int").alias("opens"))
@@ -176,3 +177,25 @@ def mapping_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("path").alias("brand"), "position", "id", "rule_type", F.expr("try_variant_get(rule, '$.size.n', 'bigint')").alias("size"),
         F.size(tags_of).cast("long").alias("tags"), F.coalesce(F.try_element_at(tags_of, F.lit(-1)), F.lit("")).alias("last_tag"),
     )
+
+
+@query(
+    """WITH c AS (SELECT c_nationkey AS project, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+    name AS (SELECT *, CASE WHEN r % 3 = 0 THEN 'sub/f' || r ELSE 'f' || r || '.tex' END AS path, floor(log2(r))::INTEGER AS depth FROM c)
+    SELECT project, path, 'file' AS kind, depth FROM name
+    UNION ALL SELECT project, CASE WHEN k % 3 = 0 THEN 'sub/' ELSE '' END || 'f' || k, 'missing', depth + 1 FROM name, (SELECT unnest([0, 1]) AS s), LATERAL (SELECT 2 * r + s AS k) WHERE k > n
+    UNION ALL SELECT project, 'gone' || r, 'missing', depth + 1 FROM name WHERE r % 7 = 0
+    UNION ALL SELECT project, path, 'cycle', depth FROM name WHERE project % 5 = 0 AND n >= 6 AND r IN (1, 3, 6)"""
+)
+def include_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that each project's first one leads to, by their texts; includes of no file, and files in cycles (GR1, JN22)."""
+    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project"), rank.alias("r"))
+    r, sub = F.col("r"), lambda k: F.when(k % 3 == 0, "sub/").otherwise("")
+    target = lambda k: F.concat(sub(k), F.lit("f"), k)
+    own = F.concat(target(r), F.when(r % 3 == 0, "").otherwise(".tex"))
+    gone = F.when(r % 7 == 0, F.concat(F.lit(" \\include{gone"), r, F.lit("}"))).otherwise("")
+    back = F.when((F.col("project") % 5 == 0) & (r == 6), "\\input{f1}\\input{f1}").otherwise("")
+    text = F.concat(F.lit("% \\input{no}\n\\input{"), target(2 * r), F.lit("} text \\include{"), target(2 * r + 1), F.lit("}"), gone, back)
+    files = c.select("project", own.alias("path"), text.alias("text"))
+    return discovered(files, c.filter("r = 1").select("project", F.lit("f1.tex").alias("path")), [".tex"])
