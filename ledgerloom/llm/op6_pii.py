@@ -83,9 +83,10 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _gender(name: Column) -> Column:
-    first = F.regexp_extract(name, r"^([^ .]+)", 1)
-    known = lambda g: first.isin(TITLES[g] + GIVEN_NAMES[g])
-    return F.when(known("m"), "m").when(known("f"), "f").otherwise("n")
+    """That of a known given name, whatever title stands before it, so that a name is one entity with and without titles; else the title's."""
+    first, words = F.regexp_extract(name, r"^([^ .]+)", 1), F.initcap(F.get(_name_words(name), F.lit(0)))
+    known = lambda word, names: F.when(word.isin(names["m"]), "m").when(word.isin(names["f"]), "f")
+    return F.coalesce(known(words, GIVEN_NAMES), known(first, TITLES), F.lit("n"))
 
 
 def _script(word: Column) -> Column:
