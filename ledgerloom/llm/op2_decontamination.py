@@ -7,7 +7,7 @@ the item's words, to the item.  Items with fewer than five words have to stand t
    a random function of step and word says whether it moves on, so that walks over two texts fall into step again behind
    an edit: few edits become few differing places.  Items are embedded from several origins all over them, so that edits
    in one stretch leave the walks through the others alone: `origins_of`.
-2. Each walk is sampled BANDS times at SAMPLED places; the words there are hashed to a key.  Sampled are steps of which a
+2. Each walk is sampled BANDS times at four to six places; the words there are hashed to a key.  Sampled are steps of which a
    walk seldom leaves the item, a walk takes about two for a word: `steps_of`.  A window is a candidate for an item if one
    of its WALKS * BANDS keys is the item's.  How the walk is sampled depends on the item's size class alone, so a window is
    looked up once for each class that the items fall into.
@@ -39,10 +39,10 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm._shared import ALNUM_WORDS, mixed, saved, utf8_rows, with_columns_from
 
-WALKS, BANDS, SAMPLED = 6, 4, 5
+WALKS, BANDS = 6, 4
 MAX_ITEM_WORDS = 2_000_000
-#: Least words of the size classes, and the steps they are sampled from.
-CLASSES = ((1, 1), (3, 4), (6, 9), (12, 18), (24, 32))
+#: Least words of the size classes, the steps they are sampled from, and how many places are sampled.
+CLASSES = ((1, 1, 1), (3, 4, 4), (6, 9, 4), (12, 18, 6), (24, 32, 6))
 #: Words embedded at a time.
 CHUNK_WORDS = 1 << 15
 
@@ -59,7 +59,7 @@ def hashes_of(text: bytes | None) -> np.ndarray:
 
 
 def class_of(m: int) -> int:
-    return max(i for i, (least, _) in enumerate(CLASSES) if m >= least)
+    return max(i for i, (least, _, _) in enumerate(CLASSES) if m >= least)
 
 
 def origins_of(m: int) -> list[int]:
@@ -79,8 +79,8 @@ def words_of(text: bytes) -> list[bytes]:
 @lru_cache(maxsize=None)
 def steps_of(size_class: int) -> list[list[list[int]]]:
     """For each walk and band the steps sampled; all distinct where there are enough."""
-    steps = CLASSES[size_class][1]
-    draw = lambda w, b: np.random.default_rng((w, b, steps)).choice(steps, min(SAMPLED, steps), replace=False)
+    _, steps, sampled = CLASSES[size_class]
+    draw = lambda w, b: np.random.default_rng((w, b, steps)).choice(steps, sampled, replace=False)
     return [[draw(w, b).tolist() for b in range(BANDS)] for w in range(WALKS)]
 
 

@@ -386,10 +386,10 @@ def test_op6_bare_surnames_in_any_case(spark):
 
 
 def test_op6_one_name_with_and_without_titles(spark):
-    texts = ["Dr Anna Smith came. Anna Smith left. ANNA SMITH, Mrs Anna Smith.", "Prof. Hans Weber met Herr Hans Weber and Mr Hans Weber."]
+    texts = ["Dr Anna Smith came. Anna Smith left with Mrs Anna Smith.", "Prof. Hans Weber met Herr Hans Weber and Mr Hans Weber."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     a, b = [r["clean_text"] for r in with_surrogates(df, "k").orderBy("doc_id").collect()]
-    assert len({m.lower() for m in re.match(r"Dr (\w+ \w+) came\. (\w+ \w+) left\. .*Mrs (\w+ \w+)\.$", a).groups()}) == 1
+    assert len({m.lower() for m in re.match(r"Dr (\w+ \w+) came\. (\w+ \w+) left with Mrs (\w+ \w+)\.$", a).groups()}) == 1
     assert len(set(re.match(r"Prof\. (\w+ \w+) met Herr (\w+ \w+) and Mr (\w+ \w+)\.$", b).groups())) == 1
     assert not re.search("anna|smith came|hans|weber", a + b, re.I)
 
