@@ -212,6 +212,19 @@ def vector_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_pairs(spark, sf_dir).select("vec_id", F.round(R.ssim(F.col("v"), F.col("w")), 6).alias("ssim"))
 
 
+@query(f"""WITH {_PAIRS_SQL}, r AS (SELECT vec_id, v, list_transform(list_zip(v, w), lambda z: z[1] + (z[2] - z[1]) * (vec_id % 10) / 10) AS w, n FROM q),
+m AS (SELECT *, list_sum(v) / n AS a, list_sum(w) / n AS b, list_sum(list_transform(v, lambda x: x * x)) / n AS aa, list_sum(list_transform(w, lambda x: x * x)) / n AS bb, list_sum(list_transform(list_zip(v, w), lambda z: z[1] * z[2])) / n AS ab FROM r),
+k AS (SELECT vec_id // 8 AS report, (2 * a * b + 6.5025) * (2 * (ab - a * b) + 58.5225) / ((a * a + b * b + 6.5025) * (aa - a * a + bb - b * b + 58.5225)) >= 0.95 AS alike, list_sum(list_transform(list_zip(v, w), lambda z: abs(z[1] - z[2]))) / n <= 3 AS near FROM m)
+SELECT report, round(avg(alike::INT), 6) AS ssim_rate, round(avg(near::INT), 6) AS diff_rate FROM k GROUP BY report""")
+def visual_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a report's pages that are alike and near, pages between equal and wholly another (Q11)."""
+    part = F.col("vec_id") % 10 / 10
+    pages = _vector_pairs(spark, sf_dir).withColumn("w", F.zip_with("v", "w", lambda x, y: x + (y - x) * part))
+    each = pages.select(F.floor(F.col("vec_id") / 8).alias("report"), (R.ssim(F.col("v"), F.col("w")) >= 0.95).alias("alike"), (R.mean_abs_difference(F.col("v"), F.col("w")) <= 3).alias("near"))
+    share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
+    return each.groupBy("report").agg(share("alike").alias("ssim_rate"), share("near").alias("diff_rate"))
+
+
 @query(
     """SELECT user_id, day, CASE WHEN count(o) = 0 THEN 'view' WHEN min(o) <> max(o) THEN 'Mixed' ELSE min(o) END AS kind FROM (SELECT user_id, ts::DATE::VARCHAR AS day, CASE WHEN event_type <> 'view' THEN event_type END AS o FROM events) GROUP BY user_id, day"""
 )

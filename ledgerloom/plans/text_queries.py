@@ -23,15 +23,15 @@ _ODD_TEXT = f"'{_ODD[0]}' || text || '{_ODD[1]}'"
 
 
 @query(
-    f"SELECT doc_id, length({_norm('(' + _ODD_TEXT + ')')})::BIGINT AS n_normal, CASE WHEN length({_norm('text')}) = 0 THEN 0.0 ELSE round(length({_norm('left(text, 100)')})::DOUBLE / length({_norm('text')}), 6) END AS ratio, md5({_norm('(' + _ODD_TEXT + ')')}) AS digest FROM documents"
+    f"SELECT doc_id, length({_norm('(' + _ODD_TEXT + ')')})::BIGINT AS n_normal, CASE WHEN length({_norm('text')}) = 0 THEN 0.0 ELSE round(length({_norm("replace(text, 'e', '')")})::DOUBLE / length({_norm('text')}), 6) END AS ratio, md5({_norm('(' + _ODD_TEXT + ')')}) AS digest FROM documents"
 )
 def normalize_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalized lengths and the ratio of a head to its whole (ST1, Z1); two texts are compared by turn_ratio."""
+    """Normalized lengths and the ratio of a text without one letter to its whole (ST1, Z1)."""
     odd = F.concat(F.lit(_ODD[0]), F.col("text"), F.lit(_ODD[1]))
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.length(T.normalize(odd)).cast("long").alias("n_normal"),
-        F.round(T.char_ratio(F.left("text", F.lit(100)), F.col("text")), 6).alias("ratio"),
+        F.round(T.char_ratio(F.replace("text", F.lit("e"), F.lit("")), F.col("text")), 6).alias("ratio"),
         F.md5(T.normalize(odd)).alias("digest")
     )
 

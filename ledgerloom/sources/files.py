@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from ledgerloom.operators.compare import RUN
+from ledgerloom.operators.lineage import cut
 
 EVENT = "type string, level int, text string, label string, path string, caption string, latex string, display boolean, keys array<string>, key string, kind string, macro string, schema string"
 BIB = ArrayType(StructType([StructField("entry_type", StringType()), StructField("key", StringType()), StructField("fields", MapType(StringType(), StringType()))]))
@@ -236,6 +237,19 @@ def inserted(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/batch={batch}")
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """df with each row's place in `order`, from 0: rows are dealt by ranges of the order and numbered within, and a range's
+    first number is the sum of the counts before it, of which there is one for each partition.
+    """
+    within = (1 << 33) - 1  # of monotonically_increasing_id
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy(part.alias("__part")).count().withColumn("__start", F.coalesce(before, F.lit(0))).select("__part", "__start")
+    met = dealt.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return met.withColumn(name, F.col("__start") + F.col("__id").bitwiseAND(F.lit(within))).drop("__id", "__part", "__start")
+
+
 def markdown_lines(df: DataFrame, order: list[str]) -> DataFrame:
     """(n, value): the lines of a Markdown table of a report's rows, header first (SNK9, ST32)."""
     cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
@@ -244,7 +258,7 @@ def markdown_lines(df: DataFrame, order: list[str]) -> DataFrame:
         F.col("id").alias("n"),
         F.when(F.col("id") == 0, row([F.lit(c) for c in df.columns])).otherwise(row([F.lit("---")] * len(df.columns))).alias("value")
     )
-    body = df.select((F.row_number().over(Window.orderBy(*order)) + 1).cast("long").alias("n"), row([cell(c) for c in df.columns]).alias("value"))
+    body = numbered(df, order, "__n").select((F.col("__n") + 2).cast("long").alias("n"), row([cell(c) for c in df.columns]).alias("value"))
     return head.union(body)
 
 
@@ -410,10 +424,10 @@ def mapping_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, form: str = "json", order: list[str] | None = None) -> None:
-    """Report rows as JSON lines, as CSV with a header, which spreadsheets open, or as a Markdown table (SNK8, SNK9, SNK10)."""
+    """Report rows as JSON lines, as CSV with a header, which spreadsheets open, or as a Markdown table, whose files are in order (SNK8, SNK9, SNK10)."""
     if form == "json":
         df.write.mode("overwrite").json(path)
     elif form == "csv":
         df.write.mode("overwrite").option("header", "true").csv(path)
     else:
-        markdown_lines(df, order or df.columns).orderBy("n").coalesce(1).select("value").write.mode("overwrite").text(path)
+        markdown_lines(df, order or df.columns).orderBy("n").select("value").write.mode("overwrite").text(path)

@@ -558,6 +558,14 @@ def test_images_with_many_segments(spark):
     assert [r["s"] and tuple(r["s"]) for r in found] == [(200, 300), None, None, None, None]
 
 
+def test_rows_are_numbered_over_partitions(spark):
+    rows = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(300)).alias("k"), "id").repartition(7)
+    found = files.numbered(rows, ["k", "id"]).collect()
+    assert [(r["k"], r["id"]) for r in sorted(found, key=lambda r: r["n"])] == sorted((r["k"], r["id"]) for r in found)
+    assert sorted(r["n"] for r in found) == list(range(1000))
+    assert files.numbered(rows.limit(0), ["k"]).count() == 0
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b|c"), (1, None)], "n int, t string")
     assert {
