@@ -19,7 +19,7 @@ from ledgerloom.llm._shared import discard, scratch, spread_join, work_path
 from ledgerloom.llm.op2_decontamination import with_leaks
 from ledgerloom.llm.op3_ngram_join import with_near_duplicates
 from ledgerloom.llm.op5_quality_rules import with_quality
-from ledgerloom.llm.op7_line_dedup import with_passage_dedup
+from ledgerloom.llm.op7_line_dedup import with_whole_dedup
 from ledgerloom.llm.op8_byte_bpe import decode_ids, encode_texts
 
 
@@ -35,8 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of lines go, and documents that nothing but such passages made up, as copies of two lines or more are."""
-    left = with_passage_dedup(docs).filter((F.col("n_removed") == 0) | F.col("clean_text").rlike(r"[^\x20\x09-\x0D]"))
+    """Repeated chunks of lines go and the repeated passages between them, and documents that nothing but such made up, as copies of two lines or more are."""
+    left = with_whole_dedup(docs).filter((F.col("n_removed") == 0) | F.col("clean_text").rlike(r"[^\x20\x09-\x0D]"))
     return _with_text(left, docs.columns, "clean_text")
 
 

@@ -19,6 +19,9 @@ Passages too short to hold a whole chunk are missed.  `with_passage_dedup`
 misses none: a line goes if it lies in a stretch from one line with words to the MIN_LINES - 1st after it whose bytes
 occur earlier.  So every repeated run of MIN_LINES lines with words or more goes whole, wherever it stands, and of every
 line the first occurrence stays.  Stretches are told apart by 128 bits of their SHA-256.  Rows are told apart as above.
+`with_whole_dedup`, the pipeline's, puts both together: repeated chunks go with the lines beside them, as above, and of the
+stretches that lie in none of these those that occur earlier, after comparing their bytes too.  So it loses all that
+`with_passage_dedup` finds, and the blank lines at a found chunk's ends.
 
 Shuffled are hashes of chunks, the text of repeated chunks, and the documents by key, to meet what they lose; minima are
 formed before the shuffle, and the rows of a hot hash are dealt into parts to meet its first occurrence.
@@ -187,12 +190,17 @@ def stretches_of(text: Column, min_lines: int = MIN_LINES) -> Column:
     return let(F.split(text, "\n", -1), found)
 
 
+def _indexed(rows: DataFrame) -> DataFrame:
+    """Of rows (key, doc, place, end, digest) those whose digest occurs at two places or more, with the first (key, place)."""
+    at = F.struct("key", "place")
+    index = rows.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").drop("last")
+    return spread_join(rows, index, ["digest"], ["key", "place"])
+
+
 def repeated_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """(key, doc, place, end): the stretches of the row with that key and text hash that occur earlier."""
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("doc"), F.explode(stretches_of(F.col(text), min_lines)).alias("s")).select("key", "doc", "s.*")
-    at = F.struct("key", "place")
-    index = rows.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").drop("last")
-    return spread_join(rows, index, ["digest"], ["key", "place"]).filter(at > F.col("first")).select("key", "doc", "place", "end")
+    return _indexed(rows).filter(F.struct("key", "place") > F.col("first")).select("key", "doc", "place", "end")
 
 
 def with_passage_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
@@ -200,6 +208,43 @@ def with_passage_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return without_lines(docs, repeated_stretches(docs, key, text, min_lines), key, text)
 
 
+def stretches_beside(docs: DataFrame, gone: DataFrame, key: str, text: str, min_lines: int) -> DataFrame:
+    """(key, doc, place, end): of the stretches in no range of gone (key, doc, place, end) those that occur earlier, by their bytes.
+
+    With rows of one key a first occurrence may lie in such a range; the first of those outside then stays in its place.
+    """
+    own = [F.col(key).alias("key"), F.xxhash64(text).alias("doc")]
+    same = F.col("key").eqNullSafe(F.col("__key")) & (F.col("doc") == F.col("__doc"))
+    ranges = gone.groupBy(F.col("key").alias("__key"), F.col("doc").alias("__doc")).agg(F.collect_set(F.struct("place", "end")).alias("__gone"))
+    rows = docs.select(*own, stretches_of(F.col(text), min_lines).alias("s")).filter(F.size("s") > 0)
+    rows = rows.join(ranges.hint("shuffle_hash"), same, "left")
+    inside = lambda s: F.exists("__gone", lambda g: (g["place"] <= s["place"]) & (s["end"] <= g["end"]))
+    outside = F.when(F.col("__gone").isNull(), F.col("s")).otherwise(F.filter("s", lambda s: ~inside(s)))
+    found = _indexed(rows.select("key", "doc", F.explode(outside).alias("s")).select("key", "doc", "s.*"))
+    one = F.struct("place", "end", "digest", (F.struct("key", "place") == F.col("first")).alias("is_first"))
+    found = found.groupBy(F.col("key").alias("__key"), F.col("doc").alias("__doc")).agg(F.collect_set(one).alias("__found"))
+    # of the texts, only these stretches go on from here
+    texts = docs.select(*own, F.col(text).alias("text")).join(found.hint("shuffle_hash"), same)
+    whole = lambda lines: F.transform(
+        "__found",
+        lambda x: F.struct(
+            *[x[c].alias(c) for c in ("place", "end", "digest", "is_first")],
+            F.array_join(F.slice(lines, x["place"] + 1, x["end"] - x["place"] + 1), "\n").alias("text")
+        )
+    )
+    texts = saved(texts.select("key", "doc", F.explode(let(F.split("text", "\n", -1), whole)).alias("s")).select("key", "doc", "s.*"), "repeated-stretches")
+    first = texts.filter("is_first").groupBy("digest").agg(F.min("text").alias("first"))
+    later = spread_join(texts.filter("NOT is_first"), first, ["digest"], ["key", "place"]).filter(F.encode("text", "utf-8") == F.encode("first", "utf-8"))
+    return later.select("key", "doc", "place", "end")
+
+
+def with_whole_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """docs with n_lines, n_removed (lines), clean_text: repeated chunks go, and the repeated passages that no chunk has shown."""
+    chunks = saved(repeated_chunks(docs, key, text, min_lines), "repeated-ranges")
+    rest = stretches_beside(docs, chunks, key, text, min_lines)
+    return without_lines(docs, chunks.unionByName(rest), key, text)
+
+
 def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, and the digest of what is left without any repeated passage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

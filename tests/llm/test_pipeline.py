@@ -53,6 +53,44 @@ def test_exact_copies_go_whole(spark):
     }
 
 
+def test_line_dedup_by_chunks_and_what_they_leave(spark):
+    from test_ops import RNG, WORD, WORDS, brute_passages
+
+    from ledgerloom.llm.op7_line_dedup import repeated_chunks
+
+    own = [WORDS(9) for _ in range(60)]
+    block = "\n".join(own[:16])
+    rows = [(1, f"{WORDS(8)}\n\n{block}\n\n{WORDS(8)}"), (2, f"{WORDS(7)}\n\n{block}\n\n{WORDS(7)}"), (90, "\n".join(own)), (91, "\n".join(own))]
+    for k in range(24):  # passages of each length between foreign lines, most too short for a whole chunk
+        at = RNG.randrange(16, 60 - 10)
+        rows.append((100 + k, "\n".join([WORDS(8), *own[at : at + 2 + k % 9], WORDS(8)])))
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    left = {r["doc_id"]: r["text"] for r in P.line_dedup(spark, docs, SF).collect()}
+    # a found chunk takes the equal blank lines beside it along
+    assert left[2] == "\n".join([rows[1][1].split("\n")[0], rows[1][1].split("\n")[-1]])
+    words = lambda t: [x for x in t.split("\n") if WORD.search(x)]
+    assert {i: words(t) for i, t in left.items()} == {i: words(t) for i, _, t in brute_passages(rows) if words(t)}
+    # chunks are what finds passages: the ranges they give are lost whole
+    ranges = repeated_chunks(docs).collect()
+    texts = dict(rows)
+    assert {2, 91} <= {r["key"] for r in ranges}
+    for r in ranges:
+        lines = texts[r["key"]].split("\n")
+        assert not set(lines[r["place"] : r["end"] + 1]) & set(left.get(r["key"], "-").split("\n"))
+
+
+def test_line_dedup_keeps_one_of_rows_with_one_id(spark):
+    from test_ops import WORDS
+
+    lines = [WORDS(9) for _ in range(12)]
+    block = "\n".join(lines)
+    rows = [(5, "\n".join([WORDS(5)] * 40 + [block])), (5, "\n".join([*(WORDS(6) for _ in range(30)), block])), (5, "\n".join(lines[3:5])), (6, block), (6, block)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    left = [(r["doc_id"], r["text"].split("\n")) for r in P.line_dedup(spark, docs, SF).collect()]
+    assert all(any(x in own for _, own in left) for x in lines) and all(i == 5 for i, _ in left)
+
+
 def test_odd_rows(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     text = " ".join(f"w{i}" for i in range(60)) + "."
