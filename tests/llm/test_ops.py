@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -274,6 +275,30 @@ def test_op4_word_encoder_on_odd_words():
     assert np.frombuffer(encoder.encode([text.encode()])[0], encoder.kind).tolist() == whole_ids(text)[:-1]
 
 
+def test_op4_words_with_marks_are_learnt_by_their_parts():
+    from ledgerloom.llm.op4_token_ids import WordEncoder
+
+    encoder, calls = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    library = encoder.tokenizer
+
+    class Counted:
+        def encode(self, text, **settings):
+            calls.append(text)
+            return library.encode(text, **settings)
+
+    encoder.tokenizer = Counted()
+    stems, marks = ["word", "Straße", "era", "naïveté", "ÉTÉ", "it's", "a1"], ["", ".", ",", "***", ".%%%", ",$$$", "&&&", "-)", "\\", "]}", "|>", "'", "'.", "<b>", "\u0307,"]
+    odd = ["İ,", "aİ.", "É,", "x\u0338=", "=\u0338", "×,", "日本,", "ß!", "ǅ?", "***", "...a", "<|endoftext|>,", "a<|endoftext|>", "Ⅷ.", "²,", "ª.", "e\u0301."]
+    texts = [" ".join(a + b for a in stems for b in marks), None, "", " \x0b\x1cq ", "\n".join(odd), "a\u00a0, b\u2003."]
+    end = np.array([1], encoder.kind).tobytes()
+    whole = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    for rows in (pa.array(texts), pa.array(["foreign", *texts, "foreign"]).slice(1, len(texts))):
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode_column(rows, end).to_pylist()] == whole
+    calls.clear()
+    encoder.encode([" ".join(f"{a}{b}{m}" for a in "abcdefgh" for b in ("qwz", "éa", "né") for m in ("***", ".%%%", ",")).encode()])
+    assert len(calls) <= 3  # the library's whole pipeline sees none of these words, but their marks
+
+
 def test_op4_files(spark, odd, empty):
     path = work_path(spark, "test")
     write_token_files(odd, public_tokenizers.path("word_bpe_49k.json"), path, end_id=1)
