@@ -20,7 +20,7 @@ from ledgerloom.llm.op2_decontamination import with_leaks
 from ledgerloom.llm.op3_ngram_join import with_near_duplicates
 from ledgerloom.llm.op5_quality_rules import with_quality
 from ledgerloom.llm.op7_line_dedup import with_whole_dedup
-from ledgerloom.llm.op8_byte_bpe import decode_ids, encode_texts
+from ledgerloom.llm.op8_byte_bpe import round_trip
 
 
 def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -65,7 +65,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = decode_ids(encode_texts(docs, path, pattern), path, pattern)
+    both = round_trip(docs, path, pattern)
     same = F.col("decoded") == F.coalesce(F.encode("text", "utf-8"), F.lit(b""))
     return both.select("doc_id", "lang", "source", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 

@@ -93,10 +93,17 @@ def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str], h
     return dealt.join(copied.hint("merge"), [*on, "__part"], how).drop("__part")
 
 
-def with_columns_from(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]], reads: list[str]) -> DataFrame:
+def with_columns_from(
+    df: DataFrame,
+    fields: list[T.StructField],
+    make: Callable[[pa.RecordBatch], list[pa.Array]],
+    reads: list[str],
+    at_end: Callable[[], None] | None = None
+) -> DataFrame:
     """df with the columns `fields` appended, each batch's values made by `make` from the columns `reads`.
 
-    Columns of df that have the name of an appended one are replaced.
+    Columns of df that have the name of an appended one are replaced.  `at_end` is called when a task has no more batches,
+    as its worker stays for the tasks of other stages.
     """
     names = {f.name for f in fields}
     kept = [c for c in df.columns if c not in names]
@@ -105,11 +112,15 @@ def with_columns_from(df: DataFrame, fields: list[T.StructField], make: Callable
     wide = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(s) for c, s in zip(reads, shadow)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                ins = part.select(shadow).rename_columns(reads)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + make(ins), names=kept + [f.name for f in fields])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE_ROWS):
+                    part = batch.slice(at, SLICE_ROWS)
+                    ins = part.select(shadow).rename_columns(reads)
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + make(ins), names=kept + [f.name for f in fields])
+        finally:
+            if at_end is not None:
+                at_end()
 
     return wide.mapInArrow(run, out)
 

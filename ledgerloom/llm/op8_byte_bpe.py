@@ -14,6 +14,9 @@ window is an encoding; so only the two pairs at its ends have to be looked at.
 Decoding concatenates the tokens' bytes up the tree.  Nulls and empty texts have no ids and decode to empty bytes.  Texts of
 any length are encoded whole; rows are encoded one by one, so repeated rows get equal ids and an empty table an empty
 result.  Of matches equal in rank the leftmost merges first, as the library has it.
+
+`round_trip` encodes and decodes in one pass: two passes in a chain keep two workers a core, each with the vocabulary.  What a
+worker remembers of a task's texts goes when the task ends, as the worker stays for other stages.
 """
 
 from __future__ import annotations
@@ -50,12 +53,15 @@ class Cache(dict):
     def keep(self, key, value, size: int):
         """value, remembered; size: bytes of key and value besides some 200 for their objects."""
         if self.held > self.most:
-            self.clear()
-            self.held = 0
+            self.forget()
         self.held += size + 200
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 class TreeCodec:
     """Encodes and decodes with one vocabulary of ranks."""
@@ -77,6 +83,11 @@ class TreeCodec:
         self.parts, self.windows = Cache(PART_CACHE), Cache(PART_CACHE)  # bytes: ids
         self.stable = Cache(PART_CACHE)  # two neighbouring ids: whether they are stable
 
+    def forget(self) -> None:
+        """Empties what is remembered of texts; the vocabulary stays."""
+        for cache in (self.packed, self.parts, self.windows, self.stable):
+            cache.forget()
+
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first: the definition, for windows; a heap over linked parts, so that long ones cost n log n."""
         if (whole := self.ranks.get(piece)) is not None:
@@ -182,26 +193,49 @@ def codec(ranks_path: str, pattern: str) -> TreeCodec:
     return TreeCodec(ranks_path, pattern)
 
 
+def _forget(ranks_path: str, pattern: str) -> None:
+    """At a task's end; Arrow gives back what its batches have left free."""
+    codec(ranks_path, pattern).forget()
+    pa.default_memory_pool().release_unused()
+
+
+def _encoded(tree: TreeCodec, texts: pa.Array) -> list[bytes]:
+    return [tree.encode(t) if t else b"" for t in texts.to_pylist()]
+
+
+def _decoded(tree: TreeCodec, ids: list[bytes | None]) -> pa.Array:
+    return pa.array([tree.decode(np.frombuffer(x or b"", dtype="<u4")) for x in ids], pa.binary())
+
+
 def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """df with `ids`, each text's token ids as packed little-endian unsigned 32-bit integers (replaces a column of that name)."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        tree = codec(ranks_path, pattern)
-        return [pa.array([tree.encode(t) if t else b"" for t in batch.column(text).to_pylist()], pa.binary())]
+        return [pa.array(_encoded(codec(ranks_path, pattern), batch.column(text)), pa.binary())]
 
-    return with_columns_from(df, [T.StructField(ids, T.BinaryType())], make, [text])
+    return with_columns_from(df, [T.StructField(ids, T.BinaryType())], make, [text], lambda: _forget(ranks_path, pattern))
 
 
 def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """df with `decoded`, the bytes that the packed ids stand for (null ids: empty)."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        tree = codec(ranks_path, pattern)
-        return [pa.array([tree.decode(np.frombuffer(x or b"", dtype="<u4")) for x in batch.column(ids).to_pylist()], pa.binary())]
+        return [_decoded(codec(ranks_path, pattern), batch.column(ids).to_pylist())]
 
     return with_columns_from(df, [T.StructField(decoded, T.BinaryType())], make, [ids])
 
 
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """df with `ids`, as encode_texts has them, and `decoded`, the bytes that they stand for (replace columns of those names)."""
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        tree = codec(ranks_path, pattern)
+        packed = _encoded(tree, batch.column(text))
+        return [pa.array(packed, pa.binary()), _decoded(tree, packed)]
+
+    return with_columns_from(df, [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.BinaryType())], make, [text], lambda: _forget(ranks_path, pattern))
+
+
 def ids_as_array(ids: str = "token_ids"):
     """Column expression: packed ids as array<bigint>."""
     hexed = F.hex(F.col(ids))
@@ -216,10 +250,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    encoded = encode_texts(docs, path, pattern).drop("text")
-    return decode_ids(encoded, path, pattern).select(
+    return round_trip(docs, path, pattern, decoded="text").select(
         "doc_id",
         (F.length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
     )

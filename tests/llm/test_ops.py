@@ -500,6 +500,26 @@ def test_op8_against_the_library(spark, odd, empty):
     assert row["a"] == library.encode_ordinary("hello world")
 
 
+def test_op8_round_trip_is_one_pass_that_leaves_workers_empty(spark, odd):
+    from ledgerloom.llm.op8_byte_bpe import op8_byte_bpe, round_trip
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    once = round_trip(odd.repartition(8), path, pattern).select("text", "token_ids", "decoded")
+    twice = decode_ids(encode_texts(odd, path, pattern), path, pattern).select("text", "token_ids", "decoded")
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, twice.collect()))
+    made = op8_byte_bpe(spark, SF)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    made.collect()
+
+    def held(batches):
+        for batch in batches:
+            tree = codec(path, pattern)
+            caches = tree.packed, tree.parts, tree.windows, tree.stable
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, caches)) + sum(c.held for c in caches)])], names=["n"])
+
+    assert [r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()] == [0] * 8
+
+
 def brute_base(text):
     words = license_words((text or "").encode())
     phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}

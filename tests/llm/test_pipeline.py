@@ -42,6 +42,11 @@ def test_stages(spark):
     assert all(r["n_tokens"] == len(library.encode_ordinary(texts[r["doc_id"]])) and r["round_trip"] for r in docs.collect())
 
 
+def test_byte_bpe_has_one_worker_a_core(spark):
+    made = P.byte_bpe(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_exact_copies_go_whole(spark):
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text LIKE '%\n%'").orderBy("doc_id").limit(30).collect()]
     rows = [(1000 * k + i, t, "en", "s", len(t)) for k in range(3) for i, t in enumerate(texts)]
