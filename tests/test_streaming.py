@@ -4,6 +4,8 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,48 @@ def test_queue_ends_alike_however_it_is_cut(spark, tmp_path, splits):
     assert {s for s, _ in expected.values()} == {"queued", "done", "failed"}
 
 
+def queue_ends(spark, folder, rows, parts, within=600):
+    changes = Q.queue_changes(replayed(Q.stateful_session(spark), folder, rows, EVENT, parts))
+    query = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+    ended = query.awaitTermination(within)
+    query.stop()
+    assert ended, f"not done in {within} seconds"
+    found = spark.read.schema(changes.schema).parquet(f"{folder}/out").groupBy("queue", "job").agg(F.max(F.struct("at", "pos", "status", "attempts")).alias("s")).collect()
+    return {(r["queue"], r["job"]): (r["s"]["status"], r["s"]["attempts"]) for r in found}
+
+
+@pytest.mark.parametrize("cuts", [[], [50, 110, 160]])
+def test_stale_locks_end_without_a_later_event_of_their_queue(spark, tmp_path, cuts):
+    rows = made_events()[:-2]
+    rows += [(queue, 500 + 2 * queue + k, rows[-1][2] + timedelta(minutes=1 + k), kind, job) for queue in range(2) for k, (kind, job) in enumerate([("submit", 77), ("claim", None)])]
+    ends = [(queue, 1000 + queue, rows[-1][2] + timedelta(days=1), "tick", None) for queue in range(3)]
+    cuts = [0, *cuts, len(rows) + 1]
+    parts = [list(range(i, j)) for i, j in zip(cuts, cuts[1:])]
+    assert queue_ends(spark, tmp_path, [*rows, ends[2]], parts) == simulated([*rows, *ends[:2]])
+
+
+def test_ten_thousand_events_of_a_queue_in_one_batch(spark, tmp_path):
+    rows = [(7, number, at, kind, job) for _, number, at, kind, job in made_events(10_000)[:-1]]
+    assert queue_ends(spark, tmp_path, rows, [list(range(len(rows)))], within=60) == simulated(rows)
+
+
+def test_events_are_packed_whole_and_in_order(monkeypatch):
+    monkeypatch.setattr(Q, "PACK", 60)
+    monkeypatch.setattr(Q, "CHUNK", 7)
+    rng = random.Random(5)
+    rows = [{"queue": rng.choice([None, 0, 1, 2]), "at": START + timedelta(seconds=s), "us": 10**6 * s, "number": n, "job": rng.randrange(9), "kind": rng.randrange(7)} for n in range(200) for s in [rng.randrange(50)]]
+    schema = pa.schema([("queue", pa.int64()), ("at", pa.timestamp("us")), ("us", pa.int64()), ("number", pa.int64()), ("job", pa.int64()), ("kind", pa.int32())])
+    found = []
+    for batch in Q._packed(iter(pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=20))):
+        for r in batch.to_pylist():
+            events = [dict(zip(Q.EVENT.names, e)) for e in np.frombuffer(r["events"], Q.EVENT).tolist()]
+            assert 0 < len(events) <= 7 and events == sorted(events, key=lambda e: (e["us"], e["number"]))
+            assert r["at"] == START + timedelta(microseconds=events[-1]["us"])
+            found += [{"queue": r["queue"], **e} for e in events]
+    by = lambda e: e["number"]
+    assert sorted(found, key=by) == [{k: v for k, v in r.items() if k != "at"} for r in rows]
+
+
 def test_a_batch_that_runs_twice_changes_nothing(spark, tmp_path):
     path, schema = f"{tmp_path}/table", spark.createDataFrame([], "k long, v long").schema
     frame = lambda rows: spark.createDataFrame(rows, "k long, v long")
