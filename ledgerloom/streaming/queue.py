@@ -14,7 +14,7 @@ attempt, from one to sixty (SNK5, MA2, FLT6).  An event for a job in another sta
 one task at a time; queues, which are as many as their numbers say, are what spreads the work.
 
 Each call of the state is a message to the JVM, so events travel and are held packed, and a queue is settled at once up to
-the watermark, by the first of its timers: calls go with the queues in a batch and the jobs that end, not with the events.
+the watermark, by the first of its timers: calls go with the queues in a batch and with thousands of events or jobs.
 A task holds what one queue has that isn't settled, its open jobs and what it says of them.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import ListState
+from pyspark.sql.streaming.stateful_processor import MapState
 
 #: Times are microseconds since 1970, so no time zone matters.
 STALE, MAX_ATTEMPTS = 15 * 60_000_000, 3
@@ -63,22 +63,23 @@ def _millis(us: int) -> int:
 
 
 class JobQueue(StatefulProcessor):
-    """State of one queue: events that aren't settled, jobs that wait or run, all of them packed; jobs that have ended."""
+    """State of one queue: events that aren't settled, jobs that wait or run, and jobs that have ended, all of them packed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "events binary")
-        self.open = handle.getListState("open", "jobs binary")
-        self.ended = handle.getMapState("ended", "job long", "attempts int")
+        # in maps, as a list is read again for each value that it gets
+        self.held = handle.getMapState("held", "batch long, part int", "records binary")
+        self.open = handle.getMapState("open", "batch long, part int", "records binary")
+        self.ended = handle.getMapState("ended", "upper long", "lower binary")
         self.seen: set[tuple] = set()  # queues that this task has settled up to its watermark
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         passed, first = timerValues.getCurrentWatermarkInMs(), []
-        for r in rows:
+        for part, r in enumerate(rows):
             events = np.frombuffer(r["events"], EVENT)
             events = events[_millis(events["us"]) > passed]
             if len(events):
-                self.held.appendValue((events.tobytes(),))
+                self.held.updateValue((timerValues.getCurrentProcessingTimeInMs(), part), (events.tobytes(),))
                 first.append(int(events["us"][0]))
         if first:
             self.handle.registerTimer(_millis(min(first)))
@@ -92,12 +93,12 @@ class JobQueue(StatefulProcessor):
 
     def settled(self, queue: int, until: int) -> Iterator[Row]:
         """What happens up to a time, packed: held events and stale locks, in order."""
-        held = _unpacked(self.held.get(), EVENT)
+        held = _unpacked(self.held, EVENT)
         held = held[np.lexsort((held["number"], held["us"]))]
         again = (held["us"][1:] == held["us"][:-1]) & (held["number"][1:] == held["number"][:-1])
         held = held[np.append(~again, True)[: len(held)]]  # a repeated event is the same entry, as it came last
         passed = int(np.searchsorted(held["us"], 1000 * until))
-        jobs = _unpacked(self.open.get(), JOB).tolist()
+        jobs = _unpacked(self.open, JOB).tolist()
         # job: (since, attempts, when it is due or was locked)
         waiting = {job: (since, attempts, when) for job, since, when, attempts, locked in jobs if not locked}
         running = {job: (since, attempts, when) for job, since, when, attempts, locked in jobs if locked}
@@ -108,7 +109,9 @@ class JobQueue(StatefulProcessor):
         later, ready = [(due, since, job) for job, (since, _, due) in waiting.items()], []
         for heap in (locks, later):
             heapq.heapify(heap)
-        known, ended, out, pos = None, {}, [], 0  # known: whether jobs have ended before
+        known, out, pos = None, [], 0  # known: whether jobs have ended before
+        ended: dict[int, set[int]] = {}  # lower bits by upper ones, of those that matter here
+        more: set[int] = set()  # upper bits of jobs that end now
 
         def oldest() -> int | None:
             """The job that has been locked longest."""
@@ -116,10 +119,17 @@ class JobQueue(StatefulProcessor):
                 heapq.heappop(locks)
             return locks[0][1] if locks else None
 
-        def over(job: int) -> bool:
+        def over(upper: int) -> set[int]:
             nonlocal known
-            known = self.ended.exists() if known is None else known
-            return job in ended or known and self.ended.containsKey((job,))
+            if upper not in ended:
+                known = self.ended.exists() if known is None else known
+                stored = self.ended.getValue((upper,)) if known else None
+                ended[upper] = set(np.frombuffer(stored[0], "u2").tolist() if stored else ())
+            return ended[upper]
+
+        def end(job: int) -> None:
+            over(job >> 16).add(job & 0xFFFF)
+            more.add(job >> 16)
 
         def say(at: int, job: int, status: str, attempts: int, due: int = 0) -> None:
             nonlocal pos
@@ -134,22 +144,22 @@ class JobQueue(StatefulProcessor):
             """Takes off locks that are older than STALE at a time, or at the end of what is settled."""
             while (job := oldest()) is not None:
                 since, attempts, locked = running[job]
-                end = locked + STALE
-                if end >= before if before is not None else _millis(end) > until:
+                at = locked + STALE
+                if at >= before if before is not None else _millis(at) > until:
                     break
                 del running[job]
                 if attempts >= MAX_ATTEMPTS:
-                    ended[job] = attempts
-                    say(end, job, "failed", attempts)
+                    end(job)
+                    say(at, job, "failed", attempts)
                 else:
-                    wait(job, since, attempts, end + 1_000_000 * backoff_seconds(attempts))
-                    say(end, job, "queued", attempts, waiting[job][2])
+                    wait(job, since, attempts, at + 1_000_000 * backoff_seconds(attempts))
+                    say(at, job, "queued", attempts, waiting[job][2])
 
         for start in range(0, passed, CHUNK):
             for at, _, job, kind in held[start : min(start + CHUNK, passed)].tolist():
                 recover(at)
                 if kind == SUBMIT:
-                    if job not in waiting and job not in running and not over(job):
+                    if job not in waiting and job not in running and job & 0xFFFF not in over(job >> 16):
                         wait(job, at, 0, at)
                         say(at, job, "queued", 0, at)
                 elif kind == CLAIM:
@@ -164,7 +174,8 @@ class JobQueue(StatefulProcessor):
                 elif kind != TICK:
                     job = oldest() if kind in (DONE, FAIL) else job
                     if job in running:
-                        attempts = ended[job] = running.pop(job)[1]
+                        attempts = running.pop(job)[1]
+                        end(job)
                         say(at, job, "done" if kind in (DONE, DONE_JOB) else "failed", attempts)
             if len(out) >= CHUNK:
                 yield _changes(queue, out)
@@ -172,8 +183,8 @@ class JobQueue(StatefulProcessor):
         recover(None)
         if out:
             yield _changes(queue, out)
-        for job, attempts in ended.items():
-            self.ended.updateValue((job,), (attempts,))
+        for upper in more:
+            self.ended.updateValue((upper,), (np.array([*ended[upper]], "u2").tobytes(),))
         held = held[passed:]
         _pack(self.held, held)
         rows = [(job, since, when, attempts, locked) for locked, jobs in enumerate((waiting, running)) for job, (since, attempts, when) in jobs.items()]
@@ -188,15 +199,17 @@ class JobQueue(StatefulProcessor):
             self.handle.registerTimer(_millis(min(times)))
 
 
-def _unpacked(chunks: Iterator[tuple], kind: np.dtype) -> np.ndarray:
-    return np.concatenate([np.empty(0, kind), *[np.frombuffer(c[0], kind) for c in chunks]])
+def _unpacked(state: MapState, kind: np.dtype) -> np.ndarray:
+    """All records, those of older batches first."""
+    parts = sorted((tuple(k), v[0]) for k, v in state.iterator())
+    return np.concatenate([np.empty(0, kind), *[np.frombuffer(records, kind) for _, records in parts]])
 
 
-def _pack(state: ListState, records: np.ndarray) -> None:
-    if len(records):
-        state.put([(records[i : i + CHUNK].tobytes(),) for i in range(0, len(records), CHUNK)])
-    else:
-        state.clear()
+def _pack(state: MapState, records: np.ndarray) -> None:
+    """These records alone, older than those of any batch to come."""
+    state.clear()
+    for i in range(0, len(records), CHUNK):
+        state.updateValue((0, i // CHUNK), (records[i : i + CHUNK].tobytes(),))
 
 
 def _changes(queue: int, rows: list[tuple]) -> Row:

@@ -109,6 +109,15 @@ def test_ten_thousand_events_of_a_queue_in_one_batch(spark, tmp_path):
     assert queue_ends(spark, tmp_path, rows, [list(range(len(rows)))], within=60) == simulated(rows)
 
 
+def test_jobs_that_have_ended_are_known_in_later_batches(spark, tmp_path):
+    jobs = [-70_000, -1, 0, 1, 65_535, 65_536, 2**40]
+    steps = [*[("submit", j) for j in jobs], *[("claim", None)] * 7, *[("done", j) for j in jobs], *[("submit", j) for j in [*jobs, 2]]]
+    rows = [(1, n, START + timedelta(seconds=60 * n), kind, job) for n, (kind, job) in enumerate(steps)]
+    rows += [(1, 100, START + timedelta(days=1), "tick", None)]
+    parts = [list(range(20)), [20], list(range(21, 29)), [29]]
+    assert queue_ends(spark, tmp_path, rows, parts) == simulated(rows) == {(1, j): ("done", 1) for j in jobs} | {(1, 2): ("queued", 0)}
+
+
 def test_events_are_packed_whole_and_in_order(monkeypatch):
     monkeypatch.setattr(Q, "PACK", 60)
     monkeypatch.setattr(Q, "CHUNK", 7)
